@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import secrets, sharding
+from . import language, packing, piece_lattice, secrets, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _held_out(modulus: int, remainder: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op1_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return piece_lattice.encode_nbest(docs, public_tokenizers.path("piece_bpe_32k.model"), n=4, digest=True)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.default_model(docs))
@@ -27,6 +37,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _held_out(4, 2)
+    model = language.train(language.training_sample(docs, ~held_out))
+    found = language.identify(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard_records(_read(spark, sf_dir, "documents"), n_shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -37,7 +59,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_secret_scan, op8_virtual_slot_sharding, op9_exact_dedup)
+    f.__name__: f for f in (op1_piece_nbest, op5_secret_scan, op6_bin_slack_packing, op7_language_id, op8_virtual_slot_sharding, op9_exact_dedup)
 }
 
 ORACLE: dict[str, str] = {
