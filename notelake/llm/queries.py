@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language, packing, piece_lattice, secrets, sharding
+from . import language, near_dedup, packing, piece_lattice, secrets, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.encode_nbest(docs, public_tokenizers.path("piece_bpe_32k.model"), n=4, digest=True)
 
 
+def op3_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85, bands=26)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.default_model(docs))
@@ -59,7 +63,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_piece_nbest, op5_secret_scan, op6_bin_slack_packing, op7_language_id, op8_virtual_slot_sharding, op9_exact_dedup)
+    f.__name__: f for f in (op1_piece_nbest, op3_fast_sketch_near_dedup, op5_secret_scan, op6_bin_slack_packing, op7_language_id, op8_virtual_slot_sharding, op9_exact_dedup)
 }
 
 ORACLE: dict[str, str] = {
