@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .arrow_map import map_rows
+from .store import hash_sample
 
 UNDETERMINED = "und"
 #: Longer words are read in parts of so many bytes.
@@ -168,8 +169,9 @@ def training_sample(df: DataFrame, usable: Column, id_col: str = "doc_id", text_
     """
     h = F.xxhash64(F.col(id_col), F.length(text_col))
     start = F.pmod(h, F.greatest(F.length(text_col) - max_chars, F.lit(0)) + 1).cast("int") + 1
-    rows = df.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    return [(r[0], r[1]) for r in rows.select(F.substr(F.col(text_col), start, F.lit(max_chars)).alias("t"), F.col(lang_col).alias("l"), h.alias("_h")).orderBy("_h", "t").limit(max_rows).collect()]
+    rows = df.select(id_col, text_col, lang_col).filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    picked = hash_sample(rows, max_rows, id_col)
+    return sorted((r[0], r[1]) for r in picked.select(F.substr(F.col(text_col), start, F.lit(max_chars)), F.col(lang_col)).collect())
 
 
 class Labeller:

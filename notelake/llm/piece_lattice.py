@@ -9,7 +9,6 @@ of a text combine the N best of the N-1 words with the smallest gap between best
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
 import math
@@ -70,6 +69,7 @@ class Lattice:
         self.number: dict[str, int] = {}
         self.best: list[bytes] = []
         self.score, self.gap, self.size = np.empty(0), np.empty(0), np.empty(0, dtype=np.int64)
+        self.choices: dict[tuple[int, int], list[tuple[int, ...]]] = {}
         self.nbest_known: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @staticmethod
@@ -258,7 +258,9 @@ class Lattice:
         starts = np.concatenate([[0], np.cumsum(self.size[at])])
         lists = [self.nbest_word(words[k], n) for k in near]
         losses = [[own[0][0] - score for score, _ in own] for own in lists]
-        ranked = sorted((sum(loss[i] for loss, i in zip(losses, c, strict=True)), c) for c in choices(n, len(lists)) if all(i < len(own) for i, own in zip(c, lists, strict=True)))
+        if (n, len(lists)) not in self.choices:
+            self.choices[n, len(lists)] = choices(n, len(lists))
+        ranked = sorted((sum(loss[i] for loss, i in zip(losses, c, strict=True)), c) for c in self.choices[n, len(lists)] if all(i < len(own) for i, own in zip(c, lists, strict=True)))
         for loss, choice in ranked[:n]:
             if not any(choice):
                 yield total, ids, whole
@@ -288,7 +290,6 @@ class Lattice:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@functools.cache
 def choices(n: int, lists: int) -> list[tuple[int, ...]]:
     """Index choices from ranked lists that can be among the n best: those that fewer than n others dominate."""
     found: list[tuple[int, ...]] = [()]

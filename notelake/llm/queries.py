@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language, near_dedup, packing, piece_lattice, secrets, sharding
+from . import language, near_dedup, packing, permutation_index, piece_lattice, quality, secrets, sharding, warc_zip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,10 +25,21 @@ def op1_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.encode_nbest(docs, public_tokenizers.path("piece_bpe_32k.model"), n=4, digest=True)
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_zip.read_archives(warc_zip.write_archives(_read(spark, sf_dir, "pages")))
+    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
+    return records.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op3_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85, bands=26)
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = permutation_index.build_index(_read(spark, sf_dir, "embeddings"))
+    return permutation_index.search(index, index.rows.filter("vec_id % 100 = 0"), k=10)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.default_model(docs))
@@ -62,11 +73,23 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_read(spark, sf_dir, "documents"), hash_all=True)
 
 
+def op10_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _held_out(5, 0)
+    scored = quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_piece_nbest, op3_fast_sketch_near_dedup, op5_secret_scan, op6_bin_slack_packing, op7_language_id, op8_virtual_slot_sharding, op9_exact_dedup)
+    f.__name__: f for f in (op1_piece_nbest, op2_warc_zip, op3_fast_sketch_near_dedup, op4_permutation_index, op5_secret_scan, op6_bin_slack_packing, op7_language_id, op8_virtual_slot_sharding, op9_exact_dedup, op10_quality_fourier)
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc_zip": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

@@ -52,3 +52,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def constant(values: list | tuple, kind: str) -> Column:
     """An array constant of the bounded list ``values``, built from one literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def hash_sample(df: DataFrame, max_rows: int, *keys: str) -> DataFrame:
+    """At most ``max_rows`` rows, those with the smallest hashes of ``keys``, in no order.
+
+    The limit is found over the hashes alone, so whole rows move only once they are chosen. Rows
+    that tie at the limit fill it up in any order.
+    """
+    h = F.xxhash64(*keys)
+    low = [r[0] for r in df.select(h.alias("h")).orderBy("h").limit(max_rows).collect()]
+    return df.filter(h <= low[-1]).limit(max_rows) if low else df.limit(0)
