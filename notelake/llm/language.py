@@ -204,24 +204,29 @@ class Labeller:
         return self.model.languages[best], float(p[best] / p.sum())
 
 
-def identify(df: DataFrame, model: BiGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, lang_pred, score) of every whole text.
+def identify_rows(df: DataFrame, model: BiGRU, text_col: str = "text") -> DataFrame:
+    """``df`` with lang_pred and lang_score added (replaced, if there), for every whole text; no shuffle.
 
     A null text, or one with no letter, is ``und`` with score 0, as is every text where the model
     has learned no language. Null ids and repeated rows are labelled like any other row.
     """
-    given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = StructType([given.schema["id"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    given = df.drop("lang_pred", "lang_score")
+    schema = StructType([*given.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
 
     def start() -> Callable:
         labeller = Labeller(model)
 
         def step(rows: dict[str, list]):
-            words = [text.encode().split() if text and model.languages and has_letter(text) else [] for text in rows["text"]]
+            words = [text.encode("utf-8", "surrogatepass").split() if text and model.languages and has_letter(text) else [] for text in rows[text_col]]
             labeller.prepare(words)
             found = [labeller.label(w) if w else (UNDETERMINED, 0.0) for w in words]
-            yield {"id": rows["id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+            yield rows | {"lang_pred": [f[0] for f in found], "lang_score": [f[1] for f in found]}
 
         return step
 
-    return map_rows(given, start, schema).withColumnRenamed("id", id_col)
+    return map_rows(given, start, schema)
+
+
+def identify(df: DataFrame, model: BiGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, lang_pred, score), as ``identify_rows`` gives them."""
+    return identify_rows(df.select(id_col, text_col), model, text_col).select(id_col, "lang_pred", F.col("lang_score").alias("score"))
