@@ -31,6 +31,8 @@ def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed:
         size = reduce(lambda a, b: a + b, (F.size(simple_terms(F.coalesce(F.col(c), F.lit("")))) for c in columns))
         return postings.select(*POSTINGS.fieldNames()), rows.select("path", "ordinal", size.cast("long").alias("dl"))
 
+    own = rows.select(*dict.fromkeys(["path", "ordinal", *columns]))  # the path may be searched too
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -42,14 +44,14 @@ def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed:
                     out += [(term, row["path"], row["ordinal"], c, len(p), p) for term, p in places.items()]
             yield pd.DataFrame(out, columns=POSTINGS.fieldNames())
 
-    postings = rows.select("path", "ordinal", *columns).mapInPandas(run, POSTINGS)
+    postings = own.mapInPandas(run, POSTINGS)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["dl"] = [sum(len(T.words(r[c] or "")) for c in columns) for r in batch.to_dict("records")]
             yield batch[LENGTHS.fieldNames()]
 
-    return postings, rows.select("path", "ordinal", *columns).mapInPandas(measure, LENGTHS)
+    return postings, own.mapInPandas(measure, LENGTHS)
 
 
 def _phrase_hits(postings: DataFrame, phrase: Phrase, tokenize: Callable[[str], list[str]]) -> DataFrame:
