@@ -36,7 +36,7 @@ TAGS = schema(path=S, tag_key=S, tag_value=S)
 ALIASES = schema(path=S, alias=S)
 CITATIONS = schema(path=S, label=S, status=S, occurrences=I, resource=S)
 LINKS = schema(source_path=S, link_ordinal=I, target_path=S, link_text=S, link_type=S, fragment=S, raw_target=S)
-POSTINGS = schema(term=S, path=S, ordinal=I, col=S, tf=I, positions=ArrayType(I))
+POSTINGS = schema(term=S, path=S, ordinal=I, col=S, tf=I, positions=ArrayType(I), dl=L)
 LENGTHS = schema(path=S, ordinal=I, dl=L)
 VECTORS = schema(path=S, ordinal=I, folder=S, embedding=ArrayType(FloatType()))
 COMMITS = schema(sha=S, author=S, committed_at=D, subject=S, paths=ArrayType(S))

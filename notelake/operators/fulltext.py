@@ -25,11 +25,12 @@ def simple_terms(text: Column) -> Column:
 def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) of rows (path, ordinal, <columns>). Stemmed terms need Python, plain ones don't."""
     if not stemmed:
-        each = [rows.select("path", "ordinal", F.lit(c).alias("col"), F.posexplode(simple_terms(F.coalesce(F.col(c), F.lit("")))).alias("pos", "term")) for c in columns]
+        tokens_of = lambda c: simple_terms(F.coalesce(F.col(c), F.lit("")))
+        size = reduce(lambda a, b: a + b, (F.size(tokens_of(c)) for c in columns)).cast("long")
+        each = [rows.select("path", "ordinal", F.lit(c).alias("col"), size.alias("dl"), F.posexplode(tokens_of(c)).alias("pos", "term")) for c in columns]
         tokens = reduce(DataFrame.unionByName, each)
-        postings = tokens.groupBy("term", "path", "ordinal", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        size = reduce(lambda a, b: a + b, (F.size(simple_terms(F.coalesce(F.col(c), F.lit("")))) for c in columns))
-        return postings.select(*POSTINGS.fieldNames()), rows.select("path", "ordinal", size.cast("long").alias("dl"))
+        postings = tokens.groupBy("term", "path", "ordinal", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl"))
+        return postings.select(*POSTINGS.fieldNames()), rows.select("path", "ordinal", size.alias("dl"))
 
     own = rows.select(*dict.fromkeys(["path", "ordinal", *columns]))  # the path may be searched too
 
@@ -37,11 +38,13 @@ def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                for c in columns:
+                found = {c: T.terms(row[c] or "") for c in columns}
+                size = sum(map(len, found.values()))
+                for c, terms in found.items():
                     places: dict[str, list[int]] = {}
-                    for at, term in enumerate(T.terms(row[c] or "")):
+                    for at, term in enumerate(terms):
                         places.setdefault(term, []).append(at)
-                    out += [(term, row["path"], row["ordinal"], c, len(p), p) for term, p in places.items()]
+                    out += [(term, row["path"], row["ordinal"], c, len(p), p, size) for term, p in places.items()]
             yield pd.DataFrame(out, columns=POSTINGS.fieldNames())
 
     postings = own.mapInPandas(run, POSTINGS)
@@ -54,39 +57,37 @@ def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed:
     return postings, own.mapInPandas(measure, LENGTHS)
 
 
+KEY = ("path", "ordinal", "col")
+
+
 def _phrase_hits(postings: DataFrame, phrase: Phrase, tokenize: Callable[[str], list[str]]) -> DataFrame:
-    """Rows (path, ordinal, col, positions) where a phrase starts."""
+    """Rows (path, ordinal, col, dl, positions) where a phrase starts."""
     own = postings if phrase.columns is None else postings.filter(F.col("col").isin(*phrase.columns) if phrase.columns else F.lit(False))
     tokens = tokenize(phrase.text)
-    key = ["path", "ordinal", "col"]
     if not tokens:
-        return own.filter(F.lit(False)).select(*key, "positions")
+        return own.filter(F.lit(False)).select(*KEY, "dl", "positions")
     hits = None
     for at, token in enumerate(tokens):
         if phrase.prefix and at == len(tokens) - 1:
-            some = own.filter(F.col("term").startswith(token)).groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
+            some = own.filter(F.col("term").startswith(token)).groupBy(*KEY, "dl").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
         else:
-            some = own.filter(F.col("term") == token).select(*key, "positions")
-        some = some.select(*key, _shifted("positions", at).alias("_p"))
-        hits = some if hits is None else hits.join(some.withColumnRenamed("_p", "_q"), key).select(*key, F.array_intersect("_p", "_q").alias("_p")).filter(F.size("_p") > 0)
-    hits = hits.select(*key, F.col("_p").alias("positions"))
-    return hits.select(*key, F.filter("positions", lambda p: p == 0).alias("positions")).filter(F.size("positions") > 0) if phrase.first else hits
+            some = own.filter(F.col("term") == token)
+        some = some.select(*KEY, "dl", _shifted("positions", at).alias("_p"))
+        hits = some if hits is None else hits.join(some.select(*KEY, F.col("_p").alias("_q")), [*KEY]).select(*KEY, "dl", F.array_intersect("_p", "_q").alias("_p")).filter(F.size("_p") > 0)
+    hits = hits.select(*KEY, "dl", F.col("_p").alias("positions"))
+    return hits.withColumn("positions", F.filter("positions", lambda p: p == 0)).filter(F.size("positions") > 0) if phrase.first else hits
 
 
 def _near_hits(postings: DataFrame, near: Near, tokenize: Callable[[str], list[str]]) -> list[DataFrame]:
     """Each phrase's hits that have all the others within the distance, in the same column."""
-    key = ["path", "ordinal", "col"]
     sizes = [len(tokenize(p.text)) for p in near.phrases]
-    each = [_phrase_hits(postings, p, tokenize) for p in near.phrases]
-    joined = reduce(lambda a, b: a.join(b, key), (h.withColumnRenamed("positions", f"_p{k}") for k, h in enumerate(each)))
-    out = []
-    for k in range(len(sizes)):
-        out.append(joined.select(*key, _close(k, sizes, near.distance).alias("positions")).filter(F.size("positions") > 0))
-    return out
+    each = [_phrase_hits(postings, p, tokenize).withColumnRenamed("positions", f"_p{k}") for k, p in enumerate(near.phrases)]
+    joined = reduce(lambda a, b: a.join(b.drop("dl"), [*KEY]), each)
+    return [joined.select(*KEY, "dl", _close(k, sizes, near.distance).alias("positions")).filter(F.size("positions") > 0) for k in range(len(sizes))]
 
 
 def _shifted(positions: str, by: int) -> Column:
-    return F.transform(positions, lambda p: p - by)
+    return F.transform(positions, lambda p: p - by) if by else F.col(positions)
 
 
 def _close(k: int, sizes: list[int], distance: int) -> Column:
@@ -101,51 +102,48 @@ def _close(k: int, sizes: list[int], distance: int) -> Column:
     return F.filter(f"_p{k}", all_beside)
 
 
-def _leaves(postings: DataFrame, node: Node, tokenize) -> list[DataFrame]:
-    """Hits of the scoring phrases, in the order of ``phrases``."""
-    if isinstance(node, Phrase):
-        return [_phrase_hits(postings, node, tokenize)]
-    if isinstance(node, Near):
-        return _near_hits(postings, node, tokenize)
-    return _leaves(postings, node.left, tokenize) + ([] if node.op == "NOT" else _leaves(postings, node.right, tokenize))
-
-
-def matches(postings: DataFrame, node: Node, tokenize: Callable[[str], list[str]]) -> DataFrame:
-    """Distinct chunks (path, ordinal) that satisfy the query; terms must meet within one chunk."""
-    key = ["path", "ordinal"]
-    if isinstance(node, Phrase):
-        return _phrase_hits(postings, node, tokenize).select(*key).distinct()
-    if isinstance(node, Near):
-        return _near_hits(postings, node, tokenize)[0].select(*key).distinct()
-    left, right = matches(postings, node.left, tokenize), matches(postings, node.right, tokenize)
-    if node.op == "OR":
-        return left.unionByName(right).distinct()
-    return left.join(right, key, "left_semi" if node.op == "AND" else "left_anti")
+def _evaluate(postings: DataFrame, node: Node, tokenize, leaves: list[DataFrame], scoring: list[int], counts: bool = True) -> Column:
+    """Condition over columns f0, f1, ... of the leaves, which are appended; ``scoring`` gets those that score."""
+    if isinstance(node, Combine):
+        left = _evaluate(postings, node.left, tokenize, leaves, scoring, counts)
+        right = _evaluate(postings, node.right, tokenize, leaves, scoring, counts and node.op != "NOT")
+        return left | right if node.op == "OR" else left & (right if node.op == "AND" else ~right)
+    first = len(leaves)
+    leaves += [_phrase_hits(postings, node, tokenize)] if isinstance(node, Phrase) else _near_hits(postings, node, tokenize)
+    if counts:
+        scoring += range(first, len(leaves))
+    return F.col(f"f{first}") > 0
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, node: Node, weights: dict[str, float] | None = None, tokenize: Callable[[str], list[str]] = T.terms) -> DataFrame:
-    """Rows (path, ordinal, score) of the matching chunks; higher is better.
+def bm25(postings: DataFrame, lengths: DataFrame, node: Node, weights: dict[str, float] | None = None, tokenize: Callable[[str], list[str]] = T.terms, totals: DataFrame | None = None) -> DataFrame:
+    """Rows (path, ordinal, score) of the matching chunks; higher is better. Terms must meet within one chunk.
 
     Every phrase counts as one term. Its frequency is the sum of column weight times hits, a chunk's
     length is its tokens in all columns, and a phrase's document frequency ignores the other phrases.
+    All leaves meet in one aggregate by chunk; conditions and scores are expressions over it.
+    ``totals`` is a stored row (n, avg) of ``lengths``; without it they are counted.
     """
-    key = ["path", "ordinal"]
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         if name in COLUMNS:
             weight = F.when(F.col("col") == name, F.lit(float(w))).otherwise(weight)
-    totals = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"))
-    scored = None
-    for k, hits in enumerate(_leaves(postings, node, tokenize)):
-        tf = hits.groupBy(*key).agg(F.sum(weight * F.size("positions")).alias("f"))
-        # a phrase's own document frequency counts the chunks it hits anywhere
-        n = tf.agg(F.count(F.lit(1)).alias("_df"))
-        part = tf.crossJoin(F.broadcast(n)).withColumn("k", F.lit(k))  # one row on the right
-        scored = part if scored is None else scored.unionByName(part)
-    idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF))
-    norm = F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("_avg"))
-    rows = scored.join(matches(postings, node, tokenize), key, "left_semi").join(lengths, key).crossJoin(F.broadcast(totals))
-    return rows.groupBy(*key).agg(F.sum(idf * F.col("f") * (K1 + 1) / norm).alias("score"))
+    leaves: list[DataFrame] = []
+    scoring: list[int] = []
+    matching = _evaluate(postings, node, tokenize, leaves, scoring)
+    rows = reduce(DataFrame.unionByName, (hits.select("path", "ordinal", "dl", F.lit(k).alias("leaf"), (weight * F.size("positions")).alias("f")) for k, hits in enumerate(leaves)))
+    frequency = [F.sum(F.when(F.col("leaf") == k, F.col("f")).otherwise(0.0)).alias(f"f{k}") for k in range(len(leaves))]
+    chunks = rows.groupBy("path", "ordinal").agg(F.max("dl").alias("dl"), *frequency)
+    found = chunks.agg(*(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"d{k}") for k in scoring))
+    if totals is None:
+        totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"))
+    # both right sides have one row
+    joined = chunks.filter(matching).crossJoin(F.broadcast(found)).crossJoin(F.broadcast(totals.select("n", "avg")))
+    score = F.lit(0.0)
+    for k in scoring:
+        f, d = F.col(f"f{k}"), F.col(f"d{k}")
+        idf = F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(LEAST_IDF))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
+    return joined.select("path", "ordinal", score.alias("score"))
 
 
 def search(postings: DataFrame, lengths: DataFrame, query: str, scope: str = "all", weights: dict[str, float] | None = None, tokenize: Callable[[str], list[str]] = T.terms) -> DataFrame | None:
