@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable
 
@@ -25,50 +26,69 @@ CAPACITY, END = 4096, 1
 BUCKETS = 256
 
 # Text of these characters only needs no normalisation but lower case, which is the same everywhere.
-PLAIN = r"[\t\n\x0b\x0c\r -~\xa0-\xff]*"
-# Fixed value: the vocabulary's own pattern of words.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *range(160, 256)])
+# Fixed value: the vocabulary's own pattern of words, for lower-cased text of the characters above.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
 
 
 class WordEncoder:
     """Token ids as little-endian 32-bit bytes, with the ids of seen words kept.
 
-    Texts outside the plain range, and those that may hold a special token, go through the
-    tokenizer whole; for all others its words are encoded one by one, which gives the same ids.
+    No word of the vocabulary's pattern holds white space, so plain texts are cut there and each
+    distinct run is encoded once. Texts outside the plain range, and those that may hold a special
+    token, go through the tokenizer whole, which gives the same ids.
     """
 
-    KEEP = 250_000
+    KEEP = 500_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        import re
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.words = regex.compile(WORD).findall
+        self.words = re.compile(WORD).findall
+        # byte-level letters: printable Latin-1 stands for itself, the other bytes for 256 and up, in order
+        kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in kept]
+        self.letters = {b: 256 + n for n, b in enumerate(others)}
         self.known: dict[str, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or not self.plain(text):
-            return self._whole([text])[0]
-        words, known = self.words(text.lower()), self.known
+    def _runs(self, text: str) -> list[str] | None:
+        """The runs between white space of a plain text."""
         try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            missing = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) > self.KEEP:
-            known.clear()
-            missing = list(dict.fromkeys(words))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            known.update(zip(part, self._whole(part), strict=True))
-        return b"".join(map(known.__getitem__, words))
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if data.translate(None, PLAIN) or b"<|" in data else text.lower().split()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word, from the merges alone: normalising and cutting are done."""
+        if (found := self.known_words.get(word)) is None:
+            mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            found = self.known_words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return found
+
+    def _learn(self, runs: set[str]) -> None:
+        if len(self.known_words) > self.KEEP:
+            self.known_words.clear()
+        for run in runs:
+            self.known[run] = b"".join(map(self._word, self.words(run)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self._runs, texts))
+        missing = {r for runs in split if runs is not None for r in runs if r not in self.known}
+        if len(self.known) + len(missing) > self.KEEP:
+            self.known.clear()
+            missing = {r for runs in split if runs is not None for r in runs}
+        self._learn(missing)
+        others = iter(self.whole([t for t, runs in zip(texts, split, strict=True) if runs is None]))
+        return [next(others) if runs is None else b"".join(map(self.known.__getitem__, runs)) for runs in split]
 
 
 PIECES = StructType([StructField("id", LongType()), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())])
@@ -85,8 +105,8 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
 
         def step(rows: dict[str, list]):
             out: dict[str, list] = {n: [] for n in PIECES.fieldNames()}
-            for key, text in zip(rows["id"], rows["text"], strict=True):
-                ids = encoder.encode(text or "") + tail
+            for key, ids in zip(rows["id"], encoder.encode([text or "" for text in rows["text"]]), strict=True):
+                ids += tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for name, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
