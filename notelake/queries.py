@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions.fts_query import parse
 from .model import DocumentFilter
 from .operators import fulltext, graph, history, population, ranking, vector
+from .sources import vault as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -470,6 +471,75 @@ def vault_stats(spark: SparkSession, sf: str) -> DataFrame:
     return graph.counts(links(spark, sf), nodes(spark, sf))
 
 
+# --- parsing --------------------------------------------------------------------------------
+
+_FILES = """files AS (SELECT path, doc_id, folder, '---' || chr(10) || 'tags: [' || lang || ', ' || source || ']' || chr(10) || 'status: ' || CASE WHEN doc_id % 5 = 0 THEN 'deprecated' ELSE 'stable' END || chr(10)
+|| 'sources: [{id: s, resource: R}]' || chr(10) || '---' || chr(10) || '# Note ' || doc_id || chr(10) || 'See [next](' || (doc_id + 1) || '.md#top), [[Home]] and `[no](x.md)`.[^s] [^t]' || chr(10) || chr(10) || '## Text' || chr(10) || text || chr(10) AS content FROM notes)
+"""
+
+
+def _parsed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Notes written as Markdown, and parsed."""
+    d = notes(spark, sf)
+    number, nl = F.col("doc_id").cast("string"), F.lit("\n")
+    status = F.when(F.col("doc_id") % 5 == 0, "deprecated").otherwise("stable")
+    lines = [
+        F.lit("---"), F.concat(F.lit("tags: ["), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]")), F.concat(F.lit("status: "), status), F.lit("sources: [{id: s, resource: R}]"), F.lit("---"),
+        F.concat(F.lit("# Note "), number), F.concat(F.lit("See [next]("), (F.col("doc_id") + 1).cast("string"), F.lit(".md#top), [[Home]] and `[no](x.md)`.[^s] [^t]")), F.lit(""), F.lit("## Text"),
+        F.concat(F.col("text"), nl),
+    ]
+    files = d.select("path", F.col("modified_at").alias("mtime"), F.concat_ws("\n", *lines).cast("binary").alias("content"))
+    return source.tables(source.parse(files))
+
+
+@query(_FILES + "SELECT path, folder, 'Note ' || doc_id AS title, sha256(content) AS content_hash, CASE WHEN doc_id % 5 = 0 THEN 'deprecated' ELSE 'stable' END AS status FROM files")
+def parse_documents(spark: SparkSession, sf: str) -> DataFrame:
+    own = _parsed(spark, sf)
+    return own["documents"].join(own["okf"].select("path", "status"), "path").select("path", "folder", "title", "content_hash", "status")
+
+
+@query(_FILES + """SELECT path AS source_path, folder || '/' || (doc_id + 1) || '.md' AS target_path, 'markdown' AS link_type, 'top' AS fragment FROM files
+UNION ALL SELECT path, 'Home.md', 'wikilink', NULL FROM files""")
+def parse_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf)["links"].select("source_path", "target_path", "link_type", "fragment")
+
+
+@query(_FILES + "SELECT path, 0 AS position, 'Note ' || doc_id AS heading, 1 AS heading_level FROM files UNION ALL SELECT path, 1, 'Text', 2 FROM files")
+def parse_headings(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf)["headings"].select("path", "position", "heading", "heading_level")
+
+
+@query("x AS (SELECT 1) SELECT path, 'tags' AS tag_key, lang AS tag_value FROM notes UNION ALL SELECT path, 'tags', source FROM notes")
+def parse_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf)["tags"].select("path", "tag_key", "tag_value")
+
+
+@query("x AS (SELECT 1) SELECT path, label, status, n AS occurrences, resource FROM notes, (VALUES ('', 'declared', 0, 'R'), ('s', 'matched', 1, 'R'), ('t', 'unmatched', 1, '')) v(label, status, n, resource)")
+def parse_citations(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf)["citations"].select("path", "label", "status", "occurrences", "resource")
+
+
+@query("x AS (SELECT 1) SELECT rule, count(*) AS n FROM (SELECT unnest(['missing_type', 'unverified', 'unmatched_citation']) AS rule FROM notes UNION ALL SELECT 'deprecated' FROM notes WHERE doc_id % 5 = 0) GROUP BY rule")
+def okf_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf)["okf"].select(F.explode("findings").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x AS (SELECT 1) SELECT sum(len(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')))::BIGINT AS words FROM notes WHERE regexp_full_match(text, '[ -~\n\u00A1-\u024F]*')")
+def chunk_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of plain notes after cutting under the budget, without overlap: none may be lost."""
+    own = notes(spark, sf).filter(F.col("text").rlike("^[ -~\\n\\u00A1-\\u024F]*\\z")).select("path", F.col("modified_at").alias("mtime"), F.col("text").cast("binary").alias("content"))
+    cut = source.tables(source.parse(own, source.ParseOptions(max_chunk_words=100, overlap_words=0, short_lines=0)))["sections"]
+    return cut.agg(F.sum(F.size(F.split(F.trim(F.regexp_replace("content", "\\s+", " ")), " "))).alias("words"))
+
+
+@query("x AS (SELECT 1) SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from .streaming.refresh import event_windows as windows
+
+    events = _t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows(events).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
 # --- change sets, history, packing ----------------------------------------------------------
 
 
