@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from datetime import date, datetime
-
-from .markdown import headings
+from datetime import date, datetime, timezone
 
 RESERVED = ("index.md", "log.md")
-# The findings of an audit.
+ROOT_INDEX = "index.md"
+# Statuses, tiers, the shape of an actor, the characters an audit reads, and its findings.
+STATUSES = ("draft", "stable", "deprecated")
+UNVERIFIED, MACHINE, HUMAN = "unverified", "machine-confirmed", "human-reviewed"
+ACTOR = re.compile(r"(?:(?:human|process):\S(?:[ \S]*\S)?|[^\s/:]+/[^\s/]+)")
+AUDIT_CHARS = 65536
 RULES = (
-    "missing_type", "missing_status", "malformed_sources", "malformed_generated", "malformed_verified", "malformed_stale_after", "stale", "deprecated",
-    "unverified", "machine_verified", "reserved_frontmatter", "log_headings", "unmatched_citation", "ambiguous_citation",
+    "missing_type", "unparseable_frontmatter", "misplaced_okf_version", "unknown_status", "log_heading_shape", "wikilink_files", "missing_recommended",
+    "index_frontmatter", "malformed_sources", "malformed_generated", "missing_freshness", "malformed_freshness", "malformed_review", "evidence_unavailable",
 )
 
 
@@ -56,7 +59,7 @@ def is_stale(metadata: dict, now: datetime) -> bool:
 
 
 def _actor(value) -> bool:
-    return isinstance(value, str) and bool(value.strip())
+    return isinstance(value, str) and ACTOR.fullmatch(value.strip()) is not None
 
 
 def verified_entries(metadata: dict) -> list:
@@ -69,11 +72,11 @@ def _reviewed(entry) -> bool:
 
 
 def trust_tier(metadata: dict) -> str:
-    """human, machine or unverified: the best reviewer among valid entries; machine reviewers are named ``agent:...`` or ``model:...``."""
-    by = [e["by"].strip().lower() for e in verified_entries(metadata) if _reviewed(e)]
-    if any(not b.startswith(("agent:", "model:", "machine:", "ai:")) for b in by):
-        return "human"
-    return "machine" if by else "unverified"
+    """The best tier among well-formed reviews: one by a human beats those by machines; without any it is unverified."""
+    by = [e["by"].strip() for e in verified_entries(metadata) if _reviewed(e)]
+    if any(b.startswith("human:") for b in by):
+        return HUMAN
+    return MACHINE if by else UNVERIFIED
 
 
 def _evidence(metadata: dict, key: str, entries: list, usable: Callable[[object], bool]) -> dict:
@@ -126,23 +129,38 @@ def matches(annotation: dict, wanted: dict[str, str]) -> bool:
     return True
 
 
-def findings(path: str, metadata: dict, body: str, labels: list[tuple[str, str, int, str]], now: datetime) -> list[str]:
-    """Rules of RULES that a note breaks or that its metadata shows."""
-    out = []
+def findings(path: str, metadata: dict | None, body: str, has_block: bool = True, now: datetime | None = None) -> list[str]:
+    """The rules of RULES that a note breaks, in their order; ``metadata`` is None where its block can't be parsed.
+
+    Pages that only navigate answer for their shape alone. Evidence isn't judged for notes that can't
+    be parsed or are over the audited length, which is a finding itself.
+    """
+    now = now or datetime.now(timezone.utc)
+    own, seen = metadata or {}, set()
+    if "okf_version" in own and path != ROOT_INDEX:
+        seen.add("misplaced_okf_version")
     if is_reserved(path):
-        if set(metadata) - {"title", "okf_version"}:
-            out.append("reserved_frontmatter")
-        if path.endswith("log.md") and any(level == 2 and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text) for level, text, _ in headings(body)):
-            out.append("log_headings")
-        return out
-    a = annotate(metadata, now)
-    checks = {
-        "missing_type": a["type"] is None, "missing_status": "status" not in metadata, "malformed_sources": a["attribution"]["malformed_entries"] > 0,
-        "malformed_generated": a["generation"] == "malformed", "malformed_verified": a["review"]["malformed_entries"] > 0, "malformed_stale_after": a["freshness"] == "malformed",
-        "stale": a["stale"], "deprecated": a["status"] == "deprecated", "unverified": a["trust_tier"] == "unverified", "machine_verified": a["trust_tier"] == "machine",
-        "unmatched_citation": any(s == "unmatched" for _, s, _, _ in labels), "ambiguous_citation": any(s == "ambiguous" for _, s, _, _ in labels),
-    }
-    return [rule for rule in RULES if checks.get(rule)]
+        if path.endswith("log.md") and any(line.startswith("## ") and not re.fullmatch(r"## \d{4}-\d{2}-\d{2}\s*", line) for line in body.splitlines()):
+            seen.add("log_heading_shape")
+        if path.endswith("index.md") and has_block and not (path == ROOT_INDEX and set(own) == {"okf_version"}):
+            seen.add("index_frontmatter")
+        return [r for r in RULES if r in seen]
+    if metadata is None:
+        seen |= {"unparseable_frontmatter", "evidence_unavailable"}
+    else:
+        a = annotate(own, now)
+        status = own.get("status")
+        evidence = {
+            "missing_freshness": a["freshness"] == "missing", "malformed_freshness": a["freshness"] == "malformed", "malformed_review": a["review"]["malformed_entries"] > 0,
+            "malformed_sources": a["attribution"]["malformed_entries"] > 0, "malformed_generated": a["generation"] == "malformed",
+        }
+        checks = {
+            "missing_type": a["type"] is None, "unknown_status": isinstance(status, str) and bool(status.strip()) and status.strip() not in STATUSES,
+            "wikilink_files": "[[" in body, "missing_recommended": not own.get("title") or not own.get("description"),
+        }
+        checks |= {"evidence_unavailable": True} if len(body) > AUDIT_CHARS else evidence
+        seen |= {rule for rule, broken in checks.items() if broken}
+    return [r for r in RULES if r in seen]
 
 
 def index_markdown(title: str, notes: list[tuple[str, str]], folders: list[str]) -> str:

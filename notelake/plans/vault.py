@@ -236,7 +236,7 @@ class Vault:
         return own.filter(~ranking.is_reserved(F.col("path"))).orderBy("path", "label")
 
     def okf_stats(self) -> dict[str, DataFrame]:
-        o = self.table("okf")
+        o = self.table("okf").filter("status is not null")
         return {k: o.groupBy(k).count().orderBy(k) for k in ("type", "status", "stale", "trust_tier")}
 
     def okf_audit(self, examples: int = 20) -> DataFrame:

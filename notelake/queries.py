@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 PROLOGUE = """
 WITH notes AS (
   SELECT lang || '/' || source || '/' || doc_id || '.md' AS path, lang || '/' || source AS folder, n_chars AS content_chars,
-         1600000000.25 + doc_id * 86400.5 - 1000000000 * (doc_id % 3 = 2)::INT AS modified_at, sha256(text) AS content_hash, text, doc_id, lang, source
+         (1600000000.25 + doc_id * 86400.5 - 1000000000 * (doc_id % 3 = 2)::INT)::DOUBLE AS modified_at, sha256(text) AS content_hash, text, doc_id, lang, source
   FROM documents),
 tags AS (
   SELECT path, 'lang' AS tag_key, lang AS tag_value FROM notes UNION ALL SELECT path, 'source', source FROM notes
@@ -519,7 +519,7 @@ def parse_citations(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf)["citations"].select("path", "label", "status", "occurrences", "resource")
 
 
-@query("x AS (SELECT 1) SELECT rule, count(*) AS n FROM (SELECT unnest(['missing_type', 'unverified', 'unmatched_citation']) AS rule FROM notes UNION ALL SELECT 'deprecated' FROM notes WHERE doc_id % 5 = 0) GROUP BY rule")
+@query(_FILES + "SELECT rule, count(*) AS n FROM (SELECT unnest(['missing_type', 'wikilink_files', 'missing_recommended', 'missing_freshness']) AS rule FROM notes UNION ALL SELECT 'evidence_unavailable' FROM files WHERE false) GROUP BY rule")
 def okf_audit(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf)["okf"].select(F.explode("findings").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 

@@ -168,7 +168,8 @@ def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = Par
         meta, body = M.split_front_matter(text)
         shown = M.plain(meta)
     except M.FrontMatterError as e:
-        return row | {"skip_category": "parse_error", "skip_detail": str(e)}
+        broken = {"findings": okf.findings(path, None, text, True, now)}
+        return row | {"skip_category": "parse_error", "skip_detail": str(e), "okf": {f.name: broken.get(f.name) for f in OKF.fields}}
     if absent := [k for k in options.required_fields if k not in meta]:
         return row | {"skip_category": "missing_frontmatter", "skip_detail": ", ".join(absent)}
     try:
@@ -188,7 +189,7 @@ def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = Par
             "aliases": list(dict.fromkeys(names)),
             "citations": [{"label": lb, "status": s, "occurrences": n, "resource": r} for lb, s, n, r in cited],
             "links": [{"link_ordinal": k, "target_path": x.target, "link_text": x.text, "link_type": x.kind, "fragment": x.fragment, "raw_target": x.raw} for k, x in enumerate(M.links(body, path, options.attachments))],
-            "okf": {k: a[k] for k in ("type", "status", "stale", "trust_tier", "freshness", "sources_count")} | {"findings": okf.findings(path, meta, body, cited, now)},
+            "okf": {k: a[k] for k in ("type", "status", "stale", "trust_tier", "freshness", "sources_count")} | {"findings": okf.findings(path, meta, body, body != text, now)},
         }
     except (ValueError, TypeError, RecursionError) as e:
         return row | {"skip_category": "internal_error", "skip_detail": f"{type(e).__name__}: {e}"}
@@ -217,7 +218,8 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
         "aliases": each("aliases").select("path", F.col("x").alias("alias")).select(*ALIASES.fieldNames()),
         "citations": each("citations").select("path", "x.*"),
         "links": own.select(*LINKS.fieldNames()),
-        "okf": parsed.filter("skip_category is null").select("path", "okf.*"),
+        # notes whose block can't be parsed have findings too, but no derived values
+        "okf": parsed.filter("okf is not null").select("path", "okf.*"),
     }
 
 

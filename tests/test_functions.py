@@ -167,14 +167,19 @@ def test_requests():
 def test_okf():
     assert not okf.is_stale({"stale_after": "2024-05-02"}, NOW) and okf.is_stale({"stale_after": "2024-05-01"}, NOW)
     assert okf.is_stale({"stale_after": "2024-05-01T11:59:00Z"}, NOW) and not okf.is_stale({"stale_after": "2024-05-01T11:59:00"}, NOW)
-    ok = {"by": "ann", "at": "2024-01-01T00:00:00Z"}
-    assert okf.trust_tier({"verified": [ok]}) == "human"
-    assert okf.trust_tier({"verified": ok | {"by": "agent:x"}}) == "machine"
-    assert okf.trust_tier({"verified": [{"by": "ann", "at": "2024-01-01"}]}) == "unverified"
+    ok = {"by": "human:ann", "at": "2024-01-01T00:00:00Z"}
+    assert okf.trust_tier({"verified": [ok]}) == okf.HUMAN
+    assert okf.trust_tier({"verified": ok | {"by": "tool/1"}}) == okf.MACHINE
+    assert okf.trust_tier({"verified": [ok | {"at": "2024-01-01"}, ok | {"by": "ann"}]}) == okf.UNVERIFIED
     a = okf.annotate({"status": " deprecated ", "sources": [{"resource": 1}, 2], "verified": []}, NOW)
     assert (a["status"], a["attribution"]["recorded_entries"], a["review"]["state"]) == ("deprecated", 1, "empty")
     assert okf.matches(a, {"stale": "no", "status": "deprecated"}) and not okf.matches(a, {"stale": "yes"})
     with pytest.raises(ValueError):
         okf.parse_stale("maybe")
-    assert "missing_type" in okf.findings("a.md", {}, "", [], NOW)
-    assert okf.findings("log.md", {}, "## today\n", [], NOW) == ["log_headings"]
+    assert okf.findings("a.md", {"status": "odd", "okf_version": 1}, "[[x]]") == ["missing_type", "misplaced_okf_version", "unknown_status", "wikilink_files", "missing_recommended", "missing_freshness"]
+    full = {"type": "t", "title": "x", "description": "d", "stale_after": "soon", "sources": [1], "generated": {}, "verified": {"by": "x"}}
+    assert okf.findings("a.md", full, "") == ["malformed_sources", "malformed_generated", "malformed_freshness", "malformed_review"]
+    assert okf.findings("a.md", full, "x" * 70000) == ["evidence_unavailable"]
+    assert okf.findings("a.md", None, "") == ["unparseable_frontmatter", "evidence_unavailable"]
+    assert okf.findings("log.md", {}, "## today\n", False) == ["log_heading_shape"]
+    assert okf.findings("index.md", {"okf_version": 1}, "") == [] and okf.findings("f/index.md", {}, "") == ["index_frontmatter"]

@@ -24,10 +24,10 @@ def vault(spark, tmp_path):
 
 def test_upkeep(vault):
     assert X.detect(vault) and X.detect(vault, "on") and not X.detect(vault, "off")
-    X.stamp(vault, "a/one.md", "agent:x")
-    X.verify(vault, "a/one.md", "ann")
+    X.stamp(vault, "a/one.md", "tool/1")
+    X.verify(vault, "a/one.md", "human:ann")
     meta = vault.read("a/one.md")["frontmatter"]
-    assert meta["generated"]["by"] == "agent:x" and meta["verified"][0]["by"] == "ann"
+    assert meta["generated"]["by"] == "tool/1" and meta["verified"][0]["by"] == "human:ann"
     assert X.convert_links(vault) == (1, 1) and "[Two](b/Two.md)" in vault.read("a/one.md")["text"]
     assert X.build_indexes(vault) == ["a/index.md", "a/b/index.md"]
     assert vault.read("a/index.md")["text"] == "# a\n\n- [One](one.md)\n- [b/](b/index.md)\n"

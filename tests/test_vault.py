@@ -128,7 +128,7 @@ def test_write_edit_move(vault, tmp_path):
 
 def test_okf_and_citations(vault):
     rules = {r.rule: r.n for r in vault.okf_audit().collect()}
-    assert rules["deprecated"] == 1 and rules["unmatched_citation"] == 1
+    assert rules["unparseable_frontmatter"] == 1 and rules["wikilink_files"] == 1 and rules["missing_type"] == 5
     assert {r.status: r["count"] for r in vault.okf_stats()["status"].collect()} == {"deprecated": 1, "stable": 5}
     vault.write("cite.md", "---\nsources: [{id: s, resource: R}]\n---\nx[^s]\n")
     vault.flush()
