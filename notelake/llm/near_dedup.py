@@ -25,6 +25,8 @@ from .store import materialize
 SHINGLE = 5
 #: Bands and coordinates of each: a pair of similarity 0.8 shares no band with probability 5e-6 (miss_probability).
 BANDS, ROWS = 40, 6
+#: Bands that are verified first, whole; later ones only where they span components.
+FIRST = 6
 #: Members of a bucket up to which its list is compared with other buckets' to verify each group once.
 LISTED = 64
 #: Blocks of so many members that a larger bucket is cut into; blocks meet two by two.
@@ -162,8 +164,10 @@ def links_within(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], per
     return [(int(a), int(b)) for a, b in zip(ids, label, strict=True) if a != b]
 
 
-def _verify(members: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of the groups of (grp, side, id, elements), each group's rows adjacent."""
+def _verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of the groups (grp, side, id); each group's rows stand together, with their sets."""
+    groups = materialize(groups, "groups")
+    members = groups.join(sets, "id").select("grp", "side", "id", "elements").repartition("grp").sortWithinPartitions("grp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -228,18 +232,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = materialize(own, "nodes")
 
     # buckets with one member only fall away before anything is paired
-    banded = own.filter("bands is not null").select(F.explode("bands").alias("band"), "id")
+    banded = own.filter("bands is not null").select(F.posexplode("bands").alias("at", "band"), "id")
     shared = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     candidates = materialize(banded.join(shared, "band"), "candidates")
-    groups = materialize(_groups(candidates), "groups")
-    wanted = materialize(groups.select("id").distinct(), "wanted")
+    wanted = materialize(candidates.select("id").distinct(), "wanted")
     sets = materialize(_sets(docs.join(wanted, "id"), k), "elements")
-    members = groups.join(sets, "id").select("grp", "side", "id", "elements")
-    members = members.repartition("grp").sortWithinPartitions("grp")
-    links = _verify(members, percent)
+
+    # the first bands connect nearly all; of the others only buckets that span components can add links
+    first = materialize(_verify(_groups(candidates.filter(F.col("at") < FIRST)), sets, percent).distinct(), "links")
+    joined = connected_components(first)
+    later = candidates.filter(F.col("at") >= FIRST).join(joined.withColumnRenamed("node", "member"), F.col("id") == F.col("member"), "left")
+    later = materialize(later.select("band", "size", "id", F.coalesce("component", "id").alias("component")), "later")
+    spanning = later.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    rest = later.join(materialize(spanning, "spanning"), "band").select("band", "size", "id")
+    second = materialize(_verify(_groups(rest), sets, percent).distinct(), "links")
+    found = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     # an id with several sets ties those sets' nodes
     tied = own.filter("node is not null and id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    found = materialize(links.distinct(), "links")
     repeated = own.filter("bands is not null").groupBy("id").count().filter("count > 1").select("id")
     if not repeated.isEmpty():
         found = found.unionByName(tied.join(own.filter("bands is not null").select(F.col("id").alias("a")).distinct(), "a", "left_semi"))
