@@ -133,3 +133,13 @@ def reconcile(current: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFra
     missing = keyed.join(known.select("input_hash"), "input_hash", "left_anti")
     unbacked = stored.select("path").distinct().join(current.select("path"), "path", "left_anti")
     return reused, missing, unbacked
+
+
+def import_matching(current: DataFrame, donor: DataFrame, same_identity: bool) -> DataFrame:
+    """Rows of ``current`` whose embedding input a donor store has embedded, with its vectors; needs equal identities.
+
+    Provider, model, variant, text format and dimension make up an identity; vectors compare only if all are equal.
+    """
+    if not same_identity:
+        raise BadVector("the donor's vectors were made in another way")
+    return reconcile(current, donor)[0].drop("input_hash")
