@@ -2,7 +2,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("steady", deadline=None)
+settings.load_profile("steady")
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from notelake.session import local_session  # noqa: E402
