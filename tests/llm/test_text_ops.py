@@ -137,7 +137,6 @@ def test_shards_of_odd_rows(odd, none):
 @given(st.lists(st.integers(0, 1000), min_size=32, max_size=32), st.integers(2, 6))
 def test_map_is_edited(weights, n):
     first = sharding.SlotMap.initial(n, 32).rebalanced(weights)
-    assert sharding.SlotMap.rebalanced(first, weights).shards == first.shards or True
     grown = first.rebalanced(weights, n + 1)
     assert grown.version == 2 and set(grown.shards) <= set(range(n + 1))
     load = Counter()
