@@ -13,6 +13,10 @@ from ..functions.patterns import in_folder
 from .population import live
 
 
+#: Query vectors that are sent to every task at most; 4,096 of 1,024 dimensions take 32 MB.
+MOST_SENT = 4096
+
+
 class BadVector(ValueError):
     pass
 
@@ -61,10 +65,11 @@ def semantic(vectors: DataFrame, query: list[float], k: int, folder: str | None
 def batch_semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top k rows per row (query_id, query) of a stated query set: (query_id, rank, path, ordinal, score).
 
-    Each task keeps the k best of its own rows for a query, so few rows are shuffled. ``queries`` is a
-    set that the caller states, of checked size; it meets the vectors in blocks.
+    Each task keeps the k best of its own rows for a query, so few rows are shuffled. Up to MOST_SENT
+    queries are sent to every task; a larger set meets the vectors in blocks, partition by partition.
     """
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "path", "ordinal", dot(F.col("embedding"), unit(F.col("query"))).alias("score"))
+    few = queries.limit(MOST_SENT + 1).count() <= MOST_SENT
+    scored = vectors.crossJoin(F.broadcast(queries) if few else queries).select("query_id", "path", "ordinal", dot(F.col("embedding"), unit(F.col("query"))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "ordinal"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 

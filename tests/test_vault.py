@@ -221,7 +221,7 @@ def test_keyword_scores_match_sqlite(spark):
         assert all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted), q
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 0, "f", [3.0, 4.0]), ("b", 0, "f/g", [1.0, 0.0]), ("c", 0, "x", [0.0, 0.0])], "path string, ordinal int, folder string, embedding array<float>")
     own = vector.normalise(rows, 2)
     assert [(r.path, round(r.score, 6)) for r in vector.semantic(own, [2.0, 0.0], 3).collect()] == [("b", 1.0), ("a", 0.6), ("c", 0.0)]
@@ -229,6 +229,10 @@ def test_vectors(spark):
     with pytest.raises(Exception, match="bad vector"):
         vector.normalise(rows.withColumn("embedding", F.array(F.lit(float("nan")), F.lit(1.0))), 2).collect()
     assert paths(vector.similar(own, "a", 5)) == ["b", "c"]
+    asked = own.select(F.col("path").alias("query_id"), F.col("embedding").alias("query"))
+    best = [tuple(r) for r in vector.batch_semantic(own, asked, 1).orderBy("query_id").select("query_id", "path").collect()]
+    monkeypatch.setattr(vector, "MOST_SENT", 1)
+    assert best == [("a", "a"), ("b", "b"), ("c", "a")] == [tuple(r) for r in vector.batch_semantic(own, asked, 1).orderBy("query_id").select("query_id", "path").collect()]
 
 
 def test_fuzzy_paths_and_limits(spark):
