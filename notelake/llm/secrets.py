@@ -11,13 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import constant
+from .store import constant, hash_sample
 
 # The base patterns, the group whose length counts and the least length.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),  # the maximal runs of [0-9a-f] that are long enough
 )
 LEARNED = "markov"
 KINDS = (*(b[0] for b in BASE), LEARNED)
@@ -91,10 +91,9 @@ def ordinary_strings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     The sample is bounded by that parameter and picked by a hash of the id. Only the fit sees it.
     """
     clean = F.lit(True)
-    for _, pattern, _, _ in BASE[:2]:
+    for _, pattern, _, _ in BASE:
         clean = clean & ~F.col(text_col).rlike(pattern)
-    clean = clean & ~F.col(text_col).rlike(r"[0-9a-f]{24,}")
-    picked = docs.filter(clean).select(text_col, F.xxhash64(id_col, F.octet_length(text_col)).alias("_h")).orderBy("_h").limit(max_rows)
+    picked = hash_sample(docs.select(id_col, text_col), max_rows, id_col).filter(clean)
     words = picked.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("text"))
     listed = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(" ".join(IDENTIFIERS)), " ")).alias("text"))
     return words.unionByName(listed).withColumn("random", F.lit(0))
