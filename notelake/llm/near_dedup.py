@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from .arrow_map import map_rows
 from .components import connected_components
-from .store import materialize
+from .store import materialize, release
 
 SHINGLE = 5
 #: Bands and coordinates of each: a pair of similarity 0.8 shares no band with probability 5e-6 (miss_probability).
@@ -116,13 +116,24 @@ def _sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def start() -> Callable:
         def step(batch: dict[str, list]):
-            yield {"id": batch["id"], "elements": [shingles(text, k).tobytes() for text in batch["text"]]}
+            yield {"id": batch["id"], "elements": [packed(shingles(text, k)) for text in batch["text"]]}
 
         return step
 
     return map_rows(docs, start, SETS)
 
 
+def packed(elements: np.ndarray) -> bytes:
+    """The low 48 bits of each hash: two sets of 20,000 shingles hold a pair that differs only above with probability 1.4e-6."""
+    return elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of intersection sizes, through columns of shared elements, some at a time."""
     m = len(sets)
@@ -177,7 +188,7 @@ def _verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if len(held) < 2:
                 return []
             ids, sides = np.array([r[1] for r in held], dtype=np.int64), np.array([r[0] for r in held], dtype=bool)
-            return links_within(ids, sides, [np.frombuffer(r[2], dtype=np.uint64) for r in held], percent)
+            return links_within(ids, sides, [unpacked(r[2]) for r in held], percent)
 
         for batch in batches:
             links: list[tuple[int, int]] = []
@@ -230,6 +241,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = materialize(nodes.groupBy("set_key").agg(F.min("id").alias("node")), "sets")
     own = signed.join(firsts, "set_key", "left").select("id", "n", "node", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands"))
     own = materialize(own, "nodes")
+    release(signed)
 
     # buckets with one member only fall away before anything is paired
     banded = own.filter("bands is not null").select(F.posexplode("bands").alias("at", "band"), "id")
@@ -246,6 +258,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spanning = later.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
     rest = later.join(materialize(spanning, "spanning"), "band").select("band", "size", "id")
     second = materialize(_verify(_groups(rest), sets, percent).distinct(), "links")
+    release(sets, candidates, later)
     found = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     # an id with several sets ties those sets' nodes
     tied = own.filter("node is not null and id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
