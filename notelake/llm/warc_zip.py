@@ -30,6 +30,7 @@ DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackag
 #: Payloads under so many bytes are never replaced by a revisit record.
 LEAST_REVISIT = 100
 ARCHIVE_BYTES, READ_BYTES = 32_000_000, 4_000_000
+MOST_TASKS = 10_000
 EPOCH = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -285,6 +286,7 @@ def read_archives(manifest: DataFrame, wanted: Callable[[dict], bool] | None = N
     """
     arrow = to_arrow_schema(RECORDS)
     archives = manifest.select("archive").distinct()
+    tasks = max(1, min(archives.count(), MOST_TASKS))  # a stated number, as so small a table would else become one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,4 +302,4 @@ def read_archives(manifest: DataFrame, wanted: Callable[[dict], bool] | None = N
                 reader.close()
                 yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
-    return archives.repartition("archive").mapInArrow(run, RECORDS)
+    return archives.repartition(tasks, "archive").mapInArrow(run, RECORDS)
