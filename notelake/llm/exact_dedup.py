@@ -83,7 +83,8 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tied = materialize(gone.join(stay, (gone["_id"].eqNullSafe(stay["_id"])) & (gone["_sha"] == stay["_sha"]), "left_semi"), "tied")
     lost = materialize(gone.join(stay, (gone["_id"].eqNullSafe(stay["_id"])) & (gone["_sha"] == stay["_sha"]), "left_anti"), "lost")
     sha = F.sha2(normalised(F.col(text_col)), 256)
-    out = df.join(lost, df[id_col].eqNullSafe(lost["_id"]) & (sha == lost["_sha"]), "left_anti")
+    # merged, not broadcast, at every size: the table of lost rows grows with the input
+    out = df.join(lost.hint("merge"), df[id_col].eqNullSafe(lost["_id"]) & (sha == lost["_sha"]), "left_anti")
     if tied.isEmpty():
         return out
     match = out[id_col].eqNullSafe(tied["_id"]) & (sha == tied["_sha"])
