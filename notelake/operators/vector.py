@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.patterns import in_folder
 from .population import live
@@ -15,6 +17,8 @@ from .population import live
 
 #: Query vectors that are sent to every task at most; 4,096 of 1,024 dimensions take 32 MB.
 MOST_SENT = 4096
+#: Vectors of a block that meets a block of queries.
+BLOCK = 16384
 
 
 class BadVector(ValueError):
@@ -62,16 +66,58 @@ def semantic(vectors: DataFrame, query: list[float], k: int, folder: str | None
     return own.withColumn("score", dot(F.col("embedding"), q)).orderBy(F.desc("score"), "path", "ordinal").limit(k)
 
 
+def _best(own: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of ``own`` for each query, rows without a score last; sums run in the order of ``dot``, so that ties stay ties."""
+    own = own.sort_values(["path", "ordinal"], ignore_index=True)
+    sizes = np.array([-1 if v is None else len(v) for v in own["embedding"]], "i8")
+    columns: dict[int, np.ndarray] = {}
+    ids, at, scores = [], [], []
+    for query_id, q in zip(asked["query_id"], asked["query"], strict=True):
+        n = 0 if q is None else len(q)
+        if n not in columns:
+            columns[n] = np.full((n, len(own)), np.nan)
+            if n and (sizes == n).any():
+                columns[n][:, sizes == n] = np.stack(own["embedding"][sizes == n].to_numpy()).astype("f8").T
+        score = np.where(sizes == n, 0.0, np.nan) if q is not None else np.full(len(own), np.nan)
+        for column, x in zip(columns[n], q if n else (), strict=True):
+            score += column * x
+        order = np.where(np.isnan(score), np.inf, -score)
+        near = np.nonzero(order <= np.partition(order, k - 1)[k - 1])[0] if k < len(order) else np.arange(len(order))
+        near = near[np.argsort(order[near], kind="stable")][:k]
+        ids += [query_id] * len(near)
+        at += near.tolist()
+        scores += [None if x != x else x for x in score[near].tolist()]
+    rows = own.iloc[at]
+    found = {"query_id": ids, "path": rows["path"].tolist(), "ordinal": rows["ordinal"].tolist(), "score": scores}
+    return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in found.items()})
+
+
 def batch_semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top k rows per row (query_id, query) of a stated query set: (query_id, rank, path, ordinal, score).
 
-    Each task keeps the k best of its own rows for a query, so few rows are shuffled. Up to MOST_SENT
-    queries are sent to every task; a larger set meets the vectors in blocks, partition by partition.
+    Each task keeps the k best of each of its blocks for a query, so few rows are shuffled. Up to MOST_SENT
+    queries are sent to every task; a larger set meets the vectors block by block.
     """
-    few = queries.limit(MOST_SENT + 1).count() <= MOST_SENT
-    scored = vectors.crossJoin(F.broadcast(queries) if few else queries).select("query_id", "path", "ordinal", dot(F.col("embedding"), unit(F.col("query"))).alias("score"))
+    own = vectors.select("path", "ordinal", "embedding")
+    asked = queries.select("query_id", unit(F.col("query")).alias("query"))
+    schema = StructType([asked.schema["query_id"], own.schema["path"], own.schema["ordinal"], StructField("score", DoubleType())])
+    n = queries.count()
+    if n <= MOST_SENT:
+        sent = asked.toPandas()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield _best(batch, sent, k)
+
+        found = own.mapInPandas(run, schema)
+    else:
+        across, down = -(-n // MOST_SENT), max(1, -(-own.count() // BLOCK))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = own.withColumn("_v", F.pmod(F.xxhash64("path", "ordinal"), F.lit(down)).cast("int")).withColumn("_q", every(across))
+        right = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")).withColumn("_v", every(down))
+        found = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(lambda v, q: _best(v, q, k), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "ordinal"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def mean_vector(vectors: DataFrame) -> DataFrame:

@@ -387,6 +387,16 @@ def vector_batch(spark: SparkSession, sf: str) -> DataFrame:
     return vector.batch_semantic(own, asked, 10).select("query_id", "rank", "path", "ordinal", _r("score"))
 
 
+@query("""s AS (SELECT q.path AS query_path, d.path, d.ordinal, list_dot_product(d.v, q.v) AS score FROM vectors q, vectors d WHERE (q.path::BIGINT * 5 + q.ordinal) % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_path ORDER BY score DESC, path, ordinal)::INT AS rank FROM s)
+SELECT query_path AS query_id, rank, path, ordinal, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def vector_batch_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose vec_id is divisible by 20 against all rows."""
+    own = vectors(spark, sf)
+    asked = own.filter(F.col("vec_id") % 20 == 0).select(F.col("path").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.batch_semantic(own, asked, 10).select("query_id", "rank", "path", "ordinal", _r("score"))
+
+
 @query(_HITS + """kr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score / (1 + 0.25 * ln(chunk_count)) DESC, path, ordinal) AS rank, folder FROM k QUALIFY rank <= 200),
 vs AS (SELECT n.path, 0 AS ordinal, list_dot_product(v.v, q.v) AS score, n.folder FROM vectors v, (SELECT v FROM vectors WHERE path = '1' AND ordinal = 2) q, notes n WHERE n.doc_id = (v.path::INT * 5 + v.ordinal)),
 vr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score DESC, path, ordinal) AS rank, folder FROM vs QUALIFY rank <= 200),

@@ -235,6 +235,20 @@ def test_vectors(spark, monkeypatch):
     assert best == [("a", "a"), ("b", "b"), ("c", "a")] == [tuple(r) for r in vector.batch_semantic(own, asked, 1).orderBy("query_id").select("query_id", "path").collect()]
 
 
+def test_batch_search_takes_every_query(spark, monkeypatch):
+    from notelake import queries
+    from tests.conftest import SF
+
+    sent = queries.vector_batch_all(spark, SF).toPandas()
+    wanted = {r.path for r in queries.vectors(spark, SF).filter("vec_id % 20 = 0").collect()}
+    assert set(sent.query_id) == wanted and set(sent.groupby("query_id").size()) == {10}
+    monkeypatch.setattr(vector, "MOST_SENT", 7)
+    monkeypatch.setattr(vector, "BLOCK", 100)
+    by_blocks = queries.vector_batch_all(spark, SF).toPandas()
+    order = ["query_id", "rank"]
+    assert by_blocks.sort_values(order).values.tolist() == sent.sort_values(order).values.tolist()
+
+
 def test_fuzzy_paths_and_limits(spark):
     docs = spark.createDataFrame([("notes/meeting.md",), ("notes/meting-2.md",), ("other.md",)], "path string").withColumn("path_folded", F.lower("path"))
     assert [(r.path, r.tier) for r in population.path_search(docs, "Meeting").collect()] == [("notes/meeting.md", 2), ("notes/meting-2.md", 3)]
