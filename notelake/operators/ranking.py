@@ -58,13 +58,28 @@ def collapse(rows: DataFrame, limit: int, per_note: int = 2) -> DataFrame:
     return kept.drop("best").join(top.select("path", "file_rank"), "path").orderBy("file_rank", "note_rank")
 
 
-def ranked(rows: DataFrame, channel: str, limit: int) -> DataFrame:
-    """The best ``limit`` rows of a channel with their rank from 1."""
+def ranked(rows: DataFrame, channel: str, limit: int | None) -> DataFrame:
+    """The best ``limit`` rows of a channel, or all, with their rank from 1."""
     order = (F.desc("score"), F.asc("path"), F.asc("ordinal"))
+    if limit is None:
+        return _ranked_all(rows.orderBy(*order)).withColumn("channel", F.lit(channel))
     top = rows.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("channel", F.lit(channel))
 
 
+def _ranked_all(ordered: DataFrame) -> DataFrame:
+    """Sorted rows with ``rank``: the place in the partition plus the sizes of the partitions before, which alone reach the driver."""
+    at = F.col("_at")
+    placed = ordered.withColumn("_at", F.monotonically_increasing_id()).persist()  # both uses see one partitioning
+    part = F.shiftright(at, 33).cast("int")
+    sizes = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0]
+    for k in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(k, 0))
+    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<long>")
+    return placed.withColumn("rank", at.bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.element_at(offsets, part + 1)).drop("_at")
+
+
 def rrf(channels: list[DataFrame], k: int = RRF) -> DataFrame:
     """Rows (path, heading, score, search_type, ordinal): sum of 1 / (k + rank) per path and heading over ranked channels.
 
@@ -81,14 +96,15 @@ def rrf(channels: list[DataFrame], k: int = RRF) -> DataFrame:
     return fused
 
 
-def hybrid(keyword: DataFrame, semantic: DataFrame, limit: int, per_note: int = 2, alpha: float = DOWNWEIGHT, boosts: dict[str, float] | None = None, pool: int | None = None) -> DataFrame:
-    """Both channels downweighted by length, fused, boosted and collapsed.
+def hybrid(keyword: DataFrame, semantic: DataFrame, limit: int, per_note: int = 2, alpha: float = DOWNWEIGHT, boosts: dict[str, float] | None = None, pool: int | None = None, whole: bool = False) -> DataFrame:
+    """Both channels downweighted by length, fused, boosted and collapsed; ``whole`` ranks all rows, without a pool.
 
     Channel rows need path, ordinal, heading, folder, chunk_count and score.
     """
-    pool = pool or candidate_pool(limit, per_note, semantic=True)
-    info = keyword.select("path", "folder").unionByName(semantic.select("path", "folder")).distinct()
-    fused = rrf([ranked(length_downweight(c, alpha), name, pool) for name, c in (("keyword", keyword), ("semantic", semantic))])
+    pool = None if whole else pool or candidate_pool(limit, per_note, semantic=True)
+    channels = [ranked(length_downweight(c, alpha), name, pool) for name, c in (("keyword", keyword), ("semantic", semantic))]
+    info = reduce(DataFrame.unionByName, (c.select("path", "folder") for c in channels)).distinct()
+    fused = rrf(channels)
     fused = fused.join(info, "path")
     return collapse(folder_boost(fused, boosts) if boosts else fused, limit, per_note)
 

@@ -397,17 +397,32 @@ def vector_batch_all(spark: SparkSession, sf: str) -> DataFrame:
     return vector.batch_semantic(own, asked, 10).select("query_id", "rank", "path", "ordinal", _r("score"))
 
 
-@query(_HITS + """kr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score / (1 + 0.25 * ln(chunk_count)) DESC, path, ordinal) AS rank, folder FROM k QUALIFY rank <= 200),
+_RRF = _HITS + """kr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score / (1 + 0.25 * ln(chunk_count)) DESC, path, ordinal) AS rank, folder FROM k QUALIFY rank <= 200),
 vs AS (SELECT n.path, 0 AS ordinal, list_dot_product(v.v, q.v) AS score, n.folder FROM vectors v, (SELECT v FROM vectors WHERE path = '1' AND ordinal = 2) q, notes n WHERE n.doc_id = (v.path::INT * 5 + v.ordinal)),
 vr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score DESC, path, ordinal) AS rank, folder FROM vs QUALIFY rank <= 200),
 u AS (SELECT path, rank, 'keyword' AS channel FROM kr UNION ALL SELECT path, rank, 'semantic' FROM vr),
 f AS (SELECT path, sum(1.0 / (60 + rank)) AS score, string_agg(DISTINCT channel, '+' ORDER BY channel) AS search_type FROM u GROUP BY path)
-SELECT path, round(score, 6) AS score, search_type FROM f ORDER BY f.score DESC, path LIMIT 25""")
+SELECT path, round(score, 6) AS score, search_type FROM f ORDER BY f.score DESC, path LIMIT 25"""
+
+
+def _channels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Keyword hits, and all vectors that have a note with their scores."""
+    own = notes(spark, sf).select(F.col("path").alias("note"), F.col("folder").alias("own"), "doc_id")
+    backed = vectors(spark, sf).withColumn("doc_id", F.col("path").cast("long") * 5 + F.col("ordinal")).join(own, "doc_id")
+    q = F.lit(vector.unit_query(_query_vector(spark, sf))).cast("array<double>")
+    semantic = backed.select(F.col("note").alias("path"), F.lit(0).alias("ordinal"), vector.dot(F.col("embedding"), q).alias("score"), F.col("own").alias("folder"), F.lit(1).alias("chunk_count"), F.lit(None).cast("string").alias("heading"))
+    return _hits(spark, sf), semantic
+
+
+@query(_RRF)
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    own = notes(spark, sf).select("path", "folder", "doc_id")
-    scored = vector.semantic(vectors(spark, sf), _query_vector(spark, sf), 100000).withColumn("doc_id", F.col("path").cast("long") * 5 + F.col("ordinal")).select("doc_id", "score")
-    semantic = scored.join(own, "doc_id").select("path", F.lit(0).alias("ordinal"), "score", "folder", F.lit(1).alias("chunk_count"), F.lit(None).cast("string").alias("heading"))
-    return ranking.hybrid(_hits(spark, sf), semantic, 25, 1, pool=200).select("path", _r("score"), "search_type")
+    return ranking.hybrid(*_channels(spark, sf), 25, 1, pool=200).select("path", _r("score"), "search_type")
+
+
+@query(_RRF.replace(" QUALIFY rank <= 200", ""))
+def hybrid_rrf_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Both channels ranked in full before they are fused."""
+    return ranking.hybrid(*_channels(spark, sf), 25, 1, whole=True).select("path", _r("score"), "search_type")
 
 
 # --- graph ----------------------------------------------------------------------------------

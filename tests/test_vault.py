@@ -249,6 +249,21 @@ def test_batch_search_takes_every_query(spark, monkeypatch):
     assert by_blocks.sort_values(order).values.tolist() == sent.sort_values(order).values.tolist()
 
 
+def test_fusion_ranks_whole_channels(spark):
+    from notelake.operators import ranking
+
+    def channel(scores):
+        rows = [(f"n{k:03}", 0, None, "f", 1, float(s)) for k, s in scores]
+        return spark.createDataFrame(rows, "path string, ordinal int, heading string, folder string, chunk_count int, score double").repartition(7)
+
+    keyword, semantic = channel((k, -(k // 2)) for k in range(500)), channel((k, k) for k in range(500))
+    found = {r.path: (r.rank, r.channel) for r in ranking.ranked(keyword, "keyword", None).collect()}
+    assert found == {f"n{k:03}": (k + 1, "keyword") for k in range(500)}
+    fused = {r.path: r.score for r in ranking.hybrid(keyword, semantic, 500, 1, whole=True).collect()}
+    assert len(fused) == 500 and all(abs(fused[f"n{k:03}"] - 1 / (61 + k) - 1 / (560 - k)) < 1e-12 for k in range(500))
+    assert ranking.ranked(keyword.limit(0), "keyword", None).count() == 0
+
+
 def test_fuzzy_paths_and_limits(spark):
     docs = spark.createDataFrame([("notes/meeting.md",), ("notes/meting-2.md",), ("other.md",)], "path string").withColumn("path_folded", F.lower("path"))
     assert [(r.path, r.tier) for r in population.path_search(docs, "Meeting").collect()] == [("notes/meeting.md", 2), ("notes/meting-2.md", 3)]
