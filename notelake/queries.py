@@ -557,6 +557,24 @@ def chunk_budget(spark: SparkSession, sf: str) -> DataFrame:
     return cut.agg(F.sum(F.size(F.split(F.trim(F.regexp_replace("content", "\\s+", " ")), " "))).alias("words"))
 
 
+# white space as str.split and the chunker have it
+_SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+@query(f"x AS (SELECT 1) SELECT path, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda w: w <> ''))::BIGINT AS words FROM notes")
+def chunk_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every note after cutting under the budget, without overlap: none may be lost.
+
+    Sections keep neither front matter nor heading lines, so an empty block goes first and a # at a line's start is indented.
+    """
+    own = notes(spark, sf)
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "(^|[\n-\r\x1c-\x1e\x85\u2028\u2029])#", "$1 #")
+    files = own.select("path", F.col("modified_at").alias("mtime"), F.concat(F.lit("---\n\n---\n"), body).cast("binary").alias("content"))
+    cut = source.tables(source.parse(files, source.ParseOptions(max_chunk_words=100, overlap_words=0, short_lines=0)))["sections"]
+    found = cut.groupBy("path").agg(F.sum(F.size(F.filter(F.split("content", _SPACE), lambda w: w != ""))).alias("words"))
+    return own.select("path").join(found, "path", "left").select("path", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
+
+
 @query("x AS (SELECT 1) SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     from .streaming.refresh import event_windows as windows

@@ -264,6 +264,23 @@ def test_fusion_ranks_whole_channels(spark):
     assert ranking.ranked(keyword.limit(0), "keyword", None).count() == 0
 
 
+def test_cutting_loses_no_word_of_any_note(spark, tmp_path):
+    import duckdb
+
+    from notelake import queries
+
+    line = "tab\tcr\rnbsp\xa0“quoted” – dash 🙂 Ελληνικά кириллица 漢字\u3000かな\x1cfs\x85nel\u2028ls\x0bvt\n"
+    texts = [line * 60, "# A b\nwords\n## C\n" + line * 40, "---\nx: 1\n---\nbody text\n", '{"a": 1}\n\nrest', "+++\nx\n+++\n", "\ufeffmark", "", " \n", "plain words", None]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = {f"en/s/{k}.md": len((t or "").split()) for k, t in enumerate(texts)}
+    assert {r.path: r.words for r in queries.chunk_words(spark, str(tmp_path)).collect()} == wanted
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    own = queries.ORACLE["chunk_words"].split(",\ntags AS")[0] + " SELECT" + queries.ORACLE["chunk_words"].rpartition(" SELECT")[2]
+    assert dict(db.execute(own).fetchall()) == wanted
+
+
 def test_fuzzy_paths_and_limits(spark):
     docs = spark.createDataFrame([("notes/meeting.md",), ("notes/meting-2.md",), ("other.md",)], "path string").withColumn("path_folded", F.lower("path"))
     assert [(r.path, r.tier) for r in population.path_search(docs, "Meeting").collect()] == [("notes/meeting.md", 2), ("notes/meting-2.md", 3)]
