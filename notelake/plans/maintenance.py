@@ -26,14 +26,14 @@ def detect(vault: Vault, mode: str = "auto") -> bool:
     """Whether maintained metadata is in force: on, off, or as the root index declares an okf_version."""
     if mode in ("on", "off"):
         return mode == "on"
-    note = vault.read("index.md")
+    note = vault.load("index.md")
     return bool(note and str(note["frontmatter"].get("okf_version", "")).strip())
 
 
 def _with_metadata(vault: Vault, path: str, change: Callable[[dict], dict]) -> str:
     import yaml
 
-    note = vault.read(path)
+    note = vault.load(path)
     if note is None:
         raise FileNotFoundError(path)
     meta, body = M.split_front_matter(note["text"])
@@ -61,7 +61,7 @@ def convert_links(vault: Vault, folder: str | None = None, apply: bool = True) -
     per_note = rows.groupBy("source_path").agg(F.collect_list(F.struct("name", "target_path")).alias("links"))
     done = left = 0
     for row in per_note.toLocalIterator():
-        note = vault.read(row.source_path)
+        note = vault.load(row.source_path)
         text, n, rest = M.wikilinks_to_markdown(note["text"], row.source_path, {x.name: x.target_path for x in row.links if x.target_path})
         done, left = done + n, left + rest
         if apply and n:
@@ -81,7 +81,7 @@ def build_indexes(vault: Vault, folder: str = "", only_missing: bool = True) ->
     written = []
     for at, notes in sorted(found.items()):
         path = f"{at}/index.md" if at else "index.md"
-        if (folder and at != folder and not at.startswith(folder + "/")) or (only_missing and vault.read(path)):
+        if (folder and at != folder and not at.startswith(folder + "/")) or (only_missing and vault.load(path)):
             continue
         below = sorted(f.rpartition("/")[2] for f in found if f and f.rpartition("/")[0] == at)
         vault.write(path, O.index_markdown(at.rpartition("/")[2] or "Index", notes, below))
@@ -91,7 +91,7 @@ def build_indexes(vault: Vault, folder: str = "", only_missing: bool = True) ->
 
 def seed_log(vault: Vault, path: str = "log.md", limit: int = 1000) -> str:
     """Write a log from the repository's commits by day; an existing log is never overwritten."""
-    if vault.read(path):
+    if vault.load(path):
         raise FileExistsError(path)
     days = history.by_day(git_log(vault.spark, vault.root, limit)).collect()
     return vault.write(path, O.log_markdown([(d.day, [c.subject for c in d.commits]) for d in days]))
@@ -100,7 +100,7 @@ def seed_log(vault: Vault, path: str = "log.md", limit: int = 1000) -> str:
 def append_log(vault: Vault, summary: str, path: str = "log.md", day: str | None = None) -> str:
     """Add an entry under today's heading, which is put first if it is new."""
     day = day or datetime.now(timezone.utc).strftime("%Y-%m-%d")
-    note = vault.read(path)
+    note = vault.load(path)
     text = note["text"] if note else "# Log\n"
     at = re.search(rf"^## {day}[ \t]*$", text, re.M)
     if at:
@@ -114,7 +114,7 @@ def append_log(vault: Vault, summary: str, path: str = "log.md", day: str | None
 
 def repair_log(vault: Vault, path: str = "log.md", apply: bool = False) -> str:
     """The log with equal days merged, newest first; ``apply`` writes it and keeps the original beside it."""
-    note = vault.read(path)
+    note = vault.load(path)
     if note is None:
         raise FileNotFoundError(path)
     parts = _DAY.split(note["text"])

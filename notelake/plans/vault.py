@@ -201,20 +201,28 @@ class Vault:
 
     # --- reading ----------------------------------------------------------------------------
 
-    def read(self, path: str) -> dict | None:
-        """Text, metadata and etag; None if the note is gone; over the byte cap is an error."""
+    def load(self, path: str) -> dict | None:
+        """Text, metadata and etag at any size; None if the note is gone."""
         try:
             data = Path(self.root, path).read_bytes()
         except FileNotFoundError:
             return None
-        if len(data) > READ_CAP:
-            raise ValueError(f"{path} has {len(data)} bytes; read a section")
         text = data.decode("utf-8-sig")
         meta, body = M.split_front_matter(text)
         return {"path": path, "text": text, "frontmatter": M.plain(meta), "body": body, "etag": hashlib.sha256(data).hexdigest()}
 
+    def read(self, path: str) -> dict | None:
+        """As ``load``, but over the byte cap is an error; sections and edits have no cap."""
+        try:
+            size = os.stat(Path(self.root, path)).st_size
+        except FileNotFoundError:
+            return None
+        if size > READ_CAP:
+            raise ValueError(f"{path} has {size} bytes; read a section")
+        return self.load(path)
+
     def read_section(self, path: str, heading: str) -> str:
-        note = self.read(path)
+        note = self.load(path)
         found = M.section(note["body"], heading) if note else None
         if found is None:
             known = list(dict.fromkeys(h for _, h, _ in M.headings(note["body"])))[:10] if note else []
@@ -267,7 +275,7 @@ class Vault:
         return full
 
     def _check(self, path: str, etag: str | None) -> str:
-        note = self.read(path)
+        note = self.load(path)
         if note is None:
             raise FileNotFoundError(path)
         if etag is not None and etag != note["etag"]:

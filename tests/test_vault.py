@@ -126,6 +126,23 @@ def test_write_edit_move(vault, tmp_path):
     assert vault.export(str(tmp_path / "out.zip")) == 6
 
 
+def test_notes_over_the_read_cap(vault, tmp_path):
+    from notelake.plans import maintenance
+
+    text = "# Long\n[[two]]\n" + "word " * 60_000 + "\n# Last\nthe end\n"
+    vault.write("long.md", text)
+    vault.flush()
+    with pytest.raises(ValueError, match="read a section"):
+        vault.read("long.md")
+    assert vault.read_section("long.md", "Last").endswith("the end\n")
+    etag = vault.append("long.md", "more\n", vault.edit("long.md", "the end", "an end"))
+    assert maintenance.convert_links(vault)[0] >= 1 and "[two](notes/two.md)" in (tmp_path / "vault/long.md").read_text()
+    with pytest.raises(RuntimeError):
+        vault.delete("long.md", etag)
+    vault.delete("long.md")
+    assert not (tmp_path / "vault/long.md").exists()
+
+
 def test_okf_and_citations(vault):
     rules = {r.rule: r.n for r in vault.okf_audit().collect()}
     assert rules["unparseable_frontmatter"] == 1 and rules["wikilink_files"] == 1 and rules["missing_type"] == 5
