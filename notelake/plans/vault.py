@@ -77,11 +77,10 @@ class Vault:
                 before = before.filter(F.col("path").isin(paths))
             changes = history.change_set(before, state).persist()
             counts = {"added": 0, "modified": 0, "deleted": 0, "unchanged": 0} | {r.change: r.n for r in history.change_counts(changes).collect()}
-            gone = [r.path for r in changes.filter("change = 'deleted'").limit(100_000).collect()]
-            kept = [p for p in gone if source.probe(self.root, p)[0] != "absent"]
-            if gone and not os.listdir(self.root):
+            if counts["deleted"] and not os.listdir(self.root):
                 raise RuntimeError("the folder is empty; the index stays")
-            touched = changes.filter((F.col("change") != "unchanged") & ~F.col("path").isin(kept))
+            kept = source.not_absent(changes.filter("change = 'deleted'").select("path"), self.root).persist()
+            touched = changes.filter("change <> 'unchanged'").join(kept, "path", "left_anti")
             if not touched.isEmpty():
                 files = scanned.join(touched.filter("change <> 'deleted'").select("path"), "path", "left_semi")
                 self.store.upsert(self._derive(files), touched.select("path"), self.fingerprint, base, found["markers"])

@@ -110,6 +110,16 @@ def probe(root: str, path: str) -> tuple[str, str | None]:
         return "unavailable", None
 
 
+def not_absent(paths: DataFrame, root: str) -> DataFrame:
+    """Those of the rows (path) whose probe says anything but absent; executors probe."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[probe(root, p)[0] != "absent" for p in batch["path"]]]
+
+    return paths.mapInPandas(run, "path string")
+
+
 def attachments(spark: SparkSession, root: str, options: ParseOptions = ParseOptions(), pattern: str | None = None, folder: str | None = None) -> DataFrame:
     """Rows (path, folder, size, mtime, mime) of files with an allowed suffix and no hidden component."""
     rows = []

@@ -96,6 +96,22 @@ def test_incremental_refresh(vault, tmp_path):
     assert vault.table("sections").filter("path = 'straße.md'").isEmpty()
 
 
+def test_unavailable_notes_keep_their_rows_at_any_number(vault, spark, tmp_path):
+    import shutil
+
+    n = 100_200
+    one = vault.documents.filter("path = 'notes/one.md'").drop("path")
+    many = spark.range(n).select(F.concat(F.lit("notes/x"), "id", F.lit(".md")).alias("path")).crossJoin(one).select(*vault.documents.columns)
+    found = vault.store.manifest()
+    vault.store.publish(vault.store.tables() | {"documents": vault.documents.unionByName(many)}, found["fingerprint"], found["generation"], found["markers"])
+    shutil.rmtree(tmp_path / "vault/notes")
+    (tmp_path / "vault/notes").write_text("no folder any more, so that what was below can't be asked for")
+    (tmp_path / "vault/straße.md").unlink()
+    assert vault.reindex()["deleted"] == n + 3
+    assert vault.documents.filter("path like 'notes/%'").count() == n + 2
+    assert vault.documents.filter("path = 'straße.md'").isEmpty()
+
+
 def test_empty_folder_keeps_the_index(vault, tmp_path):
     import shutil
 
