@@ -89,7 +89,7 @@ def build_indexes(vault: Vault, folder: str = "", only_missing: bool = True) ->
     return written
 
 
-def seed_log(vault: Vault, path: str = "log.md", limit: int = 1000) -> str:
+def seed_log(vault: Vault, path: str = "log.md", limit: int | None = None) -> str:
     """Write a log from the repository's commits by day; an existing log is never overwritten."""
     if vault.load(path):
         raise FileExistsError(path)

@@ -265,6 +265,10 @@ class Vault:
         wanted = ["/".join([*parts[:k], name]) for k in range(len(parts) + 1)]
         return [w for w in wanted if Path(self.root, w).is_file()]
 
+    def history(self, path: str | None = None, folder: str | None = None, since: float | None = None, until: float | None = None, limit: int = 20) -> DataFrame:
+        """Commits of a note under all its names, of a folder, or of the vault, newest first."""
+        return history.history(source.git_log(self.spark, self.root, path=path), None, folder, since, until, limit)
+
     # --- writing ----------------------------------------------------------------------------
 
     def _file(self, path: str) -> Path:
@@ -347,17 +351,27 @@ class Vault:
         return self.reindex(sorted(self.dirty)) if self.dirty else {}
 
     def export(self, target: str) -> int:
-        """A ZIP of all notes, wikilinks as Markdown links, with fixed times; how many notes it holds."""
+        """A ZIP of all notes, wikilinks as Markdown links, and all attachments, with fixed times; how many notes it holds."""
+        import heapq
+        import shutil
         import zipfile
 
         resolved: dict[str, dict[str, str]] = {}
         raw = self.table("links").filter("link_type = 'wikilink'").select("source_path", "link_ordinal", F.col("target_path").alias("name"))
         for r in raw.join(self.links.select("source_path", "link_ordinal", "target_path"), ["source_path", "link_ordinal"]).toLocalIterator():
             resolved.setdefault(r.source_path, {})[r.name] = r.target_path
+        notes = ((row.path, True) for row in population.live(self.documents).select("path").orderBy("path").toLocalIterator())
+        files = ((row.path, False) for row in source.attachments(self.spark, self.root, self.options).select("path").toLocalIterator() if not row.path.endswith(".md"))
         n = 0
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for row in population.live(self.documents).select("path").orderBy("path").toLocalIterator():
-                text = self._file(row.path).read_text(encoding="utf-8")
-                z.writestr(zipfile.ZipInfo(row.path), M.wikilinks_to_markdown(text, row.path, resolved.get(row.path, {}))[0])
-                n += 1
+            for path, is_note in heapq.merge(notes, files):
+                info = zipfile.ZipInfo(path)
+                if is_note:
+                    text = self._file(path).read_text(encoding="utf-8")
+                    z.writestr(info, M.wikilinks_to_markdown(text, path, resolved.get(path, {}))[0])
+                    n += 1
+                elif (own := Path(self.root, path)).resolve() != Path(target).resolve():
+                    info.file_size = own.stat().st_size
+                    with own.open("rb") as data, z.open(info, "w") as out:
+                        shutil.copyfileobj(data, out)
         return n

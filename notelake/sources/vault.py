@@ -244,9 +244,14 @@ def register_functions(spark: SparkSession) -> None:
 # --- git ------------------------------------------------------------------------------------
 
 
-def git_log(spark: SparkSession, root: str, limit: int = 1000) -> DataFrame:
-    """Commits of the repository at ``root``, newest first, with the paths each touched."""
-    out = subprocess.run(["git", "-C", root, "log", f"-{limit}", "-z", "--name-only", "--format=%x01%H%x02%an%x02%ct%x02%s"], capture_output=True, text=True, check=True).stdout
+def git_log(spark: SparkSession, root: str, limit: int | None = None, path: str | None = None) -> DataFrame:
+    """Commits of the repository at ``root``, newest first, with the paths each touched; all, or the newest ``limit``.
+
+    With ``path`` the commits of that note, followed through renames, under the name it had then.
+    """
+    most = [] if limit is None else [f"-{limit}"]
+    only = [] if path is None else ["--follow", "--", path]
+    out = subprocess.run(["git", "-C", root, "log", *most, "-z", "--name-only", "--format=%x01%H%x02%an%x02%ct%x02%s", *only], capture_output=True, text=True, check=True).stdout
     rows = []
     for entry in out.split("\x01")[1:]:
         head, *names = entry.replace("\0\n", "\0").split("\0")

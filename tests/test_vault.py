@@ -237,6 +237,33 @@ def test_git_history(spark, tmp_path):
     assert "rename" in source.git_diff(str(tmp_path), ".", "HEAD~1")
 
 
+def test_history_is_whole_and_follows_renames(spark, tmp_path):
+    def git(*args, **kw):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *args], check=True, capture_output=True, **kw)
+
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a.md").write_text("one\ntext that is long enough to follow\n")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    git("mv", "a.md", "b.md")
+    git("commit", "-qm", "second")
+    stream = "".join(f"commit refs/heads/main\ncommitter n <e@x> {2_000_000_000 + k} +0000\ndata 1\nx\n" + ("from refs/heads/main^0\n" if not k else "") + f"M 644 inline c.md\ndata {len(str(k))}\n{k}\n" for k in range(1100))
+    git("fast-import", "--quiet", input=stream.encode())
+    assert source.git_log(spark, str(tmp_path)).count() == 1102 and source.git_log(spark, str(tmp_path), 5).count() == 5
+    own = Vault(spark, str(tmp_path), str(tmp_path / "store"))
+    assert sorted(r.subject for r in own.history("b.md").collect()) == ["first", "second"]
+    assert own.history("b.md", since=2_000_000_000.0).isEmpty() and own.history(limit=100).count() == 100
+
+
+def test_export_holds_attachments(vault, tmp_path):
+    import zipfile
+
+    (tmp_path / "vault/notes/p.png").write_bytes(b"\x89PNG")
+    assert vault.export(str(tmp_path / "out.zip")) == 6
+    with zipfile.ZipFile(tmp_path / "out.zip") as z:
+        assert z.read("notes/p.png") == b"\x89PNG" and len(z.namelist()) == 7 and z.namelist() == sorted(z.namelist())
+
+
 def test_keyword_scores_match_sqlite(spark):
     import sqlite3
 
