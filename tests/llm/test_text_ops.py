@@ -179,12 +179,38 @@ def test_fullest_is_the_best_sum(counts, room):
     assert sum(n * c for n, c in own.items()) == max(sums) and all(c <= counts[n] for n, c in own.items())
 
 
-def test_words_encode_as_whole_texts():
-    encoder = packing.WordEncoder(WORD_BPE)
+@pytest.fixture(scope="module")
+def word_encoder():
+    return packing.WordEncoder(WORD_BPE)
+
+
+def test_words_encode_as_whole_texts(word_encoder):
+    encoder = word_encoder
     texts = ["It's a TEST... don't!! 3½ x²", "naïve ÀÉ ß’ œuvre 中文", "a\x85b\x1cc\xa0d", "<|endoftext|> z", "", "''s 'll'd", "ÀÉÎ ÿ­¡", LONG[:500]]
     assert encoder.encode(texts) == encoder.whole(texts)
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.text(st.sampled_from("'strevlldmaé½7 \n.,-àß\xa0ÿIX"), max_size=30), max_size=6))
+def test_plain_texts_encode_as_whole_ones(word_encoder, texts):
+    assert word_encoder.encode(texts) == word_encoder.whole(texts)
+
+
+def test_long_words_and_full_cache_encode_alike(word_encoder, monkeypatch):
+    texts = ["short " + "long" * 20 + " end", "x" * 200_000, LONG[:3000], "é" * 40]
+    wanted = word_encoder.whole(texts)
+    assert word_encoder.encode(texts) == wanted
+    monkeypatch.setattr(packing.WordEncoder, "KEEP", 1)
+    assert [word_encoder.encode([t])[0] for t in texts] == wanted
+
+
+def test_packing_of_clashing_columns_and_null_ids(spark, odd):
+    clash = odd.withColumns({c: F.lit("x") for c in ("length", "__nl_bucket", "n", "rank", "sequence_id", "offset", "start", "ids_crc32")})
+    rows = packing.pack_documents(clash, WORD_BPE).collect()
+    assert sum(r.doc_id is None for r in rows) == 1 and {r.doc_id for r in rows} == {r[0] for r in ODD}
+    assert sum(r.length == 1 for r in rows) == 2
+
+
 def test_packing_places_every_token(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.filter("doc_id < 3 or doc_id = 6").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     texts = {r.doc_id: r.text for r in docs.collect()}
