@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes in both directions and labels every position; a document's
-probabilities are its positions' pooled. State starts anew at white space, so a word's labels don't
-depend on its neighbours: each distinct word is read once per task, and every byte of every text
-counts. Training is backpropagation through time in numpy, on a bounded sample.
+The network reads a text's bytes in both directions and labels every position; a document's
+probabilities are the mean of its positions'. The state runs through the text; a long text is read
+in windows that start ``CONTEXT`` bytes before and end as many after the bytes they label, so every
+byte is labelled in its context, whatever stands there. Training is backpropagation through time in
+numpy, on a sample bounded by a number of rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .arrow_map import map_rows
 from .store import hash_sample
 
 UNDETERMINED = "und"
-#: Longer words are read in parts of so many bytes.
-WORD_BYTES = 32
+#: Bytes that a window labels, and bytes read before and after them to set the state.
+WINDOW, CONTEXT = 1024, 48
+#: Positions whose labels are held at a time.
+POSITIONS = 2_000_000
 has_letter = re.compile(r"[^\W\d_]").search
 
 
@@ -30,10 +33,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
 
 
-def parts(word: bytes) -> list[bytes]:
-    return [word[k : k + WORD_BYTES] for k in range(0, len(word), WORD_BYTES)]
-
-
 @dataclass
 class BiGRU:
     """Weights of both directions: input rows per byte, recurrent matrices, biases; and the output layer."""
@@ -53,107 +52,150 @@ class BiGRU:
         w["q"] = np.zeros(len(languages))
         return cls(languages, {k: v.astype(np.float32) for k, v in w.items()})
 
-    def _direction(self, d: str, codes: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (time, word, hidden) of one direction; ``codes`` is (time, word) in its order."""
+    def _direction(self, d: str, codes: np.ndarray, keep: list) -> np.ndarray:
+        """Hidden states (time, row, hidden) of one direction; ``codes`` is (time, row) in its order."""
         wx, wh, c = (self.weights[k + d] for k in "xhc")
         n = wh.shape[0]
-        h = np.zeros((codes.shape[1], n), dtype=np.float32)
-        out = np.empty((*codes.shape, n), dtype=np.float32)
+        h = np.zeros((codes.shape[1], n), dtype=wh.dtype)
+        out = np.empty((*codes.shape, n), dtype=wh.dtype)
         for t, row in enumerate(codes):
             a = wx[row] + c
             b = h @ wh
             zr = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
             z, r = zr[:, :n], zr[:, n:]
             g = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
-            if keep is not None:
-                keep.append((h, z, r, g, b[:, 2 * n :]))
+            keep.append((h, z, r, g, b[:, 2 * n :]))
             h = z * h + (1 - z) * g
             out[t] = h
         return out
 
-    def positions(self, codes: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities (time, word, language) of words of one length, and the states under them."""
-        forward = self._direction("f", codes, keep and keep[0])
-        backward = self._direction("b", codes[::-1], keep and keep[1])[::-1]
-        states = np.concatenate([forward, backward], axis=2)
+    def gradients(self, codes: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over all positions of (time, row) bytes, and its gradients by backpropagation through time."""
+        keep: tuple[list, list] = ([], [])
+        states = np.concatenate([self._direction("f", codes, keep[0]), self._direction("b", codes[::-1], keep[1])[::-1]], axis=2)
         y = states @ self.weights["o"] + self.weights["q"]
         y -= y.max(axis=2, keepdims=True)
         y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
-        return y, states
-
-    def gradients(self, codes: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all positions, and its gradients by backpropagation through time."""
-        keep: tuple[list, list] = ([], [])
-        y, states = self.positions(codes, keep)
-        steps, words = codes.shape
+        steps, rows = codes.shape
         n = states.shape[2] // 2
         dy = np.exp(y)
-        dy[:, np.arange(words), target] -= 1
-        dy /= steps * words
-        loss = -float(y[:, np.arange(words), target].mean())
+        dy[:, np.arange(rows), target] -= 1
+        dy /= steps * rows
+        loss = -float(y[:, np.arange(rows), target].mean())
         grad = {"o": np.tensordot(states, dy, ([0, 1], [0, 1])), "q": dy.sum(axis=(0, 1))}
         ds = dy @ self.weights["o"].T
         for d, own, kept, order in (("f", ds[:, :, :n], keep[0], codes), ("b", ds[::-1, :, n:], keep[1], codes[::-1])):
             wh = self.weights[f"h{d}"]
-            gx, gh, gc = np.zeros_like(self.weights[f"x{d}"]), np.zeros_like(wh), np.zeros(3 * n, dtype=np.float32)
-            dh = np.zeros((words, n), dtype=np.float32)
+            gh = np.zeros_like(wh)
+            inputs = np.empty((steps, rows, 3 * n), dtype=wh.dtype)
+            dh = np.zeros((rows, n), dtype=wh.dtype)
             for t in range(steps - 1, -1, -1):
                 before, z, r, g, u = kept[t]
                 dh = dh + own[t]
                 dg = dh * (1 - z) * (1 - g * g)
                 dz = dh * (before - g) * z * (1 - z)
                 dr = dg * u * r * (1 - r)
-                da = np.concatenate([dz, dr, dg], axis=1)
+                np.concatenate([dz, dr, dg], axis=1, out=inputs[t])
                 db = np.concatenate([dz, dr, dg * r], axis=1)
-                np.add.at(gx, order[t], da)
                 gh += before.T @ db
-                gc += da.sum(axis=0)
                 dh = dh * z + db @ wh.T
-            grad |= {f"x{d}": gx, f"h{d}": gh, f"c{d}": gc}
+            flat, read = inputs.reshape(-1, 3 * n), order.ravel()
+            line = np.argsort(read, kind="stable")
+            codes_seen, at = np.unique(read[line], return_index=True)
+            gx = np.zeros_like(self.weights[f"x{d}"])
+            gx[codes_seen] = np.add.reduceat(flat[line], at, axis=0)
+            grad |= {f"x{d}": gx, f"h{d}": gh, f"c{d}": flat.sum(axis=0)}
         return loss, grad
 
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """Per word, the sums over its positions of log-probabilities, then the number of positions."""
-        out = np.zeros((len(words), len(self.languages) + 1), dtype=np.float32)
-        by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for k, word in enumerate(words):
-            out[k, -1] = len(word)
-            for part in parts(word):
-                by_length.setdefault(len(part), []).append((k, part))
-        for n, own in by_length.items():
-            for at in range(0, len(own), 4096):
-                some = own[at : at + 4096]
-                codes = np.frombuffer(b"".join(p for _, p in some), dtype=np.uint8).reshape(len(some), n).T
-                np.add.at(out[:, :-1], [k for k, _ in some], self.positions(codes)[0].sum(axis=0))
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """Per text, the sum of all its positions' probabilities; a row of zeros for an empty text."""
+        out = np.zeros((len(texts), len(self.languages)))
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        begin = np.cumsum(sizes) - sizes
+        windows = -(-sizes // WINDOW)
+        owner = np.repeat(np.arange(len(texts)), windows)
+        core = (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
+        first = np.maximum(core - CONTEXT, 0)
+        last = np.minimum(core + WINDOW + CONTEXT, sizes[owner])
+        order = np.argsort(first - last, kind="stable")  # longest first
+        step = max(1, POSITIONS // (WINDOW + 2 * CONTEXT))
+        for at in range(0, len(order), step):
+            own = order[at : at + step]
+            label_from, label_to = (core - first)[own], np.minimum(core + WINDOW, sizes[owner])[own] - first[own]
+            sums = self._read(data, (begin[owner] + first)[own], (last - first)[own], label_from, label_to)
+            np.add.at(out, owner[own], sums)
         return out
 
-
-def train(samples: list[tuple[str, str]], hidden: int = 12, steps: int = 700, batch: int = 256, words_each: int = 40, seed: int = 7) -> BiGRU:
-    """Fit on (text, language) pairs: words drawn from each text, Adam, a batch of words of one length a step."""
+    def _read(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, label_from: np.ndarray, label_to: np.ndarray) -> np.ndarray:
+        """Summed probabilities over the labelled positions of windows, longest first; units are rows here."""
+        n, steps, width, many = self.weights["hf"].shape[0], int(sizes[0]), len(sizes), len(self.languages)
+        active = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()  # windows that go on at each step
+        out = np.zeros((many, width), dtype=np.float32)
+        forward = np.empty((many, steps * width), dtype=np.float32)
+        lanes, bias = np.arange(width), self.weights["q"][:, None]
+        for d in "fb":
+            wx, wh = (self.weights[f"x{d}"] + self.weights[f"c{d}"]).T.copy(), self.weights[f"h{d}"].T.copy()
+            wx[: 2 * n] *= 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+            wh[: 2 * n] *= 0.5
+            wo = (self.weights["o"][:n] if d == "f" else self.weights["o"][n:]).T.copy()
+            h = np.zeros((n, width), dtype=np.float32)
+            for t in range(steps):
+                if (m := active[t]) < h.shape[1]:
+                    h = np.ascontiguousarray(h[:, :m])
+                place = t if d == "f" else sizes[:m] - 1 - t
+                a, b = wx.take(data[starts[:m] + place], axis=1), wh @ h
+                zr, g = a[: 2 * n], b[2 * n :]
+                zr += b[: 2 * n]
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                g *= zr[n:]
+                g += a[2 * n :]
+                np.tanh(g, out=g)
+                h -= g
+                h *= zr[:n]
+                h += g
+                if d == "f":
+                    forward[:, t * width : t * width + m] = wo @ h
+                    continue
+                y = forward.take(place * width + lanes[:m], axis=1)
+                y += wo @ h
+                y += bias
+                y -= y.max(axis=0)
+                np.exp(y, out=y)
+                y *= ((place >= label_from[:m]) & (place < label_to[:m])) / y.sum(axis=0)
+                out[:, :m] += y
+        return out.T
+
+    def label(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        """Language and probability of non-empty texts: the mean of the positions' probabilities."""
+        pooled = self.pooled(texts)
+        pooled /= np.maximum(pooled.sum(axis=1, keepdims=True), 1e-30)
+        best = pooled.argmax(axis=1)
+        return [(self.languages[k], min(1.0, float(p[k]))) for k, p in zip(best.tolist(), pooled, strict=True)]
+
+
+def train(samples: list[tuple[str, str]], hidden: int = 8, steps: int = 400, batch: int = 96, length: int = 40, seed: int = 7) -> BiGRU:
+    """Fit on (text, language) pairs with Adam: each step reads ``length`` bytes from random places of random texts.
+
+    Any place of any text can be drawn; texts are drawn evenly, whatever their length. Shorter texts
+    are read over and over from their start. With no usable text the weights stay as they began.
+    """
     languages = sorted({lang for _, lang in samples})
     model = BiGRU.initial(languages, hidden, seed)
     rng = np.random.default_rng(seed)
-    by_length: dict[int, tuple[list[bytes], list[int]]] = {}
-    for text, lang in samples:
-        words = text.encode().split()
-        for k in rng.permutation(len(words))[:words_each]:
-            for part in parts(words[k]):
-                own = by_length.setdefault(len(part), ([], []))
-                own[0].append(part)
-                own[1].append(languages.index(lang))
-    if not by_length:
+    known = [(np.frombuffer(data, dtype=np.uint8), languages.index(lang)) for text, lang in samples if (data := text.encode("utf-8", "surrogatepass"))]
+    if not known:
         return model
-    lengths = list(by_length)
-    data = {n: (np.frombuffer(b"".join(w), dtype=np.uint8).reshape(len(w), n), np.array(y)) for n, (w, y) in by_length.items()}
-    share = np.array([n * len(by_length[n][1]) for n in lengths], dtype=float)
-    share /= share.sum()
     m = {k: np.zeros_like(v) for k, v in model.weights.items()}
     v = {k: np.zeros_like(x) for k, x in model.weights.items()}
     for step in range(1, steps + 1):
-        codes, y = data[lengths[rng.choice(len(lengths), p=share)]]
-        pick = rng.integers(0, len(y), batch)
-        _, grad = model.gradients(codes[pick].T, y[pick])
-        rate = 0.02 * min(1.0, 1.5 * (1 - step / (steps + 1)) + 0.02)
+        pick = [known[k] for k in rng.integers(0, len(known), batch)]
+        starts = (rng.random(batch) * [max(1, len(d) - length + 1) for d, _ in pick]).astype(int)
+        codes = np.stack([np.resize(d[s : s + length], length) for (d, _), s in zip(pick, starts, strict=True)], axis=1)
+        _, grad = model.gradients(codes, np.array([y for _, y in pick]))
+        rate = 0.03 * min(1.0, 1.5 * (1 - step / (steps + 1)) + 0.02)
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -161,66 +203,35 @@ def train(samples: list[tuple[str, str]], hidden: int = 12, steps: int = 700, ba
     return model
 
 
-def training_sample(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, max_chars: int = 4000) -> list[tuple[str, str]]:
-    """At most ``max_rows`` labelled rows, picked by a hash of the id, with at most ``max_chars`` characters of each.
+def training_sample(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000) -> list[tuple[str, str]]:
+    """At most ``max_rows`` labelled whole texts, picked by a hash of id and length.
 
-    Both bounds hold for the fit only; predictions read whole texts. The cut starts at a place
-    that the same hash picks. The driver holds at most ``max_rows * max_chars`` characters.
+    The bound holds for the fit only, and predictions read every row. The driver holds ``max_rows``
+    texts at most.
     """
-    h = F.xxhash64(F.col(id_col), F.length(text_col))
-    start = F.pmod(h, F.greatest(F.length(text_col) - max_chars, F.lit(0)) + 1).cast("int") + 1
-    rows = df.select(id_col, text_col, lang_col).filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = hash_sample(rows, max_rows, id_col)
-    return sorted((r[0], r[1]) for r in picked.select(F.substr(F.col(text_col), start, F.lit(max_chars)), F.col(lang_col)).collect())
-
-
-class Labeller:
-    """Pools the words' positions of a text, with the words seen before kept."""
-
-    KEEP = 300_000
-
-    def __init__(self, model: BiGRU) -> None:
-        self.model = model
-        self.number: dict[bytes, int] = {}
-        self.sums = np.zeros((0, len(model.languages) + 1), dtype=np.float32)
-
-    def prepare(self, texts: list[list[bytes]]) -> None:
-        missing = {w for words in texts for w in words if w not in self.number}
-        if len(self.number) + len(missing) > self.KEEP:
-            self.number.clear()
-            self.sums = self.sums[:0]
-            missing = {w for words in texts for w in words}
-        if missing:
-            new = list(missing)
-            self.number.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
-            self.sums = np.concatenate([self.sums, self.model.pooled(new)])
-
-    def label(self, words: list[bytes]) -> tuple[str, float]:
-        """Language and probability: softmax of the mean log-probability, over eight positions' worth of evidence."""
-        total = self.sums[list(map(self.number.__getitem__, words))].sum(axis=0, dtype=np.float64)
-        logs = total[:-1] / max(total[-1], 1) * min(total[-1], 8)
-        p = np.exp(logs - logs.max())
-        best = int(p.argmax())
-        return self.model.languages[best], float(p[best] / p.sum())
-
-
-def identify_rows(df: DataFrame, model: BiGRU, text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred and lang_score added (replaced, if there), for every whole text; no shuffle.
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.length(text_col).alias("n"), usable.alias("usable"))
+    picked = hash_sample(rows.filter("usable and lang is not null and text is not null"), max_rows, "id", "n")
+    return sorted((r.text, r.lang) for r in picked.select("text", "lang").collect())
+
+
+def identify_rows(df: DataFrame, model: BiGRU, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
+    """``df`` with the columns ``lang_out`` and ``score_out`` added (replaced, if there), for every whole text; no shuffle.
 
     A null text, or one with no letter, is ``und`` with score 0, as is every text where the model
-    has learned no language. Null ids and repeated rows are labelled like any other row.
+    has learned no language. Very long texts are read whole, window by window. Null ids and repeated
+    rows are labelled like any other row; an empty table gives no rows.
     """
-    given = df.drop("lang_pred", "lang_score")
-    schema = StructType([*given.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    given = df.drop(lang_out, score_out)
+    schema = StructType([*given.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
 
     def start() -> Callable:
-        labeller = Labeller(model)
-
         def step(rows: dict[str, list]):
-            words = [text.encode("utf-8", "surrogatepass").split() if text and model.languages and has_letter(text) else [] for text in rows[text_col]]
-            labeller.prepare(words)
-            found = [labeller.label(w) if w else (UNDETERMINED, 0.0) for w in words]
-            yield rows | {"lang_pred": [f[0] for f in found], "lang_score": [f[1] for f in found]}
+            found = [(UNDETERMINED, 0.0)] * len(rows[text_col])
+            able = [k for k, text in enumerate(rows[text_col]) if text and model.languages and has_letter(text)]
+            texts = [rows[text_col][k].encode("utf-8", "surrogatepass") for k in able]
+            for k, label in zip(able, model.label(texts) if able else [], strict=True):
+                found[k] = label
+            yield rows | {lang_out: [f[0] for f in found], score_out: [f[1] for f in found]}
 
         return step
 
@@ -228,5 +239,5 @@ def identify_rows(df: DataFrame, model: BiGRU, text_col: str = "text") -> DataFr
 
 
 def identify(df: DataFrame, model: BiGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, lang_pred, score), as ``identify_rows`` gives them."""
-    return identify_rows(df.select(id_col, text_col), model, text_col).select(id_col, "lang_pred", F.col("lang_score").alias("score"))
+    """Rows (id, lang_pred, score), as ``identify_rows`` gives them; other columns are never read."""
+    return identify_rows(df.select(id_col, text_col), model, text_col, "lang_pred", "score").select(id_col, "lang_pred", "score")

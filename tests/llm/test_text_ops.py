@@ -252,6 +252,54 @@ def test_language_gradients():
         assert abs((up - value) / 2e-3 - grad[name][at]) < 1e-3, name
 
 
+def slow_probabilities(model, text):
+    """Every position's probabilities by a loop over single bytes, the state running through the whole text."""
+    import numpy as np
+
+    sides = []
+    for d, data in (("f", text), ("b", text[::-1])):
+        wx, wh, c = (model.weights[k + d].astype(float) for k in "xhc")
+        n = wh.shape[0]
+        h, states = np.zeros(n), []
+        for byte in data:
+            a, u = wx[byte] + c, h @ wh
+            z, r = (1 / (1 + np.exp(-(a[k * n : (k + 1) * n] + u[k * n : (k + 1) * n]))) for k in (0, 1))
+            g = np.tanh(a[2 * n :] + r * u[2 * n :])
+            h = z * h + (1 - z) * g
+            states.append(h)
+        sides.append(states if d == "f" else states[::-1])
+    y = np.concatenate(sides, axis=1) @ model.weights["o"] + model.weights["q"]
+    p = np.exp(y)
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_language_labels_match_a_plain_loop(monkeypatch):
+    import numpy as np
+
+    model = language.train([("the and of word was here", "en"), ("der und die wort war größer", "de"), ("le et la mot était", "fr")], steps=150)
+    texts = [b"the", "größer und".encode(), b"a", b"der the la " * 30, bytes(range(256)), b""]
+    wanted = np.array([slow_probabilities(model, t).sum(axis=0) if t else np.zeros(3) for t in texts])
+    assert np.allclose(model.pooled(texts), wanted, rtol=1e-4, atol=1e-4)
+    monkeypatch.setattr(language, "POSITIONS", 1)
+    assert np.allclose(model.pooled(texts), wanted, rtol=1e-4, atol=1e-4)
+    # a long text is read in windows; the context around each makes its labels all but those of the whole text
+    monkeypatch.setattr(language, "WINDOW", 50)
+    plain = [b"der und wort war " * 20, b"the word was here of " * 20]
+    near = model.pooled(plain) / [[len(t)] for t in plain]
+    assert np.abs(near - [slow_probabilities(model, t).mean(axis=0) for t in plain]).max() < 0.01
+    assert model.pooled(texts).sum(axis=1) == pytest.approx([len(t) for t in texts], rel=1e-4)
+
+
+def test_language_of_odd_rows(spark, odd, none):
+    model = language.train([("the and of word", "en"), ("der und die wort", "de")], steps=20)
+    clash = odd.withColumns({c: F.lit("x") for c in ("lang_pred", "lang_score", "score", "n", "usable")})
+    found = language.identify_rows(clash, model)
+    assert set(found.columns) == set(clash.columns) and found.count() == len(ODD)
+    long = odd.sparkSession.createDataFrame([(1, "wort " * 300_000), (1, "wort " * 300_000)], "doc_id long, text string")
+    assert len({(r.lang_pred, r.score) for r in language.identify(long, model).collect()}) == 1
+    assert len(language.training_sample(odd, F.lit(True), max_rows=3)) == 3 and language.training_sample(none, F.lit(True)) == []
+
+
 def test_language_of_held_out_documents(spark, odd, none):
     rows = queries.QUERIES["op7_language_id"](spark, SF).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
