@@ -55,6 +55,24 @@ def test_drop_exact_copies(odd, none):
     assert exact_dedup.drop_exact_copies(none).count() == 0
 
 
+def test_full_hashes_only_of_survivors(spark, monkeypatch):
+    texts = ["a" * 300 + x for x in ("b", "b", "c")] + ["a" * 300 + "bb", "z" * 301, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in exact_dedup.exact_dedup(df).collect()}
+    assert [rows[k].text_sha256 is not None for k in range(6)] == [True, True, True, False, False, False]
+    assert [rows[k].keep_id for k in range(6)] == [1, 1, 2, 3, 4, 5]
+    monkeypatch.setattr(exact_dedup, "BITMAP_WORDS", 1)  # a full bitmap costs hashes, not results
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(df).collect()} == {k: rows[k].keep_id for k in rows}
+
+
+def test_drop_exact_copies_of_repeated_ids(spark):
+    rows = [(1, "x"), (1, "y"), (1, "X"), (2, "y"), (3, "z"), (None, "z"), (None, "q"), (None, "q"), (5, "only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_key", "__nl_x", "kept", "word", "bits")})
+    left = exact_dedup.drop_exact_copies(df)
+    assert sorted(((r.doc_id or 0), r.text.lower()) for r in left.collect()) == [(0, "q"), (1, "x"), (2, "y"), (3, "z"), (5, "only")]
+    assert left.columns == df.columns
+
+
 def test_exact_dedup_query_matches_sql(spark, oracle):
     assert same_rows(queries.QUERIES["op9_exact_dedup"](spark, SF).toPandas(), oracle(queries.ORACLE["op9_exact_dedup"]))
 
