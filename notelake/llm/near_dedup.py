@@ -16,21 +16,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .arrow_map import map_rows
+from .arrow_map import give_back, map_rows
 from .components import connected_components
 from .store import materialize, release
 
 SHINGLE = 5
 #: Bands and coordinates of each: a pair of similarity 0.8 shares no band with probability 5e-6 (miss_probability).
 BANDS, ROWS = 40, 6
-#: Bands that are verified first, whole; later ones only where they span components.
-FIRST = 6
-#: Members of a bucket up to which its list is compared with other buckets' to verify each group once.
+#: Bands are verified in runs that end here; after the first run only buckets that span components are left to verify.
+RUNS = (2, 8)
+#: A document weighs one, and one more for so many shingles, so that groups are bounded in bytes too.
+WEIGHED = 2000
+#: Weight of a bucket up to which its list is compared with other buckets' to verify each group once.
 LISTED = 64
-#: Blocks of so many members that a larger bucket is cut into; blocks meet two by two.
+#: Weight of the blocks that a larger group is cut into, and members that are measured against one hub in one task.
 BLOCK = 256
+#: Times that a large group is measured against one of its members before its blocks meet.
+STARS = 2
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,8 +81,8 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
         each *= 2
         each = min(each, max(1, 65536 // n))
     for b in np.flatnonzero(bins == 2**64 - 1):
-        r = np.uint64(t + b)
-        bins[b] = r << np.uint64(32) | (mix(elements + (r + np.uint64(1)) * _G) & np.uint64(2**32 - 1)).min()
+        r = np.array([t + b], dtype=np.uint64)
+        bins[b] = (r << np.uint64(32) | (mix(elements + (r + np.uint64(1)) * _G) & np.uint64(2**32 - 1)).min())[0]
     return bins
 
 
@@ -92,6 +97,7 @@ def band_keys(elements: np.ndarray, bands: int, rows: int) -> np.ndarray:
 SIGNED = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("set_key", BinaryType()), StructField("bands", ArrayType(LongType()))])
 SETS = StructType([StructField("id", LongType()), StructField("elements", BinaryType())])
 LINKS = StructType([StructField("a", LongType()), StructField("b", LongType())])
+MEASURED = StructType([StructField("hub", LongType()), StructField("id", LongType()), StructField("shared", LongType()), StructField("joint", LongType())])
 
 
 def _sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -116,24 +122,13 @@ def _sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def start() -> Callable:
         def step(batch: dict[str, list]):
-            yield {"id": batch["id"], "elements": [packed(shingles(text, k)) for text in batch["text"]]}
+            yield {"id": batch["id"], "elements": [shingles(text, k).astype("<u8").tobytes() for text in batch["text"]]}
 
         return step
 
     return map_rows(docs, start, SETS)
 
 
-def packed(elements: np.ndarray) -> bytes:
-    """The low 48 bits of each hash: two sets of 20,000 shingles hold a pair that differs only above with probability 1.4e-6."""
-    return elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of intersection sizes, through columns of shared elements, some at a time."""
     m = len(sets)
@@ -175,65 +170,179 @@ def links_within(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], per
     return [(int(a), int(b)) for a, b in zip(ids, label, strict=True) if a != b]
 
 
-def _verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of the groups (grp, side, id); each group's rows stand together, with their sets."""
-    groups = materialize(groups, "groups")
-    members = groups.join(sets, "id").select("grp", "side", "id", "elements").repartition("grp").sortWithinPartitions("grp")
+def _together(rows: DataFrame, sets: DataFrame, keys: list[str], schema: StructType, start: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
+    """Rows with their sets, those of equal ``keys`` together and in the order of ``side``, through ``start()``.
+
+    That gives two functions: one takes a row (keys, side, id, elements) and one ends the input;
+    both return lists of tuples of ``schema``.
+    """
+    rows = materialize(rows, "groups")
+    members = rows.join(sets, "id").select(*keys, "side", "id", "elements").repartition(*keys).sortWithinPartitions(*keys, "side")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take, end = start()
+        for batch in batches:
+            out: list[tuple] = []
+            *columns, elements = (batch.column(n) for n in (*keys, "side", "id", "elements"))
+            for *row, data in zip(*(c.to_pylist() for c in columns), elements, strict=True):
+                out += take(tuple(row[: len(keys)]), row[-2], row[-1], np.frombuffer(data.as_buffer(), dtype="<u8"))
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, x, strict=True)) for x in out], schema=arrow)
+        yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, x, strict=True)) for x in end()], schema=arrow)
+        give_back()
+
+    return members.mapInArrow(run, schema)
+
+
+def _verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of the groups (grp, side, id), each of which one task holds."""
+
+    def start() -> tuple[Callable, Callable]:
         held: list[tuple] = []
         group = None
 
-        def close() -> list[tuple[int, int]]:
+        def end() -> list[tuple]:
             if len(held) < 2:
                 return []
             ids, sides = np.array([r[1] for r in held], dtype=np.int64), np.array([r[0] for r in held], dtype=bool)
-            return links_within(ids, sides, [unpacked(r[2]) for r in held], percent)
+            return links_within(ids, sides, [r[2] for r in held], percent)
 
-        for batch in batches:
-            links: list[tuple[int, int]] = []
-            for grp, *row in zip(*(batch.column(n).to_pylist() for n in ("grp", "side", "id", "elements")), strict=True):
-                if grp != group:
-                    links += close()
-                    held, group = [], grp
-                held.append(tuple(row))
-            yield _links(links)
-        yield _links(close())
+        def take(key: tuple, side: int, member: int, elements: np.ndarray) -> list[tuple]:
+            nonlocal group
+            out = []
+            if key != group:
+                out, group = end(), key
+                held.clear()
+            held.append((side, member, elements))
+            return out
 
-    return members.mapInArrow(run, LINKS)
+        return take, end
 
+    return _together(groups, sets, ["grp"], LINKS, start).distinct()
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
+def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similarity of each pair (hub, id): rows (hub, id, shared, joint), the sizes of intersection and union.
 
-def _groups(candidates: DataFrame) -> DataFrame:
-    """Rows (grp, side, id) whose groups together hold every pair that shares a bucket.
+    A hub's members are dealt over as many tasks as they need; a task holds the hub's set and one
+    member's at a time. An id with several sets has the largest of their similarities.
+    """
+    spokes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = pairs.join(materialize(spokes, "spokes"), "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
+    hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.lit(0).alias("side"), F.col("hub").alias("id"))
 
-    ``candidates`` has (band, size, id). Small buckets become groups by their list of members, so
-    equal lists of several bands are verified once. Larger ones are cut into blocks by a hash of the
-    id, and each pair of blocks is a group, so that no task holds a whole bucket.
+    def start() -> tuple[Callable, Callable]:
+        own: list[np.ndarray] = []
+        group = None
+
+        def take(key: tuple, side: int, member: int, elements: np.ndarray) -> list[tuple]:
+            nonlocal group
+            if key != group:
+                own.clear()
+                group = key
+            if not side:
+                own.append(elements.copy())
+                return []
+            found = [(both := np.intersect1d(hub, elements, assume_unique=True).size, len(hub) + len(elements) - both) for hub in own]
+            shared, joint = max(found, key=lambda x: x[0] / x[1])
+            return [(key[0], member, shared, joint)]
+
+        return take, lambda: []
+
+    return _together(dealt.unionByName(hubs), sets, ["hub", "part"], MEASURED, start)
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Groups (grp, side, id) of small buckets (grp, id): equal lists of members are one group."""
+    lists = rows.groupBy("grp").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    return lists.select(F.xxhash64("ids").cast("string").alias("grp"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+
+
+def _crossed(rows: DataFrame) -> DataFrame:
+    """Groups (grp, side, id) that hold every pair of members of different components in groups (grp, id, weight, component).
+
+    The largest component of a group needs no pairs of its own: its blocks meet the blocks of the
+    rest, and those meet each other, two by two. So no task holds a whole group.
+    """
+    parts = materialize(rows.groupBy("grp", "component").agg(F.sum("weight").alias("n")), "parts")
+    tops = parts.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
+    tops = tops.select("grp", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"))
+    rows = materialize(rows.join(materialize(tops, "tops"), "grp").withColumn("in_top", F.col("component") == F.col("top")), "sided")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("in_top"), F.col("top_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+    rows = rows.withColumn("own", own)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    named = lambda kind, *at: F.concat_ws(":", F.lit(kind), "grp", *(F.col(c).cast("string") for c in at)).alias("grp")
+    top = rows.filter("in_top").withColumn("other", each("rest_blocks")).select(named("x", "own", "other"), F.lit(0).alias("side"), "id")
+    rest = rows.filter("not in_top").withColumn("other", each("top_blocks")).select(named("x", "other", "own"), F.lit(1).alias("side"), "id")
+    among = rows.filter("not in_top").withColumn("other", each("rest_blocks")).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    among = among.select(named("o", "low", "high"), (F.col("own") > F.col("low")).cast("int").alias("side"), "id")
+    return top.unionByName(rest).unionByName(among)
+
+
+def _spanning(rows: DataFrame) -> DataFrame:
+    """The rows (grp, id, component, ...) of groups that hold more than one component."""
+    groups = rows.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("grp")
+    return rows.join(materialize(groups, "spanning"), "grp")
+
+
+def _joined(rows: DataFrame, forest: DataFrame | None) -> DataFrame:
+    """Rows (grp, id, weight) with their component so far."""
+    rows = rows.select("grp", "id", "weight")
+    if forest is None:
+        return rows.withColumn("component", F.col("id"))
+    return rows.join(forest.withColumnRenamed("node", "member"), F.col("id") == F.col("member"), "left").select(*rows.columns, F.coalesce("component", "id").alias("component"))
+
+
+def _grown(forest: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links."""
+    if forest is not None:
+        links = links.unionByName(forest.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return connected_components(links)
+
+
+def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame | None, metric: bool) -> DataFrame:
+    """Components after all links within groups (grp, id, weight) are confirmed.
+
+    Small groups are verified pair by pair in one task. A large one is first measured against its
+    smallest id, which links most members of a group of copies at a linear price. Jaccard distance
+    is a metric, so members whose distances to that hub differ by more than the threshold can't be
+    linked: what still spans components is cut into overlapping shells of that width, and the
+    shells go on as groups. At the end the blocks of what is left meet, which is exact.
     """
-    small = candidates.filter(F.col("size") <= LISTED).groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    small = small.select("ids").distinct().select(F.xxhash64("ids").alias("grp"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = candidates.filter(F.col("size") > LISTED).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    large = large.select(F.xxhash64("band", low, high).alias("grp"), (F.col("own") > low).cast("int").alias("side"), "id")
-    return small.unionByName(large)
+    rows = materialize(_spanning(_joined(rows, forest)), "members")
+    sizes = materialize(rows.groupBy("grp").agg(F.sum("weight").alias("size")), "sizes")
+    small = rows.join(sizes.filter(F.col("size") <= LISTED).select("grp"), "grp")
+    forest = _grown(forest, _verify(_listed(small), sets, percent))
+    rows = materialize(rows.join(sizes.filter(F.col("size") > LISTED).select("grp"), "grp").select("grp", "id", "weight"), "large")
+    for _ in range(STARS):
+        rows = materialize(_spanning(_joined(rows, forest)), "members")
+        if rows.isEmpty():
+            return forest
+        hubs = materialize(rows.groupBy("grp").agg(F.min("id").alias("hub")), "hubs")
+        spokes = materialize(rows.join(hubs, "grp").filter("id <> hub").select("grp", "hub", "id", "weight"), "spokes")
+        measured = materialize(_measure(spokes.select("hub", "id").distinct(), sets), "measured")
+        forest = _grown(forest, measured.filter(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        # the hub itself has met all of its group
+        shell = F.floor((1 - F.col("shared") / F.col("joint")) / (1.000001 - percent / 100)) if metric and percent < 100 else F.lit(0)
+        rows = spokes.join(measured, ["hub", "id"]).withColumn("shell", shell)
+        both = F.array("shell", F.col("shell") - 1) if metric and percent < 100 else F.array("shell")
+        rows = rows.withColumn("shell", F.explode(both)).select(F.concat_ws("/", "grp", F.col("shell").cast("string")).alias("grp"), "id", "weight")
+        rows = materialize(rows, "shells")
+    rows = materialize(_spanning(_joined(rows, forest)), "members")
+    return forest if rows.isEmpty() else _grown(forest, _verify(_crossed(rows), sets, percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| over their sets of k-word
-    shingles; component_id is the smallest id reachable over links, and the row that has it is kept.
-    Equal sets are one node. Bands name candidates; every link is confirmed on whole sets.
+    shingles (64-bit hashes); component_id is the smallest id reachable over links, and the row that
+    has it is kept. Equal sets are one node. Bands name candidates; every link is confirmed on whole sets.
 
     Defined cases: a null or empty text has no shingles and is linked with nothing. A row with a null
     id takes no part: component_id is null and it is kept. Rows that repeat an id are one node, linked
-    with all that any of them is linked with. An empty table gives no rows. Other columns are never read.
+    with all that any of them is linked with. Very long texts weigh more in a group, so that fewer of
+    them meet in a task. An empty table gives no rows. Other columns are never read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(_sign(docs, k, bands, rows), "signed")
@@ -244,29 +353,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     release(signed)
 
     # buckets with one member only fall away before anything is paired
-    banded = own.filter("bands is not null").select(F.posexplode("bands").alias("at", "band"), "id")
-    shared = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    candidates = materialize(banded.join(shared, "band"), "candidates")
+    weight = (F.col("n") / WEIGHED).cast("int") + 1
+    banded = own.filter("bands is not null").select(F.posexplode("bands").alias("at", "band"), "id", weight.alias("weight"))
+    shared = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band"), "buckets")
+    candidates = materialize(banded.join(shared, "band").select("at", F.col("band").cast("string").alias("grp"), "id", "weight"), "candidates")
     wanted = materialize(candidates.select("id").distinct(), "wanted")
-    sets = materialize(_sets(docs.join(wanted, "id"), k), "elements")
-
-    # the first bands connect nearly all; of the others only buckets that span components can add links
-    first = materialize(_verify(_groups(candidates.filter(F.col("at") < FIRST)), sets, percent).distinct(), "links")
-    joined = connected_components(first)
-    later = candidates.filter(F.col("at") >= FIRST).join(joined.withColumnRenamed("node", "member"), F.col("id") == F.col("member"), "left")
-    later = materialize(later.select("band", "size", "id", F.coalesce("component", "id").alias("component")), "later")
-    spanning = later.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    rest = later.join(materialize(spanning, "spanning"), "band").select("band", "size", "id")
-    second = materialize(_verify(_groups(rest), sets, percent).distinct(), "links")
-    release(sets, candidates, later)
-    found = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
-    # an id with several sets ties those sets' nodes
-    tied = own.filter("node is not null and id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    # merged at every size: the table of wanted ids grows with the input
+    sets = materialize(_sets(docs.join(wanted.hint("merge"), "id"), k), "elements")
+
     repeated = own.filter("bands is not null").groupBy("id").count().filter("count > 1").select("id")
-    if not repeated.isEmpty():
+    once = repeated.isEmpty()
+    ends = [*(r for r in RUNS if r < bands), bands]
+    forest = None
+    for low, high in zip([0, *ends], ends, strict=False):
+        forest = _resolve(candidates.filter((F.col("at") >= low) & (F.col("at") < high)), sets, percent, forest, once)
+    release(sets, candidates)
+    found = forest.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    # an id with several sets ties those sets' nodes
+    if not once:
+        tied = own.filter("node is not null and id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
         found = found.unionByName(tied.join(own.filter("bands is not null").select(F.col("id").alias("a")).distinct(), "a", "left_semi"))
-    components = connected_components(found)
-    out = own.join(components.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+        forest = connected_components(found)
+    out = own.join(forest.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 

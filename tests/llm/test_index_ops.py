@@ -180,8 +180,8 @@ def brute_components(sets, percent):
     return {k: root(k) for k in sets}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_components_against_brute_force(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "bands"), [(3, 85, 26), (5, 80, 40)])  # as registered, and the defaults
+def test_components_against_brute_force(spark, k, percent, bands):
     rng = np.random.default_rng(3)
     texts, words = {}, [f"w{i}" for i in range(300)]
     for group in range(12):  # chains of edits, so that components reach beyond single links
@@ -195,19 +195,31 @@ def test_components_against_brute_force(spark, k, percent):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     sets = word_sets(texts, k)
     wanted = brute_components(sets, percent)
-    for r in near_dedup.near_duplicates(df, k=k, percent=percent).collect():
+    for r in near_dedup.near_duplicates(df, k=k, percent=percent, bands=bands).collect():
         assert (r.component_id, r.n_shingles, r.kept) == (wanted[r.doc_id], len(sets[r.doc_id]), wanted[r.doc_id] == r.doc_id)
 
 
-def test_large_buckets_are_verified_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("stars", [0, 2])
+def test_large_buckets_are_split_without_loss(spark, monkeypatch, stars):
     monkeypatch.setattr(near_dedup, "LISTED", 4)
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "STARS", stars)
     base = [f"w{i}" for i in range(80)]
     texts = {i: " ".join([*base[: i % 80], f"x{i}", *base[i % 80 :]]) for i in range(40)}
     texts |= {100 + i: " ".join([f"y{i}" if j % 9 == 0 else w for j, w in enumerate(base)]) for i in range(10)}
+    texts |= {200 + i: " ".join([*base[: 78 - i], *(f"z{i}" for _ in range(i))]) for i in range(20)}  # ever farther from the base
     wanted = brute_components(word_sets(texts, 3), 85)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, k=3, percent=85).collect()} == wanted
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, k=3, percent=85, bands=26).collect()} == wanted
+
+
+def test_repeated_ids_are_one_node(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LISTED", 2)
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    rows = [(7, a), (7, b), (3, a + " more"), (9, b + " more"), (4, b), (11, a), (12, "else"), (12, "else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, bands=26).collect()} == {7: 3, 3: 3, 9: 3, 4: 3, 11: 3, 12: 12}
 
 
 def test_near_dedup_of_odd_rows(spark):
