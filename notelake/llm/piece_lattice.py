@@ -14,6 +14,7 @@ import itertools
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,17 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .arrow_map import map_rows
+from .arrow_map import map_rows, per_process
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # an unknown character scores so much below the lowest piece
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are solved one by one, along the word, instead of many together.
+LONG = 256
 
 
 class Lattice:
     """The pieces of a vocabulary file with their stored scores; unknown characters fall back to bytes."""
 
-    KEEP = 500_000
+    KEEP, KEEP_CHARACTERS = 400_000, 8_000_000  # words, and characters of words, that are kept
 
     def __init__(self, path: str) -> None:
         from sentencepiece import sentencepiece_model_pb2
@@ -71,6 +74,8 @@ class Lattice:
         self.score, self.gap, self.size = np.empty(0), np.empty(0), np.empty(0, dtype=np.int64)
         self.choices: dict[tuple[int, int], list[tuple[int, ...]]] = {}
         self.nbest_known: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self.characters = 0
+        self.score_list = self.scores.tolist()
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -130,12 +135,24 @@ class Lattice:
         """Viterbi over all given words at once; keeps what it finds."""
         by_length: dict[int, list[str]] = {}
         for w in words:
-            by_length.setdefault(len(w), []).append(w)
+            if len(w) > LONG:
+                self._solve_long(w)
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for n, own in by_length.items():
             size = max(1, 1_000_000 // (n * min(n, self.longest)))
             for at in range(0, len(own), size):
                 self._solve(own[at : at + size], n)
 
+    def _solve_long(self, word: str) -> None:
+        """The two best segmentations of a long word, whose matrices would grow with it."""
+        (score, ids), *second = self.nbest_word(word, 2)
+        self.number[word] = len(self.best)
+        self.best.append(ids)
+        self.score = np.append(self.score, score)
+        self.gap = np.append(self.gap, score - second[0][0] if second else np.inf)
+        self.size = np.append(self.size, len(ids))
+
     def _solve(self, words: list[str], n: int) -> None:
         m, most = len(words), min(n, self.longest)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, n).astype(np.uint64).T + np.uint64(1)
@@ -199,44 +216,85 @@ class Lattice:
             arcs.append((n, k))
         return arcs[::-1]
 
+    def _forward(self, word: str) -> array:
+        """Best score from the start of a word to every position."""
+        find, score, longest, unknown = self.ids.get, self.score_list, self.longest, self.unknown_score
+        out = array("d", [0.0])
+        for j in range(1, len(word) + 1):
+            piece = find(word[j - 1 : j])
+            best = out[j - 1] + (unknown if piece is None else score[piece])
+            for i in range(j - 2, max(j - longest, 0) - 1, -1):
+                if (piece := find(word[i:j])) is not None and out[i] + score[piece] > best:
+                    best = out[i] + score[piece]
+            out.append(best)
+        return out
+
     def nbest_word(self, word: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of one word, best first: forward Viterbi, then A* from the end."""
+        """The n best segmentations of one word, best first: forward Viterbi, then A* from the end.
+
+        The forward scores are exact heuristics, so complete paths leave the heap in order. A node's
+        arcs enter the heap one by one, best first, and paths are kept as links to their parents; a
+        node that n paths have passed needs no more. So memory is of the order of n * length.
+        """
         if (found := self.nbest_known.get((word, n))) is not None:
             return found
-        size = len(word)
-        forward = [0.0] + [-np.inf] * size
-        arcs: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]  # by end: (length, score), longest first
-        for j in range(1, size + 1):
-            for k in range(min(j, self.longest), 0, -1):
-                piece = self.ids.get(word[j - k : j])
-                if piece is None and k > 1:
-                    continue
-                s = float(self.scores[piece]) if piece is not None else self.unknown_score
-                arcs[j].append((k, s))
-                forward[j] = max(forward[j], forward[j - k] + s)
-        out: list[tuple[float, bytes]] = []
+        find, score = self.ids.get, self.score_list
+        forward = self._forward(word)
+        arcs: dict[int, bytes] = {}  # by end: lengths, best first, of equal ones the longest
+        passed: dict[int, int] = {}
+        parent, place, done = array("q", [-1]), array("q", [len(word)]), array("d", [0.0])
+        heap: list[tuple] = []
         order = itertools.count()
-        heap = [(-forward[size], next(order), size, 0.0, ())]
+
+        def arc_score(at: int, k: int) -> float:
+            piece = find(word[at - k : at])
+            return self.unknown_score if piece is None else score[piece]
+
+        def push(state: int, i: int) -> None:
+            at = place[state]
+            if at not in arcs:
+                able = [k for k in range(min(at, self.longest), 0, -1) if k == 1 or word[at - k : at] in self.ids]
+                arcs[at] = bytes(sorted(able, key=lambda k: -(forward[at - k] + arc_score(at, k))))
+            if i < len(arcs[at]):
+                k = arcs[at][i]
+                heapq.heappush(heap, (-(done[state] + arc_score(at, k) + forward[at - k]), at - k, next(order), state, i))
+
+        out: list[tuple[float, bytes]] = []
+        push(0, 0)
         while heap and len(out) < n:
-            f, _, at, done, path = heapq.heappop(heap)
-            if not at:
-                out.append((-f, self._ids(word, list(path))))
+            f, at, _, before, i = heapq.heappop(heap)
+            push(before, i + 1)
+            k = place[before] - at
+            if at and passed.get(at, 0) >= n:
+                continue
+            passed[at] = passed.get(at, 0) + 1
+            parent.append(before)
+            place.append(at)
+            done.append(done[before] + arc_score(place[before], k))
+            if at:
+                push(len(place) - 1, 0)
                 continue
-            for k, s in arcs[at]:
-                heapq.heappush(heap, (-(forward[at - k] + s + done), next(order), at - k, s + done, ((at - k, k), *path)))
-        if len(self.nbest_known) > self.KEEP // 16:
-            self.nbest_known.clear()
-        self.nbest_known[word, n] = out
+            path, state = [], len(place) - 1
+            while parent[state] >= 0:
+                path.append((place[state], place[parent[state]] - place[state]))
+                state = parent[state]
+            out.append((-f, self._ids(word, path)))
+        if len(word) <= LONG:
+            if len(self.nbest_known) > self.KEEP // 16:
+                self.nbest_known.clear()
+            self.nbest_known[word, n] = out
         return out
 
     def prepare(self, texts: list[list[str]]) -> None:
         """Solve the words of many texts together; words kept from before are dropped once too many."""
         missing = {w for words in texts for w in words if w not in self.number}
-        if len(self.best) + len(missing) > self.KEEP:
+        self.characters += sum(map(len, missing))
+        if len(self.best) + len(missing) > self.KEEP or self.characters > self.KEEP_CHARACTERS:
             self.number.clear()
             self.best.clear()
             self.score, self.gap, self.size = self.score[:0], self.gap[:0], self.size[:0]
             missing = {w for words in texts for w in words}
+            self.characters = sum(map(len, missing))
         if missing:
             self.solve(list(missing))
 
@@ -310,14 +368,16 @@ def encode_nbest(df: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_
     Null and empty texts have one segmentation, empty, with score 0. round_trip says whether the
     ids decode to the text (a text that holds the word mark itself decodes to spaces). With
     ``digest`` the column ids is replaced by ids_crc32, over little-endian 32-bit ids. Null ids and
-    repeated rows are treated like any other row.
+    repeated rows are treated like any other row; an empty table gives no rows. Very long texts are
+    read whole, also where they hold no space; memory grows with a text's length in proportion.
+    Columns other than the two named are never read, so their names can't clash.
     """
     last = StructField("ids_crc32", LongType()) if digest else StructField("ids", ArrayType(IntegerType()))
     key = _rows(df, id_col, text_col).schema["id"]
     schema = StructType([key, StructField("rank", IntegerType()), StructField("score", DoubleType()), StructField("n_pieces", LongType()), last, StructField("round_trip", BooleanType())])
 
     def start() -> Callable:
-        lattice = Lattice(model_path)
+        lattice = per_process(("lattice", model_path), lambda: Lattice(model_path))
 
         def step(rows: dict[str, list]):
             out: list[tuple] = []

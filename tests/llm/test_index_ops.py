@@ -81,6 +81,43 @@ def test_agrees_with_the_library(lattice):
         assert [s for s, _ in lattice.nbest_word("▁" + word, 5)] == wanted
 
 
+def plain_nbest(lattice, word, n):
+    """Scores of the n best segmentations by a plain n-best Viterbi."""
+    best = [[0.0]]
+    for j in range(1, len(word) + 1):
+        own = []
+        for k in range(1, min(j, lattice.longest) + 1):
+            piece = lattice.ids.get(word[j - k : j])
+            if piece is not None or k == 1:
+                own += [s + (lattice.unknown_score if piece is None else float(lattice.scores[piece])) for s in best[j - k]]
+        best.append(sorted(own, reverse=True)[:n])
+    return best[-1]
+
+
+@pytest.mark.parametrize("word", ["an" * 400, "a" * 1501, "thereisnospaceinthis" * 40 + "é☃", "aGVsbG8gd29ybGQ" * 60])
+def test_long_words_without_spaces(lattice, word):
+    found = lattice.nbest_word("▁" + word, 4)
+    assert [round(s) for s, _ in found] == [round(s) for s in plain_nbest(lattice, "▁" + word, 4)]
+    assert len({ids for _, ids in found}) == 4
+    own = list(lattice.nbest(word, 4))
+    assert [round(s) for s, _, _ in own] == [round(s) for s, _ in found] and all(same for *_, same in own)
+
+
+def test_very_long_text_without_spaces_takes_little_memory(spark, lattice):
+    import base64
+    import tracemalloc
+
+    text = base64.b64encode(np.random.default_rng(5).bytes(150_000)).decode()
+    assert len(text) == 200_000
+    tracemalloc.start()
+    own = list(lattice.nbest(text[:50_000], 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75_000_000 and all(same for *_, same in own) and len(own) == 4
+    rows = spark.createDataFrame([(1, text), (1, text), (None, "漢字" * 5000)], "doc_id long, text string").withColumn("rank", F.lit("clash"))
+    assert piece_lattice.encode_nbest(rows, MODEL, n=2, digest=True).filter("round_trip and doc_id = 1").count() == 4
+
+
 def test_encode_and_decode_tables(spark):
     rows = spark.createDataFrame([(1, "hello there"), (2, None), (3, ""), (None, "x\ny"), (3, "")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
     coded = piece_lattice.encode_nbest(rows, MODEL, n=3)
