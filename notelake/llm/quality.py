@@ -112,8 +112,9 @@ def with_statistics(df: DataFrame, text_col: str = "text", out: str = "stats") -
 def _summed(rows: DataFrame, columns: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum over all rows (stats, y) of the matrix that ``columns`` gives for a batch.
 
-    Each partition adds up its own and emits the matrix row by row; rows of the matrix are then
-    summed by their number, so the driver gets one matrix however many partitions there are.
+    Each partition adds up its own and emits the matrix row by row, a row as one array. Rows are summed
+    by their number with map-side aggregation, so the driver gets one matrix however many partitions
+    there are, and the shuffle carries at most one array a partition and row.
     """
     schema = StructType([StructField("row", IntegerType()), StructField("part", STATS)])
 
@@ -127,14 +128,10 @@ def _summed(rows: DataFrame, columns: Callable[[np.ndarray, np.ndarray], np.ndar
         if total is not None:
             yield pa.RecordBatch.from_pydict({"row": pa.array(range(len(total)), pa.int32()), "part": pa.array(list(total), pa.list_(pa.float64()))})
 
-    parts = rows.mapInArrow(run, schema).select("row", F.posexplode("part").alias("col", "value"))
-    cells = parts.groupBy("row", "col").agg(F.sum("value").alias("value")).collect()
-    if not cells:
-        return np.zeros((0, 0))
-    out = np.zeros((max(c.row for c in cells) + 1, max(c.col for c in cells) + 1))
-    for c in cells:
-        out[c.row, c.col] = c.value
-    return out
+    width = columns(np.zeros((1, len(STATISTICS))), np.zeros(1)).shape[1]
+    sums = [F.sum(F.col("part")[k]).alias(str(k)) for k in range(width)]
+    found = sorted(rows.mapInArrow(run, schema).groupBy("row").agg(*sums).collect())
+    return np.array([r[1:] for r in found]) if found else np.zeros((0, 0))
 
 
 def isotonic(weights: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -207,8 +204,10 @@ def score(stats: DataFrame, model: QualityModel, stats_col: str = "stats", out:
 def classify(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Rows (id, score) of every whole text, learned from the labels of rows where ``usable`` holds.
 
-    Statistics are computed once and stored. Null texts are scored as empty ones; a null id is
-    scored and never learned from; a row that repeats an id learns from each of its labels.
+    Statistics are computed once, over whole texts however long, and stored. Null texts are scored as
+    empty ones; a null id is scored and never learned from; rows that repeat an id are each scored, and
+    each learns from all labels of that id. An empty table gives no rows; without labels every score is
+    0.5. Other columns are never read, so their names can't clash.
     """
     stats = materialize(with_statistics(df.select(id_col, text_col), text_col), "stats")
     known = labels.select(id_col, label_col).filter(F.col(label_col).isNotNull())

@@ -343,9 +343,30 @@ def test_quality_of_held_out_documents(spark):
     assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in scores.values())
 
 
+def test_quality_fit_matches_plain_numpy(spark):
+    """Statistics, features, normal equations and calibration against the same in one process."""
+    import numpy as np
+
+    assert quality.statistics("Ab, c.\nAb, c.")[1:6] == pytest.approx([6 / 13, 2 / 13, 0, 4 / 13, 0])
+    assert quality.statistics("Ab, c.\nAb, c.")[10] == 0.5 and quality.statistics("aa bb")[7] == 1
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(r.tolist(), int(v)) for r, v in zip(x, y, strict=True)], "stats array<double>, quality int").repartition(3)
+    model = quality.train(rows)
+    mean, scale = x.mean(0), x.std(0)
+    draw = np.random.default_rng(quality.SEED)
+    w, b = draw.normal(0, 1.5 / np.sqrt(x.shape[1]), (x.shape[1], quality.FEATURES)), draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos((x - mean) / scale @ w + b), np.ones((300, 1))])
+    penalty = quality.RIDGE * 300 / quality.FEATURES * np.diag([1.0] * quality.FEATURES + [0.0]) + 1e-9 * np.eye(quality.FEATURES + 1)
+    weights = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.allclose(model.raw(x), z @ weights, atol=1e-6)
+    assert (np.diff(model.values) >= -1e-12).all() and abs(model.score(x).mean() - y.mean()) < 0.02
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, None, 0), (6, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
-    assert quality.classify(odd, labels, F.lit(True)).count() == len(ODD)
+    assert quality.classify(odd.withColumns({c: F.lit("x") for c in ("y", "row", "part", "score")}), labels, F.lit(True)).count() == len(ODD)
     assert {r.score for r in quality.classify(odd, labels.limit(0), F.lit(True)).collect()} == {0.5}
     assert quality.classify(none, labels, F.lit(True)).count() == 0
 
