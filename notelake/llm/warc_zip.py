@@ -1,9 +1,9 @@
 """Web archives packed in ZIP files: writing, and reading by ranges without extraction.
 
-An archive holds stored (uncompressed) members: ``archive/data.warc.gz``, whose records are gzip
-members of their own, ``indexes/index.cdxj`` with each record's place in it, and
-``datapackage.json``. The reader parses the central directory, in its ZIP64 form where present,
-then the index, and reads only the byte ranges of the records it wants.
+An archive holds stored (uncompressed) members: WARC data below ``archive/``, whose records may be
+gzip members of their own, and CDXJ indexes below ``indexes/``, which name each record's member and
+place. The reader parses the central directory, in its ZIP64 form where present, finds the data and
+index members in it, and reads only the byte ranges of the records it wants.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,7 +28,9 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from .store import materialize, new_path
 
+#: Members that the writer makes. The reader takes whatever members the patterns below find.
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+IS_DATA, IS_INDEX = re.compile(r"(?:^|/)archive/.*\.warc(?:\.gz)?$"), re.compile(r"(?:^|/)indexes/.*\.(?:cdxj?|idx)(?:\.gz)?$")
 #: Payloads under so many bytes are never replaced by a revisit record.
 LEAST_REVISIT = 100
 ARCHIVE_BYTES, READ_BYTES = 32_000_000, 4_000_000
@@ -41,51 +45,64 @@ RECORDS = StructType([StructField("page_id", LongType()), StructField("url", Str
 # --- records ------------------------------------------------------------------------------
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def surt(url: str | None) -> str:
+    """The sort key of a URL: host labels reversed, then the path; "-" for none."""
+    m = re.match(r"(?:[a-z][a-z0-9+.-]*://)?([^/?#:]*)(?::\d+)?([^#]*)", (url or "").strip().lower())
+    if not m or not m[1]:
+        return "-"
+    return re.sub(r"\s", "%20", f"{','.join(reversed(m[1].removeprefix('www.').split('.')))}){m[2] or '/'}")
 
 
-def _page_id(record_id: str) -> int | None:
-    number = record_id.strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, record_id: str | None = None) -> bytes:
+    """One WARC record: a response with the payload, or a revisit with its HTTP header only.
 
-
-def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record: a response with the payload, or a revisit with its HTTP header only."""
+    Record ids are unique, also where page ids are null or repeat; page ids travel in fields of their own.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Date: {EPOCH}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{record_id or uuid.uuid4()}>", f"WARC-Date: {EPOCH}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if page_id is not None:
+        lines.append(f"X-Page-Id: {page_id}")
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c >= " " else f"%{ord(c):02X}" for c in url))
     block = http + payload
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {_record_id(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines += [f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Profile: {REVISIT_PROFILE}"]
         block = http
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
 def _headers(lines: list[bytes]) -> dict[str, str]:
-    pairs = (line.decode("utf-8", "surrogatepass").partition(":") for line in lines if line)
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in lines if line)
     return {name.strip().lower(): value.strip() for name, _, value in pairs}
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.lstrip("-").isdigit() else None
+
+
 def parse_record(record: bytes) -> dict:
-    """Fields of one uncompressed WARC record."""
+    """Fields of one uncompressed WARC record, of any type and writer; fields it doesn't have are null."""
     head, _, rest = record.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     if not version.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     own = _headers(lines)
     block = rest[: int(own["content-length"])]
-    http, _, body = block.partition(b"\r\n\r\n")
+    http: dict[str, str] = {}
+    if own.get("content-type", "").startswith("application/http"):
+        head, _, block = block.partition(b"\r\n\r\n")
+        http = _headers(head.split(b"\r\n")[1:])
     revisit = own["warc-type"] == "revisit"
+    size = _number(http.get("content-length")) if revisit else len(block)
     return {
-        "page_id": _page_id(own["warc-record-id"]),
+        "page_id": _number(own.get("x-page-id")),
         "record_type": own["warc-type"],
-        "payload": None if revisit else body,
-        "payload_bytes": int(_headers(http.split(b"\r\n")[1:])["content-length"]),
-        "payload_digest": own["warc-payload-digest"].removeprefix("sha256:"),
-        "refers_to": _page_id(own["warc-refers-to"]) if revisit else None,
+        "payload": None if revisit else block,
+        "payload_bytes": size,
+        "payload_digest": own["warc-payload-digest"].rpartition(":")[2] if "warc-payload-digest" in own else None,
+        "refers_to": _number(own.get("x-refers-to-page-id")),
+        "url": own.get("warc-target-uri"),
     }
 
 
@@ -102,23 +119,27 @@ class ArchiveWriter:
         self.sink = self.system.open_output_stream(path)
         self.zip = zipfile.ZipFile(self.sink, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.data = self._member(DATA)
-        self.index = io.BytesIO()
+        self.index: list[str] = []
+        self.space = uuid.uuid4()
         self.records = self.bytes = 0
 
     def _member(self, name: str):
         return self.zip.open(zipfile.ZipInfo(name), "w", force_zip64=self.zip64)
 
+    def next_id(self) -> str:
+        return str(uuid.uuid5(self.space, str(self.records)))
+
     def add(self, page_id: int | None, url: str | None, record: bytes) -> None:
         packed = gzip.compress(record, 6, mtime=0)
         self.data.write(packed)
-        entry = {"page_id": page_id, "url": url, "offset": self.bytes, "length": len(packed)}
-        self.index.write(json.dumps(entry).encode() + b"\n")
+        entry = {"url": url, "offset": str(self.bytes), "length": str(len(packed)), "filename": DATA.rpartition("/")[2], "page_id": page_id}
+        self.index.append(f"{surt(url)} {re.sub(r'[^0-9]', '', EPOCH)} {json.dumps(entry)}\n")
         self.records += 1
         self.bytes += len(packed)
 
     def close(self) -> None:
         self.data.close()
-        for name, content in ((INDEX, self.index.getvalue()), (PACKAGE, json.dumps({"profile": "data-package", "records": self.records}).encode())):
+        for name, content in ((INDEX, "".join(sorted(self.index)).encode()), (PACKAGE, json.dumps({"profile": "data-package", "records": self.records}).encode())):
             with self._member(name) as member:
                 member.write(content)
         self.zip.close()
@@ -205,9 +226,60 @@ class ArchiveReader:
             raise ValueError(f"the range lies outside {name}")
         return self._read(self.start(member) + at, n)
 
+    def _data_member(self, filename: str | None) -> str:
+        """The member that an index entry means: by full name, by its end, or the only one."""
+        names = [n for n in self.members if IS_DATA.search(n)]
+        found = [n for n in names if filename is None or n == filename or n.endswith("/" + filename)]
+        if len(found) != 1:
+            raise ValueError(f"the index names {filename}, which is {'no member' if not found else 'more than one member'}")
+        return found[0]
+
     def index(self) -> list[dict]:
-        """Records' places, in the order of their offsets."""
-        return sorted(map(json.loads, self.read(INDEX).splitlines()), key=lambda e: e["offset"])
+        """Records' places (member, offset, length, url, page_id), by member and offset.
+
+        They come from all index members (CDXJ lines, gzipped or not); an archive without any is
+        walked through record by record.
+        """
+        entries, indexes = [], [n for n in self.members if IS_INDEX.search(n)]
+        for name in indexes:
+            data = self.read(name)
+            for line in (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).splitlines():
+                at = line.find(b"{")
+                if at < 0:
+                    continue
+                own = json.loads(line[at:])
+                if "offset" not in own or "length" not in own:  # a line of a compressed index's summary
+                    continue
+                page_id = own.get("page_id")
+                entries.append({"member": self._data_member(own.get("filename")), "offset": int(own["offset"]), "length": int(own["length"]), "url": own.get("url"), "page_id": page_id})
+        if not indexes:
+            entries = [e for n in sorted(self.members) if IS_DATA.search(n) for e in self._walk(n)]
+        return sorted(entries, key=lambda e: (e["member"], e["offset"]))
+
+    def _walk(self, name: str) -> Iterator[dict]:
+        """Places of all records of a data member, found by reading it once in ranges."""
+        size, at = self.members[name].size, 0
+        while at < size:
+            if name.endswith(".gz"):
+                unpack, pos = zlib.decompressobj(31), at
+                while not unpack.eof:
+                    if pos >= size:
+                        raise ValueError(f"{name} ends within a record")
+                    part = self.read(name, pos, min(READ_BYTES, size - pos))
+                    unpack.decompress(part)
+                    pos += len(part)
+                end = pos - len(unpack.unused_data)
+            else:
+                head, pos = b"", at
+                while b"\r\n\r\n" not in head:
+                    if pos >= size:
+                        raise ValueError(f"{name} ends within a record")
+                    part = self.read(name, pos, min(65_536, size - pos))
+                    head, pos = head + part, pos + len(part)
+                start = head.index(b"\r\n\r\n") + 4
+                end = min(size, at + start + int(_headers(head[:start].split(b"\r\n")[1:])["content-length"]) + 4)
+            yield {"member": name, "offset": at, "length": end - at, "url": None, "page_id": None}
+            at = end
 
     def records(self, entries: list[dict] | None = None, most: int = READ_BYTES) -> Iterator[dict]:
         """The records of index entries (all, if not given); neighbours are read together, up to ``most`` bytes."""
@@ -215,13 +287,15 @@ class ArchiveReader:
         at = 0
         while at < len(entries):
             first, end, upto = entries[at], entries[at]["offset"] + entries[at]["length"], at + 1
-            while upto < len(entries) and entries[upto]["offset"] == end and end + entries[upto]["length"] - first["offset"] <= most:
+            while upto < len(entries) and (entries[upto]["member"], entries[upto]["offset"]) == (first["member"], end) and end + entries[upto]["length"] - first["offset"] <= most:
                 end += entries[upto]["length"]
                 upto += 1
-            data = self.read(DATA, first["offset"], end - first["offset"])
+            data = self.read(first["member"], first["offset"], end - first["offset"])
             for e in entries[at:upto]:
                 begin = e["offset"] - first["offset"]
-                yield parse_record(zlib.decompress(data[begin : begin + e["length"]], 31)) | {"url": e["url"]}
+                record = data[begin : begin + e["length"]]
+                own = parse_record(zlib.decompress(record, 31) if record[:2] == b"\x1f\x8b" else record)
+                yield own | {"url": e["url"] if e["url"] is not None else own["url"]}
             at = upto
 
 
@@ -233,7 +307,8 @@ def _with_revisits(pages: DataFrame, least: int) -> DataFrame:
     keyed = materialize(pages.select("page_id", "digest", F.octet_length("payload").alias("n")).filter((F.col("n") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest"), "digests")
     firsts = materialize(keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").select("digest", "first"), "firsts")
     again = materialize(keyed.join(firsts, "digest").filter("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
-    return pages.join(again, ["page_id", "digest"], "left")
+    # merged at every size: the table of revisits grows with the input
+    return pages.join(again.hint("merge"), ["page_id", "digest"], "left")
 
 
 def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, least_revisit: int = LEAST_REVISIT, zip64: bool = True) -> DataFrame:
@@ -245,10 +320,9 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
     ``archive_bytes``. Every attempt of a task writes files of its own and the manifest names those of
     the attempt that Spark committed, so lost executors leave unused files but no wrong ones. ``folder``
     must be a URI that all executors reach; by default it lies in the shared folder. An empty table
-    gives an empty manifest.
+    gives an empty manifest. A task holds one payload of a batch at a time besides the index of its
+    archive, so very long payloads are bounded by the memory of one. Other columns are never read.
     """
-    import uuid
-
     target = folder or new_path(df.sparkSession, "archives")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
@@ -266,7 +340,7 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
             for k in range(batch.num_rows):
                 page_id, url, payload, digest, refers_to = (c[k].as_py() for c in columns)
                 writer = writer or ArchiveWriter(f"{target}/{uuid.uuid4().hex}.zip", zip64)
-                writer.add(page_id, url, build_record(page_id, url, payload, digest, refers_to))
+                writer.add(page_id, url, build_record(page_id, url, payload, digest, refers_to, writer.next_id()))
                 if writer.bytes >= archive_bytes:
                     close()
                     writer = None
@@ -280,7 +354,9 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
 def read_archives(manifest: DataFrame, wanted: Callable[[dict], bool] | None = None) -> DataFrame:
     """The records of the archives that column ``archive`` names, read in place.
 
-    ``wanted`` picks index entries (page_id, url, offset, length); other records are never read.
+    ``wanted`` picks index entries (member, offset, length, url, page_id); other records are never read.
+    Archives of other writers can be read too: members are found in the directory, and what their
+    records don't tell is null.
     Columns: page_id, url, record_type, payload (null for revisits), payload_bytes and
     payload_digest (both of the full payload), refers_to.
     """
@@ -295,7 +371,7 @@ def read_archives(manifest: DataFrame, wanted: Callable[[dict], bool] | None = N
                 held, size = [], 0
                 for record in reader.records([e for e in reader.index() if wanted is None or wanted(e)]):
                     held.append(record)
-                    size += record["payload_bytes"]
+                    size += len(record["payload"] or b"")
                     if size >= READ_BYTES:
                         yield pa.RecordBatch.from_pylist(held, schema=arrow)
                         held, size = [], 0

@@ -1,5 +1,6 @@
 """N-best lattice, web archives, near-dedup and the permutation index against brute force."""
 
+import gzip
 import io
 import itertools
 import zipfile
@@ -167,6 +168,48 @@ def test_directory_forms(tmp_path, zip64):
         reader.read(warc_zip.DATA, 0, 10**9)
 
 
+@pytest.mark.parametrize("index", ["plain", "gzip", "none"])
+def test_archives_of_other_writers(tmp_path, index):
+    """Several data members, gzipped and not, other record types, indexes by file name or none at all."""
+    import json
+
+    def warc(kind, body, **extra):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in extra.items())
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    http = {"Content_Type": "application/http; msgtype=response", "WARC_Target_URI": "http://a.example/x"}
+    first = [gzip.compress(warc("warcinfo", b"software: x")), gzip.compress(warc("response", b"HTTP/1.1 200 OK\r\n\r\n<p>one", **http))]
+    second = [warc("response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>two", **http), warc("resource", b"three" * 30_000)]
+    lines = []
+    for name, parts in (("a.warc.gz", first), ("b.warc", second)):
+        at = 0
+        for part in parts:
+            lines.append(f"example,a)/x 20200101000000 " + json.dumps({"filename": name, "offset": str(at), "length": str(len(part))}) + "\n")
+            at += len(part)
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/a.warc.gz", b"".join(first))
+        z.writestr("archive/b.warc", b"".join(second))
+        if index != "none":
+            data = "".join(sorted(lines)).encode()
+            z.writestr("indexes/i.cdx.gz" if index == "gzip" else "indexes/i.cdxj", gzip.compress(data) if index == "gzip" else data)
+    reader = warc_zip.ArchiveReader(f"file://{path}")
+    found = list(reader.records())
+    assert [(r["record_type"], r["payload"][:8]) for r in found] == [("warcinfo", b"software"), ("response", b"<p>one"), ("response", b"<p>two"), ("resource", b"threethr")]
+    assert {r["page_id"] for r in found} == {None} and found[1]["url"] == "http://a.example/x"
+
+
+def test_index_lines_and_record_ids(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "https://www.b.example/Q?a b", "x"), (1, "u", "x"), (None, None, "y"), (None, None, "y")], "page_id long, url string, html string")
+    uri = warc_zip.write_archives(pages.coalesce(1), f"file://{tmp_path}").first().archive
+    reader = warc_zip.ArchiveReader(uri)
+    lines = reader.read(warc_zip.INDEX).decode().splitlines()
+    assert lines == sorted(lines) and any(line.startswith("example,b)/q?a%20b 19700101000000 {") for line in lines)
+    data = gzip.decompress(reader.read(warc_zip.DATA))
+    ids = [x for x in data.split(b"\r\n") if x.startswith(b"WARC-Record-ID: <urn:uuid:")]
+    assert len(set(ids)) == 4
+
+
 def test_zip64_directory_is_used():
     """An archive whose 32-bit fields are all full, as over 4 GB or 65,535 members."""
     raw = io.BytesIO()
