@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import constant, hash_sample
+from .store import constant, hash_sample, materialize
 
 # The base patterns, the group whose length counts and the least length.
 BASE = (
@@ -21,8 +21,10 @@ BASE = (
 )
 LEARNED = "markov"
 KINDS = (*(b[0] for b in BASE), LEARNED)
-#: Runs that the Markov models judge; shorter ones carry too little evidence.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Characters below which a string carries too little evidence for the Markov models.
+LEAST = 12
+#: Runs that they judge, and the parts of a run that is not random as a whole.
+CANDIDATES = (f"[A-Za-z0-9+/_=-]{{{LEAST},}}", f"[A-Za-z0-9+_-]{{{LEAST},}}")
 
 #: A noncharacter marks matches; one that a text holds is first exchanged for another.
 MARK, SPARE = "﷐", "﷑"
@@ -47,25 +49,29 @@ def _pairs(codes: Column) -> Column:
 
 @dataclass(frozen=True)
 class MarkovPair:
-    """Log-likelihood ratio of each symbol pair, random over ordinary, and the threshold of its mean."""
+    """Log-likelihood ratio of each symbol pair, random over ordinary, and the threshold of a string's sum."""
 
     ratios: tuple[float, ...]
     threshold: float
 
     def score(self, text: Column) -> Column:
-        """Mean log-likelihood ratio over the pairs of an ASCII string; 0 where it has none."""
-        table, pairs = constant(self.ratios, "double"), _pairs(_codes(text))
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.element_at(table, p + 1))
-        return F.when(F.size(pairs) > 0, total / F.size(pairs)).otherwise(F.lit(0.0))
+        """Log-likelihood ratio of an ASCII string: the sum over its pairs; 0 where it has none."""
+        table = constant(self.ratios, "double")
+        return F.aggregate(_pairs(_codes(text)), F.lit(0.0), lambda acc, p: acc + F.element_at(table, p + 1))
 
 
-def train(samples: DataFrame, text_col: str = "text", label_col: str = "random", alpha: float = 0.5, threshold: float = 0.35) -> MarkovPair:
-    """Fit both chains on labelled strings: label 1 random, 0 an ordinary identifier.
+def train(samples: DataFrame, text_col: str = "text", label_col: str = "random", alpha: float = 0.5, missed: float = 0.05, mistaken: float = 0.001) -> MarkovPair:
+    """Fit both chains and their threshold on labelled strings: label 1 random, 0 an ordinary identifier.
 
-    Pairs are counted per label on the executors; the driver gets at most 2 * 63^2 counts.
-    ``alpha`` smooths. Rows with a null text or label don't count; with no rows all ratios are 0.
+    Three quarters of the strings, by a hash, give the counts; ``alpha`` smooths. The rest sets the
+    threshold: at most a share ``missed`` of its random strings, cut to LEAST characters, and a share
+    ``mistaken`` of its ordinary ones of that length or more lie on the wrong side (the greater of both
+    bounds holds). The driver gets at most 2 * 63^2 counts. Rows with a null text or label don't
+    count; with no rows all ratios are 0 and nothing passes.
     """
-    pairs = samples.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("y"), F.explode(_pairs(_codes(F.col(text_col)))).alias("pair"))
+    known = samples.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("s"))
+    aside = F.pmod(F.xxhash64("s"), F.lit(4)) == 0
+    pairs = known.filter(~aside).select("y", F.explode(_pairs(_codes(F.col("s")))).alias("pair"))
     counts = [[alpha] * SYMBOLS**2 for _ in range(2)]
     for y, pair, n in pairs.groupBy("y", "pair").count().collect():
         counts[1 if y else 0][pair] += n
@@ -73,7 +79,11 @@ def train(samples: DataFrame, text_col: str = "text", label_col: str = "random",
     for c in counts:
         totals = [sum(c[a * SYMBOLS : (a + 1) * SYMBOLS]) for a in range(SYMBOLS)]
         logs.append([math.log(x / totals[k // SYMBOLS]) for k, x in enumerate(c)])
-    return MarkovPair(tuple(r - o for o, r in zip(*logs, strict=True)), threshold)
+    fitted = MarkovPair(tuple(r - o for o, r in zip(*logs, strict=True)), 0.0)
+    judged = known.filter(aside & (F.length("s") >= LEAST)).withColumn("s", F.when(F.col("y") == 1, F.substring("s", 1, LEAST)).otherwise(F.col("s")))
+    bound = lambda y, share: F.percentile_approx(F.when(F.col("y") == y, F.col("score")), share, 10_000)
+    bounds = judged.select("y", fitted.score(F.col("s")).alias("score")).agg(bound(1, missed), bound(0, 1 - mistaken)).first()
+    return MarkovPair(fitted.ratios, max((b for b in bounds if b is not None), default=0.0))
 
 
 def random_strings(spark: SparkSession, n: int = 3000) -> DataFrame:
@@ -110,27 +120,98 @@ IDENTIFIERS = (
 )
 
 
+#: Elements of an array, and code points of a text, that the functions below handle as one block (even).
+BLOCK = 1024
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(values: Column) -> Column:
+    """An array cut into arrays of BLOCK elements."""
+    last = F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+
+
+def _running(values: Column, combine) -> Column:
+    """``combine`` of all elements up to each place, of an array of integers; its cost grows in proportion.
+
+    An array that grows by one element is copied each time, so blocks are run through on their own
+    and then raised by what stands before them.
+    """
+
+    def run(block: Column) -> Column:
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, combine(F.element_at(acc, -1), x)).otherwise(x))))
+
+    def raised(blocks: Column) -> Column:
+        tops = run(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(F.zip_with(blocks, F.concat(F.array(F.lit(None).cast("int")), F.slice(tops, 1, F.size(blocks) - 1)), lambda b, top: F.transform(b, lambda x: F.when(top.isNull(), x).otherwise(combine(top, x)))))
+
+    return F.when(F.size(values) > 0, _let(F.transform(_blocks(values), run), raised)).otherwise(F.array().cast("array<int>"))
+
+
+SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
 def _spans(text: Column, order: int, name: str, pattern: str, accept) -> Column:
     """Array of (start, order, end, name) of the accepted leftmost non-overlapping matches, in code points."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    kind = "array<struct<start:int,ord:int,end:int,kind:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        span = F.array(F.struct(acc["at"].alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(name).alias("kind")))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"] & accept(piece), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def found(pieces: Column) -> Column:
+        ends = _let(F.transform(pieces, F.length), lambda sizes: _running(sizes, lambda a, b: a + b))
+        placed = F.zip_with(pieces, ends, lambda piece, end: F.struct(piece.alias("piece"), end.alias("end")))
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+        def span(x: Column, k: Column) -> Column:  # matches stand at odd places
+            own = F.struct((x["end"] - F.length(x["piece"])).alias("start"), F.lit(order).alias("ord"), x["end"].alias("end"), F.lit(name).alias("kind"))
+            return F.when((k % 2 == 1) & accept(x["piece"]), own)
+
+        return F.filter(F.transform(placed, span), lambda x: x.isNotNull())
+
+    marked = F.regexp_replace(text, pattern, f"{MARK}$0{MARK}")
+    return F.when(F.contains(marked, F.lit(MARK)), _let(F.split(marked, MARK, -1), found)).otherwise(F.array().cast(SPANS))
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start .. end of a text given as blocks of BLOCK code points."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    head = F.substring(F.element_at(blocks, first + 1), start % BLOCK + 1, F.least(end - start, F.lit(BLOCK)))
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.substring(F.element_at(blocks, last + 1), F.lit(1), end - last * BLOCK)
+    return F.when(end <= start, F.lit("")).when(first == last, head).otherwise(F.concat(head, middle, tail))
+
+
+def _filled(text: Column, spans: Column, fill) -> Column:
+    """``text`` with ``fill(length)`` in place of every span; spans, by start, may overlap and are then filled by turns."""
+
+    def joined_up(parts: Column) -> Column:
+        blocks, own, upto = parts["blocks"], parts["own"], parts["upto"]
+        before = F.concat(F.array(F.lit(0)), F.slice(upto, 1, F.size(upto) - 1))
+
+        def piece(x: Column) -> Column:
+            at = F.greatest(x["span"]["start"], x["before"])
+            return F.concat(_between(blocks, x["before"], at), fill(x["span"]["end"] - at, x["span"]["start"] >= x["before"]))
+
+        zipped = F.filter(F.zip_with(own, before, lambda s, b: F.struct(s.alias("span"), b.alias("before"))), lambda x: x["span"]["end"] > x["before"])
+        return F.concat(F.array_join(F.transform(zipped, piece), ""), _between(blocks, F.element_at(upto, -1), F.length(text)))
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    upto = _let(F.transform(spans, lambda s: s["end"]), lambda ends: _running(ends, F.greatest))
+    done = _let(F.struct(cut.alias("blocks"), spans.alias("own"), upto.alias("upto")), joined_up)
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def find_secrets(df: DataFrame, model: MarkovPair | None, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """Add column ``out``: array of (start, ord, end, kind) by start, then kind; code points, end exclusive.
 
-    Base spans come from the fixed patterns. With a model, runs of CANDIDATE whose mean
-    log-likelihood ratio passes its threshold are added as kind ``markov`` unless they touch
-    a base span. Null and empty texts have no spans. Every whole text is searched. Temporary
-    columns are named ``__nl_*``.
+    Base spans come from the fixed patterns. With a model, runs of letters, digits and joints in what
+    the base spans leave of the text are added as kind ``markov`` where the log-likelihood ratio of both
+    chains passes the model's threshold, and else those of their parts (between "/" and "=") that pass.
+    Every whole text is searched, and the work grows in proportion to its length, however many spans it has.
+
+    Null and empty texts have no spans. Ids are never read, so null or repeated ones make no
+    difference; rows that repeat are searched each. An empty table gives no rows. All other columns
+    stay; temporary ones are named ``__nl_*``.
     """
     text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(MARK), F.lit(SPARE))
     df = df.withColumn("__nl_text", text)
@@ -140,13 +221,17 @@ def find_secrets(df: DataFrame, model: MarkovPair | None, text_col: str = "text"
         else:
             df = df.withColumn(f"__nl_{name}", _spans(F.col("__nl_text"), order, name, pattern, lambda x, n=least: F.length(x) >= n))
     base = F.concat(*(F.col(f"__nl_{b[0]}") for b in BASE))
-    df = df.withColumn("__nl_base", base)
+    df = df.withColumn("__nl_base", F.sort_array(base))
     found = F.col("__nl_base")
     if model is not None:
-        df = df.withColumn("__nl_more", _spans(F.col("__nl_text"), len(BASE), LEARNED, CANDIDATE, lambda x: model.score(x) > model.threshold))
-        more = F.filter("__nl_more", lambda s: ~F.exists("__nl_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        found = F.concat(found, more)
-    return df.withColumn(out, F.sort_array(found)).drop("__nl_text", "__nl_base", "__nl_more", *(f"__nl_{b[0]}" for b in BASE))
+        taken = F.col("__nl_base")
+        for k, pattern in enumerate(CANDIDATES):
+            left = F.col(f"__nl_left{k}")
+            df = df.withColumn(f"__nl_left{k}", _filled(F.col(f"__nl_left{k - 1}" if k else "__nl_text"), taken, lambda n, _: F.repeat(F.lit(" "), n)))
+            df = df.withColumn(f"__nl_more{k}", _spans(left, len(BASE), LEARNED, pattern, lambda x: model.score(x) > model.threshold))
+            taken = F.col(f"__nl_more{k}")
+        found = F.sort_array(F.concat(found, *(F.col(f"__nl_more{k}") for k in range(len(CANDIDATES)))))
+    return df.withColumn(out, found).drop("__nl_text", "__nl_base", *(f"__nl_{n}{k}" for n in ("left", "more") for k in range(len(CANDIDATES))), *(f"__nl_{b[0]}" for b in BASE))
 
 
 def count_of(spans: Column, kind: str) -> Column:
@@ -160,17 +245,9 @@ def joined(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, placeholder: str = "[secret]") -> Column:
     """``text`` with every span replaced; spans that overlap are replaced together."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        add = F.when((s["start"] < acc["at"]), F.lit("")).otherwise(F.concat(gap, F.lit(placeholder)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], add).alias("out"))
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.length(text) - acc["at"], F.lit(0)))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _filled(text, spans, lambda _, first: F.when(first, F.lit(placeholder)).otherwise(F.lit("")))
 
 
 def default_model(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> MarkovPair:
-    """Both chains, trained on the two bounded samples above."""
-    return train(random_strings(docs.sparkSession).unionByName(ordinary_strings(docs, text_col, id_col)))
+    """Both chains, trained on the two bounded samples above, which are stored as two passes read them."""
+    return train(materialize(random_strings(docs.sparkSession).unionByName(ordinary_strings(docs, text_col, id_col)), "strings"))
