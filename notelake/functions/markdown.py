@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
+import itertools
 import json
 import posixpath
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, datetime, time
 from urllib.parse import unquote
@@ -83,6 +86,7 @@ def scalars(value) -> list[str]:
 
 # --- lines, headings, code ------------------------------------------------------------------
 
+# Fences and headings.
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 
@@ -139,13 +143,40 @@ class Chunk:
     start_line: int
 
 
+@dataclass(frozen=True)
+class _Span:
+    """Lines first .. last of a body under a heading; ``at`` is the line that a chunk of it reports."""
+
+    heading: str | None
+    level: int
+    at: int
+    first: int
+    last: int
+
+
+def _blocks(text: str) -> list[tuple[int, str]]:
+    """Runs of lines that aren't blank, with the number of the first line of each."""
+    lines = text.splitlines(keepends=True)
+    runs = itertools.groupby(enumerate(lines), key=lambda x: bool(x[1].strip()))
+    return [(own[0][0], "".join(line for _, line in own)) for full, run in runs if full and (own := list(run))]
+
+
+#: Ways to cut a text further, each with what joins its neighbours again: blocks, lines, words.
+_CUTS = (
+    (_blocks, "\n"),
+    (lambda text: list(enumerate(text.splitlines(keepends=True))), ""),
+    (lambda text: [(0, word) for word in text.split()], " "),
+)
+
+
 @dataclass(frozen=True)
 class HeadingChunker:
     """Sections at headings of level 1 and 2, and deeper ones where a word or character budget asks for it.
 
-    Documents of few lines stay whole. Without a budget nothing is cut further; with one, what no
-    heading can cut is cut at paragraphs, then lines, then words. Overlap repeats the last words of
-    the fragment before, within one section.
+    Documents of few lines stay whole. Without a budget nothing is cut further; with one, a section
+    over it is cut at headings of the next level, and what has none at blocks, then lines, then words
+    (a longer word stays whole). Overlap puts the last words of the fragment before, and an empty
+    line, in front of a fragment, within one section.
     """
 
     short_lines: int = 30
@@ -153,72 +184,60 @@ class HeadingChunker:
     max_chars: int | None = None
     overlap_words: int = 0
 
-    def _over(self, text: str) -> bool:
-        return (self.max_words is not None and len(text.split()) > self.max_words) or (self.max_chars is not None and len(text) > self.max_chars)
-
-    @property
-    def _budgeted(self) -> bool:
-        return self.max_words is not None or self.max_chars is not None
+    def _fits(self, text: str) -> bool:
+        return (self.max_words is None or len(text.split()) <= self.max_words) and (self.max_chars is None or len(text) <= self.max_chars)
 
     def chunk(self, body: str, metadata: dict | None = None) -> list[Chunk]:
-        lines = body.splitlines(keepends=True)
-        whole = Chunk(None, 0, body, 0)
-        if len(lines) > self.short_lines:
-            for levels in [(1, 2), *(((n,) for n in range(3, 7)) if self._budgeted else ())]:
-                if found := self._at(lines, levels, 0):
-                    return [c for f in found for c in self._within(f, levels[-1])]
-        return self._fragments(whole) if self._over(body) else [whole]
+        lines, marks = body.splitlines(keepends=True), headings(body)
+        budgeted = self.max_words is not None or self.max_chars is not None
+        whole = _Span(None, 0, 0, 0, len(lines))
+        # the first row of levels that the body has at all; its deepest level is where a descent goes on
+        rows = [(1, 2), *((n,) for n in range(3, 7) if budgeted)] if len(lines) > self.short_lines else []
+        used = next((row for row in rows if any(level in row for level, _, _ in marks)), None)
+        todo = [(part, used[-1]) for part in self._parts(whole, marks, used)] if used else [(whole, 6)]
+        out: list[Chunk] = []
+        todo.reverse()
+        while todo:
+            own, depth = todo.pop()
+            text = "".join(lines[own.first : own.last])
+            below = (depth + 1,)
+            if used and not text.strip():
+                continue
+            if self._fits(text):
+                out.append(Chunk(own.heading, own.level, text, own.at))
+            elif own.heading is not None and any(level in below and own.first <= line < own.last for level, _, line in marks):
+                todo += [(part, depth + 1) for part in reversed(self._parts(own, marks, below))]
+            else:
+                out += self._fragments(own, text)
+        return out
 
     @staticmethod
-    def _at(lines: list[str], levels: tuple[int, ...], base: int) -> list[Chunk]:
-        cuts = [(k, len(m[1]), m[2].strip()) for k, line in open_lines(lines) if (m := _HEADING.match(line.rstrip())) and len(m[1]) in levels]
-        if not cuts:
-            return []
-        parts = [Chunk(None, 0, "".join(lines[: cuts[0][0]]), base)]
-        for (k, level, text), after in zip(cuts, [*(c[0] for c in cuts[1:]), len(lines)], strict=True):
-            parts.append(Chunk(text, level, "".join(lines[k + 1 : after]), base + k))
-        return [p for p in parts if p.content.strip()]
-
-    def _within(self, own: Chunk, level: int) -> list[Chunk]:
-        if not self._budgeted or not self._over(own.content):
-            return [own]
-        if own.heading is not None and level < 6:
-            below = self._at(own.content.splitlines(keepends=True), (level + 1,), own.start_line + 1)
-            if below:
-                if below[0].heading is None:  # text before the first sub-heading stays with its section
-                    below[0].heading, below[0].heading_level = own.heading, own.heading_level
-                return [c for b in below for c in self._within(b, level + 1)]
-            return self._within(own, level + 1) if level + 1 < 6 else self._fragments(own)
-        return self._fragments(own)
-
-    def _fragments(self, own: Chunk) -> list[Chunk]:
-        parts: list[tuple[int, str]] = []
-        line = 0
-        for unit in self._units(own.content):
-            if parts and not self._over(parts[-1][1] + unit):
-                parts[-1] = (parts[-1][0], parts[-1][1] + unit)
+    def _parts(own: _Span, marks: list[tuple[int, str, int]], levels: tuple[int, ...]) -> list[_Span]:
+        """A span cut at headings of some levels; the lines before the first stay under the span's own heading."""
+        inner = [m for m in marks if m[0] in levels and own.first <= m[2] < own.last]
+        ends = [*(m[2] for m in inner[1:]), own.last]
+        lead = _Span(own.heading, own.level, own.first, own.first, inner[0][2])
+        return [lead, *(_Span(text, level, line, line + 1, end) for (level, text, line), end in zip(inner, ends, strict=True))]
+
+    def _fragments(self, own: _Span, text: str) -> list[Chunk]:
+        pieces = self._pieces(text, 0, 0) or [(0, text)]
+        lead = [""] + [" ".join(piece.split()[-self.overlap_words :]) if self.overlap_words > 0 else "" for _, piece in pieces[:-1]]
+        return [Chunk(own.heading, own.level, before + "\n\n" * bool(before) + piece, own.at + line) for before, (line, piece) in zip(lead, pieces, strict=True)]
+
+    def _pieces(self, text: str, line: int, depth: int) -> list[tuple[int, str]]:
+        """Neighbours joined while they fit; what doesn't fit alone is cut the next way."""
+        out: list[tuple[int, str]] = []
+        cut, glue = _CUTS[depth]
+        grows = False
+        for at, unit in cut(text):
+            if grows and self._fits(out[-1][1] + glue + unit):
+                out[-1] = (out[-1][0], out[-1][1] + glue + unit)
+            elif grows := self._fits(unit) or depth + 1 == len(_CUTS):
+                out.append((line + at, unit))
             else:
-                parts.append((line, unit))
-            line += unit.count("\n")
-        parts = [p for p in parts if p[1].strip()]
-        shift = 0 if own.heading is None else 1
-        out = [Chunk(own.heading, own.heading_level, text, own.start_line + (at + shift if k else 0)) for k, (at, text) in enumerate(parts)]
-        if self.overlap_words:
-            tails = [" ".join(text.split()[-self.overlap_words :]) for _, text in parts]
-            for k in range(1, len(out)):
-                out[k].content = tails[k - 1] + "\n" + out[k].content
+                out += self._pieces(unit, line + at, depth + 1)
         return out
 
-    def _units(self, text: str) -> list[str]:
-        """The largest pieces within the budget: paragraphs, else lines, else words, else characters."""
-        for pattern in (r".*?(?:\n[ \t]*\n\s*|\Z)", r"[^\n]*(?:\n|\Z)", r"\s*\S+\s*"):
-            pieces = [m[0] for m in re.finditer(pattern, text, re.S) if m[0]]
-            if len(pieces) > 1:
-                return [u for p in pieces for u in (self._units(p) if self._over(p) else [p])]
-        if self.max_chars and len(text) > self.max_chars:
-            return [text[k : k + self.max_chars] for k in range(0, len(text), self.max_chars)]
-        return [text]
-
 
 class WholeDocumentChunker:
     def chunk(self, body: str, metadata: dict | None = None) -> list[Chunk]:
@@ -269,14 +288,40 @@ class Link:
     end: int
 
 
-_BLOCK = re.compile(r"\n[ \t]*\n|\n(?=[ \t]{0,3}(?:#{1,6}\s|>|[-*+]\s|\d+[.)]\s))")
-_DEFINITION = re.compile(r"^ {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?[ \t]*$", re.M)
+# Shapes of lines that bound a paragraph, read behind the marks of block quotes.
+_QUOTED = re.compile(r"(?: {0,3}>[ \t]?)+")
+_RULE = re.compile(r"[ \t]*$| {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$| {0,3}(?:=+|-+)[ \t]*$")
+_TITLE_LINE = re.compile(r" {0,3}#{1,6}(?:[ \t]|$)")
+_ITEM = re.compile(r" {0,3}(?:[-+*]|\d{1,9}[.)])[ \t]+\S")
+_DEFINITION = re.compile(r"^ {0,3}\[((?!\^)(?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?[ \t]*$", re.M)
 _WIKI = re.compile(r"(?<!\\)!?\[\[((?:[^\[\]\n|\\]|\\(?!\|))+)(?:\\?\|((?:(?!\]\]).)*))?\]\]")
 _SCHEME = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:|//)")
+#: Characters of a reference's label at most.
+LONGEST_LABEL = 999
 
 
 def _label(text: str) -> str:
-    return " ".join(text.split()).casefold()
+    return text.strip().lower()
+
+
+def paragraphs(text: str) -> list[tuple[int, int]]:
+    """Ranges inside which a link may lie: blank lines and rules end one, a heading is one, list items and deeper quotes begin one."""
+    out: list[list[int]] = []
+    at, depth, going = 0, 0, False
+    for line in text.split("\n"):
+        quote = _QUOTED.match(line)
+        inner, before = line[quote.end() :] if quote else line, depth
+        depth = quote[0].count(">") if quote else 0
+        title = bool(_TITLE_LINE.match(inner))
+        if _RULE.match(inner):
+            going = False
+        elif going and not title and depth <= before and not _ITEM.match(inner):
+            out[-1][1] = at + len(line)
+        else:
+            out.append([at, at + len(line)])
+            going = not title
+        at += len(line) + 1
+    return [(a, b) for a, b in out]
 
 
 def _destination(raw: str) -> str | None:
@@ -301,19 +346,33 @@ def relative(target: str, source: str) -> str:
     return "/".join(parts)
 
 
-def _brackets(text: str) -> list[tuple[int, int]]:
-    """Matched pairs of square brackets, inner ones first."""
-    stack, pairs, at = [], [], 0
-    while at < len(text):
-        c = text[at]
-        if c == "\\":
-            at += 1
-        elif c == "[":
-            stack.append(at)
-        elif c == "]" and stack:
-            pairs.append((stack.pop(), at))
-        at += 1
-    return pairs
+def _linked(text: str, follow: Callable[[int, int], tuple | None]) -> Iterator[tuple[int, int, tuple]]:
+    """Brackets (open, close) that make a link with what follows them, and what ``follow`` says of it.
+
+    A closing bracket takes the nearest opening one. A link ends the hopes of all openings around it,
+    but not those of images, which may hold links and are none. ``follow`` gives a tuple whose last
+    value is the end of the link.
+    """
+    openings: list[tuple[int, bool]] = []
+    spent = 0  # openings below this height can't become links
+    at = 0
+    while (m := _BRACKET.search(text, at)) is not None:
+        at = m.end()
+        if m[0] in ("[", "!["):
+            openings.append((m.end() - 1, m[0] == "!["))
+        elif m[0] == "]" and openings:
+            start, image = openings.pop()
+            usable = image or len(openings) >= spent
+            spent = min(spent, len(openings))
+            found = follow(start, m.start()) if usable else None
+            if found is not None:
+                if not image:
+                    yield start, m.start(), found
+                    spent = len(openings)
+                at = found[-1]
+
+
+_BRACKET = re.compile(r"\\.|!?\[|\]", re.S)
 
 
 def _inline_end(text: str, at: int) -> tuple[str, int, int] | None:
@@ -340,23 +399,44 @@ def _inline_end(text: str, at: int) -> tuple[str, int, int] | None:
                 depth -= 1
             pos += 1
     tail = re.compile(r"(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)").match(text, pos)
-    return (text[start:pos], start, tail.end()) if tail else None
+    if tail:
+        return text[start:pos], start, tail.end()
+    # a name with blanks in it, up to the parenthesis that closes on the same line
+    spaced = re.compile(r"((?:[^()<>\\\n]|\\.|\((?:[^()\\\n]|\\.)*\))+?)[ \t]*\)").match(text, start)
+    return (spaced[1], start, spaced.end()) if spaced else None
+
+
+def _label_end(text: str, at: int) -> int | None:
+    """End of the bracketed label that opens at ``at``; brackets in it are balanced."""
+    if text[at : at + 1] != "[":
+        return None
+    depth = 0
+    for m in _BRACKET.finditer(text, at, at + LONGEST_LABEL + 2):
+        depth += {"[": 1, "![": 1, "]": -1}.get(m[0], 0)
+        if not depth:
+            return m.end()
+    return None
 
 
 def links(body: str, path: str, attachments: frozenset[str] = frozenset()) -> list[Link]:
-    """Links to notes, in order: inline, by reference (full, collapsed, shortcut) and wikilinks.
+    """Links to notes: first inline ones, then references (full, collapsed, shortcut), then wikilinks, each by place.
 
     Code, external targets, bare fragments, images and files that aren't notes are skipped, and no
-    link reaches across blocks. An inline target wins over a reference, that over a shortcut.
+    link reaches across paragraphs. An inline target goes before a reference. A label that is
+    written but not defined makes no link, and no shortcut of the text before it either.
     """
     masked = mask_code(body)
-    defined = {}
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    defined: dict[str, tuple[str, int]] = {}
     for m in _DEFINITION.finditer(masked):
         defined.setdefault(_label(m[1]), (m[2], m.start(2)))
-    open_text = _DEFINITION.sub(lambda m: " " * len(m[0]) if "\n" not in m[0] else re.sub(r"[^\n]", " ", m[0]), masked)
+    text = _DEFINITION.sub(blank, masked)
+    wikis = list(_WIKI.finditer(text))
+    open_text = _WIKI.sub(blank, text)
     found: list[Link] = []
 
-    def add(kind: str, text: str, raw: str, start: int, wiki: bool = False) -> None:
+    def add(kind: str, label: str, raw: str, start: int) -> None:
+        wiki = kind == "wikilink"
         dest = raw if wiki else _destination(raw)
         if dest is None:
             return
@@ -368,37 +448,34 @@ def links(body: str, path: str, attachments: frozenset[str] = frozenset()) -> li
         full = target if wiki else relative(target, path)
         if not full.endswith(".md"):
             full += ".md"
-        found.append(Link(full.lstrip("/"), " ".join(text.split()), kind, fragment if mark else None, raw, start, start + len(raw)))
-
-    taken: list[tuple[int, int]] = []
-    for m in _WIKI.finditer(open_text):
+        found.append(Link(full.lstrip("/"), " ".join(label.split()), kind, fragment if mark else None, raw, start, start + len(raw)))
+
+    parts = paragraphs(open_text)
+    for base, end in parts:
+        part = open_text[base:end]
+
+        def inline(_: int, close: int, part: str = part) -> tuple | None:
+            return _inline_end(part, close + 1)
+
+        for start, close, (raw, at, _) in sorted(_linked(part, inline)):
+            add("markdown", text[base + start + 1 : base + close], raw, base + at)
+    for base, end in parts:
+        part = open_text[base:end]
+
+        def reference(start: int, close: int, part: str = part) -> tuple | None:
+            if _inline_end(part, close + 1):
+                return None
+            until = _label_end(part, close + 1)
+            name = part[close + 2 : until - 1] if until else ""
+            target = defined.get(_label(name if name.strip() else part[start + 1 : close]))
+            return (*target, until or close + 1) if target else None
+
+        for start, close, (raw, at, _) in sorted(_linked(part, reference)):
+            add("reference", text[base + start + 1 : base + close], raw, at)
+    for m in wikis:
         if not m[0].startswith("!"):
-            add("wikilink", m[2] if m[2] is not None else m[1], m[1], m.start(1), wiki=True)
-        taken.append(m.span())
-    at = 0
-    for block in [*(m.start() for m in _BLOCK.finditer(open_text)), len(open_text)]:
-        part, base = open_text[at:block], at
-        at = block
-        done: list[tuple[int, int]] = []
-        pairs = _brackets(part)
-        for lo, hi in sorted(pairs, key=lambda p: (p[1] - p[0], p[0])):
-            span = (base + lo, base + hi)
-            if any(a <= span[0] < b for a, b in taken) or any(a < hi and lo < b for a, b in done):
-                continue
-            image = part[lo - 1 : lo] == "!" and part[lo - 2 : lo - 1] != "\\"
-            text = part[lo + 1 : hi]
-            if inline := _inline_end(part, hi + 1):
-                done.append((lo, inline[2]))
-                if not image:
-                    add("markdown", text, inline[0], base + inline[1])
-                continue
-            follow = next(((a, b) for a, b in pairs if a == hi + 1), None)
-            name = part[follow[0] + 1 : follow[1]] if follow else ""
-            target = defined.get(_label(name or text))
-            if target and not image and not text.startswith("^"):
-                done.append((lo, follow[1] + 1 if follow else hi + 1))
-                add("reference", text, target[0], target[1])
-    return sorted(found, key=lambda x: (x.start, x.end)) if not any(x.kind == "reference" for x in found) else found
+            add("wikilink", m[2] if m[2] is not None else m[1], m[1], m.start(1))
+    return found
 
 
 def splice(text: str, changes: list[tuple[int, int, str]]) -> str:
@@ -449,20 +526,71 @@ def markers(body: str) -> dict[str, int]:
     return counts
 
 
+def _source_ids(sources) -> dict[str, list[int]]:
+    """Places of the sources that have each non-empty id."""
+    ids: dict[str, list[int]] = {}
+    for k, source in enumerate(sources if isinstance(sources, list) else []):
+        if isinstance(source, dict) and isinstance(source.get("id"), str) and source["id"]:
+            ids.setdefault(source["id"], []).append(k)
+    return ids
+
+
+def _resource(source) -> str:
+    value = source.get("resource") if isinstance(source, dict) else None
+    return value if isinstance(value, str) and value.strip() else ""
+
+
 def citations(metadata: dict, body: str) -> list[tuple[str, str, int, str]]:
-    """(label, status, occurrences, resource): declared sources with label "", and each footnote label joined to source ids.
+    """(label, status, occurrences, resource) of a note with footnote marks and sources that name resources; else nothing.
 
-    A label is matched, unmatched or ambiguous as one, no or several sources have it as id.
+    First every distinct resource, with label "" and status declared. Then every footnote label:
+    matched, unmatched or ambiguous as one, no or several sources have it as id, and invalid_resource
+    where the one that has it names none. Only matched labels carry a resource.
     """
-    declared = [s for s in metadata.get("sources") or [] if isinstance(s, dict) and isinstance(s.get("resource"), str)] if isinstance(metadata.get("sources"), list) else []
-    out = [("", "declared", 0, s["resource"]) for s in declared]
+    sources = metadata.get("sources")
+    declared = dict.fromkeys(r for s in sources if (r := _resource(s))) if isinstance(sources, list) else {}
+    if not declared or "[^" not in body:
+        return []
+    out = [("", "declared", 0, r) for r in declared]
+    ids = _source_ids(sources)
     for label, n in markers(body).items():
-        same = [s["resource"] for s in declared if str(s.get("id", "")) == label]
-        status = {0: "unmatched", 1: "matched"}.get(len(same), "ambiguous")
-        out.append((label, status, n, same[0] if len(same) == 1 else ""))
+        same = ids.get(label, [])
+        resource = _resource(sources[same[0]]) if len(same) == 1 else ""
+        status = "unmatched" if not same else "ambiguous" if len(same) > 1 else "matched" if resource else "invalid_resource"
+        out.append((label, status, n, resource))
     return out
 
 
+def inspect_citations(text: str) -> dict:
+    """Sources and footnote labels of one whole text: joins, repeated ids, sources without an id, and flaws of ids."""
+    plain_text = text.replace("\r\n", "\n").replace("\r", "\n")
+    metadata, body = split_front_matter(plain_text)
+    sources = metadata.get("sources")
+    ids = _source_ids(sources)
+    issues, unkeyed = [], []
+    if "sources" in metadata and not isinstance(sources, list):
+        issues.append("sources is not a list")
+    for k, source in enumerate(sources if isinstance(sources, list) else []):
+        if not isinstance(source, dict):
+            issues.append(f"sources[{k}] is not a mapping")
+        elif "id" not in source:
+            unkeyed.append(k)
+        elif not isinstance(source["id"], str) or not source["id"]:
+            issues.append(f"sources[{k}].id is not a nonempty string")
+    joined = []
+    for label, n in markers(body).items():
+        same = ids.get(label, [])
+        joined.append({"id": label, "status": ("unmatched", "matched")[len(same)] if len(same) < 2 else "ambiguous", "occurrences": n, "source_indices": same})
+    return {
+        "returned_text_sha256": hashlib.sha256(plain_text.encode("utf-8", "surrogatepass")).hexdigest(),
+        "sources": plain(sources),
+        "citations": joined,
+        "source_issues": issues,
+        "duplicate_ids": [label for label, same in ids.items() if len(same) > 1],
+        "unkeyed_source_indices": unkeyed,
+    }
+
+
 def wikilinks_to_markdown(body: str, path: str, resolved: dict[str, str]) -> tuple[str, int, int]:
     """Wikilinks with a known target as Markdown links, aliases kept; how many were converted and how many not."""
     changes, left = [], 0

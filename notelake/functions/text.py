@@ -117,28 +117,35 @@ def snippet(text: str, query_terms: set[str], n: int) -> str:
 
 
 # Characters that match as one.
-_DASHES = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-")
-_QUOTES = {**dict.fromkeys(map(ord, "‘’‚‛′"), "'"), **dict.fromkeys(map(ord, "“”„‟″"), '"')}
+_SAME = str.maketrans("\u2013\u2014\u201c\u201d\u2018\u2019", "--\"\"''")
 
 
 def normal_form(text: str) -> tuple[str, list[int]]:
-    """NFC, dashes and quotes as ASCII, white space runs as one space; and each character's place in ``text``."""
+    """NFC, dashes and quotes as ASCII, blanks of a line as one and none at its end; and each character's place in ``text``."""
     out: list[str] = []
     places: list[int] = []
+
+    def end_line() -> None:
+        while out and out[-1] != "\n" and out[-1].isspace():
+            out.pop()
+            places.pop()
+
     at = 0
     while at < len(text):
         end = at + 1
         while end < len(text) and unicodedata.combining(text[end]):
             end += 1
-        part = unicodedata.normalize("NFC", text[at:end]).translate(_DASHES).translate(_QUOTES)
-        for c in part:
-            if c.isspace():
+        for c in unicodedata.normalize("NFC", text[at:end]).translate(_SAME):
+            if c in " \t":
                 if out and out[-1] == " ":
                     continue
                 c = " "
+            elif c == "\n":
+                end_line()
             out.append(c)
             places.append(at)
         at = end
+    end_line()
     return "".join(out), places
 
 
