@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
 from ..functions.fts_query import Combine, Near, Node, Phrase, parse_lenient, phrases
@@ -22,39 +26,56 @@ def simple_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def _plain_tokens(texts: pa.Array) -> pa.ListArray:
+    return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), "[^a-z0-9]+")
+
+
+def _stemmed_tokens(texts: pa.Array) -> pa.ListArray:
+    return pa.array([T.terms(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def _flat(tokens: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row, term and place in its row of every token that isn't empty."""
+    rows, terms = pc.list_parent_indices(tokens), pc.list_flatten(tokens)
+    full = pc.not_equal(terms, "")
+    rows, terms = rows.filter(full).to_numpy(zero_copy_only=False), terms.filter(full)
+    first = np.searchsorted(rows, np.arange(len(tokens)))
+    return rows, terms, np.arange(len(rows)) - first[rows]
+
+
 def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of rows (path, ordinal, <columns>). Stemmed terms need Python, plain ones don't."""
-    if not stemmed:
-        tokens_of = lambda c: simple_terms(F.coalesce(F.col(c), F.lit("")))
-        size = reduce(lambda a, b: a + b, (F.size(tokens_of(c)) for c in columns)).cast("long")
-        each = [rows.select("path", "ordinal", F.lit(c).alias("col"), size.alias("dl"), F.posexplode(tokens_of(c)).alias("pos", "term")) for c in columns]
-        tokens = reduce(DataFrame.unionByName, each)
-        postings = tokens.groupBy("term", "path", "ordinal", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl"))
-        return postings.select(*POSTINGS.fieldNames()), rows.select("path", "ordinal", size.alias("dl"))
+    """(postings, lengths) of rows (path, ordinal, <columns>).
 
+    A chunk's postings lie in its own row, so nothing is shuffled: each Arrow batch is cut into tokens
+    and grouped by row and term at once. Lengths of unstemmed chunks need no Python.
+    """
     own = rows.select(*dict.fromkeys(["path", "ordinal", *columns]))  # the path may be searched too
+    schema = to_arrow_schema(POSTINGS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens_of = _stemmed_tokens if stemmed else _plain_tokens
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                found = {c: T.terms(row[c] or "") for c in columns}
-                size = sum(map(len, found.values()))
-                for c, terms in found.items():
-                    places: dict[str, list[int]] = {}
-                    for at, term in enumerate(terms):
-                        places.setdefault(term, []).append(at)
-                    out += [(term, row["path"], row["ordinal"], c, len(p), p, size) for term, p in places.items()]
-            yield pd.DataFrame(out, columns=POSTINGS.fieldNames())
-
-    postings = own.mapInPandas(run, POSTINGS)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = {c: _flat(tokens_of(batch.column(c))) for c in columns}
+            size = pa.array(sum(np.bincount(at, minlength=batch.num_rows) for at, _, _ in found.values()), pa.int64())
+            for c, (at, terms, places) in found.items():
+                if not len(at):
+                    continue
+                grouped = pa.table({"row": at, "term": terms, "p": pa.array(places, pa.int32())}).group_by(["row", "term"], use_threads=False).aggregate([("p", "list")]).combine_chunks()
+                row, positions = grouped["row"].combine_chunks(), grouped["p_list"].combine_chunks()
+                values = [grouped["term"].combine_chunks(), batch.column("path").take(row), batch.column("ordinal").take(row), pa.repeat(pa.scalar(c), len(row)), pc.list_value_length(positions), positions, size.take(row)]
+                yield pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    if not stemmed:
+        tokens = (F.size(simple_terms(F.coalesce(F.col(c), F.lit("")))) for c in columns)
+        return own.mapInArrow(run, POSTINGS), rows.select("path", "ordinal", reduce(lambda a, b: a + b, tokens).cast("long").alias("dl"))
+    lengths = to_arrow_schema(LENGTHS)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["dl"] = [sum(len(T.words(r[c] or "")) for c in columns) for r in batch.to_dict("records")]
-            yield batch[LENGTHS.fieldNames()]
+            size = [sum(len(T.words(t or "")) for t in texts) for texts in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("ordinal").cast(lengths.field("ordinal").type), pa.array(size, pa.int64())], schema=lengths)
 
-    return postings, own.mapInPandas(measure, LENGTHS)
+    return own.mapInArrow(run, POSTINGS), own.mapInArrow(measure, LENGTHS)
 
 
 KEY = ("path", "ordinal", "col")
