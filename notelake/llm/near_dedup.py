@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .arrow_map import give_back, map_rows
-from .components import connected_components
+from .components import connected_components, grown
 from .store import materialize, release
 
 SHINGLE = 5
@@ -176,7 +176,6 @@ def _together(rows: DataFrame, sets: DataFrame, keys: list[str], schema: StructT
     That gives two functions: one takes a row (keys, side, id, elements) and one ends the input;
     both return lists of tuples of ``schema``.
     """
-    rows = materialize(rows, "groups")
     members = rows.join(sets, "id").select(*keys, "side", "id", "elements").repartition(*keys).sortWithinPartitions(*keys, "side")
     arrow = to_arrow_schema(schema)
 
@@ -228,7 +227,7 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     member's at a time. An id with several sets has the largest of their similarities.
     """
     spokes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = pairs.join(materialize(spokes, "spokes"), "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
+    dealt = pairs.join(spokes, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
     hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.lit(0).alias("side"), F.col("hub").alias("id"))
 
     def start() -> tuple[Callable, Callable]:
@@ -264,10 +263,10 @@ def _crossed(rows: DataFrame) -> DataFrame:
     The largest component of a group needs no pairs of its own: its blocks meet the blocks of the
     rest, and those meet each other, two by two. So no task holds a whole group.
     """
-    parts = materialize(rows.groupBy("grp", "component").agg(F.sum("weight").alias("n")), "parts")
+    parts = rows.groupBy("grp", "component").agg(F.sum("weight").alias("n"))
     tops = parts.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
     tops = tops.select("grp", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"))
-    rows = materialize(rows.join(materialize(tops, "tops"), "grp").withColumn("in_top", F.col("component") == F.col("top")), "sided")
+    rows = materialize(rows.join(tops, "grp").withColumn("in_top", F.col("component") == F.col("top")), "sided")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("in_top"), F.col("top_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
     rows = rows.withColumn("own", own)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -282,7 +281,7 @@ def _crossed(rows: DataFrame) -> DataFrame:
 def _spanning(rows: DataFrame) -> DataFrame:
     """The rows (grp, id, component, ...) of groups that hold more than one component."""
     groups = rows.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("grp")
-    return rows.join(materialize(groups, "spanning"), "grp")
+    return rows.join(groups, "grp")
 
 
 def _joined(rows: DataFrame, forest: DataFrame | None) -> DataFrame:
@@ -293,13 +292,6 @@ def _joined(rows: DataFrame, forest: DataFrame | None) -> DataFrame:
     return rows.join(forest.withColumnRenamed("node", "member"), F.col("id") == F.col("member"), "left").select(*rows.columns, F.coalesce("component", "id").alias("component"))
 
 
-def _grown(forest: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components (node, component) after more links."""
-    if forest is not None:
-        links = links.unionByName(forest.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return connected_components(links)
-
-
 def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame | None, metric: bool) -> DataFrame:
     """Components after all links within groups (grp, id, weight) are confirmed.
 
@@ -310,26 +302,25 @@ def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame |
     shells go on as groups. At the end the blocks of what is left meet, which is exact.
     """
     rows = materialize(_spanning(_joined(rows, forest)), "members")
-    sizes = materialize(rows.groupBy("grp").agg(F.sum("weight").alias("size")), "sizes")
-    small = rows.join(sizes.filter(F.col("size") <= LISTED).select("grp"), "grp")
-    forest = _grown(forest, _verify(_listed(small), sets, percent))
-    rows = materialize(rows.join(sizes.filter(F.col("size") > LISTED).select("grp"), "grp").select("grp", "id", "weight"), "large")
+    sizes = rows.groupBy("grp").agg(F.sum("weight").alias("size"))
+    rows = materialize(rows.join(sizes, "grp"), "sized")
+    forest = grown(forest, _verify(_listed(rows.filter(F.col("size") <= LISTED)), sets, percent))
+    rows = rows.filter(F.col("size") > LISTED).select("grp", "id", "weight")
     for _ in range(STARS):
         rows = materialize(_spanning(_joined(rows, forest)), "members")
         if rows.isEmpty():
             return forest
-        hubs = materialize(rows.groupBy("grp").agg(F.min("id").alias("hub")), "hubs")
+        hubs = rows.groupBy("grp").agg(F.min("id").alias("hub"))
         spokes = materialize(rows.join(hubs, "grp").filter("id <> hub").select("grp", "hub", "id", "weight"), "spokes")
         measured = materialize(_measure(spokes.select("hub", "id").distinct(), sets), "measured")
-        forest = _grown(forest, measured.filter(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        forest = grown(forest, measured.filter(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("hub").alias("a"), F.col("id").alias("b")))
         # the hub itself has met all of its group
         shell = F.floor((1 - F.col("shared") / F.col("joint")) / (1.000001 - percent / 100)) if metric and percent < 100 else F.lit(0)
-        rows = spokes.join(measured, ["hub", "id"]).withColumn("shell", shell)
         both = F.array("shell", F.col("shell") - 1) if metric and percent < 100 else F.array("shell")
-        rows = rows.withColumn("shell", F.explode(both)).select(F.concat_ws("/", "grp", F.col("shell").cast("string")).alias("grp"), "id", "weight")
-        rows = materialize(rows, "shells")
+        rows = spokes.join(measured, ["hub", "id"]).withColumn("shell", shell).withColumn("shell", F.explode(both))
+        rows = rows.select(F.concat_ws("/", "grp", F.col("shell").cast("string")).alias("grp"), "id", "weight")
     rows = materialize(_spanning(_joined(rows, forest)), "members")
-    return forest if rows.isEmpty() else _grown(forest, _verify(_crossed(rows), sets, percent))
+    return forest if rows.isEmpty() else grown(forest, _verify(_crossed(rows), sets, percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -357,7 +348,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     banded = own.filter("bands is not null").select(F.posexplode("bands").alias("at", "band"), "id", weight.alias("weight"))
     shared = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band"), "buckets")
     candidates = materialize(banded.join(shared, "band").select("at", F.col("band").cast("string").alias("grp"), "id", "weight"), "candidates")
-    wanted = materialize(candidates.select("id").distinct(), "wanted")
+    wanted = candidates.select("id").distinct()
     # merged at every size: the table of wanted ids grows with the input
     sets = materialize(_sets(docs.join(wanted.hint("merge"), "id"), k), "elements")
 
