@@ -85,6 +85,10 @@ class DocumentFilter:
     tags: tuple[tuple[str, str], ...] = ()
     modified_from: float | None = None
     modified_to: float | None = None
+    type: str | None = None
+    status: str | None = None
+    stale: bool | None = None
+    trust_tier: str | None = None
     indexed_keys: frozenset[str] | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
@@ -94,10 +98,19 @@ class DocumentFilter:
             raise InvalidRequest(f"unknown scope {self.scope!r}")
         if self.indexed_keys is not None and (unknown := {k for k, _ in self.tags} - self.indexed_keys):
             raise InvalidRequest(f"fields that aren't indexed: {sorted(unknown)}")
+        for name in ("type", "status", "trust_tier"):
+            _clean(name, getattr(self, name))
         if None not in (self.modified_from, self.modified_to) and self.modified_from > self.modified_to:
             raise InvalidRequest("modified_from is after modified_to")
 
 
+    @property
+    def derived(self) -> list[tuple[str, str]]:
+        """Restrictions on maintained metadata, as column and value."""
+        own = {k: getattr(self, k) for k in ("type", "status", "stale", "trust_tier")}
+        return [(k, str(v).lower() if isinstance(v, bool) else v) for k, v in own.items() if v is not None]
+
+
 def check_page(limit: int, offset: int) -> tuple[int, int]:
     if not 1 <= limit <= MAX_PAGE:
         raise InvalidRequest(f"limit must be 1 to {MAX_PAGE}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -145,6 +146,8 @@ def bm25(postings: DataFrame, lengths: DataFrame, node: Node, weights: dict[str,
     ``totals`` is a stored row (n, avg) of ``lengths``; without it they are counted.
     """
     weight = F.lit(1.0)
+    if unknown := sorted(set(weights or {}) - set(COLUMNS)):
+        warnings.warn(f"no columns to weight: {unknown}", stacklevel=2)
     for name, w in (weights or {}).items():
         if name in COLUMNS:
             weight = F.when(F.col("col") == name, F.lit(float(w))).otherwise(weight)

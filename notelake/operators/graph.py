@@ -70,27 +70,30 @@ def undirected(links: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def distances(links: DataFrame, documents: DataFrame, start: str, depth: int) -> DataFrame:
+def distances(links: DataFrame, documents: DataFrame, start: str, depth: int, goal: str | None = None) -> DataFrame:
     """Rows (path, distance, previous) of all notes within ``depth`` undirected steps; previous is the least predecessor.
 
-    One join per step; the visited set is written out at each, as plans would else grow with depth.
+    One join per step; each step's frontier is kept, as plans would else grow with depth. With a goal
+    the walk ends with the step that reaches it.
     """
     both = undirected(links, documents).persist()
-    seen = live(documents).filter(F.col("path") == start).select("path", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("previous"))
-    frontier = seen
+    frontier = live(documents).filter(F.col("path") == start).select("path", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("previous")).persist()
+    seen = frontier
     for step in range(1, depth + 1):
         ahead = frontier.select(F.col("path").alias("a")).join(both, "a").groupBy(F.col("b").alias("path")).agg(F.min("a").alias("previous"))
         frontier = ahead.join(seen.select("path"), "path", "left_anti").select("path", F.lit(step).alias("distance"), "previous").persist()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if goal is not None and not frontier.filter(F.col("path") == goal).isEmpty():
+            break
+    both.unpersist()
     return seen
 
 
 def shortest_path(links: DataFrame, documents: DataFrame, start: str, goal: str, max_depth: int = 10) -> list[str] | None:
     """Notes on a shortest undirected path, ends included; None if there is none within 1 to 10 steps."""
-    max_depth = min(max(max_depth, 1), 10)
-    found = distances(links, documents, start, max_depth).persist()
+    found = distances(links, documents, start, min(max(max_depth, 1), 10), goal)
     path, at = [], goal
     while True:
         row = found.filter(F.col("path") == at).first()

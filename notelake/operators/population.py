@@ -18,8 +18,11 @@ def live(documents: DataFrame) -> DataFrame:
     return documents.filter("skip_category is null") if "skip_category" in documents.columns else documents
 
 
-def population(documents: DataFrame, tags: DataFrame, where: DocumentFilter, hits: DataFrame | None = None) -> DataFrame:
-    """Distinct live notes that pass every restriction; with ``hits`` (path, score) also their best score."""
+def population(documents: DataFrame, tags: DataFrame, where: DocumentFilter, hits: DataFrame | None = None, okf: DataFrame | None = None) -> DataFrame:
+    """Distinct live notes that pass every restriction; with ``hits`` (path, score) also their best score.
+
+    ``okf`` (path, type, status, stale, trust_tier) is read only where a restriction names one of its columns.
+    """
     out = live(documents)
     if where.path is not None:
         out = out.filter(F.col("path") == where.path)
@@ -37,6 +40,13 @@ def population(documents: DataFrame, tags: DataFrame, where: DocumentFilter, hit
     for key, value in where.tags:
         own = tags.filter((F.col("tag_key") == key) & (F.col("tag_value") == value)).select("path")
         out = out.join(own, "path", "left_semi")
+    if where.derived:
+        if okf is None:
+            raise InvalidRequest("the table of maintained metadata is needed")
+        own = okf
+        for key, value in where.derived:
+            own = own.filter(F.col(key).cast("string") == value)
+        out = out.join(own.select("path"), "path", "left_semi")
     if hits is not None:
         out = out.join(hits.groupBy("path").agg(F.max("score").alias("score")), "path")
     return out
@@ -72,7 +82,8 @@ def group_keys(selected: DataFrame, tags: DataFrame, by: str, tag_key: str | Non
 def aggregate(keys: DataFrame, limit: int = 100) -> DataFrame:
     """Top buckets (key, n, truncated) by count, folded key and key, null first."""
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    order = (F.desc("n"), F.asc_nulls_first(F.lower("key")), F.asc_nulls_first("key"))
+    folded = F.lower(F.upper("key"))  # upper case first, so that letters like sharp s fold too
+    order = (F.desc("n"), F.asc_nulls_first(folded), F.asc_nulls_first("key"))
     top = buckets.orderBy(*order).limit(limit + 1)
     at = F.row_number().over(Window.orderBy(*order))  # over limit + 1 rows at most
     numbered = top.withColumn("_at", at)
@@ -88,7 +99,10 @@ def distinct_folders(documents: DataFrame) -> DataFrame:
     return live(documents).select("folder").distinct().orderBy("folder")
 
 
-def distinct_values(tags: DataFrame, tag_key: str) -> DataFrame:
+def distinct_values(tags: DataFrame, tag_key: str, indexed_keys: frozenset[str] | None = None) -> DataFrame:
+    """Values of an indexed field; a key that isn't one of ``indexed_keys`` is refused."""
+    if indexed_keys is not None and tag_key not in indexed_keys:
+        raise InvalidRequest(f"{tag_key!r} isn't an indexed field; there are {sorted(indexed_keys)}")
     return tags.filter(F.col("tag_key") == tag_key).select("tag_value").distinct().orderBy("tag_value")
 
 
@@ -130,6 +144,33 @@ def chunk_counts(documents: DataFrame, paths: list[str] | None = None) -> DataFr
     return out if paths is None else out.filter(F.col("path").isin(paths))
 
 
+def chunks(documents: DataFrame, sections: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """All chunks of live notes, or of the notes that ``paths`` (path) names, by path and order in the note."""
+    own = sections.join(live(documents).select("path"), "path", "left_semi")
+    return (own if paths is None else own.join(paths.select("path"), "path", "left_semi")).orderBy("path", "ordinal")
+
+
+def chunk_page(documents: DataFrame, sections: DataFrame, after: tuple[str, int] | None = None, limit: int = 1000) -> DataFrame:
+    """The next ``limit`` chunks behind a place (path, ordinal); the last row's place asks for the next page."""
+    own = sections.join(live(documents).select("path"), "path", "left_semi")
+    if after is not None:
+        own = own.filter((F.col("path") > after[0]) | ((F.col("path") == after[0]) & (F.col("ordinal") > after[1])))
+    return own.orderBy("path", "ordinal").limit(limit)
+
+
+def with_attachments(documents: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Notes and attachments in one listing (path, folder, kind, title, mime) by path."""
+    title = F.col("title") if "title" in documents.columns else F.lit(None).cast("string")
+    notes = live(documents).select("path", "folder", F.lit("note").alias("kind"), title.alias("title"), F.lit("text/markdown").alias("mime"))
+    files = attachments.select("path", "folder", F.lit("attachment").alias("kind"), F.lit(None).cast("string").alias("title"), "mime")
+    return notes.unionByName(files).orderBy("path")
+
+
+def histogram(okf: DataFrame, column: str) -> DataFrame:
+    """Notes by the value of a derived column, those without any metadata left out."""
+    return okf.filter("status is not null").groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+
+
 def with_sections(selected: DataFrame, sections: DataFrame, per_note: int, scores: DataFrame | None = None) -> DataFrame:
     """Each note of a page with its best ``per_note`` sections as an array, best first.
 

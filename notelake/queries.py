@@ -378,28 +378,19 @@ def vector_similar(spark: SparkSession, sf: str) -> DataFrame:
     return vector.similar(vectors(spark, sf), "4", 15).select("path", "ordinal", _r("score"))
 
 
-@query("""s AS (SELECT q.path AS query_path, d.path, d.ordinal, list_dot_product(d.v, q.v) AS score FROM vectors q, vectors d WHERE q.path IN ('1', '2', '3') AND q.ordinal = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_path ORDER BY score DESC, path, ordinal)::INT AS rank FROM s)
-SELECT query_path AS query_id, rank, path, ordinal, round(score, 6) AS score FROM r WHERE rank <= 10""")
-def vector_batch(spark: SparkSession, sf: str) -> DataFrame:
-    own = vectors(spark, sf)
-    asked = own.filter(F.col("path").isin("1", "2", "3") & (F.col("ordinal") == 0)).select(F.col("path").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.batch_semantic(own, asked, 10).select("query_id", "rank", "path", "ordinal", _r("score"))
-
-
 @query("""s AS (SELECT q.path AS query_path, d.path, d.ordinal, list_dot_product(d.v, q.v) AS score FROM vectors q, vectors d WHERE (q.path::BIGINT * 5 + q.ordinal) % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_path ORDER BY score DESC, path, ordinal)::INT AS rank FROM s)
 SELECT query_path AS query_id, rank, path, ordinal, round(score, 6) AS score FROM r WHERE rank <= 10""")
-def vector_batch_all(spark: SparkSession, sf: str) -> DataFrame:
+def vector_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every row whose vec_id is divisible by 20 against all rows."""
     own = vectors(spark, sf)
     asked = own.filter(F.col("vec_id") % 20 == 0).select(F.col("path").alias("query_id"), F.col("embedding").alias("query"))
     return vector.batch_semantic(own, asked, 10).select("query_id", "rank", "path", "ordinal", _r("score"))
 
 
-_RRF = _HITS + """kr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score / (1 + 0.25 * ln(chunk_count)) DESC, path, ordinal) AS rank, folder FROM k QUALIFY rank <= 200),
+_RRF = _HITS + """kr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score / (1 + 0.25 * ln(chunk_count)) DESC, path, ordinal) AS rank, folder FROM k),
 vs AS (SELECT n.path, 0 AS ordinal, list_dot_product(v.v, q.v) AS score, n.folder FROM vectors v, (SELECT v FROM vectors WHERE path = '1' AND ordinal = 2) q, notes n WHERE n.doc_id = (v.path::INT * 5 + v.ordinal)),
-vr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score DESC, path, ordinal) AS rank, folder FROM vs QUALIFY rank <= 200),
+vr AS (SELECT path, ordinal, row_number() OVER (ORDER BY score DESC, path, ordinal) AS rank, folder FROM vs),
 u AS (SELECT path, rank, 'keyword' AS channel FROM kr UNION ALL SELECT path, rank, 'semantic' FROM vr),
 f AS (SELECT path, sum(1.0 / (60 + rank)) AS score, string_agg(DISTINCT channel, '+' ORDER BY channel) AS search_type FROM u GROUP BY path)
 SELECT path, round(score, 6) AS score, search_type FROM f ORDER BY f.score DESC, path LIMIT 25"""
@@ -416,11 +407,6 @@ def _channels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(_RRF)
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.hybrid(*_channels(spark, sf), 25, 1, pool=200).select("path", _r("score"), "search_type")
-
-
-@query(_RRF.replace(" QUALIFY rank <= 200", ""))
-def hybrid_rrf_all(spark: SparkSession, sf: str) -> DataFrame:
     """Both channels ranked in full before they are fused."""
     return ranking.hybrid(*_channels(spark, sf), 25, 1, whole=True).select("path", _r("score"), "search_type")
 
@@ -549,20 +535,12 @@ def okf_audit(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf)["okf"].select(F.explode("findings").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x AS (SELECT 1) SELECT sum(len(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')))::BIGINT AS words FROM notes WHERE regexp_full_match(text, '[ -~\n\u00A1-\u024F]*')")
-def chunk_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of plain notes after cutting under the budget, without overlap: none may be lost."""
-    own = notes(spark, sf).filter(F.col("text").rlike("^[ -~\\n\\u00A1-\\u024F]*\\z")).select("path", F.col("modified_at").alias("mtime"), F.col("text").cast("binary").alias("content"))
-    cut = source.tables(source.parse(own, source.ParseOptions(max_chunk_words=100, overlap_words=0, short_lines=0)))["sections"]
-    return cut.agg(F.sum(F.size(F.split(F.trim(F.regexp_replace("content", "\\s+", " ")), " "))).alias("words"))
-
-
 # white space as str.split and the chunker have it
 _SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 @query(f"x AS (SELECT 1) SELECT path, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda w: w <> ''))::BIGINT AS words FROM notes")
-def chunk_words(spark: SparkSession, sf: str) -> DataFrame:
+def chunk_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Words of every note after cutting under the budget, without overlap: none may be lost.
 
     Sections keep neither front matter nor heading lines, so an empty block goes first and a # at a line's start is indented.
@@ -621,3 +599,6 @@ def summary_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE["summary_pack"] = ORACLE["summary_pack"].replace("\nWITH notes", "\nWITH RECURSIVE notes", 1)
+
+
+from . import vault_queries  # noqa: E402,F401  registers its own queries here

@@ -22,7 +22,10 @@ from ..functions import okf
 from ..functions.patterns import fnmatch_regex
 from ..model import ALIASES, CITATIONS, COMMITS, DOCUMENTS, HEADINGS, LINKS, SECTIONS, TAGS, schema
 
-ATTACHMENTS = frozenset("png jpg jpeg gif svg webp bmp pdf mp3 mp4 wav ogg webm mov csv tsv json txt docx xlsx pptx zip".split())
+# Fixed value: suffixes of the files beside notes that count as attachments by default.
+ATTACHMENTS = frozenset(
+    "pdf docx xlsx pptx odt ods odp png jpg jpeg gif webp svg bmp tiff zip tar gz mp3 mp4 wav ogg txt csv tsv json yaml toml xml html css js ts".split()
+)
 
 
 @dataclass(frozen=True)
@@ -233,11 +236,16 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _titles(texts: pd.Series, paths: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else M.title_of(*M.split_front_matter(t), p or "") for t, p in zip(texts, paths, strict=True)], dtype=object)
+
+
 def register_functions(spark: SparkSession) -> None:
     """The engine's text functions for SQL users: casefold, stem_terms, note_title."""
     from ..functions import text as T
 
     spark.udf.register("casefold", F.pandas_udf(lambda s: s.map(lambda x: None if x is None else x.casefold()), StringType()))
+    spark.udf.register("note_title", F.pandas_udf(_titles, StringType()))
     spark.udf.register("stem_terms", F.pandas_udf(lambda s: s.map(lambda x: T.terms(x or "")), ArrayType(StringType())))
 
 

@@ -142,7 +142,9 @@ def test_query_trees():
     for bad in ('"open', "a AND", "(a", "nope: x", "a-b", "NEAR(a, x)"):
         with pytest.raises(Q.QuerySyntaxError):
             Q.parse(bad, cols)
-    assert Q.parse_lenient("a-b (", cols) == Q.Combine("AND", Q.Phrase("a-b"), Q.Phrase("("))
+    # strings without a token take no part in an implicit AND
+    assert Q.parse_lenient("a-b (", cols) == Q.Phrase("a-b")
+    assert Q.parse_lenient('( "', cols) is None
 
 
 def test_scope_cannot_be_widened():
@@ -183,3 +185,40 @@ def test_okf():
     assert okf.findings("a.md", None, "") == ["unparseable_frontmatter", "evidence_unavailable"]
     assert okf.findings("log.md", {}, "## today\n", False) == ["log_heading_shape"]
     assert okf.findings("index.md", {"okf_version": 1}, "") == [] and okf.findings("f/index.md", {}, "") == ["index_frontmatter"]
+
+
+def test_brackets_pair_with_the_nearest_opening():
+    def found(text):
+        return [(x.target, x.kind, x.text) for x in M.links(text, "d/n.md")]
+
+    assert found("[bbb](b.md) then [a](a.md) then [rr][x] and [[W]]\n\n[x]: c.md\n") == [("d/b.md", "markdown", "bbb"), ("d/a.md", "markdown", "a"), ("d/c.md", "reference", "rr"), ("W.md", "wikilink", "W")]
+    assert found("[a [b](y.md) c](x.md)") == [("d/y.md", "markdown", "b")]
+    assert found("![i [k](z.md)](p.png) [open [k](z.md)") == [("d/z.md", "markdown", "k")] * 2
+    assert found("[ar][a] [x][] [x] [q][[]\n\n[x]: d.md\n[q]: e.md\n") == [("d/d.md", "reference", "x")] * 2 + [("d/e.md", "reference", "q")]
+    assert found("[a](x.md) [a]\n\n[a]: y.md\n") == [("d/x.md", "markdown", "a"), ("d/y.md", "reference", "a")]
+    assert found("[^s]\n\n[^s]: n.md\n") == []
+
+
+def test_brackets_take_linear_time():
+    assert M.links("[" * 50_000, "n.md") == [] and M.links("[ar][" * 20_000, "n.md") == []
+
+
+def test_chunks_follow_the_outline_only_one_level_down():
+    cut = M.HeadingChunker(short_lines=0, max_words=4)
+    body = "# A\none two\n#### Deep\nthree four five\n## B\npre\n### C\nw w w w w w\n"
+    found = [(c.heading, c.heading_level, c.content, c.start_line) for c in cut.chunk(body)]
+    # A has no heading of level 2 below it, so its lines are packed; B has one of level 3
+    assert found == [("A", 1, "one two\n#### Deep\n", 0), ("A", 1, "three four five\n", 2), ("B", 2, "pre\n", 5), ("C", 3, "w w w w", 6), ("C", 3, "w w", 6)]
+
+
+def test_edits_match_within_lines_only():
+    text = "a  b \nc \u201cd\u201d\n"
+    assert T.find_normal(text, "a b\nc") == [(0, 7)]
+    assert T.find_normal(text, "a b c") == [] and T.find_normal(text, 'c "d"') == [(6, 11)]
+
+
+def test_citation_inspection():
+    report = M.inspect_citations("---\nsources: [{id: a, resource: r}, {id: a}, {resource: q}, 3, {id: 7}]\n---\nx[^a] y[^b]\r\n")
+    assert [(c["id"], c["status"], c["source_indices"]) for c in report["citations"]] == [("a", "ambiguous", [0, 1]), ("b", "unmatched", [])]
+    assert report["duplicate_ids"] == ["a"] and report["unkeyed_source_indices"] == [2]
+    assert report["source_issues"] == ["sources[3] is not a mapping", "sources[4].id is not a nonempty string"]

@@ -299,12 +299,12 @@ def test_batch_search_takes_every_query(spark, monkeypatch):
     from notelake import queries
     from tests.conftest import SF
 
-    sent = queries.vector_batch_all(spark, SF).toPandas()
+    sent = queries.vector_batch(spark, SF).toPandas()
     wanted = {r.path for r in queries.vectors(spark, SF).filter("vec_id % 20 = 0").collect()}
     assert set(sent.query_id) == wanted and set(sent.groupby("query_id").size()) == {10}
     monkeypatch.setattr(vector, "MOST_SENT", 7)
     monkeypatch.setattr(vector, "BLOCK", 100)
-    by_blocks = queries.vector_batch_all(spark, SF).toPandas()
+    by_blocks = queries.vector_batch(spark, SF).toPandas()
     order = ["query_id", "rank"]
     assert by_blocks.sort_values(order).values.tolist() == sent.sort_values(order).values.tolist()
 
@@ -334,10 +334,10 @@ def test_cutting_loses_no_word_of_any_note(spark, tmp_path):
     rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     wanted = {f"en/s/{k}.md": len((t or "").split()) for k, t in enumerate(texts)}
-    assert {r.path: r.words for r in queries.chunk_words(spark, str(tmp_path)).collect()} == wanted
+    assert {r.path: r.words for r in queries.chunk_budget(spark, str(tmp_path)).collect()} == wanted
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    own = queries.ORACLE["chunk_words"].split(",\ntags AS")[0] + " SELECT" + queries.ORACLE["chunk_words"].rpartition(" SELECT")[2]
+    own = queries.ORACLE["chunk_budget"].split(",\ntags AS")[0] + " SELECT" + queries.ORACLE["chunk_budget"].rpartition(" SELECT")[2]
     assert dict(db.execute(own).fetchall()) == wanted
 
 
