@@ -1,112 +1,219 @@
-"""Versioned tables on plain Parquet: generation folders and one pointer that names the current one.
+"""Versioned tables on plain Parquet: immutable bucket folders, and a manifest a generation that names them.
 
-A generation is written whole beside the others; replacing the pointer publishes it. Readers hold
-the generation they began with. Writers name the generation they built on, and a pointer that has
-moved since refuses them.
+Rows are dealt into buckets by a hash of their note's path. An update writes only the buckets that
+hold touched notes and a new manifest, which goes on naming the other buckets' old folders. The
+manifest of a generation is created exclusively, so of two writers that built on one generation the
+second fails. Readers hold the generation they began with; data goes once no manifest that is kept
+names it. All files are reached through Spark's own file systems.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
+import time
 import uuid
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Conflict(RuntimeError):
     """The store has moved on since the caller read it."""
 
 
+class _Files:
+    """A folder of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.jvm = spark._jvm
+        self.root = self.jvm.org.apache.hadoop.fs.Path(root)
+        self.fs = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.local = self.fs.getScheme() == "file"
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.root, name)
+
+    def names(self, folder: str) -> list[str]:
+        path = self.at(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """Whether the file came to be, whole; False if there is one of that name."""
+        target, new = self.at(name), self.at(f"new/{uuid.uuid4().hex}")
+        self.fs.mkdirs(target.getParent())
+        out = self.fs.create(new)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if self.local:  # a local rename would replace the file; a link doesn't
+                os.link(new.toUri().getPath(), target.toUri().getPath())
+                return True
+            return not self.fs.exists(target) and self.fs.rename(new, target)
+        except FileExistsError:
+            return False
+        finally:
+            self.fs.delete(new, False)
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
 class SnapshotStore:
-    """Tables below a folder of a file system that the driver can rename files in."""
+    """Tables below a folder that driver and executors reach.
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2) -> None:
-        self.spark, self.root, self.keep = spark, root.removeprefix("file://"), keep
-        os.makedirs(self.root, exist_ok=True)
+    ``buckets`` is how many parts a table has. The newest ``keep`` generations stay, and all that are
+    younger than ``grace`` seconds, for readers that hold them.
+    """
 
-    @property
-    def _pointer(self) -> Path:
-        return Path(self.root, "CURRENT.json")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2, buckets: int = 16, grace: float = 3600.0) -> None:
+        self.spark, self.root, self.keep, self.buckets, self.grace = spark, root.rstrip("/"), keep, buckets, grace
+        self.files = _Files(spark, self.root)
 
-    def manifest(self) -> dict | None:
-        """Generation, its tables, derivation fingerprint and markers; None before the first one."""
-        return json.loads(self._pointer.read_text()) if self._pointer.exists() else None
+    # --- generations ------------------------------------------------------------------------
+
+    def _numbers(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self.files.names("manifests") if n.endswith(".json") and not n.startswith(".")]
 
     @property
     def generation(self) -> int:
-        found = self.manifest()
-        return found["generation"] if found else 0
+        return max(self._numbers(), default=0)
+
+    def manifest(self, generation: int | None = None) -> dict | None:
+        """Generation, its tables, derivation fingerprint and markers; None before the first one."""
+        number = generation or self.generation
+        return json.loads(self.files.read(f"manifests/{number:012d}.json")) if number else None
+
+    def _bucket(self, df: DataFrame) -> Column:
+        key = next((c for c in ("source_path", "path") if c in df.columns), None)
+        return F.lit(0) if key is None else F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _open(self, found: dict, table: str, buckets: set[int] | None = None) -> DataFrame:
+        own = found["tables"][table]
+        schema = StructType.fromJson(own["schema"])
+        parts = [f"{self.root}/{folder}" for k, folder in own["parts"].items() if buckets is None or int(k) in buckets]
+        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def read(self, table: str) -> DataFrame:
         found = self.manifest()
         if not found or table not in found["tables"]:
             raise LookupError(f"no table {table!r}")
-        return self.spark.read.parquet(f"{self.root}/{found['folder']}/{table}")
+        return self._open(found, table)
 
     def tables(self) -> dict[str, DataFrame]:
         found = self.manifest()
-        return {t: self.read(t) for t in found["tables"]} if found else {}
+        return {t: self._open(found, t) for t in found["tables"]} if found else {}
+
+    # --- writing ----------------------------------------------------------------------------
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        """``df`` as a written table, which stays as it is whatever happens to executors or files; see ``unstage``."""
+        path = f"{self.root}/stage/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def unstage(self) -> None:
+        self.files.drop("stage")
+
+    def _write(self, folder: str, name: str, df: DataFrame, keys: list[str] | None) -> dict[str, str]:
+        """Write a table's rows by bucket; the folders by bucket. Rows that share ``keys`` share a bucket and are refused."""
+        path = f"{folder}/{name}"
+        bucketed = df.withColumn("_bucket", self._bucket(df)).hint("rebalance", "_bucket")
+        order = ["_bucket", *(c for c in ("term",) if c in df.columns)]
+        bucketed.sortWithinPartitions(*order).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
+        if keys and not self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}").groupBy(*keys).count().filter("count > 1").isEmpty():
+            raise ValueError(f"{name} repeats {keys}")
+        return {n.partition("=")[2]: f"{path}/{n}" for n in self.files.names(path) if n.startswith("_bucket=")}
+
+    def _commit(self, base: int, folder: str, tables: dict, fingerprint: str, markers: dict | None) -> int:
+        own = {"generation": base + 1, "tables": tables, "fingerprint": fingerprint, "markers": markers or {}, "published_at": time.time()}
+        if not self.files.create(f"manifests/{base + 1:012d}.json", json.dumps(own)):
+            raise Conflict("another writer published first")
+        self._clean()
+        return base + 1
 
-    def publish(self, tables: dict[str, DataFrame], fingerprint: str = "", expected: int | None = None, markers: dict | None = None, unique: dict[str, list[str]] | None = None) -> int:
-        """Write a generation and make it current. ``unique`` names keys that no two rows of a table may share."""
-        base = self.generation
+    def _clean(self) -> None:
+        """Drop manifests that are neither new nor young, and the data that only they name."""
+        numbers = sorted(self._numbers())
+        old = {n: self.manifest(n) for n in numbers[: -self.keep] if self.keep}
+        gone = {n: m for n, m in old.items() if time.time() - m["published_at"] > self.grace}
+        if not gone:
+            return
+        named = lambda m: {f for t in m["tables"].values() for f in t["parts"].values()}
+        held = set().union(*(named(old.get(n) or self.manifest(n)) for n in numbers if n not in gone))
+        for n, m in gone.items():
+            for folder in named(m) - held:
+                self.files.drop(folder)
+            self.files.drop(f"manifests/{n:012d}.json")
+
+    def publish(self, tables: dict[str, DataFrame], fingerprint: str = "", expected: int | None = None, markers: dict | None = None, unique: dict[str, list[str]] | None = None, others: bool = False) -> int:
+        """Write tables as a generation and make it current; with ``others`` the tables not given stay as they are.
+
+        ``unique`` names keys that no two rows of a table may share.
+        """
+        found = self.manifest() or {"generation": 0, "tables": {}}
+        base = found["generation"]
         if expected is not None and expected != base:
             raise Conflict(f"generation {base} is current, not {expected}")
-        folder = f"gen={base + 1}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{folder}/{name}")
-            keys = (unique or {}).get(name)
-            if keys and not self.spark.read.parquet(f"{self.root}/{folder}/{name}").groupBy(*keys).count().filter("count > 1").isEmpty():
-                shutil.rmtree(f"{self.root}/{folder}", ignore_errors=True)
-                raise ValueError(f"{name} repeats {keys}")
-        self._move({"generation": base + 1, "folder": folder, "tables": sorted(tables), "fingerprint": fingerprint, "markers": markers or {}}, base)
-        return base + 1
-
-    def _move(self, manifest: dict, base: int) -> None:
-        if self.generation != base:
-            shutil.rmtree(f"{self.root}/{manifest['folder']}", ignore_errors=True)
-            raise Conflict("another writer published first")
-        new = Path(self.root, f".{uuid.uuid4().hex}")
-        new.write_text(json.dumps(manifest))
-        os.replace(new, self._pointer)
-        old = sorted((p for p in Path(self.root).glob("gen=*") if p.name != manifest["folder"]), key=lambda p: p.stat().st_mtime)
-        for p in old[: -self.keep] if self.keep else old:
-            shutil.rmtree(p, ignore_errors=True)
-
-    def upsert(self, changed: dict[str, DataFrame], paths: DataFrame, fingerprint: str = "", expected: int | None = None, markers: dict | None = None, keys: dict[str, str] | None = None) -> int:
-        """A generation without the rows of ``paths`` and with those of ``changed``; a deletion has none to add."""
-        new = {}
-        for name, df in self.tables().items():
-            key = (keys or {}).get(name, "source_path" if "source_path" in df.columns else "path")
-            rest = df.join(paths.select(F.col("path").alias(key)), key, "left_anti").select(*df.columns)
-            new[name] = rest.unionByName(changed[name]) if name in changed else rest
-        for name, df in changed.items():
-            new.setdefault(name, df)
-        return self.publish(new, fingerprint, expected, markers)
+        folder = f"data/{uuid.uuid4().hex}"
+        try:
+            made = {n: {"schema": df.schema.jsonValue(), "parts": self._write(folder, n, df, (unique or {}).get(n))} for n, df in tables.items()}
+            return self._commit(base, folder, (found["tables"] if others else {}) | made, fingerprint, markers)
+        except (Conflict, ValueError):
+            self.files.drop(folder)
+            raise
+
+    def upsert(self, changed: dict[str, DataFrame], paths: DataFrame, fingerprint: str = "", expected: int | None = None, markers: dict | None = None) -> int:
+        """A generation whose ``changed`` tables lack the rows of ``paths`` and have the new ones; a deletion has none to add.
+
+        Only the buckets of those paths are read and written. Tables that aren't named stay as they are.
+        """
+        found = self.manifest() or {"generation": 0, "tables": {}}
+        base = found["generation"]
+        if expected is not None and expected != base:
+            raise Conflict(f"generation {base} is current, not {expected}")
+        touched = {r[0] for r in paths.select(self._bucket(paths)).distinct().collect()}  # ``buckets`` numbers at most
+        folder, made = f"data/{uuid.uuid4().hex}", dict(found["tables"])
+        try:
+            for name, fresh in changed.items():
+                parts: dict[str, str] = {}
+                if name in made:
+                    key = "source_path" if "source_path" in fresh.columns else "path"
+                    rest = self._open(found, name, touched).join(paths.select(F.col("path").alias(key)), key, "left_anti").select(*fresh.columns)
+                    fresh = rest.unionByName(fresh)
+                    parts = {k: f for k, f in made[name]["parts"].items() if int(k) not in touched}
+                made[name] = {"schema": fresh.schema.jsonValue(), "parts": parts | self._write(folder, name, fresh, None)}
+            return self._commit(base, folder, made, fingerprint, markers)
+        except Conflict:
+            self.files.drop(folder)
+            raise
 
     def replace_vectors(self, candidates: DataFrame, table: str = "vectors") -> tuple[int, DataFrame]:
         """Compare and set: candidate rows (path, expected_token, token, ordinal, ...) replace a note's vectors only if its
         stored token is the expected one (null: none stored). Returns the generation and (path, outcome)."""
-        stored = self.read(table)
+        found = self.manifest()
+        stored = self._open(found, table)
         now = stored.groupBy("path").agg(F.max("token").alias("_stored"))
         asked = candidates.select("path", "expected_token").distinct().join(now, "path", "left")
-        judged = asked.select("path", F.when(F.col("_stored").eqNullSafe(F.col("expected_token")), "published").otherwise("conflict").alias("outcome")).cache()
+        judged = self.stage(asked.select("path", F.when(F.col("_stored").eqNullSafe(F.col("expected_token")), "published").otherwise("conflict").alias("outcome")))
         won = judged.filter("outcome = 'published'").select("path")
-        rest = stored.join(won, "path", "left_anti").select(*stored.columns)
         fresh = candidates.join(won, "path", "left_semi").select(*stored.columns)
-        tables = self.tables() | {table: rest.unionByName(fresh)}
-        return self.publish(tables, (self.manifest() or {}).get("fingerprint", "")), judged
+        return self.upsert({table: fresh}, won, found["fingerprint"], found["generation"], found["markers"]), judged
 
-    def compact(self, files: int = 1, least: int = 25) -> bool:
-        """Rewrite tables of many small files into few; nothing to do below ``least`` files in all."""
+    def compact(self, least: int = 25) -> bool:
+        """Rewrite the tables bucket by bucket, sized by Spark; nothing to do below ``least`` files in all."""
         found = self.manifest()
-        if not found or sum(1 for _ in Path(self.root, found["folder"]).rglob("*.parquet")) < least:
+        if not found or sum(len(df.inputFiles()) for df in self.tables().values()) < least:
             return False
-        self.publish({t: df.coalesce(files) for t, df in self.tables().items()}, found["fingerprint"], markers=found["markers"])
+        self.publish(self.tables(), found["fingerprint"], found["generation"], found["markers"])
         return True
 
     def diff(self, scanned: DataFrame, excluded: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:

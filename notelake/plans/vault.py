@@ -47,7 +47,7 @@ class Vault:
     # --- index ------------------------------------------------------------------------------
 
     def _derive(self, files: DataFrame) -> dict[str, DataFrame]:
-        parsed = source.parse(files, self.options).persist()
+        parsed = self.store.stage(source.parse(files, self.options))
         out = source.tables(parsed)
         rows = out["sections"].join(out["documents"].select("path", "title", "folder"), "path")
         out["postings"], out["lengths"] = fulltext.build_postings(rows)
@@ -59,8 +59,11 @@ class Vault:
             names = list(source.walk(self.root, ".md", self.options.excludes))
             if not names and self.store.generation and not self.documents.isEmpty():
                 raise RuntimeError("the folder is empty; the index stays")
-            tables = self._derive(source.scan(self.spark, self.root, self.options, paths=names))
-            return self.store.publish(tables, self.fingerprint, markers={"built_at": datetime.now(timezone.utc).isoformat(), "walk_complete": True}, unique=UNIQUE)
+            try:
+                tables = self._derive(source.scan(self.spark, self.root, self.options, paths=names))
+                return self.store.publish(tables, self.fingerprint, markers={"built_at": datetime.now(timezone.utc).isoformat(), "walk_complete": True}, unique=UNIQUE)
+            finally:
+                self.store.unstage()
 
     def reindex(self, paths: list[str] | None = None) -> dict[str, int]:
         """Refresh what changed (or the named paths); counts of added, modified, deleted and unchanged."""
@@ -70,20 +73,24 @@ class Vault:
                 self.build()
                 return {"added": self.documents.count(), "modified": 0, "deleted": 0, "unchanged": 0}
             base = found["generation"]
-            scanned = source.scan(self.spark, self.root, self.options, paths=paths).persist()
-            state = scanned.select("path", F.sha2("content", 256).alias("content_hash"))
-            before = self.store.read("documents").select("path", "content_hash")
-            if paths is not None:
-                before = before.filter(F.col("path").isin(paths))
-            changes = history.change_set(before, state).persist()
-            counts = {"added": 0, "modified": 0, "deleted": 0, "unchanged": 0} | {r.change: r.n for r in history.change_counts(changes).collect()}
-            if counts["deleted"] and not os.listdir(self.root):
-                raise RuntimeError("the folder is empty; the index stays")
-            kept = source.not_absent(changes.filter("change = 'deleted'").select("path"), self.root).persist()
-            touched = changes.filter("change <> 'unchanged'").join(kept, "path", "left_anti")
-            if not touched.isEmpty():
-                files = scanned.join(touched.filter("change <> 'deleted'").select("path"), "path", "left_semi")
-                self.store.upsert(self._derive(files), touched.select("path"), self.fingerprint, base, found["markers"])
+            try:
+                # the scan is written out: files may change before everything that is derived from them is
+                scanned = self.store.stage(source.scan(self.spark, self.root, self.options, paths=paths))
+                state = scanned.select("path", F.sha2("content", 256).alias("content_hash"))
+                before = self.store.read("documents").select("path", "content_hash")
+                if paths is not None:
+                    before = before.filter(F.col("path").isin(paths))
+                changes = self.store.stage(history.change_set(before, state))
+                counts = {"added": 0, "modified": 0, "deleted": 0, "unchanged": 0} | {r.change: r.n for r in history.change_counts(changes).collect()}
+                if counts["deleted"] and not os.listdir(self.root):
+                    raise RuntimeError("the folder is empty; the index stays")
+                kept = self.store.stage(source.not_absent(changes.filter("change = 'deleted'").select("path"), self.root))
+                touched = changes.filter("change <> 'unchanged'").join(kept, "path", "left_anti")
+                if not touched.isEmpty():
+                    files = scanned.join(touched.filter("change <> 'deleted'").select("path"), "path", "left_semi")
+                    self.store.upsert(self._derive(files), touched.select("path"), self.fingerprint, base, found["markers"])
+            finally:
+                self.store.unstage()
             self.dirty -= set(paths or self.dirty)
             return counts
 
@@ -106,18 +113,29 @@ class Vault:
     # --- embeddings -------------------------------------------------------------------------
 
     def build_vectors(self) -> dict[str, int]:
-        """Embed the chunks whose text has no vector yet, reuse the others, and drop those without a note."""
+        """Embed the chunks whose text has no vector yet, reuse the others, and drop those without a note.
+
+        Vectors that aren't finite or have another length than their row's provider gave are left out
+        and counted; their chunks are asked for again by the next call.
+        """
         if self.embed is None:
             raise RuntimeError("no embedding provider")
+        found = self.store.manifest() or {"tables": {}}
         rows = self.table("sections").join(population.live(self.documents).select("path", "title", "folder", "content_hash"), "path")
         current = rows.select("path", "ordinal", "folder", F.col("content_hash").alias("token"), vector.embedding_text(rows).alias("embedding_text"))
-        stored = self.table("vectors") if "vectors" in (self.store.manifest() or {"tables": []})["tables"] else self.spark.createDataFrame([], current.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
-        reused, missing, unbacked = vector.reconcile(current, stored)
-        fresh = vector.embed(missing.drop("input_hash"), self.embed)
-        both = reused.drop("input_hash").unionByName(fresh.withColumn("embedding", vector.unit(F.col("embedding")).cast("array<float>"))).persist()
-        counts = {"reused": reused.count(), "embedded": missing.count(), "removed_paths": unbacked.count()}
-        found = self.store.manifest()
-        self.store.publish(self.store.tables() | {"vectors": both}, found["fingerprint"], found["generation"], found["markers"], UNIQUE | {"vectors": ["path", "ordinal"]})
+        stored = self.table("vectors") if "vectors" in found["tables"] else self.spark.createDataFrame([], current.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
+        try:
+            reused, missing, unbacked = vector.reconcile(current, stored)
+            missing = self.store.stage(missing.drop("input_hash"))
+            # equal texts are embedded once
+            asked = missing.select("embedding_text").distinct()
+            made = self.store.stage(vector.embed(asked, self.embed).filter(vector.valid(F.col("embedding"), F.size("embedding"))))
+            made = made.withColumn("embedding", vector.unit(F.col("embedding")).cast("array<float>"))
+            both = self.store.stage(reused.drop("input_hash").unionByName(missing.join(made, "embedding_text").select(*stored.columns)))
+            counts = {"reused": reused.count(), "embedded": made.count(), "failed": asked.count() - made.count(), "removed_paths": unbacked.count()}
+            self.store.publish({"vectors": both}, found["fingerprint"], found["generation"], found["markers"], {"vectors": ["path", "ordinal"]}, others=True)
+        finally:
+            self.store.unstage()
         return counts
 
     # --- exact queries ----------------------------------------------------------------------
@@ -128,7 +146,7 @@ class Vault:
             node = parse_lenient(where.query, fulltext.COLUMNS, SCOPES[where.scope])
             empty = self.spark.createDataFrame([], "path string, ordinal int, score double")
             hits = empty if node is None else fulltext.bm25(self.table("postings"), self.table("lengths"), node)
-        return population.population(self.documents, self.table("tags"), where, hits)
+        return population.population(self.documents, self.table("tags"), where, hits, self.table("okf") if where.derived else None)
 
     def query_documents(self, where: DocumentFilter, limit: int = 50, offset: int = 0, order: str = "auto", sections: int = 0) -> tuple[DataFrame, int]:
         """A page and the exact total, both of one generation."""

@@ -353,3 +353,57 @@ def test_summaries():
     assert history.pack([("a", 5), ("b", 4), ("c", 20), ("d", 1)], 10) == [["a", "b"], ["c"], ["d"]]
     out = history.summarize({str(k): "x" * 10 for k in range(10)}, lambda s, u: u[:3], 25)
     assert len(out) == 3
+
+
+def test_one_edit_writes_one_bucket_and_embeds_one_text(spark, tmp_path):
+    asked = []
+
+    def embed(texts):
+        asked.extend(texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    root = tmp_path / "notes"
+    root.mkdir()
+    write(root, {f"n{k}.md": f"# N{k}\n" + "\n".join(f"line {k} {i}" for i in range(40)) + f"\n## Two\nmore {k}\n" for k in range(6)})
+    vault = Vault(spark, str(root), str(tmp_path / "store"), embed=lambda texts: [[float(len(t)), 1.0] for t in texts])
+    vault.build()
+    first = vault.build_vectors()
+    assert first["embedded"] == 12 and first["reused"] == first["failed"] == 0
+    before = vault.store.manifest()["tables"]
+    write(root, {"n3.md": (root / "n3.md").read_text().replace("more 3", "changed 3")})
+    assert vault.reindex()["modified"] == 1
+    after = vault.store.manifest()["tables"]
+    for name in ("documents", "sections", "postings", "links"):
+        assert sum(after[name]["parts"].get(k) != f for k, f in before[name]["parts"].items()) <= 1, name
+    assert after["vectors"] == before["vectors"]
+    assert vault.build_vectors() | {"removed_paths": 0} == {"reused": 11, "embedded": 1, "failed": 0, "removed_paths": 0}
+    assert not (tmp_path / "store" / "stage").exists()
+
+
+def test_two_writers_cannot_both_win(spark, tmp_path):
+    one, two = SnapshotStore(spark, str(tmp_path / "s")), SnapshotStore(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "path string, n int")
+    one.publish({"t": rows})
+    held = two.manifest()
+    assert one.files.create("manifests/000000000002.json", "{}") and not two.files.create("manifests/000000000002.json", "x")
+    one.files.drop("manifests/000000000002.json")
+    one.upsert({"t": spark.createDataFrame([("a", 9)], "path string, n int")}, rows.select("path").filter("path = 'a'"))
+    with pytest.raises(Conflict):
+        two._commit(held["generation"], "data/none", {}, "", None)
+    with pytest.raises(Conflict):
+        two.upsert({"t": rows}, rows.select("path"), expected=held["generation"])
+    assert {(r.path, r.n) for r in two.read("t").collect()} == {("a", 9), ("b", 2)}
+
+
+def test_old_generations_go_but_not_under_readers(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), keep=1, grace=0.0)
+    rows = spark.createDataFrame([(str(k), k) for k in range(40)], "path string, n int")
+    store.publish({"t": rows})
+    for k in range(3):
+        store.upsert({"t": spark.createDataFrame([("7", 100 + k)], "path string, n int")}, rows.select("path").filter("path = '7'"))
+    assert store._numbers() == [4] and {r.n for r in store.read("t").collect()} == {102, *range(40)} - {7}
+    patient = SnapshotStore(spark, str(tmp_path / "p"), keep=1)
+    patient.publish({"t": rows})
+    held = patient.read("t")
+    patient.publish({"t": rows.limit(1)})
+    assert held.count() == 40 and patient.read("t").count() == 1
