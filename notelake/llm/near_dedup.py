@@ -227,7 +227,7 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     member's at a time. An id with several sets has the largest of their similarities.
     """
     spokes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = pairs.join(spokes, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
+    dealt = pairs.join(materialize(spokes, "parts"), "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
     hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.lit(0).alias("side"), F.col("hub").alias("id"))
 
     def start() -> tuple[Callable, Callable]:
@@ -266,7 +266,7 @@ def _crossed(rows: DataFrame) -> DataFrame:
     parts = rows.groupBy("grp", "component").agg(F.sum("weight").alias("n"))
     tops = parts.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
     tops = tops.select("grp", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"))
-    rows = materialize(rows.join(tops, "grp").withColumn("in_top", F.col("component") == F.col("top")), "sided")
+    rows = materialize(rows.join(materialize(tops, "tops"), "grp").withColumn("in_top", F.col("component") == F.col("top")), "sided")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("in_top"), F.col("top_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
     rows = rows.withColumn("own", own)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -281,7 +281,7 @@ def _crossed(rows: DataFrame) -> DataFrame:
 def _spanning(rows: DataFrame) -> DataFrame:
     """The rows (grp, id, component, ...) of groups that hold more than one component."""
     groups = rows.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("grp")
-    return rows.join(groups, "grp")
+    return rows.join(materialize(groups, "spanning"), "grp")  # a written table, so that a hot group is split or none is shuffled
 
 
 def _joined(rows: DataFrame, forest: DataFrame | None) -> DataFrame:
@@ -303,7 +303,7 @@ def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame |
     """
     rows = materialize(_spanning(_joined(rows, forest)), "members")
     sizes = rows.groupBy("grp").agg(F.sum("weight").alias("size"))
-    rows = materialize(rows.join(sizes, "grp"), "sized")
+    rows = materialize(rows.join(materialize(sizes, "sizes"), "grp"), "sized")
     forest = grown(forest, _verify(_listed(rows.filter(F.col("size") <= LISTED)), sets, percent))
     rows = rows.filter(F.col("size") > LISTED).select("grp", "id", "weight")
     for _ in range(STARS):
@@ -311,7 +311,7 @@ def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame |
         if rows.isEmpty():
             return forest
         hubs = rows.groupBy("grp").agg(F.min("id").alias("hub"))
-        spokes = materialize(rows.join(hubs, "grp").filter("id <> hub").select("grp", "hub", "id", "weight"), "spokes")
+        spokes = materialize(rows.join(materialize(hubs, "hubs"), "grp").filter("id <> hub").select("grp", "hub", "id", "weight"), "spokes")
         measured = materialize(_measure(spokes.select("hub", "id").distinct(), sets), "measured")
         forest = grown(forest, measured.filter(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("hub").alias("a"), F.col("id").alias("b")))
         # the hub itself has met all of its group

@@ -104,14 +104,18 @@ def slot_of(*keys: Column, slots: int = SLOTS) -> Column:
 def shard_records(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, current: SlotMap | None = None, folder: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Put every row into a shard, sizes near equal; the rows and the map that placed them.
 
-    A row's size is the UTF-8 bytes of its text plus one. Rows hash by id and text checksum,
-    so rows that repeat both share a slot. Bytes are summed per slot (a table of ``slots``
-    rows at most, which the driver reads) and the ``current`` map, else the initial one, is
-    rebalanced into its next version and stored in ``folder``, else in the shared folder.
+    A row's size is the UTF-8 bytes of its text plus one. Rows hash by id and text checksum. So equal
+    texts with different ids are dealt over the slots, and a group of copies that holds a third of all
+    bytes is spread as evenly as any rows; rows that repeat both id and text share a slot, which is the
+    unit of placement, so the law of near-equal bytes holds as far as no such group exceeds a shard's
+    fair share. Bytes are summed per slot (a table of ``slots`` rows at most, which the driver reads) and
+    the ``current`` map, else the initial one, is rebalanced into its next version and stored in
+    ``folder``, else in the shared folder.
 
     Columns: id, size, text_crc32, virtual_slot, shard, position (gapless from 0 in each shard).
-    Null ids and texts hash like any other value; null text has size 1 and checksum 0. An empty
-    table gives no rows. Other columns of ``df`` are never read.
+    Null ids and texts hash like any other value; null text has size 1 and checksum 0. Very long texts
+    are measured where they lie and never move. An empty table gives no rows. Other columns of ``df``
+    are never read, so their names can't clash.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
