@@ -121,19 +121,20 @@ def resolve(links: DataFrame, documents: DataFrame, aliases: DataFrame | None =
     matches may be an alias of a note, in any case. Markdown links keep a path that exists, and paths
     with an explicit "./", "../" or "/" in front, as they are.
     """
-    keyed = links.withColumn("_id", F.xxhash64("source_path", "link_ordinal")).withColumn("_base", basename_of(F.col("target_path")))
-    notes = live(documents).select("path")
-    named = notes.select("path", basename_of(F.col("path")).alias("_base"))
+    notes = live(documents).select("path").distinct()
+    parts = F.split("path", "/")
+    below = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))
+    # every end of a path means one note, so that a file name found in every folder costs no more than another
+    ends = notes.select("path", F.explode(below).alias("_end")).groupBy("_end").agg(F.min(F.struct(F.length("path").alias("n"), "path")).alias("_best"))
     fixed = (F.col("link_type") != "wikilink") & F.coalesce(F.col("raw_target").rlike(r"^(/|\./|\.\./)"), F.lit(False))
-    match = (F.col("path") == F.col("target_path")) | (~fixed & F.col("path").endswith(F.concat(F.lit("/"), F.col("target_path"))))
-    pairs = keyed.join(named, "_base").filter(match)
-    rank = F.row_number().over(
-        Window.partitionBy("source_path", "link_ordinal").orderBy(
-            F.desc(F.col("path") == F.col("target_path")), F.desc(folder_of(F.col("path")) == folder_of(F.col("source_path"))), F.length("path"), "path"
-        )
-    )
-    best = pairs.withColumn("_n", rank).filter("_n = 1").select("source_path", "link_ordinal", F.col("path").alias("_found"))
-    out = keyed.join(best, ["source_path", "link_ordinal"], "left")
+    home = folder_of(F.col("source_path"))
+    beside = F.concat(F.when(home == "", F.lit("")).otherwise(F.concat(home, F.lit("/"))), basename_of(F.col("target_path")))
+    beside = F.when(~fixed & beside.endswith(F.concat(F.lit("/"), F.col("target_path"))), beside)
+    out = links.withColumn("_beside", beside).withColumn("_wanted", F.when(~fixed, F.col("target_path")))
+    out = out.join(notes.select(F.col("path").alias("_exact")), F.col("target_path") == F.col("_exact"), "left")
+    out = out.join(notes.select(F.col("path").alias("_own")), F.col("_beside") == F.col("_own"), "left")
+    out = out.join(ends, F.col("_wanted") == F.col("_end"), "left")
+    out = out.withColumn("_found", F.coalesce("_exact", "_own", "_best.path"))
     if aliases is not None:
         alias = aliases.join(notes, "path", "left_semi").groupBy(F.lower("alias").alias("_alias")).agg(F.min(F.struct(F.length("path").alias("n"), "path")).alias("_by_alias"))
         out = out.join(alias, F.lower(stem_of(F.col("target_path"))) == F.col("_alias"), "left")
