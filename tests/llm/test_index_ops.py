@@ -363,13 +363,31 @@ def test_recall_and_exact_scores(spark):
         assert own == sorted(own, key=lambda x: (x[1], x[0]))
 
 
+def test_files_are_stored_and_name_every_vector(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i % 5 else 3)]) for i in range(300)]
+    index = permutation_index.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=20, prefix=6, block=64)
+    posted: dict[tuple, int] = {}
+    for r in index.files.collect():
+        if r.pivot >= 0:
+            posted[r.dim, r.block] = posted.get((r.dim, r.block), 0) + len(r.members) // 4
+            assert len(r.members) // 4 == len(r.places) // 2
+    assert sum(posted.values()) == 6 * 300 and {d for d, _ in posted} == {3, 4} and len(posted) == 5
+    found = permutation_index.search(index, index.rows.filter("vec_id % 10 = 0"), k=5, rerank=1.0, chunk=7).collect()
+    for q in {r.query_id for r in found}:
+        own = [np.linalg.norm(np.array(v) - rows[q][1]) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        assert [r.score for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == pytest.approx(sorted(own)[:5])
+
+
 def test_index_of_odd_vectors(spark):
     same = [1.0, 2.0]
     rows = [(0, same), (1, same), (2, same), (3, None), (4, [0.0, 0.0]), (5, [1.0, float("nan")]), (6, [1.0, None]), (7, [1.0]), (100, same), (None, same), (9, [float("inf"), 1.0]), (1, same)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit(1))
-    index = permutation_index.build_index(df)
-    assert index.count == 5
-    found = permutation_index.search(index, index.rows.filter("vec_id % 100 = 0"), k=3, block=2).collect()
+    index = permutation_index.build_index(df, block=2)
+    assert index.count == 6  # the vector of another dimension is an index of its own
+    found = permutation_index.search(index, index.rows.filter("vec_id % 100 = 0"), k=3).collect()
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == {(0, 1, 1, 0.0), (0, 2, 1, 0.0), (0, 3, 2, 0.0), (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 1, 0.0)}
+    lone = permutation_index.search(index, index.rows.filter("vec_id = 7"), k=3)
+    assert lone.count() == 0
     empty = permutation_index.build_index(df.limit(0))
     assert permutation_index.search(empty, empty.rows).count() == 0
