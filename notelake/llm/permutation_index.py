@@ -22,7 +22,7 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, Str
 from .arrow_map import map_rows
 from .store import hash_sample, materialize
 
-PIVOTS, PREFIX, RERANK = 256, 64, 0.2
+PIVOTS, PREFIX, RERANK = 1024, 128, 0.045
 BLOCK, CHUNK = 8192, 8192
 
 INDEX = StructType([StructField("vec_id", LongType()), StructField("dim", IntegerType()), StructField("block", IntegerType()), StructField("vector", BinaryType()), StructField("prefix", BinaryType())])
