@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
 RESERVED = ("index.md", "log.md")
@@ -80,16 +81,14 @@ def trust_tier(metadata: dict) -> str:
 
 
 def _evidence(metadata: dict, key: str, entries: list, usable: Callable[[object], bool]) -> dict:
-    good = sum(map(usable, entries))
-    bad = len(entries) - good
+    """State of one kind of evidence, with how many entries can and can't be used."""
     if key not in metadata:
-        state = "missing"
-    elif entries:
-        state = "recorded" if good else "malformed"
-    else:
-        state = "empty" if isinstance(metadata[key], list) else "malformed"
-        bad = 0 if state == "empty" else 1
-    return {"state": state, "recorded_entries": good, "malformed_entries": bad}
+        return {"state": "missing", "recorded_entries": 0, "malformed_entries": 0}
+    if not entries:  # an empty list is no flaw, any other value that gives no entry is one
+        empty = isinstance(metadata[key], list)
+        return {"state": "empty" if empty else "malformed", "recorded_entries": 0, "malformed_entries": int(not empty)}
+    good = sum(map(usable, entries))
+    return {"state": "recorded" if good else "malformed", "recorded_entries": good, "malformed_entries": len(entries) - good}
 
 
 def annotate(metadata: dict, now: datetime) -> dict:
@@ -129,38 +128,53 @@ def matches(annotation: dict, wanted: dict[str, str]) -> bool:
     return True
 
 
+@dataclass(frozen=True)
+class _Page:
+    path: str
+    metadata: dict
+    body: str
+    has_block: bool
+    derived: dict
+
+
+_DAY_HEADING = re.compile(r"## \d{4}-\d{2}-\d{2}\s*")
+# What each rule of RULES looks for, by the kind of page that answers for it.
+_ALWAYS: dict[str, Callable[[_Page], bool]] = {"misplaced_okf_version": lambda p: "okf_version" in p.metadata and p.path != ROOT_INDEX}
+_NAVIGATION: dict[str, Callable[[_Page], bool]] = {
+    "log_heading_shape": lambda p: p.path.endswith("log.md") and any(x.startswith("## ") and not _DAY_HEADING.fullmatch(x) for x in p.body.splitlines()),
+    "index_frontmatter": lambda p: p.path.endswith("index.md") and p.has_block and not (p.path == ROOT_INDEX and set(p.metadata) == {"okf_version"}),
+}
+_UNREAD: dict[str, Callable[[_Page], bool]] = {"unparseable_frontmatter": lambda p: True, "evidence_unavailable": lambda p: True}
+_CONTENT: dict[str, Callable[[_Page], bool]] = {
+    "missing_type": lambda p: p.derived["type"] is None,
+    "unknown_status": lambda p: isinstance(p.metadata.get("status"), str) and p.metadata["status"].strip() not in ("", *STATUSES),
+    "wikilink_files": lambda p: "[[" in p.body,
+    "missing_recommended": lambda p: not (p.metadata.get("title") and p.metadata.get("description")),
+}
+_EVIDENCE: dict[str, Callable[[_Page], bool]] = {
+    "missing_freshness": lambda p: p.derived["freshness"] == "missing",
+    "malformed_freshness": lambda p: p.derived["freshness"] == "malformed",
+    "malformed_review": lambda p: p.derived["review"]["malformed_entries"] > 0,
+    "malformed_sources": lambda p: p.derived["attribution"]["malformed_entries"] > 0,
+    "malformed_generated": lambda p: p.derived["generation"] == "malformed",
+}
+
+
 def findings(path: str, metadata: dict | None, body: str, has_block: bool = True, now: datetime | None = None) -> list[str]:
     """The rules of RULES that a note breaks, in their order; ``metadata`` is None where its block can't be parsed.
 
     Pages that only navigate answer for their shape alone. Evidence isn't judged for notes that can't
     be parsed or are over the audited length, which is a finding itself.
     """
-    now = now or datetime.now(timezone.utc)
-    own, seen = metadata or {}, set()
-    if "okf_version" in own and path != ROOT_INDEX:
-        seen.add("misplaced_okf_version")
     if is_reserved(path):
-        if path.endswith("log.md") and any(line.startswith("## ") and not re.fullmatch(r"## \d{4}-\d{2}-\d{2}\s*", line) for line in body.splitlines()):
-            seen.add("log_heading_shape")
-        if path.endswith("index.md") and has_block and not (path == ROOT_INDEX and set(own) == {"okf_version"}):
-            seen.add("index_frontmatter")
-        return [r for r in RULES if r in seen]
-    if metadata is None:
-        seen |= {"unparseable_frontmatter", "evidence_unavailable"}
+        asked = _NAVIGATION
+    elif metadata is None:
+        asked = _UNREAD
     else:
-        a = annotate(own, now)
-        status = own.get("status")
-        evidence = {
-            "missing_freshness": a["freshness"] == "missing", "malformed_freshness": a["freshness"] == "malformed", "malformed_review": a["review"]["malformed_entries"] > 0,
-            "malformed_sources": a["attribution"]["malformed_entries"] > 0, "malformed_generated": a["generation"] == "malformed",
-        }
-        checks = {
-            "missing_type": a["type"] is None, "unknown_status": isinstance(status, str) and bool(status.strip()) and status.strip() not in STATUSES,
-            "wikilink_files": "[[" in body, "missing_recommended": not own.get("title") or not own.get("description"),
-        }
-        checks |= {"evidence_unavailable": True} if len(body) > AUDIT_CHARS else evidence
-        seen |= {rule for rule, broken in checks.items() if broken}
-    return [r for r in RULES if r in seen]
+        asked = _CONTENT | ({"evidence_unavailable": lambda p: True} if len(body) > AUDIT_CHARS else _EVIDENCE)
+    page = _Page(path, metadata or {}, body, has_block, annotate(metadata or {}, now or datetime.now(timezone.utc)))
+    return [rule for rule in RULES if (test := (_ALWAYS | asked).get(rule)) and test(page)]
+
 
 
 def index_markdown(title: str, notes: list[tuple[str, str]], folders: list[str]) -> str:

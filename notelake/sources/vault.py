@@ -157,7 +157,7 @@ def _of(s: StructType, *drop: str) -> ArrayType:
     return ArrayType(StructType([f for f in s.fields if f.name not in drop]))
 
 
-OKF = schema(type=StringType(), status=StringType(), stale=BooleanType(), trust_tier=StringType(), freshness=StringType(), findings=ArrayType(StringType()), sources_count=IntegerType())
+OKF = schema(type=StringType(), status=StringType(), stale=BooleanType(), trust_tier=StringType(), freshness=StringType(), findings=ArrayType(StringType()), sources_count=IntegerType(), review=StringType(), attribution=StringType(), generation=StringType())
 PARSED = StructType([
     *DOCUMENTS.fields,
     StructField("sections", ArrayType(StructType([*(f for f in SECTIONS.fields if f.name != "path"), StructField("summary", StringType())]))),
@@ -168,9 +168,9 @@ PARSED = StructType([
 
 def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = ParseOptions(), now=None) -> dict:
     """One nested row; a note that can't be read as one carries a skip category and no children."""
-    from datetime import datetime, timezone
+    from datetime import datetime
 
-    now = now or datetime.now(timezone.utc)
+    now = now or datetime.now().astimezone()  # days end by the local calendar
     row: dict = {f.name: None for f in PARSED.fields}
     row |= {"path": path, "path_folded": path.casefold(), "folder": path.rpartition("/")[0], "content_hash": hashlib.sha256(data).hexdigest(), "modified_at": mtime}
     try:
@@ -202,7 +202,7 @@ def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = Par
             "aliases": list(dict.fromkeys(names)),
             "citations": [{"label": lb, "status": s, "occurrences": n, "resource": r} for lb, s, n, r in cited],
             "links": [{"link_ordinal": k, "target_path": x.target, "link_text": x.text, "link_type": x.kind, "fragment": x.fragment, "raw_target": x.raw} for k, x in enumerate(M.links(body, path, options.attachments))],
-            "okf": {k: a[k] for k in ("type", "status", "stale", "trust_tier", "freshness", "sources_count")} | {"findings": okf.findings(path, meta, body, body != text, now)},
+            "okf": {k: a[k] for k in ("type", "status", "stale", "trust_tier", "freshness", "sources_count", "generation")} | {k: a[k]["state"] for k in ("review", "attribution")} | {"findings": okf.findings(path, meta, body, body != text, now)},
         }
     except (ValueError, TypeError, RecursionError) as e:
         return row | {"skip_category": "internal_error", "skip_detail": f"{type(e).__name__}: {e}"}

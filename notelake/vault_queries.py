@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import warnings
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import markdown
 from .functions.fts_query import parse_lenient
+from .functions.text import find_normal
 from .model import DocumentFilter, parse_instant
 from .operators import fulltext, graph, history, population, ranking, vector
 from .queries import _CHUNKS, _HITS, _hits, _index, _plain, _query_vector, _r, _score_sql, _t, _term_sql, links, nodes, notes, query, sections, tags, vectors
@@ -430,3 +432,117 @@ def summary_scope(spark: SparkSession, sf: str) -> DataFrame:
     own = notes(spark, sf)
     found, left = history.expand_scope(own, ["es"], [own.orderBy("doc_id").first().path], 30)
     return spark.createDataFrame([(p, left) for p in found], "path string, left_out long")
+
+
+# --- text functions over columns ------------------------------------------------------------
+
+
+def _each(kind: str, function, *columns: Column) -> Column:
+    """A function of Python values over columns, batch by batch."""
+
+    @F.pandas_udf(kind)
+    def run(*series: pd.Series) -> pd.Series:
+        return pd.Series([function(*row) for row in zip(*series, strict=True)], dtype=object)
+
+    return run(*columns)
+
+
+@query(X + """SELECT path, 'See [x](../../new/b' || doc_id || '.md#p "T"), [[b' || doc_id || '|B]], [y](/other.md) and `[x](b' || doc_id || '.md)`.' || chr(10) || chr(10) || '[r]: ../../new/b' || doc_id || '.md' || chr(10) || '[r]' AS text FROM notes""")
+def links_rewritten(spark: SparkSession, sf: str) -> DataFrame:
+    """Links to a moved note follow it, each in its own spelling; code and other links stay."""
+
+    def moved(text: str, path: str, folder: str, number: int) -> str:
+        return markdown.rewrite_links(text, path, {f"{folder}/b{number}.md": f"new/b{number}.md"})
+
+    body = _case(1, 'See [x](b{i}.md#p "T"), [[b{i}|B]], [y](/other.md) and `[x](b{i}.md)`.\n\n[r]: b{i}.md\n[r]')
+    return notes(spark, sf).select("path", _each("string", moved, body, F.col("path"), F.col("folder"), F.col("doc_id")).alias("text"))
+
+
+@query(X + "SELECT path, '[Alias](../../t/T' || doc_id || '.md) [[gone]] [T' || doc_id || '#s](../../t/T' || doc_id || '.md#s)' AS text FROM notes")
+def wikilinks_converted(spark: SparkSession, sf: str) -> DataFrame:
+    def convert(text: str, path: str, number: int) -> str:
+        return markdown.wikilinks_to_markdown(text, path, {f"T{number}.md": f"t/T{number}.md"})[0]
+
+    body = _case(1, "[[T{i}|Alias]] [[gone]] [[T{i}#s]]")
+    return notes(spark, sf).select("path", _each("string", convert, body, F.col("path"), F.col("doc_id")).alias("text"))
+
+
+_OUTLINE = "# Title {i}\nintro\n## A  B\none {i}\n### Deep\ntwo\n## C\nthree\n"
+
+
+@query(X + "SELECT path, '1 Title ' || doc_id || ',2 A  B,2 C' AS toc FROM notes")
+def table_of_contents(spark: SparkSession, sf: str) -> DataFrame:
+    def toc(body: str, title: str) -> str:
+        found = markdown.outline(title, [(level, text) for level, text, _ in markdown.headings(body)], 2)
+        return ",".join(f"{level} {text}" for level, text in found)
+
+    title = F.concat(F.lit("Title "), F.col("doc_id").cast("string"))
+    return notes(spark, sf).select("path", _each("string", toc, _case(1, _OUTLINE), title).alias("toc"))
+
+
+@query(X + "SELECT path, '## A  B' || chr(10) || 'one ' || doc_id || chr(10) || '### Deep' || chr(10) || 'two' || chr(10) AS section FROM notes")
+def section_extracted(spark: SparkSession, sf: str) -> DataFrame:
+    return notes(spark, sf).select("path", _each("string", lambda body: markdown.section(body, " A B "), _case(1, _OUTLINE)).alias("section"))
+
+
+@query(X + "SELECT path, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END AS at, doc_id % 2 = 0 AS found FROM notes")
+def edits_matched(spark: SparkSession, sf: str) -> DataFrame:
+    """Where an edit's text occurs once dashes, quotes and blanks are evened out within lines."""
+
+    def place(text: str) -> int:
+        found = find_normal(text, 'say "a - b" now')
+        return found[0][0] if found else -1
+
+    at = _each("int", place, _case(2, "So,\n say “a  – b”\tnow {i}", "say “a\n- b” now {i}"))
+    return notes(spark, sf).select("path", at.alias("p")).select("path", F.greatest("p", F.lit(0)).alias("at"), (F.col("p") >= 0).alias("found"))
+
+
+@query(X + "SELECT path, modified_at::BIGINT::DOUBLE AS instant FROM (SELECT path, floor(modified_at) AS modified_at FROM notes WHERE modified_at > 0)")
+def instants_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    whole = F.floor("modified_at")
+    text = F.concat(F.date_format(F.timestamp_seconds(whole + 7200), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    return notes(spark, sf).filter("modified_at > 0").select("path", _each("double", parse_instant, text).alias("instant"))
+
+
+@query("""e AS (SELECT path, doc_id % 6 AS c FROM notes) SELECT path, CASE c WHEN 0 THEN 'expired' WHEN 1 THEN 'unexpired' WHEN 2 THEN 'malformed' ELSE 'missing' END AS freshness, c = 0 AS stale,
+CASE c WHEN 3 THEN 'human-reviewed' WHEN 4 THEN 'machine-confirmed' ELSE 'unverified' END AS trust_tier, CASE c WHEN 3 THEN 'recorded' WHEN 4 THEN 'recorded' WHEN 5 THEN 'malformed' ELSE 'missing' END AS review FROM e""")
+def metadata_derived(spark: SparkSession, sf: str) -> DataFrame:
+    """Staleness, trust and evidence from front matter that varies."""
+    front = _case(
+        6,
+        "stale_after: 2001-01-01",
+        "stale_after: 2999-01-01T00:00:00Z",
+        "stale_after: soon",
+        "verified: [{by: 'process:ci', at: '2024-01-01T00:00:00Z'}, {by: 'human:ann', at: '2024-01-02T00:00:00Z'}]",
+        "verified: {by: 'tool/v1', at: '2024-01-01T00:00:00Z'}",
+        "verified: [{by: nobody}]",
+    )
+    return _written(spark, sf, F.lit("x\n"), front)["okf"].select("path", "freshness", "stale", "trust_tier", "review")
+
+
+@query("""e AS (SELECT path, doc_id % 3 AS c FROM notes), r AS (SELECT path, unnest(CASE c WHEN 0 THEN ['missing_recommended', 'missing_freshness', 'unknown_status'] WHEN 1 THEN ['missing_type', 'missing_recommended', 'wikilink_files', 'malformed_sources', 'missing_freshness'] ELSE ['malformed_freshness', 'malformed_review'] END) AS rule FROM e)
+SELECT rule, count(*) AS n FROM r GROUP BY rule""")
+def audit_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of notes whose front matter breaks different rules."""
+    front = _case(3, "type: note\nstatus: odd", "sources: [{id: a}]", "type: note\ntitle: T\ndescription: D\nstale_after: soon\nverified: [{by: nobody}]")
+    body = _case(3, "x\n", "[[W]]\n", "x\n")
+    return _written(spark, sf, body, front)["okf"].select(F.explode("findings").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(X + "SELECT path, 'T' || doc_id || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'H' || chr(10) ELSE '' END || chr(10) || text AS input FROM notes")
+def embedding_input(spark: SparkSession, sf: str) -> DataFrame:
+    """The text that stands for a chunk: title and heading, an empty line, the content."""
+    rows = notes(spark, sf).select("path", F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 2 == 0, "H").alias("heading"), F.col("text").alias("content"))
+    return rows.select("path", vector.embedding_text(rows).alias("input"))
+
+
+@query("""e AS (SELECT path, doc_id FROM notes) SELECT path, 'ambiguous' AS status, 2 AS occurrences, 'a' AS duplicate, 1 AS unkeyed FROM e""")
+def citations_inspected(spark: SparkSession, sf: str) -> DataFrame:
+    def inspect(text: str) -> str:
+        found = markdown.inspect_citations(text)
+        own = found["citations"][0]
+        return f"{own['status']} {own['occurrences']} {found['duplicate_ids'][0]} {len(found['unkeyed_source_indices'])}"
+
+    body = _case(1, "---\nsources: [{id: a, resource: R{i}}, {id: a}, {resource: S}]\n---\nOne[^a], `[^a]`, two[^a].\n")
+    parts = F.split(_each("string", inspect, body), " ")
+    return notes(spark, sf).select("path", parts.alias("p")).select("path", F.col("p")[0].alias("status"), F.col("p")[1].cast("int").alias("occurrences"), F.col("p")[2].alias("duplicate"), F.col("p")[3].cast("int").alias("unkeyed"))
