@@ -546,3 +546,29 @@ def citations_inspected(spark: SparkSession, sf: str) -> DataFrame:
     body = _case(1, "---\nsources: [{id: a, resource: R{i}}, {id: a}, {resource: S}]\n---\nOne[^a], `[^a]`, two[^a].\n")
     parts = F.split(_each("string", inspect, body), " ")
     return notes(spark, sf).select("path", parts.alias("p")).select("path", F.col("p")[0].alias("status"), F.col("p")[1].cast("int").alias("occurrences"), F.col("p")[2].alias("duplicate"), F.col("p")[3].cast("int").alias("unkeyed"))
+
+
+_WORDS = ("Connected connections, node", "connecting {i}", "other words here", "nothing of it {i}", "Connexion déjà vu")
+
+
+@query("""e AS (SELECT path, CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS f, CASE doc_id % 5 WHEN 1 THEN 2 WHEN 3 THEN 4 ELSE 3 END AS dl FROM notes),
+t AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f > 0) AS d FROM e)
+SELECT path, 0 AS ordinal, round(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS score FROM e, t WHERE f > 0""")
+def bm25_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    """A word finds the other forms of its stem, over the terms that vaults are indexed by."""
+    rows = notes(spark, sf).select("path", F.lit(0).alias("ordinal"), _case(5, *_WORDS).alias("content"))
+    postings, lengths = fulltext.build_postings(rows, ("content",))
+    return fulltext.bm25(postings, lengths, parse_lenient("Connection", ("content",))).select("path", "ordinal", _r("score"))
+
+
+@query("""e AS (SELECT path, doc_id % 5 AS c, doc_id FROM notes), w AS (SELECT path, unnest(CASE c WHEN 0 THEN ['connect', 'node'] WHEN 1 THEN ['connect', doc_id::VARCHAR] WHEN 2 THEN ['other', 'word', 'here'] WHEN 3 THEN ['noth', 'of', 'it', doc_id::VARCHAR] ELSE ['connexion', 'deja', 'vu'] END) AS term, c FROM e)
+SELECT path, term, CASE WHEN c = 0 AND term = 'connect' THEN 2 ELSE 1 END AS tf FROM w""")
+def stemmed_postings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = notes(spark, sf).select("path", F.lit(0).alias("ordinal"), _case(5, *_WORDS).alias("content"))
+    return fulltext.build_postings(rows, ("content",))[0].select("path", "term", "tf")
+
+
+@query(X + "SELECT path, CASE WHEN doc_id % 2 = 0 THEN '… f g connected …' ELSE 'a linked, connections …' END AS snippet FROM notes")
+def snippet_window(spark: SparkSession, sf: str) -> DataFrame:
+    rows = notes(spark, sf).select("path", _case(2, "a b c d e f g connected h i", "a linked, connections d e f g").alias("content"))
+    return fulltext.add_snippets(rows, fulltext.query_terms("connection OR linking"), 3).select("path", "snippet")
