@@ -78,5 +78,30 @@ def test_packing_stage(stages):
     assert found == sizes
 
 
+def test_odd_documents_pass_every_stage(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, ties, and columns that could clash; then no rows at all."""
+    words = "the of and was word here there with some more text about things and places".split()
+    text = " ".join(words * 4)
+    long = " ".join(f"{w}{k}" for k in range(4000) for w in words[:6])
+    rows = [(None, text + " one", "en"), (1, None, "en"), (2, "", None), (3, text, "en"), (3, text, "en"), (3, long, "en"), (4, text.upper(), None), (5, long + " end", "de"), (6, "token=abcdef123 the word was here", "en"), (None, "password: abc12345 and more of the text", "fr")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("lang_pred", "lang_score", "_secrets", "_key", "kept", "id", "component", "sha")})
+    for name, start in (("odd", docs), ("none", docs.limit(0))):
+        out = [start]
+        for stage, run in corpus_pipeline.STAGES:
+            run(spark, out[-1], SF).write.parquet(f"{tmp_path}/{name}/{stage}")
+            out.append(spark.read.parquet(f"{tmp_path}/{name}/{stage}"))
+            assert stage == "packing" or out[-1].columns == docs.columns
+        if name == "none":
+            assert out[-1].count() == 0
+            continue
+        kept = [r.doc_id for r in out[2].collect()]
+        assert sorted(kept, key=str) == sorted([3, 4, 5, 6, None, None], key=str)  # of text 3 and 4 the larger id stays, in any case
+        redacted = {r.text for r in out[4].collect()}
+        assert "[secret] the word was here" in redacted and "[secret] and more of the text" in redacted
+        assert all(r.n_chars == len(r.text) and r.lang_pred == "lang_pred" for r in out[4].collect())
+        assert {r.doc_id for r in out[5].collect()} == {r.doc_id for r in out[4].collect()}
+
+
 def test_run(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
