@@ -170,14 +170,21 @@ class Vault:
 
     # --- ranked search ----------------------------------------------------------------------
 
-    def _decorated(self, rows: DataFrame, folder: str | None, okf: dict[str, str] | None) -> DataFrame:
+    def _derived(self) -> DataFrame:
+        return self.table("okf").select("path", "type", "status", "stale", "trust_tier")
+
+    def _eligible(self, rows: DataFrame, folder: str | None, okf: dict[str, str] | None) -> DataFrame:
+        """Rows of live notes in a folder whose metadata is as wanted, with the folder and chunk count."""
         from ..functions.patterns import in_folder
 
-        notes = population.live(self.documents).select("path", "folder", "title", "chunk_count").filter(in_folder(F.col("folder"), folder))
-        derived = self.table("okf").select("path", "type", "status", "stale", "trust_tier")
-        for key, value in (okf or {}).items():
-            derived = derived.filter(F.col(key) == (O.parse_stale(value) if key == "stale" else value))
-        return rows.drop("folder").join(notes, "path").join(derived, "path")
+        notes = population.live(self.documents).select("path", "folder", "chunk_count").filter(in_folder(F.col("folder"), folder))
+        out = rows.drop("folder", "chunk_count").join(notes, "path")
+        if okf:
+            derived = self._derived()
+            for key, value in okf.items():
+                derived = derived.filter(F.col(key) == (O.parse_stale(value) if key == "stale" else value))
+            out = out.join(derived.select("path"), "path", "left_semi")
+        return out
 
     def search(self, query: str, mode: str = "auto", limit: int = 10, per_note: int = 2, folder: str | None = None, snippet_words: int = 200, okf_filters: dict[str, str] | None = None, boosts: dict[str, float] | None = None, weights: dict[str, float] | None = None, okf_active: bool = False) -> DataFrame | None:
         """Ranked sections, at most ``per_note`` of ``limit`` notes; None for a blank query."""
@@ -196,18 +203,21 @@ class Vault:
             channels.append(("semantic", self.table("vectors").select("path", "ordinal", vector.dot(F.col("embedding"), q).alias("score"))))
         if not channels:
             return None
-        rows = [(n, ranking.length_downweight(self._decorated(c.join(headings.select("path", "ordinal", "heading"), ["path", "ordinal"]), folder, okf_filters))) for n, c in channels]
+        # scores meet the notes alone; texts and metadata join only what a limit leaves
+        rows = [(n, ranking.length_downweight(self._eligible(c, folder, okf_filters))) for n, c in channels]
         pool = ranking.candidate_pool(limit, per_note, mode != "keyword", bool(okf_filters))
         if mode == "hybrid" and len(rows) == 2:
-            fused = ranking.rrf([ranking.ranked(r, n, pool) for n, r in rows])
-            scored = self._decorated(fused, folder, okf_filters)
+            named = headings.select("path", "ordinal", "heading")
+            pooled = [ranking.ranked(r, n, pool).join(named, ["path", "ordinal"]) for n, r in rows]
+            scored = self._eligible(ranking.rrf(pooled).drop("heading"), folder, None)
         else:
             scored = rows[0][1].withColumn("search_type", F.lit(rows[0][0]))
         if boosts:
             scored = ranking.folder_boost(scored, boosts)
         if okf_active:
-            scored = ranking.okf_downweight(scored)
-        top = ranking.collapse(scored, limit, per_note).join(headings.select("path", "ordinal", "content"), ["path", "ordinal"])
+            scored = ranking.okf_downweight(scored.join(self._derived(), "path")).drop("type", "status", "stale", "trust_tier")
+        top = ranking.collapse(scored, limit, per_note).join(headings, ["path", "ordinal"])
+        top = top.join(population.live(self.documents).select("path", "title"), "path").join(self._derived(), "path")
         return fulltext.add_snippets(top, fulltext.query_terms(query), snippet_words).orderBy("file_rank", "note_rank")
 
     def similar(self, path: str, limit: int = 10, per_note: int = 1) -> DataFrame:
@@ -253,12 +263,18 @@ class Vault:
         rows = self.table("headings").filter(F.col("path") == path).orderBy("position").collect()
         return M.outline(note.title, [(r.heading_level, r.heading) for r in rows], max_level)
 
-    def citing(self, resource: str) -> DataFrame:
-        """Notes that declare a source, with their labels for it; reserved files are left out."""
+    def citing(self, resource: str, okf_active: bool = True) -> DataFrame:
+        """Labels of the notes that declare a source: matched ones cite it, all others are diagnostics (column ``cites``).
+
+        Files that only navigate are left out where maintained metadata is in force.
+        """
+        if not resource.strip():
+            raise ValueError("the resource is blank")
         c = self.table("citations")
         declared = c.filter((F.col("status") == "declared") & (F.col("resource") == resource)).select("path").distinct()
         own = c.join(declared, "path").filter((F.col("resource") == resource) | ((F.col("resource") == "") & (F.col("status") != "declared")))
-        return own.filter(~ranking.is_reserved(F.col("path"))).orderBy("path", "label")
+        own = own.filter(~ranking.is_reserved(F.col("path"))) if okf_active else own
+        return own.withColumn("cites", F.col("status") == "matched").orderBy("path", "label")
 
     def okf_stats(self) -> dict[str, DataFrame]:
         o = self.table("okf").filter("status is not null")
