@@ -106,6 +106,12 @@ def distinct_values(tags: DataFrame, tag_key: str, indexed_keys: frozenset[str]
     return tags.filter(F.col("tag_key") == tag_key).select("tag_value").distinct().orderBy("tag_value")
 
 
+def frontmatter_values(documents: DataFrame, key: str) -> DataFrame:
+    """Rows (path, value) of any front-matter key of live notes, as JSON text (strings plain), null where it is missing."""
+    name = key.replace("'", "\\'")
+    return live(documents).select("path", F.get_json_object("frontmatter_json", f"$['{name}']").alias("value"))
+
+
 def recent(documents: DataFrame, limit: int = 20, folder: str | None = None) -> DataFrame:
     """Newest notes first; ties by path."""
     return live(documents).filter(in_folder(F.col("folder"), folder)).orderBy(F.desc("modified_at"), "path").limit(limit)

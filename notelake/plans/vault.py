@@ -37,7 +37,8 @@ class Vault:
     """Builds, refreshes and queries. One writer at a time holds the lock; readers see whole generations."""
 
     def __init__(self, spark: SparkSession, root: str, store: str, options: ParseOptions = ParseOptions(), embed=None) -> None:
-        self.spark, self.root, self.options, self.embed = spark, root, options, embed
+        self.spark, self.root, self.options = spark, root, options
+        self.embed = source.backend("embedding", embed) if isinstance(embed, str) else embed  # a registered name, or a function
         self.store = SnapshotStore(spark, store)
         self.dirty: set[str] = set()
         self.hooks: list[source.WriteHook] = []
@@ -226,6 +227,13 @@ class Vault:
         found = vector.attach_live(vector.similar(self.table("vectors"), path, pool), self.documents)
         return ranking.collapse(found.select("path", "ordinal", "score"), limit, per_note)
 
+    def context(self, path: str, peers: int = 20, limit: int = 5) -> dict[str, DataFrame]:
+        """What is known around a note: links in and out, peers, tags, and similar notes where there are vectors."""
+        out = graph.context(path, self.links, self.documents, self.table("tags"), peers)
+        if "vectors" in (self.store.manifest() or {"tables": {}})["tables"]:
+            out["similar"] = self.similar(path, limit)
+        return out
+
     # --- reading ----------------------------------------------------------------------------
 
     def load(self, path: str) -> dict | None:

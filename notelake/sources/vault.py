@@ -269,8 +269,18 @@ def git_log(spark: SparkSession, root: str, limit: int | None = None, path: str
 
 
 def git_diff(root: str, path: str, since: str, until: str = "HEAD", cap: int = 50_000) -> str:
-    out = subprocess.run(["git", "-C", root, "diff", since, until, "--", path], capture_output=True, text=True, check=True).stdout
-    return out if len(out) <= cap else out[:cap] + "\n[cut]"
+    """What changed in a path between two revisions, at most ``cap`` bytes."""
+    return _capped(["git", "-C", root, "diff", since, until, "--", path], cap)
+
+
+def git_commit_diff(root: str, path: str, revision: str, cap: int = 50_000) -> str:
+    """What one commit changed in a path, at most ``cap`` bytes."""
+    return _capped(["git", "-C", root, "show", "--format=", revision, "--", path], cap)
+
+
+def _capped(command: list[str], cap: int) -> str:
+    out = subprocess.run(command, capture_output=True, check=True).stdout
+    return out.decode("utf-8", "replace") if len(out) <= cap else out[:cap].decode("utf-8", "ignore") + "\n[cut]"
 
 
 def git_show(root: str, path: str, revision: str) -> bytes | None:

@@ -572,3 +572,10 @@ def stemmed_postings(spark: SparkSession, sf: str) -> DataFrame:
 def snippet_window(spark: SparkSession, sf: str) -> DataFrame:
     rows = notes(spark, sf).select("path", _case(2, "a b c d e f g connected h i", "a linked, connections d e f g").alias("content"))
     return fulltext.add_snippets(rows, fulltext.query_terms("connection OR linking"), 3).select("path", "snippet")
+
+
+@query("""e AS (SELECT path, doc_id, doc_id % 3 AS c FROM notes) SELECT path, CASE c WHEN 0 THEN 'a ' || doc_id WHEN 1 THEN '["x",' || doc_id || ']' END AS value FROM e""")
+def frontmatter_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Any front-matter key, read back from the stored JSON."""
+    front = _case(3, "my key: a {i}", "my key: [x, {i}]", "other: 1")
+    return population.frontmatter_values(_written(spark, sf, F.lit("x\n"), front)["documents"], "my key")

@@ -235,6 +235,8 @@ def test_git_history(spark, tmp_path):
     assert source.lineage(str(tmp_path), "b.md") == ["a.md"]
     assert source.git_show(str(tmp_path), "b.md", "HEAD~1").startswith(b"one")
     assert "rename" in source.git_diff(str(tmp_path), ".", "HEAD~1")
+    assert source.git_commit_diff(str(tmp_path), ".", "HEAD") == source.git_diff(str(tmp_path), ".", "HEAD~1")
+    assert source.git_diff(str(tmp_path), ".", "HEAD~1", cap=5).endswith("[cut]")
 
 
 def test_history_is_whole_and_follows_renames(spark, tmp_path):
