@@ -50,12 +50,13 @@ def candidate_pool(limit: int, per_note: int, semantic: bool = False, filtered:
 
 def collapse(rows: DataFrame, limit: int, per_note: int = 2) -> DataFrame:
     """At most ``per_note`` rows of each of ``limit`` notes; notes stand in the order of their best rows."""
-    order = (F.desc("score"), F.asc("path"), F.asc("ordinal"))
-    own = Window.partitionBy("path")
-    kept = rows.withColumn("note_rank", F.row_number().over(own.orderBy(*order))).filter(F.col("note_rank") <= per_note).withColumn("best", F.max("score").over(own))
-    top = kept.groupBy("path").agg(F.max("best").alias("best")).orderBy(F.desc("best"), "path").limit(limit)
-    top = top.withColumn("file_rank", F.row_number().over(Window.orderBy(F.desc("best"), "path")))  # over limit rows
-    return kept.drop("best").join(top.select("path", "file_rank"), "path").orderBy("file_rank", "note_rank")
+    own = Window.partitionBy("path").orderBy(F.desc("score"), F.asc("ordinal"))
+    kept = rows.withColumn("note_rank", F.row_number().over(own)).filter(F.col("note_rank") <= per_note)
+    # a note's few rows travel as one, so that notes are ordered without a second look at the hits
+    packed = F.sort_array(F.collect_list(F.struct("note_rank", *(c for c in rows.columns if c != "path"))))
+    notes = kept.groupBy("path").agg(F.max("score").alias("_best"), packed.alias("_rows")).orderBy(F.desc("_best"), "path").limit(limit)
+    top = notes.withColumn("file_rank", F.row_number().over(Window.orderBy(F.desc("_best"), "path")))  # over limit rows
+    return top.select("path", F.explode("_rows").alias("_row"), "file_rank").select("path", "_row.*", "file_rank").orderBy("file_rank", "note_rank")
 
 
 def ranked(rows: DataFrame, channel: str, limit: int | None) -> DataFrame:
@@ -86,12 +87,14 @@ def rrf(channels: list[DataFrame], k: int = RRF) -> DataFrame:
     Keys that recur within a channel add up. The payload is that of the first channel that has the
     key, at its best rank; search_type names the channels.
     """
-    both = reduce(DataFrame.unionByName, (c.select("path", "heading", "ordinal", "rank", "channel", F.lit(n).alias("_c")) for n, c in enumerate(channels)))
+    more = [c for c in ("folder",) if all(c in x.columns for x in channels)]  # the same in all rows of a note
+    both = reduce(DataFrame.unionByName, (c.select("path", "heading", "ordinal", "rank", "channel", *more, F.lit(n).alias("_c")) for n, c in enumerate(channels)))
     # null headings are a key of their own
     fused = both.groupBy("path", "heading").agg(
         F.sum(1.0 / (k + F.col("rank"))).alias("score"),
         F.min_by("ordinal", F.struct("_c", "rank")).alias("ordinal"),
         F.array_join(F.sort_array(F.collect_set("channel")), "+").alias("search_type"),
+        *(F.max(c).alias(c) for c in more),
     )
     return fused
 
@@ -103,9 +106,7 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, limit: int, per_note: int =
     """
     pool = None if whole else pool or candidate_pool(limit, per_note, semantic=True)
     channels = [ranked(length_downweight(c, alpha), name, pool) for name, c in (("keyword", keyword), ("semantic", semantic))]
-    info = reduce(DataFrame.unionByName, (c.select("path", "folder") for c in channels)).distinct()
     fused = rrf(channels)
-    fused = fused.join(info, "path")
     return collapse(folder_boost(fused, boosts) if boosts else fused, limit, per_note)
 
 
