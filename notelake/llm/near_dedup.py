@@ -285,13 +285,27 @@ def _spanning(rows: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, forest: DataFrame | None) -> DataFrame:
-    """Rows (grp, id, weight) with their component so far."""
-    rows = rows.select("grp", "id", "weight")
+    """Rows (grp, id, weight, ...) with their component so far."""
     if forest is None:
         return rows.withColumn("component", F.col("id"))
     return rows.join(forest.withColumnRenamed("node", "member"), F.col("id") == F.col("member"), "left").select(*rows.columns, F.coalesce("component", "id").alias("component"))
 
 
+def _near_others(rows: DataFrame) -> DataFrame:
+    """Of rows (grp, id, weight, shell, component) those that may still link components of their group.
+
+    A group's largest component needs no links of its own, so its members stay only in shells beside
+    one that holds a member of another component.
+    """
+    parts = rows.groupBy("grp", "component").agg(F.sum("weight").alias("n"))
+    tops = parts.groupBy("grp").agg(F.max(F.struct("n", "component"))["component"].alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    tops = materialize(tops.select(F.col("grp").alias("of"), "top"), "tops")
+    others = rows.join(tops, (F.col("grp") == F.col("of")) & (F.col("component") != F.col("top")))
+    beside = F.array_distinct(F.flatten(F.collect_set(F.array(F.col("shell") - 1, "shell", F.col("shell") + 1))))  # of few shells
+    near = materialize(others.groupBy("of").agg(F.max("top").alias("top"), beside.alias("near")), "near")
+    return rows.join(near, (F.col("grp") == F.col("of")) & ((F.col("component") != F.col("top")) | F.array_contains("near", F.col("shell")))).select("grp", "id", "weight", "shell")
+
+
 def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame | None, metric: bool) -> DataFrame:
     """Components after all links within groups (grp, id, weight) are confirmed.
 
@@ -301,7 +315,7 @@ def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame |
     linked: what still spans components is cut into overlapping shells of that width, and the
     shells go on as groups. At the end the blocks of what is left meet, which is exact.
     """
-    rows = materialize(_spanning(_joined(rows, forest)), "members")
+    rows = materialize(_spanning(_joined(rows.select("grp", "id", "weight"), forest)), "members")
     sizes = rows.groupBy("grp").agg(F.sum("weight").alias("size"))
     rows = materialize(rows.join(materialize(sizes, "sizes"), "grp"), "sized")
     forest = grown(forest, _verify(_listed(rows.filter(F.col("size") <= LISTED)), sets, percent))
@@ -316,9 +330,10 @@ def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame |
         forest = grown(forest, measured.filter(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("hub").alias("a"), F.col("id").alias("b")))
         # the hub itself has met all of its group
         shell = F.floor((1 - F.col("shared") / F.col("joint")) / (1.000001 - percent / 100)) if metric and percent < 100 else F.lit(0)
+        rows = spokes.join(measured, ["hub", "id"]).select("grp", "id", "weight", shell.alias("shell"))
+        rows = _near_others(materialize(_joined(rows, forest), "shells"))
         both = F.array("shell", F.col("shell") - 1) if metric and percent < 100 else F.array("shell")
-        rows = spokes.join(measured, ["hub", "id"]).withColumn("shell", shell).withColumn("shell", F.explode(both))
-        rows = rows.select(F.concat_ws("/", "grp", F.col("shell").cast("string")).alias("grp"), "id", "weight")
+        rows = rows.withColumn("shell", F.explode(both)).select(F.concat_ws("/", "grp", F.col("shell").cast("string")).alias("grp"), "id", "weight")
     rows = materialize(_spanning(_joined(rows, forest)), "members")
     return forest if rows.isEmpty() else grown(forest, _verify(_crossed(rows), sets, percent))
 
