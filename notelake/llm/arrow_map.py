@@ -42,22 +42,27 @@ def give_back() -> None:
         pass
 
 
-def map_rows(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], Iterator[dict[str, list]]]], schema: StructType) -> DataFrame:
+def map_rows(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], Iterator[dict[str, list]]]], schema: StructType, closing: bool = False) -> DataFrame:
     """Apply ``start()``, once per task, to each batch's columns as lists; it yields columns.
 
     Batches stay bounded: Spark cuts them by rows and bytes, and here they are cut again by bytes.
+    With ``closing`` it is also applied to None, once after the last batch.
     """
     names = schema.fieldNames()
     arrow = to_arrow_schema(schema)
 
+    def made(out: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
             size = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                for out in step({n: part.column(n).to_pylist() for n in part.schema.names}):
-                    yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+                yield from map(made, step({n: part.column(n).to_pylist() for n in part.schema.names}))
+        if closing:
+            yield from map(made, step(None))
         del step
         give_back()
 

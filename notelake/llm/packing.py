@@ -124,12 +124,14 @@ class WordEncoder:
     """Token ids as little-endian 32-bit bytes, with the ids of seen words kept.
 
     Plain texts are cut into words by the classes of their characters, many texts at once, and each
-    distinct word is encoded once. Words are told apart by a 64-bit hash that is one-to-one up to 8
-    characters. Other texts (characters outside the plain range, a possible special token, a word
-    over ``Merges.LONGEST``) go through the tokenizer whole, which gives the same ids.
+    distinct word is encoded once. Words are found by a 64-bit hash, one-to-one up to 8 characters,
+    and compared character by character with the word kept under it. Other texts (characters outside the
+    plain range, a possible special token, a word over ``Merges.LONGEST``, a word whose hash another
+    word has) go through the tokenizer whole, which gives the same ids.
     """
 
-    KEEP = 1_000_000  # words; some 40 MB
+    KEEP = 1_000_000  # words; some 80 MB
+    WIDE = Merges.LONGEST // 2  # characters; one has two bytes at most
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,6 +145,7 @@ class WordEncoder:
         self.hashes, self.number = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # sorted, and the words' numbers
         self.ids = np.empty(0, dtype="<u4")  # of all kept words, one after another
         self.start, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.chars = np.empty((0, self.WIDE // 8), dtype="<u8")  # of all kept words, eight to a number, zeros after the last
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,19 +184,35 @@ class WordEncoder:
         return at[word], (ends - at)[word]
 
     @staticmethod
-    def _hash(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _lane(data: bytes, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+        """Characters 8 k to 8 k + 7 of words that have some, as numbers."""
         eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        left = np.minimum(sizes - 8 * k, 8).astype(np.uint64)
+        return eights[starts + 8 * k] & (np.uint64(2**64 - 1) >> (np.uint64(8) - left) * np.uint64(8))
+
+    @classmethod
+    def _hash(cls, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         h = np.zeros(len(starts), dtype=np.uint64)
         rows, k = np.arange(len(starts)), 0
         while len(rows):
-            left = np.minimum(sizes[rows] - 8 * k, 8).astype(np.uint64)
-            lane = eights[starts[rows] + 8 * k] & (np.uint64(2**64 - 1) >> (np.uint64(8) - left) * np.uint64(8))
-            x = (h[rows] ^ lane) * np.uint64(0x9E3779B97F4A7C15)
+            x = (h[rows] ^ cls._lane(data, starts[rows], sizes[rows], k)) * np.uint64(0x9E3779B97F4A7C15)
             h[rows] = x ^ x >> np.uint64(29)
             k += 1
             rows = rows[sizes[rows] > 8 * k]
         return h
 
+    def _strangers(self, data: bytes, starts: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Words (places) that aren't the kept words of these numbers, though their hashes are equal."""
+        width = np.clip((sizes + 7) // 8, 1, None)
+        # zeros fill the last eight and stand in no word, so eights that are equal are equal words
+        wrong = (self.chars != 0).sum(axis=1)[number] != width
+        rows, k = np.flatnonzero((width > 1) & ~wrong), 0
+        while len(rows):
+            wrong[rows] |= self._lane(data, starts[rows], sizes[rows], k) != self.chars[number[rows], k]
+            k += 1
+            rows = rows[sizes[rows] > 8 * k]
+        return np.flatnonzero(wrong)
+
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         by_length: dict[int, tuple[list[int], list[bytes]]] = {}
         for k, word in enumerate(words):
@@ -216,17 +235,18 @@ class WordEncoder:
         self.hashes, self.number = known[line], number[line]
         self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
         self.start = np.cumsum(self.size) - self.size
+        chars = np.frombuffer(b"".join(words[k].ljust(self.WIDE, b"\0") for k in order), dtype="<u8")
+        self.chars = np.concatenate([self.chars, chars.reshape(len(order), -1)])
 
     def _together(self, texts: list[bytes]) -> list[bytes | None]:
-        """Ids of plain texts; None for those with too long a word."""
+        """Ids of plain texts; None for those with too long a word or one whose hash another word has."""
         data = b"\n".join(texts) + b"\n       "
         starts, sizes = self._cut(np.frombuffer(data, dtype=np.uint8))
         ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
         last = np.searchsorted(starts, ends)  # words before the end of each text
         first = np.append(0, last[:-1])
-        wide = np.flatnonzero(sizes > Merges.LONGEST // 2)  # a character has two bytes at most
-        outside = set(np.searchsorted(last, wide, side="right").tolist())
-        sizes = np.minimum(sizes, Merges.LONGEST // 2)
+        wide = np.flatnonzero(sizes > self.WIDE)
+        sizes = np.minimum(sizes, self.WIDE)
         distinct, sample, which = np.unique(self._hash(data, starts, sizes), return_index=True, return_inverse=True)
         if len(self.hashes) > self.KEEP:
             self._forget()
@@ -235,6 +255,8 @@ class WordEncoder:
             at, n = starts[sample[missing]].tolist(), sizes[sample[missing]].tolist()
             self._learn(distinct[missing], [data[a : a + c] for a, c in zip(at, n, strict=True)])
         number = self.number[np.searchsorted(self.hashes, distinct)][which]
+        strange = np.concatenate([wide, self._strangers(data, starts, sizes, number)])
+        outside = set(np.searchsorted(last, strange, side="right").tolist())
         size = self.size[number]
         total = np.append(0, np.cumsum(size))
         ids = self.ids[np.repeat(self.start[number] - total[:-1], size) + np.arange(total[-1])]

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language, near_dedup, packing, permutation_index, piece_lattice, quality, secrets, sharding, warc_zip
+from . import fill_in_middle as middle
+from . import importance, language, near_dedup, packing, permutation_index, piece_lattice, quality, secrets, sharding, warc_zip, window_cuts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,11 +80,38 @@ def op10_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=25, order=2, buckets=10_000, least_words=20, seed=7)
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.fill_in_middle(_read(spark, sf_dir, "documents"), rate=50, spm=80, seed=42)
+    back = middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_window_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_cuts.pack_windows(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_piece_nbest, op2_warc_zip, op3_fast_sketch_near_dedup, op4_permutation_index, op5_secret_scan, op6_bin_slack_packing, op7_language_id, op8_virtual_slot_sharding, op9_exact_dedup, op10_quality_fourier)
+    f.__name__: f for f in (op1_piece_nbest, op2_warc_zip, op3_fast_sketch_near_dedup, op4_permutation_index, op5_secret_scan, op6_bin_slack_packing, op7_language_id, op8_virtual_slot_sharding, op9_exact_dedup, op10_quality_fourier, op11_importance_resampling, op12_fill_in_middle, op13_window_cuts)
 }
 
 ORACLE: dict[str, str] = {
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+        u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+            list_transform([0, 1, 2, 3], lambda k: list_reduce(list_transform(string_split(substr(digest, 8 * k + 1, 8), ''), lambda c: instr('0123456789abcdef', c)::BIGINT - 1), lambda a, b: 16 * a + b)) AS h FROM d),
+        r AS (SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        c AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:n], '') AS s FROM r)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM c
+    """,
     "op2_warc_zip": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
