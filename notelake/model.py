@@ -28,7 +28,7 @@ S, I, L, D, B = StringType(), IntegerType(), LongType(), DoubleType(), BooleanTy
 
 DOCUMENTS = schema(
     path=S, path_folded=S, title=S, folder=S, frontmatter_json=S, frontmatter=MapType(S, ArrayType(S)),
-    content_hash=S, modified_at=D, chunk_count=I, content_chars=L, skip_category=S, skip_detail=S,
+    content_hash=S, modified_at=D, size=L, chunk_count=I, content_chars=L, skip_category=S, skip_detail=S,
 )
 SECTIONS = schema(path=S, ordinal=I, heading=S, heading_level=I, content=S, start_line=I)
 HEADINGS = schema(path=S, position=I, heading=S, heading_level=I)

@@ -113,19 +113,42 @@ def neighbourhood(links: DataFrame, documents: DataFrame, start: str, depth: int
     return nodes, own.select("source_path", "target_path", "link_type")
 
 
-def resolve(links: DataFrame, documents: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def path_ends(notes: DataFrame) -> DataFrame:
+    """Rows (path, _end): what follows each "/" of a path, which a link may name it by."""
+    parts = F.split("path", "/")
+    below = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))
+    return notes.select("path", F.explode(below).alias("_end"))
+
+
+def changed_meaning(links: DataFrame, moved: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (path): sources of links that may mean another note once notes have come or gone.
+
+    ``moved`` (path) holds the notes that came or went, ``names`` (alias) the aliases that did. A link is
+    looked at only if its target is one of those paths, one of their ends, or one of those aliases.
+    """
+    ends = path_ends(moved).select("_end").unionByName(moved.select(F.col("path").alias("_end"))).distinct()
+    by_path = links.join(ends, links["target_path"] == ends["_end"], "left_semi").select("source_path")
+    lowered = names.select(F.lower("alias").alias("_alias")).distinct()
+    by_name = links.filter("link_type = 'wikilink'").join(lowered, F.lower(stem_of(F.col("target_path"))) == F.col("_alias"), "left_semi").select("source_path")
+    return by_path.unionByName(by_name).distinct().withColumnRenamed("source_path", "path")
+
+
+def resolve(links: DataFrame, documents: DataFrame, aliases: DataFrame | None = None, few: bool = False) -> DataFrame:
     """``links`` with target_path set to the note that a vault-wide name means, where there is one.
 
     A target means a note whose path equals it, or ends with "/" and it. Of several: the exact path,
     then one in the source's own folder, then the shortest, then the first in order. What no path
     matches may be an alias of a note, in any case. Markdown links keep a path that exists, and paths
-    with an explicit "./", "../" or "/" in front, as they are.
+    with an explicit "./", "../" or "/" in front, as they are. With ``few`` links, paths and aliases that
+    none of them names are left out before anything is grouped.
     """
     notes = live(documents).select("path").distinct()
-    parts = F.split("path", "/")
-    below = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))
+    named = path_ends(notes)
+    if few:
+        named = named.join(links.select(F.col("target_path").alias("_end")).distinct(), "_end", "left_semi")
+        aliases = None if aliases is None else aliases.join(links.select(F.lower(stem_of(F.col("target_path"))).alias("_name")).distinct(), F.lower("alias") == F.col("_name"), "left_semi")
     # every end of a path means one note, so that a file name found in every folder costs no more than another
-    ends = notes.select("path", F.explode(below).alias("_end")).groupBy("_end").agg(F.min(F.struct(F.length("path").alias("n"), "path")).alias("_best"))
+    ends = named.groupBy("_end").agg(F.min(F.struct(F.length("path").alias("n"), "path")).alias("_best"))
     fixed = (F.col("link_type") != "wikilink") & F.coalesce(F.col("raw_target").rlike(r"^(/|\./|\.\./)"), F.lit(False))
     home = folder_of(F.col("source_path"))
     beside = F.concat(F.when(home == "", F.lit("")).otherwise(F.concat(home, F.lit("/"))), basename_of(F.col("target_path")))

@@ -160,13 +160,20 @@ def hash_embedding(text: str, dimension: int) -> list[float]:
 
 
 def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], text_col: str = "embedding_text", batch: int = 64) -> DataFrame:
-    """Column embedding from a provider that takes a list of texts, ``batch`` texts a call."""
+    """Column embedding from a provider that takes a list of texts, ``batch`` texts a call; null where a call fails or falls short."""
     schema = rows.withColumn("embedding", F.lit(None).cast("array<float>")).schema
 
+    def call(texts: list[str]) -> list:
+        try:
+            made = list(provider(texts))
+        except Exception:  # whatever a provider raises: its texts are asked for again by the next run
+            made = []
+        return made if len(made) == len(texts) else [None] * len(texts)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             texts = part[text_col].tolist()
-            part["embedding"] = [v for at in range(0, len(texts), batch) for v in provider(texts[at : at + batch])]
+            part["embedding"] = [v for at in range(0, len(texts), batch) for v in call(texts[at : at + batch])]
             yield part
 
     return rows.mapInPandas(run, schema)

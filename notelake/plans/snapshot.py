@@ -1,7 +1,10 @@
-"""Versioned tables on plain Parquet: immutable bucket folders, and a manifest a generation that names them.
+"""Versioned tables on plain Parquet: immutable folders, and a manifest a generation that names them.
 
-Rows are dealt into buckets by a hash of their note's path. An update writes only the buckets that
-hold touched notes and a new manifest, which goes on naming the other buckets' old folders. The
+Rows are dealt into buckets by the low bits of a hash of their note's path. A table's directory, which
+buckets there are and how many bits each looks at, stands in the manifest, so readers need no settings;
+a bucket that grows beyond a size is split alone into the two that look at one bit more. An
+update adds to the touched buckets a delta: new rows, and a mark for each touched note that hides
+its older rows. Deltas are merged by size, first with each other, then into their bucket. The
 manifest of a generation is created exclusively, so of two writers that built on one generation the
 second fails. Readers hold the generation they began with; data goes once no manifest that is kept
 names it. All files are reached through Spark's own file systems.
@@ -13,10 +16,12 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 class Conflict(RuntimeError):
@@ -66,16 +71,34 @@ class _Files:
     def drop(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
 
+    def bytes(self, name: str) -> int:
+        return self.fs.getContentSummary(self.at(name)).getLength()
+
+    def older(self, folder: str, seconds: float) -> list[str]:
+        """Names in a folder that nothing has been added to for so long."""
+        path, now = self.at(folder), time.time()
+        found = self.fs.listStatus(path) if self.fs.exists(path) else []
+        return [s.getPath().getName() for s in found if now - s.getModificationTime() / 1000 > seconds]
+
+
+#: Bits a bucket looks at, at most; beyond 65,536 buckets a bucket has several files.
+MOST_BITS = 16
+#: Deltas of a bucket before they are merged into one.
+MOST_DELTAS = 8
+#: How a delta tells the order of updates, and marks a touched note.
+SEQ, GONE = "_seq", "_gone"
+
 
 class SnapshotStore:
     """Tables below a folder that driver and executors reach.
 
-    ``buckets`` is how many parts a table has. The newest ``keep`` generations stay, and all that are
-    younger than ``grace`` seconds, for readers that hold them.
+    The newest ``keep`` generations stay, and all that are younger than ``grace`` seconds, for readers
+    that hold them; so do intermediate tables of jobs that died. ``bucket_bytes`` is the size at which
+    buckets are split; it only matters to writers.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2, buckets: int = 16, grace: float = 3600.0) -> None:
-        self.spark, self.root, self.keep, self.buckets, self.grace = spark, root.rstrip("/"), keep, buckets, grace
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2, grace: float = 3600.0, bucket_bytes: int = 64 << 20) -> None:
+        self.spark, self.root, self.keep, self.grace, self.bucket_bytes = spark, root.rstrip("/"), keep, grace, bucket_bytes
         self.files = _Files(spark, self.root)
 
     # --- generations ------------------------------------------------------------------------
@@ -92,128 +115,243 @@ class SnapshotStore:
         number = generation or self.generation
         return json.loads(self.files.read(f"manifests/{number:012d}.json")) if number else None
 
-    def _bucket(self, df: DataFrame) -> Column:
-        key = next((c for c in ("source_path", "path") if c in df.columns), None)
-        return F.lit(0) if key is None else F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def _open(self, found: dict, table: str, buckets: set[int] | None = None) -> DataFrame:
-        own = found["tables"][table]
-        schema = StructType.fromJson(own["schema"])
-        parts = [f"{self.root}/{folder}" for k, folder in own["parts"].items() if buckets is None or int(k) in buckets]
-        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
-
-    def read(self, table: str) -> DataFrame:
-        found = self.manifest()
+    def read(self, table: str, found: dict | None = None) -> DataFrame:
+        """A table of the current generation, or of the manifest ``found``."""
+        found = found or self.manifest()
         if not found or table not in found["tables"]:
             raise LookupError(f"no table {table!r}")
-        return self._open(found, table)
-
-    def tables(self) -> dict[str, DataFrame]:
-        found = self.manifest()
-        return {t: self._open(found, t) for t in found["tables"]} if found else {}
+        return self._open(found["tables"][table])
+
+    def tables(self, found: dict | None = None) -> dict[str, DataFrame]:
+        found = found or self.manifest()
+        return {t: self._open(own) for t, own in found["tables"].items()} if found else {}
+
+    # --- the directory of a table -----------------------------------------------------------
+
+    @staticmethod
+    def _bucket(key: str | None, names: list[str]) -> Column:
+        """The place in ``names`` (bits.value, no bucket within another) of the bucket that a row is in."""
+        own = [tuple(map(int, n.split("."))) for n in names]
+        deep = max(bits for bits, _ in own)
+        if key is None or not deep:
+            return F.lit(0)
+        at = {b: k for k, b in enumerate(own)}
+        places = [next(at[bits, v & (1 << bits) - 1] for bits in range(deep, -1, -1) if (bits, v & (1 << bits) - 1) in at) for v in range(1 << deep)]
+        directory = F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>")  # one literal, folded once
+        return F.element_at(directory, (F.xxhash64(key).bitwiseAND((1 << deep) - 1) + 1).cast("int"))
+
+    def _open(self, own: dict, names: list[str] | None = None) -> DataFrame:
+        """The rows of a table, or of some of its buckets: those that no later mark hides."""
+        schema, key = StructType.fromJson(own["schema"]), own["key"]
+        buckets = [b for n, b in own["buckets"].items() if names is None or n in names]
+        bases = [f"{self.root}/{b['base']}" for b in buckets if b["base"]]
+        deltas = [f"{self.root}/{d['folder']}" for b in buckets for d in b["deltas"]]
+        base = self.spark.read.schema(schema).parquet(*bases) if bases else self.spark.createDataFrame([], schema)
+        if not deltas:
+            return base
+        later = self.spark.read.schema(_delta_schema(schema)).parquet(*deltas)
+        marks = later.filter(GONE).groupBy(F.col(key).alias("_key")).agg(F.max(SEQ).alias("_last"))
+        fresh = later.filter(~F.col(GONE)).join(marks, (F.col(key) == F.col("_key")) & (F.col(SEQ) == F.col("_last")), "left_semi")
+        return base.join(marks, base[key] == marks["_key"], "left_anti").unionByName(fresh.select(*schema.fieldNames()))
+
+    # --- intermediate tables ----------------------------------------------------------------
+
+    @contextmanager
+    def job(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A function that writes tables out, which then stay as they are whatever happens to executors or files.
+
+        They lie in a folder of this job alone, which goes when the job ends.
+        """
+        folder = f"stage/{uuid.uuid4().hex}"
 
-    # --- writing ----------------------------------------------------------------------------
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{self.root}/{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
 
-    def stage(self, df: DataFrame) -> DataFrame:
-        """``df`` as a written table, which stays as it is whatever happens to executors or files; see ``unstage``."""
-        path = f"{self.root}/stage/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        try:
+            yield keep
+        finally:
+            self.files.drop(folder)
 
-    def unstage(self) -> None:
-        self.files.drop("stage")
+    # --- writing ----------------------------------------------------------------------------
 
-    def _write(self, folder: str, name: str, df: DataFrame, keys: list[str] | None) -> dict[str, str]:
-        """Write a table's rows by bucket; the folders by bucket. Rows that share ``keys`` share a bucket and are refused."""
-        path = f"{folder}/{name}"
-        bucketed = df.withColumn("_bucket", self._bucket(df)).hint("rebalance", "_bucket")
+    def _write(self, path: str, df: DataFrame, key: str | None, names: list[str]) -> dict[str, str]:
+        """Write rows by bucket; the folders by the buckets' names."""
+        bucketed = df.withColumn("_bucket", self._bucket(key, names)).hint("rebalance", "_bucket")
         order = ["_bucket", *(c for c in ("term",) if c in df.columns)]
         bucketed.sortWithinPartitions(*order).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
-        if keys and not self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}").groupBy(*keys).count().filter("count > 1").isEmpty():
-            raise ValueError(f"{name} repeats {keys}")
-        return {n.partition("=")[2]: f"{path}/{n}" for n in self.files.names(path) if n.startswith("_bucket=")}
-
-    def _commit(self, base: int, folder: str, tables: dict, fingerprint: str, markers: dict | None) -> int:
+        return {names[int(n.partition("=")[2])]: f"{path}/{n}" for n in self.files.names(path) if n.startswith("_bucket=")}
+
+    def _based(self, folder: str, df: DataFrame, key: str | None, names: list[str]) -> dict[str, dict]:
+        made = self._write(f"{folder}/{uuid.uuid4().hex}", df, key, names)
+        return {n: {"base": made.get(n), "bytes": self.files.bytes(made[n]) if n in made else 0, "deltas": []} for n in names}
+
+    def _split(self, folder: str, own: dict) -> None:
+        """Split buckets over the size, each alone, until none is."""
+        while large := [n for n, b in own["buckets"].items() if b["bytes"] > self.bucket_bytes and int(n.split(".")[0]) < MOST_BITS and not b["deltas"]]:
+            self._rebase(folder, own, large)
+
+    def _rebase(self, folder: str, own: dict, names: list[str]) -> None:
+        """Write buckets anew without deltas, those over the size as two."""
+        after: list[str] = []
+        for n in names:
+            bits, value = map(int, n.split("."))
+            b = own["buckets"][n]
+            large = own["key"] and b["bytes"] + sum(d["bytes"] for d in b["deltas"]) > self.bucket_bytes and bits < MOST_BITS
+            after += [f"{bits + 1}.{value}", f"{bits + 1}.{value + (1 << bits)}"] if large else [n]
+        rows = self._open(own, names)
+        rest = {n: b for n, b in own["buckets"].items() if n not in names}
+        # places count over the whole directory; the rows are those of these buckets only
+        made = self._write(f"{folder}/{uuid.uuid4().hex}", rows, own["key"], [*after, *rest])
+        own["buckets"] = rest | {n: {"base": made.get(n), "bytes": self.files.bytes(made[n]) if n in made else 0, "deltas": []} for n in after}
+
+    def _commit(self, base: int, tables: dict, fingerprint: str, markers: dict | None) -> int:
         own = {"generation": base + 1, "tables": tables, "fingerprint": fingerprint, "markers": markers or {}, "published_at": time.time()}
         if not self.files.create(f"manifests/{base + 1:012d}.json", json.dumps(own)):
             raise Conflict("another writer published first")
         self._clean()
         return base + 1
 
+    @staticmethod
+    def _named(manifest: dict) -> set[str]:
+        parts = (b for t in manifest["tables"].values() for b in t["buckets"].values())
+        return {f for b in parts for f in (b["base"], *(d["folder"] for d in b["deltas"])) if f}
+
     def _clean(self) -> None:
-        """Drop manifests that are neither new nor young, and the data that only they name."""
+        """Drop manifests that are neither new nor young, the data that only they name, and what dead jobs left."""
+        for name in self.files.older("stage", max(self.grace, 3600.0)):
+            self.files.drop(f"stage/{name}")
         numbers = sorted(self._numbers())
         old = {n: self.manifest(n) for n in numbers[: -self.keep] if self.keep}
         gone = {n: m for n, m in old.items() if time.time() - m["published_at"] > self.grace}
-        if not gone:
+        left = [name for name in self.files.older("data", max(self.grace, 3600.0))]
+        if not gone and not left:
             return
-        named = lambda m: {f for t in m["tables"].values() for f in t["parts"].values()}
-        held = set().union(*(named(old.get(n) or self.manifest(n)) for n in numbers if n not in gone))
+        held = set().union(*(self._named(old.get(n) or self.manifest(n)) for n in numbers if n not in gone))
         for n, m in gone.items():
-            for folder in named(m) - held:
+            for folder in self._named(m) - held:
                 self.files.drop(folder)
             self.files.drop(f"manifests/{n:012d}.json")
-
-    def publish(self, tables: dict[str, DataFrame], fingerprint: str = "", expected: int | None = None, markers: dict | None = None, unique: dict[str, list[str]] | None = None, others: bool = False) -> int:
-        """Write tables as a generation and make it current; with ``others`` the tables not given stay as they are.
-
-        ``unique`` names keys that no two rows of a table may share.
-        """
-        found = self.manifest() or {"generation": 0, "tables": {}}
-        base = found["generation"]
-        if expected is not None and expected != base:
-            raise Conflict(f"generation {base} is current, not {expected}")
+        inside = {f.split("/")[1] for f in held}
+        for name in left:
+            if name not in inside:
+                self.files.drop(f"data/{name}")
+
+    def _base(self, expected: int | None) -> dict:
+        found = self.manifest() or {"generation": 0, "tables": {}, "fingerprint": "", "markers": {}}
+        if expected is not None and expected != found["generation"]:
+            raise Conflict(f"generation {found['generation']} is current, not {expected}")
+        return found
+
+    @contextmanager
+    def _data(self) -> Iterator[str]:
+        """A folder for data, which goes again unless the block ends well."""
         folder = f"data/{uuid.uuid4().hex}"
         try:
-            made = {n: {"schema": df.schema.jsonValue(), "parts": self._write(folder, n, df, (unique or {}).get(n))} for n, df in tables.items()}
-            return self._commit(base, folder, (found["tables"] if others else {}) | made, fingerprint, markers)
-        except (Conflict, ValueError):
+            yield folder
+        except BaseException:
             self.files.drop(folder)
             raise
 
-    def upsert(self, changed: dict[str, DataFrame], paths: DataFrame, fingerprint: str = "", expected: int | None = None, markers: dict | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], fingerprint: str = "", expected: int | None = None, markers: dict | None = None, unique: dict[str, list[str]] | None = None, others: bool = False) -> int:
+        """Write tables as a generation and make it current; with ``others`` the tables not given stay as they are.
+
+        ``unique`` names keys that no two rows of a table may share. A table that exists keeps its directory.
+        """
+        found = self._base(expected)
+        made = dict(found["tables"]) if others else {}
+        with self._data() as folder:
+            for name, df in tables.items():
+                key = next((c for c in ("source_path", "path") if c in df.columns), None)
+                before = found["tables"].get(name)
+                names = list(before["buckets"]) if before and before["key"] == key else ["0.0"]
+                own = {"schema": df.schema.jsonValue(), "key": key, "buckets": self._based(folder, df, key, names)}
+                keys = (unique or {}).get(name)
+                if keys and not self._open(own).groupBy(*keys).count().filter("count > 1").isEmpty():
+                    raise ValueError(f"{name} repeats {keys}")
+                if key:
+                    self._split(folder, own)
+                made[name] = own
+            return self._commit(found["generation"], made, fingerprint, markers)
+
+    def upsert(self, changed: dict[str, DataFrame | tuple[DataFrame, DataFrame]], paths: DataFrame, fingerprint: str = "", expected: int | None = None, markers: dict | None = None) -> int:
         """A generation whose ``changed`` tables lack the rows of ``paths`` and have the new ones; a deletion has none to add.
 
-        Only the buckets of those paths are read and written. Tables that aren't named stay as they are.
+        A table may bring its own paths, as (rows, paths). What is written are deltas of the touched
+        buckets, and those buckets whose deltas have grown too many or too large. Other tables stay.
         """
-        found = self.manifest() or {"generation": 0, "tables": {}}
-        base = found["generation"]
-        if expected is not None and expected != base:
-            raise Conflict(f"generation {base} is current, not {expected}")
-        touched = {r[0] for r in paths.select(self._bucket(paths)).distinct().collect()}  # ``buckets`` numbers at most
-        folder, made = f"data/{uuid.uuid4().hex}", dict(found["tables"])
-        try:
-            for name, fresh in changed.items():
-                parts: dict[str, str] = {}
-                if name in made:
-                    key = "source_path" if "source_path" in fresh.columns else "path"
-                    rest = self._open(found, name, touched).join(paths.select(F.col("path").alias(key)), key, "left_anti").select(*fresh.columns)
-                    fresh = rest.unionByName(fresh)
-                    parts = {k: f for k, f in made[name]["parts"].items() if int(k) not in touched}
-                made[name] = {"schema": fresh.schema.jsonValue(), "parts": parts | self._write(folder, name, fresh, None)}
-            return self._commit(base, folder, made, fingerprint, markers)
-        except Conflict:
-            self.files.drop(folder)
-            raise
+        found = self._base(expected)
+        made = dict(found["tables"])
+        with self._data() as folder:
+            for name, given in changed.items():
+                fresh, touched = given if isinstance(given, tuple) else (given, paths)
+                if name not in made:
+                    key = next(c for c in ("source_path", "path") if c in fresh.columns)
+                    made[name] = {"schema": fresh.schema.jsonValue(), "key": key, "buckets": {"0.0": {"base": None, "bytes": 0, "deltas": []}}}
+                own = made[name] = json.loads(json.dumps(made[name]))
+                self._add_delta(folder, own, fresh, touched, found["generation"] + 1)
+            return self._commit(found["generation"], made, fingerprint, markers)
+
+    def _add_delta(self, folder: str, own: dict, fresh: DataFrame, paths: DataFrame, seq: int) -> None:
+        schema, key = StructType.fromJson(own["schema"]), own["key"]
+        row = fresh.select(*schema.fieldNames(), F.lit(seq).cast("long").alias(SEQ), F.lit(False).alias(GONE))
+        mark = paths.select(F.col("path").alias(key)).distinct().select(*(F.col(key) if f.name == key else F.lit(None).cast(f.dataType).alias(f.name) for f in schema), F.lit(seq).cast("long").alias(SEQ), F.lit(True).alias(GONE))
+        made = self._write(f"{folder}/{uuid.uuid4().hex}", row.unionByName(mark), key, list(own["buckets"]))
+        full, many = [], []
+        for n, path in made.items():
+            bucket = own["buckets"][n]
+            bucket["deltas"].append({"folder": path, "bytes": self.files.bytes(path)})
+            if sum(d["bytes"] for d in bucket["deltas"]) > bucket["bytes"] // 2:
+                full.append(n)
+            elif len(bucket["deltas"]) > MOST_DELTAS:
+                many.append(n)
+        if full:
+            self._rebase(folder, own, full)
+            self._split(folder, own)
+        if many:
+            self._merge_deltas(folder, own, many)
+
+    def _merge_deltas(self, folder: str, own: dict, names: list[str]) -> None:
+        """One delta in place of many: the marks, each at its last update, and the rows of that update."""
+        key, schema = own["key"], _delta_schema(StructType.fromJson(own["schema"]))
+        later = self.spark.read.schema(schema).parquet(*(f"{self.root}/{d['folder']}" for n in names for d in own["buckets"][n]["deltas"]))
+        last = later.filter(GONE).groupBy(F.col(key).alias("_key")).agg(F.max(SEQ).alias("_last"))
+        kept = later.join(last, (F.col(key) == F.col("_key")) & (F.col(SEQ) == F.col("_last")), "left_semi")
+        made = self._write(f"{folder}/{uuid.uuid4().hex}", kept, key, list(own["buckets"]))
+        for n in names:
+            own["buckets"][n]["deltas"] = [{"folder": made[n], "bytes": self.files.bytes(made[n])}]
 
     def replace_vectors(self, candidates: DataFrame, table: str = "vectors") -> tuple[int, DataFrame]:
         """Compare and set: candidate rows (path, expected_token, token, ordinal, ...) replace a note's vectors only if its
-        stored token is the expected one (null: none stored). Returns the generation and (path, outcome)."""
+        stored token is the expected one (null: none stored). Returns the generation and (path, outcome), a written
+        table that stays for an hour at least."""
         found = self.manifest()
-        stored = self._open(found, table)
+        stored = self.read(table, found)
         now = stored.groupBy("path").agg(F.max("token").alias("_stored"))
         asked = candidates.select("path", "expected_token").distinct().join(now, "path", "left")
-        judged = self.stage(asked.select("path", F.when(F.col("_stored").eqNullSafe(F.col("expected_token")), "published").otherwise("conflict").alias("outcome")))
+        path = f"{self.root}/stage/{uuid.uuid4().hex}"
+        asked.select("path", F.when(F.col("_stored").eqNullSafe(F.col("expected_token")), "published").otherwise("conflict").alias("outcome")).write.parquet(path)
+        judged = self.spark.read.parquet(path)
         won = judged.filter("outcome = 'published'").select("path")
         fresh = candidates.join(won, "path", "left_semi").select(*stored.columns)
         return self.upsert({table: fresh}, won, found["fingerprint"], found["generation"], found["markers"]), judged
 
     def compact(self, least: int = 25) -> bool:
-        """Rewrite the tables bucket by bucket, sized by Spark; nothing to do below ``least`` files in all."""
-        found = self.manifest()
-        if not found or sum(len(df.inputFiles()) for df in self.tables().values()) < least:
+        """Merge the deltas of tables that have ``least`` of them into their buckets; whether there was any."""
+        found = self.manifest() or {"tables": {}}
+        made, busy = dict(found["tables"]), []
+        for name, own in made.items():
+            waiting = [n for n, b in own["buckets"].items() if b["deltas"]]
+            if sum(len(own["buckets"][n]["deltas"]) for n in waiting) >= least:
+                busy.append((name, waiting))
+        if not busy:
             return False
-        self.publish(self.tables(), found["fingerprint"], found["generation"], found["markers"])
+        with self._data() as folder:
+            for name, waiting in busy:
+                made[name] = json.loads(json.dumps(made[name]))
+                self._rebase(folder, made[name], waiting)
+            self._commit(found["generation"], made, found["fingerprint"], found["markers"])
         return True
 
     def diff(self, scanned: DataFrame, excluded: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
@@ -221,3 +359,7 @@ class SnapshotStore:
         from ..operators.history import change_set
 
         return change_set(self.read("documents"), scanned, "content_hash", excluded, unreadable)
+
+
+def _delta_schema(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField(SEQ, LongType()), StructField(GONE, BooleanType())])

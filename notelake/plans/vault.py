@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -19,9 +22,13 @@ from ..model import SCOPES, DocumentFilter
 from ..operators import fulltext, graph, history, population, ranking, vector
 from ..sources import vault as source
 from ..sources.vault import ParseOptions
-from .snapshot import SnapshotStore
+from .snapshot import Conflict, SnapshotStore
 
 READ_CAP = 262_144
+#: How often a refresh starts again after another writer's.
+RETRIES = 3
+#: Seconds before a scan in which a file may have been written again without its time telling.
+UNSURE = 2.0
 UNIQUE = {"documents": ["path"], "sections": ["path", "ordinal"], "headings": ["path", "position"]}
 
 
@@ -33,8 +40,50 @@ class EditError(ValueError):
         self.hint = hint
 
 
+class Progress:
+    """What runs, what has run and how it ended, for readers of a vault's status.
+
+    Changes made while nothing ran count as absorbed once one scan of the whole folder has ended well.
+    """
+
+    def __init__(self) -> None:
+        self._lock = threading.Lock()
+        self.in_flight: list[str] = []
+        self.whole = self.generation = 0  # scans of the whole folder that run; works that have ended
+        self.reconciled = False
+        self.errors: dict[str, str | None] = {}
+
+    @contextmanager
+    def running(self, name: str, whole: bool = False) -> Iterator[None]:
+        with self._lock:
+            self.in_flight.append(name)
+            self.whole += whole
+        error: str | None = None
+        try:
+            yield
+        except BaseException as e:
+            error = f"{type(e).__name__}: {e}"
+            raise
+        finally:
+            with self._lock:
+                self.in_flight.remove(name)
+                self.whole -= whole
+                self.generation += 1
+                self.errors[name] = error
+                self.reconciled |= whole and error is None
+
+    def state(self) -> dict:
+        with self._lock:
+            offline = "reconciled" if self.reconciled else "reconciling" if self.whole else "not_reconciled"
+            return {"offline_changes": offline, "in_flight": list(self.in_flight), "write_generation": self.generation, "last_errors": {k: e for k, e in self.errors.items() if e}}
+
+
 class Vault:
-    """Builds, refreshes and queries. One writer at a time holds the lock; readers see whole generations."""
+    """Builds, refreshes and queries. One writer at a time holds the lock; readers see whole generations.
+
+    A provider of embeddings takes a list of texts; its attribute ``identity``, if it has one, names what
+    its vectors depend on (provider, model, variant), and vectors of another identity are never mixed in.
+    """
 
     def __init__(self, spark: SparkSession, root: str, store: str, options: ParseOptions = ParseOptions(), embed=None) -> None:
         self.spark, self.root, self.options = spark, root, options
@@ -43,58 +92,111 @@ class Vault:
         self.dirty: set[str] = set()
         self.hooks: list[source.WriteHook] = []
         self._lock = threading.RLock()
+        self.progress = Progress()
         self.fingerprint = options.fingerprint()
 
     # --- index ------------------------------------------------------------------------------
 
-    def _derive(self, files: DataFrame) -> dict[str, DataFrame]:
-        parsed = self.store.stage(source.parse(files, self.options))
+    def _derive(self, files: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+        """Tables of listed files; what is read is parsed in the same task, and only parsed rows are written out."""
+        parsed = keep(source.parse(source.scan(files, self.root), self.options))
         out = source.tables(parsed)
         rows = out["sections"].join(out["documents"].select("path", "title", "folder"), "path")
         out["postings"], out["lengths"] = fulltext.build_postings(rows)
         return out
 
+    def _empty(self) -> bool:
+        return not os.path.isdir(self.root) or not os.listdir(self.root)
+
     def build(self) -> int:
         """Parse everything into a new generation; an empty folder never replaces an index that holds notes."""
-        with self._lock:
-            names = list(source.walk(self.root, ".md", self.options.excludes))
-            if not names and self.store.generation and not self.documents.isEmpty():
+        with self._lock, self.progress.running("build", whole=True), self.store.job() as keep:
+            began = time.time()
+            files = keep(source.listing(self.spark, self.root, ".md", self.options.excludes, keep))
+            if files.isEmpty() and self.store.generation and not self.documents.isEmpty():
                 raise RuntimeError("the folder is empty; the index stays")
-            try:
-                tables = self._derive(source.scan(self.spark, self.root, self.options, paths=names))
-                return self.store.publish(tables, self.fingerprint, markers={"built_at": datetime.now(timezone.utc).isoformat(), "walk_complete": True}, unique=UNIQUE)
-            finally:
-                self.store.unstage()
-
-    def reindex(self, paths: list[str] | None = None) -> dict[str, int]:
-        """Refresh what changed (or the named paths); counts of added, modified, deleted and unchanged."""
-        with self._lock:
-            found = self.store.manifest()
-            if not found or found["fingerprint"] != self.fingerprint:  # other settings derive other rows
-                self.build()
-                return {"added": self.documents.count(), "modified": 0, "deleted": 0, "unchanged": 0}
-            base = found["generation"]
-            try:
-                # the scan is written out: files may change before everything that is derived from them is
-                scanned = self.store.stage(source.scan(self.spark, self.root, self.options, paths=paths))
-                state = scanned.select("path", F.sha2("content", 256).alias("content_hash"))
-                before = self.store.read("documents").select("path", "content_hash")
-                if paths is not None:
-                    before = before.filter(F.col("path").isin(paths))
-                changes = self.store.stage(history.change_set(before, state))
-                counts = {"added": 0, "modified": 0, "deleted": 0, "unchanged": 0} | {r.change: r.n for r in history.change_counts(changes).collect()}
-                if counts["deleted"] and not os.listdir(self.root):
-                    raise RuntimeError("the folder is empty; the index stays")
-                kept = self.store.stage(source.not_absent(changes.filter("change = 'deleted'").select("path"), self.root))
-                touched = changes.filter("change <> 'unchanged'").join(kept, "path", "left_anti")
-                if not touched.isEmpty():
-                    files = scanned.join(touched.filter("change <> 'deleted'").select("path"), "path", "left_semi")
-                    self.store.upsert(self._derive(files), touched.select("path"), self.fingerprint, base, found["markers"])
-            finally:
-                self.store.unstage()
-            self.dirty -= set(paths or self.dirty)
+            tables = self._derive(files, keep)
+            tables["resolved"] = graph.resolve(tables["links"], tables["documents"], tables["aliases"])
+            markers = {"built_at": datetime.now(timezone.utc).isoformat(), "walk_complete": True, "scanned_at": began}
+            found = self.store.publish(tables, self.fingerprint, markers=markers, unique=UNIQUE)
+            self.dirty.clear()
+            return found
+
+    def reindex(self, paths: list[str] | DataFrame | None = None, verify: bool = False) -> dict[str, int]:
+        """Refresh what changed (or the named paths); counts of added, modified, deleted and unchanged.
+
+        A file is read only if its time or size isn't the stored one, or if it was written so shortly before
+        the last scan that its time can't tell; ``verify`` reads all. If another writer publishes
+        meanwhile, the refresh starts again from what that one wrote, ``RETRIES`` times at most.
+        """
+        with self._lock, self.progress.running("reindex", whole=paths is None):
+            asked = set(self.dirty)
+            for left in range(RETRIES, -1, -1):
+                try:
+                    counts = self._refresh(paths, verify)
+                    break
+                except Conflict:
+                    if not left:
+                        raise
+            self.dirty -= asked if paths is None else set(paths) if isinstance(paths, list) else set()
+            return counts
+
+    def _refresh(self, paths: list[str] | DataFrame | None, verify: bool) -> dict[str, int]:
+        found, began = self.store.manifest(), time.time()
+        if not found or found["fingerprint"] != self.fingerprint or "resolved" not in found["tables"]:  # other settings derive other rows
+            self.build()
+            return {"added": self.documents.count(), "modified": 0, "deleted": 0, "unchanged": 0}
+        with self.store.job() as keep:
+            stored = self.store.read("documents", found)
+            before = stored.select("path", "content_hash", "modified_at", F.col("size").alias("_size"))
+            if paths is None:
+                files = source.listing(self.spark, self.root, ".md", self.options.excludes, keep)
+            else:
+                asked = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
+                asked = keep(asked.select("path").distinct())
+                files, before = source.stat_paths(asked, self.root, self.options.excludes), before.join(asked, "path", "left_semi")
+            unsure = F.lit(verify) | (F.col("mtime") >= found["markers"].get("scanned_at", 0) - UNSURE) | (F.col("mtime") != F.col("modified_at")) | ~F.col("size").eqNullSafe(F.col("_size"))
+            state = F.when(F.col("mtime").isNull(), "gone").when(F.col("content_hash").isNull() | unsure, "read").otherwise("unchanged")
+            seen = keep(files.join(before, "path", "full_outer").withColumn("state", state))
+            derived = self._derive(seen.filter("state = 'read'").select("path", "mtime", "size"), keep)
+            fresh = derived["documents"].select("path", F.col("content_hash").alias("_hash"), F.col("modified_at").alias("_time"), F.col("size").alias("_now"))
+            same = F.col("_hash") == F.col("content_hash")
+            moved = ~(F.col("_time").eqNullSafe(F.col("modified_at")) & F.col("_now").eqNullSafe(F.col("_size")))
+            # a file that went between listing and reading has no fresh row: the next refresh decides
+            change = F.when(F.col("state") == "gone", "deleted").when(F.col("_hash").isNull() | same, "unchanged").when(F.col("content_hash").isNull(), "added").otherwise("modified")
+            changes = keep(seen.join(fresh, "path", "left").select("path", change.alias("change"), F.coalesce(same & moved, F.lit(False)).alias("touched")))
+            counts = {"added": 0, "modified": 0, "deleted": 0, "unchanged": 0} | {r.change: r.n for r in history.change_counts(changes).collect()}
+            if counts["deleted"] and self._empty():
+                raise RuntimeError("the folder is empty; the index stays")
+            held = keep(source.not_absent(changes.filter("change = 'deleted'").select("path"), self.root))
+            edited = keep(changes.filter("change <> 'unchanged'").join(held, "path", "left_anti").select("path"))
+            restamped = edited.unionByName(changes.filter("touched").select("path"))
+            if not restamped.isEmpty():
+                own = {name: df.join(edited, df["source_path" if name == "links" else "path"] == edited["path"], "left_semi") for name, df in derived.items()}
+                documents = derived["documents"].join(restamped, "path", "left_semi")
+                changed = own | {"documents": (documents, restamped), "resolved": self._resolved_anew(found, own, edited, keep)}
+                self.store.upsert(changed, edited, self.fingerprint, found["generation"], found["markers"] | ({"scanned_at": began} if paths is None else {}))
             return counts
 
+    def _resolved_anew(self, found: dict, own: dict[str, DataFrame], edited: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """(links, sources): the links of all notes in which one may mean another note now, resolved.
+
+        Those are the edited notes, and notes with a link whose target is a path, an end of a path or an
+        alias that came or went; no other link is looked up again.
+        """
+        links, documents, aliases = (self.store.read(t, found) for t in ("links", "documents", "aliases"))
+        live = lambda df: population.live(df).select("path")
+        once = lambda a, b, *c: a.unionByName(b).groupBy(*c).count().filter("count = 1")
+        moved = once(live(documents.join(edited, "path", "left_semi")), live(own["documents"]), "path").select("path")
+        old = aliases.join(edited, "path", "left_semi").select("path", "alias").distinct()
+        names = once(old, own["aliases"].select("path", "alias").distinct(), "path", "alias").select("alias")
+        after = lambda df, new, key: df.join(edited, df[key] == edited["path"], "left_anti").unionByName(new)
+        all_links = after(links, own["links"], "source_path")
+        sources = keep(edited.unionByName(graph.changed_meaning(all_links, keep(moved), keep(names))).distinct())
+        asked = keep(all_links.join(sources, all_links["source_path"] == sources["path"], "left_semi"))
+        now = graph.resolve(asked, after(documents, own["documents"], "path"), after(aliases, own["aliases"], "path"), few=True)
+        return now, sources
+
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
@@ -104,12 +206,15 @@ class Vault:
 
     @property
     def links(self) -> DataFrame:
-        """Links with vault-wide targets."""
-        return graph.resolve(self.table("links"), self.documents, self.table("aliases"))
+        """Links with vault-wide targets, as every refresh keeps them."""
+        return self.table("resolved")
 
     def status(self) -> dict:
+        """What readers may want to know before they trust an answer: ``stale`` tells of writes that no refresh has taken up."""
         found = self.store.manifest()
-        return {"ready": bool(found), "generation": self.store.generation, "dirty": len(self.dirty), "markers": (found or {}).get("markers", {}), "current_settings": bool(found) and found["fingerprint"] == self.fingerprint}
+        own = {"ready": bool(found), "generation": self.store.generation, "dirty": len(self.dirty), "markers": (found or {}).get("markers", {}), "current_settings": bool(found) and found["fingerprint"] == self.fingerprint}
+        state = self.progress.state()
+        return own | state | {"stale": bool(self.dirty or state["in_flight"]), "drained": not self.dirty and not state["in_flight"]}
 
     # --- embeddings -------------------------------------------------------------------------
 
@@ -121,23 +226,28 @@ class Vault:
         """
         if self.embed is None:
             raise RuntimeError("no embedding provider")
-        found = self.store.manifest() or {"tables": {}}
-        rows = self.table("sections").join(population.live(self.documents).select("path", "title", "folder", "content_hash"), "path")
-        current = rows.select("path", "ordinal", "folder", F.col("content_hash").alias("token"), vector.embedding_text(rows).alias("embedding_text"))
-        stored = self.table("vectors") if "vectors" in found["tables"] else self.spark.createDataFrame([], current.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
-        try:
+        with self._lock, self.progress.running("build_vectors"), self.store.job() as keep:
+            found = self.store.manifest() or {"tables": {}}
+            rows = self.table("sections").join(population.live(self.documents).select("path", "title", "folder", "content_hash"), "path")
+            current = rows.select("path", "ordinal", "folder", F.col("content_hash").alias("token"), vector.embedding_text(rows).alias("embedding_text"))
+            identity = getattr(self.embed, "identity", None)
+            known = "vectors" in found["tables"] and found["markers"].get("vector_identity") == identity
+            stored = self.table("vectors") if known else self.spark.createDataFrame([], current.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
             reused, missing, unbacked = vector.reconcile(current, stored)
-            missing = self.store.stage(missing.drop("input_hash"))
+            missing = keep(missing.drop("input_hash"))
             # equal texts are embedded once
             asked = missing.select("embedding_text").distinct()
-            made = self.store.stage(vector.embed(asked, self.embed).filter(vector.valid(F.col("embedding"), F.size("embedding"))))
+            made = keep(vector.embed(asked, self.embed).filter(vector.valid(F.col("embedding"), F.size("embedding"))))
+            dimensions = {r[0] for r in made.unionByName(stored.select("embedding_text", "embedding")).select(F.size("embedding")).distinct().limit(2).collect()}
+            if len(dimensions) > 1:
+                raise vector.BadVector("the provider's vectors have another length than the stored ones, under one identity")
             made = made.withColumn("embedding", vector.unit(F.col("embedding")).cast("array<float>"))
-            both = self.store.stage(reused.drop("input_hash").unionByName(missing.join(made, "embedding_text").select(*stored.columns)))
+            both = keep(reused.drop("input_hash").unionByName(missing.join(made, "embedding_text").select(*stored.columns)))
             counts = {"reused": reused.count(), "embedded": made.count(), "failed": asked.count() - made.count(), "removed_paths": unbacked.count()}
-            self.store.publish({"vectors": both}, found["fingerprint"], found["generation"], found["markers"], {"vectors": ["path", "ordinal"]}, others=True)
-        finally:
-            self.store.unstage()
-        return counts
+            if counts["failed"] and not counts["embedded"] and not counts["reused"]:
+                raise RuntimeError("the provider embedded none of the texts")
+            self.store.publish({"vectors": both}, found["fingerprint"], found["generation"], found["markers"] | {"vector_identity": identity}, {"vectors": ["path", "ordinal"]}, others=True)
+            return counts
 
     # --- exact queries ----------------------------------------------------------------------
 

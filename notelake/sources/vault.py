@@ -83,24 +83,84 @@ def walk(root: str, suffix: str = ".md", excludes: Iterable[str] = (), unreadabl
                 yield here + name
 
 
-def scan(spark: SparkSession, root: str, options: ParseOptions = ParseOptions(), partitions: int | None = None, paths: list[str] | None = None) -> DataFrame:
-    """Rows (path, mtime, content) of all notes. The driver lists names, executors read the files; ``root`` must be reachable by all."""
-    found = list(walk(root, ".md", options.excludes)) if paths is None else paths
-    n = partitions or max(1, min(len(found) // 64 + 1, spark.sparkContext.defaultParallelism * 4))
-    listed = spark.createDataFrame([(p,) for p in found], "path string").repartition(n)
+LISTED = "path string, mtime double, size long"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def listing(spark: SparkSession, root: str, suffix: str = ".md", excludes: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows (path, mtime, size) of all files with a suffix, hidden folders included, in no order.
+
+    Folders are found level by level: executors list those of a level, and what they find is written
+    out by ``keep`` (or persisted); the driver sees counts only. ``root`` must be reachable by all. Links to
+    folders aren't followed; a folder that can't be read gives nothing, so its notes are probed before they go.
+    """
+    keep = keep or DataFrame.persist
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                rows = []
+                try:
+                    with os.scandir(os.path.join(root, folder)) as found:
+                        for entry in found:
+                            path = f"{folder}/{entry.name}" if folder else entry.name
+                            if entry.is_dir():
+                                if not entry.is_symlink() and not _prunable(path, excludes):
+                                    rows.append((path, None, None))
+                            elif entry.name.endswith(suffix) and not excluded(path, excludes):
+                                stat = entry.stat()
+                                rows.append((path, stat.st_mtime, stat.st_size))
+                            if len(rows) >= 10_000:
+                                yield pd.DataFrame(rows, columns=["path", "mtime", "size"]).astype({"size": "Int64"})
+                                rows = []
+                except OSError:
+                    pass  # what was listed before stays
+                yield pd.DataFrame(rows, columns=["path", "mtime", "size"]).astype({"size": "Int64"})
+
+    levels, level = [], spark.createDataFrame([("",)], "folder string")
+    while True:
+        level = keep(level.mapInPandas(run, LISTED))
+        levels.append(level.filter("size is not null"))
+        n = level.filter("size is null").count()
+        if not n:
+            break
+        level = level.filter("size is null").select(F.col("path").alias("folder")).repartition(min(n, spark.sparkContext.defaultParallelism * 4))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def stat_paths(paths: DataFrame, root: str, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (path, mtime, size) of those of the rows (path) that are there; executors ask."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path in batch["path"]:
                 try:
                     stat = os.stat(f"{root}/{path}")
-                    rows.append((path, stat.st_mtime, Path(root, path).read_bytes()))
                 except OSError:
-                    continue  # it went, or can't be read now: the probe decides, a later scan retries
-            yield pd.DataFrame(rows, columns=["path", "mtime", "content"])
+                    continue
+                if not excluded(path, excludes):
+                    rows.append((path, stat.st_mtime, stat.st_size))
+            yield pd.DataFrame(rows, columns=["path", "mtime", "size"])
+
+    return paths.select("path").mapInPandas(run, LISTED)
+
+
+def scan(files: DataFrame, root: str) -> DataFrame:
+    """Rows (path, mtime, content) of listed files; executors read. What went meanwhile is left out: a later scan decides."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, mtime in zip(batch["path"], batch["mtime"], strict=True):
+                try:
+                    data = Path(root, path).read_bytes()
+                except OSError:
+                    continue
+                yield pd.DataFrame({"path": [path], "mtime": [mtime], "content": [data]})
 
-    return listed.mapInPandas(read, "path string, mtime double, content binary")
+    return files.select("path", "mtime").mapInPandas(read, "path string, mtime double, content binary")
 
 
 def probe(root: str, path: str) -> tuple[str, str | None]:
@@ -125,13 +185,12 @@ def not_absent(paths: DataFrame, root: str) -> DataFrame:
 
 def attachments(spark: SparkSession, root: str, options: ParseOptions = ParseOptions(), pattern: str | None = None, folder: str | None = None) -> DataFrame:
     """Rows (path, folder, size, mtime, mime) of files with an allowed suffix and no hidden component."""
-    rows = []
-    for path in walk(root, "", options.excludes):
-        suffix = path.rpartition(".")[2].lower()
-        if suffix in options.attachments and not any(p.startswith(".") for p in path.split("/")):
-            stat = os.stat(f"{root}/{path}")
-            rows.append((path, path.rpartition("/")[0], stat.st_size, stat.st_mtime, mimetypes.guess_type(path)[0] or "application/octet-stream"))
-    out = spark.createDataFrame(rows, "path string, folder string, size long, mtime double, mime string")
+    found = listing(spark, root, "", options.excludes)
+    suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
+    kinds = {s: mimetypes.guess_type(f"x.{s}")[0] or "application/octet-stream" for s in options.attachments}
+    mime = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[suffix]
+    own = found.filter(~F.col("path").rlike(r"(^|/)\.") & suffix.isin(*kinds))
+    out = own.select("path", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("").alias("folder"), "size", "mtime", mime.alias("mime"))
     if pattern is not None:
         out = out.filter(F.col("path").rlike(fnmatch_regex(pattern)))
     from ..functions.patterns import in_folder
@@ -172,7 +231,7 @@ def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = Par
 
     now = now or datetime.now().astimezone()  # days end by the local calendar
     row: dict = {f.name: None for f in PARSED.fields}
-    row |= {"path": path, "path_folded": path.casefold(), "folder": path.rpartition("/")[0], "content_hash": hashlib.sha256(data).hexdigest(), "modified_at": mtime}
+    row |= {"path": path, "path_folded": path.casefold(), "folder": path.rpartition("/")[0], "content_hash": hashlib.sha256(data).hexdigest(), "modified_at": mtime, "size": len(data)}
     try:
         text = data.decode("utf-8-sig")
     except UnicodeDecodeError as e:
