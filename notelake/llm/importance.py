@@ -28,7 +28,7 @@ from .store import constant, materialize
 
 BUCKETS, LEAST_WORDS = 10_000, 20
 #: Characters of text that DuckDB gets at a time.
-CHARS = 2_000_000
+CHARS = 1_000_000
 #: A word: no control character, blank or other ASCII sign but letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD, _BREAK = re.compile(WORD), re.compile(WORD.replace("[^", "[").rstrip("+"))
@@ -142,6 +142,7 @@ class Counter:
     def close(self) -> Iterator[tuple]:
         """What is left, then the task's totals."""
         yield from self._count(False)
+        self.db.close()  # its memory goes back before the worker takes up another task
         yield None, True, self.words, int(self.totals.sum()), np.flatnonzero(self.totals), self.totals[self.totals > 0]
 
     def _count(self, goes_on: bool) -> Iterator[tuple]:
