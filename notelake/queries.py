@@ -561,6 +561,80 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return windows(events).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+def _write_files(rows: DataFrame, root: str) -> None:
+    """Write rows (path, text), null for a file to remove, below a mounted folder; executors write."""
+    import os
+
+    def run(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                full = f"{root}/{path}"
+                if text is None:
+                    os.unlink(full)
+                    continue
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield batch[["path"]]
+
+    rows.mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+_LINKED = "'[[' || (doc_id + 1) || ']]\n\n' || coalesce(text, '')"
+
+
+@query(f"""f AS (
+  SELECT CASE WHEN doc_id % 10 = 3 THEN 'moved/' || doc_id || '.md' ELSE path END AS path, doc_id, CASE WHEN doc_id % 7 = 0 THEN {_LINKED} || ' edited' ELSE {_LINKED} END AS own FROM notes WHERE doc_id % 10 <> 5)
+SELECT f.path, sha256(f.own) AS content_hash, strlen(f.own) AS size, coalesce(t.path, (f.doc_id + 1) || '.md') AS target_path FROM f LEFT JOIN f t ON t.doc_id = f.doc_id + 1""")
+def vault_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """A vault of all documents, each linking the next by its number: built, then notes edited, moved and removed, then refreshed.
+
+    What links mean after it shows whether those whose target moved or went were found; no other was resolved again.
+    """
+    from .plans.vault import Vault
+    from .shared import local_path, new_folder
+
+    folder = new_folder(spark, "vault")
+    root = f"{local_path(folder)}/notes"
+    text = F.concat(F.lit("[["), (F.col("doc_id") + 1).cast("string"), F.lit("]]\n\n"), F.coalesce("text", F.lit("")))
+    own = notes(spark, sf).select("path", "doc_id", text.alias("text"))
+    _write_files(own.select("path", "text"), root)
+    vault = Vault(spark, root, f"{folder}/store")
+    vault.build()
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    moved = F.concat(F.lit("moved/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    gone = own.filter("doc_id % 10 in (3, 5)").select("path", F.lit(None).cast("string").alias("text"))
+    # the edit of this example: some notes change, some take another name, some go
+    changed = own.filter("doc_id % 10 not in (3, 5) and doc_id % 7 = 0").select("path", edited.alias("text")).unionByName(own.filter("doc_id % 10 = 3").select(moved.alias("path"), edited.alias("text")))
+    _write_files(changed.unionByName(gone), root)
+    vault.reindex()
+    first = vault.links.filter("link_ordinal = 0").select(F.col("source_path").alias("path"), "target_path")
+    return vault.documents.select("path", "content_hash", "size").join(first, "path", "left")
+
+
+@query("""o AS (SELECT 'user/' || user_id || '/' || event_type || '.md' AS path, epoch_us(ts) // 1000 AS ms, ts, event_id, CASE WHEN event_type = 'error' THEN NULL ELSE round(value * 100)::BIGINT END AS left_size FROM events),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 7200000 THEN 0 ELSE 1 END AS fresh FROM o WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM g),
+l AS (SELECT path, burst, count(*) AS observations, min(ms) AS first_ms, max(ms) AS last_ms, last(left_size ORDER BY ts, event_id) AS size FROM b GROUP BY ALL),
+c AS (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY burst) AS before FROM l)
+SELECT path, CASE WHEN size IS NULL THEN 'deleted' WHEN before IS NULL THEN 'added' WHEN before = size THEN 'same' ELSE 'modified' END AS change, size, observations, make_timestamp(first_ms * 1000) AS first_at, make_timestamp(last_ms * 1000) AS last_at
+FROM c WHERE last_ms + 7200000 <= (SELECT max(ms) FROM o)""")
+def settled_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as observations of files, an error as a file that is gone: one row a burst that two quiet hours end."""
+    from .shared import new_folder
+    from .streaming import settle
+
+    folder = new_folder(spark, "settled")
+    size = F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("long"))
+    path = F.concat(F.lit("user/"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit(".md"))
+    seen = _t(spark, sf, "events").select(path.alias("path"), size.cast("double").alias("mtime"), size.alias("size"), F.col("ts").cast("timestamp").alias("seen_at"))
+    seen.write.parquet(f"{folder}/feed")
+    feed = spark.readStream.schema(settle.OBSERVED).parquet(f"{folder}/feed")
+    settle.start(settle.settled(feed, 7_200_000, "0 seconds"), f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+    out = spark.read.schema(settle.SETTLED).parquet(f"{folder}/out")
+    return out.select("path", "change", "size", "observations", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_at", "last_at")))
+
+
 # --- change sets, history, packing ----------------------------------------------------------
 
 

@@ -173,14 +173,28 @@ def probe(root: str, path: str) -> tuple[str, str | None]:
         return "unavailable", None
 
 
-def not_absent(paths: DataFrame, root: str) -> DataFrame:
-    """Those of the rows (path) whose probe says anything but absent; executors probe."""
+def probed(paths: DataFrame, root: str) -> DataFrame:
+    """Rows (path, status) of rows (path): present, absent or unavailable; executors probe, without reading."""
+
+    def status(path: str) -> str:
+        try:
+            os.stat(f"{root}/{path}")
+        except FileNotFoundError:
+            return "absent" if Path(root).is_dir() else "unavailable"
+        except OSError:
+            return "unavailable"
+        return "present"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[probe(root, p)[0] != "absent" for p in batch["path"]]]
+            yield pd.DataFrame({"path": batch["path"], "status": [status(p) for p in batch["path"]]})
+
+    return paths.select("path").mapInPandas(run, "path string, status string")
 
-    return paths.mapInPandas(run, "path string")
+
+def not_absent(paths: DataFrame, root: str) -> DataFrame:
+    """Those of the rows (path) whose probe says anything but absent."""
+    return probed(paths, root).filter("status <> 'absent'").select("path")
 
 
 def attachments(spark: SparkSession, root: str, options: ParseOptions = ParseOptions(), pattern: str | None = None, folder: str | None = None) -> DataFrame:
