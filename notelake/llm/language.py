@@ -9,7 +9,6 @@ numpy, on a sample bounded by a number of rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,7 +25,10 @@ UNDETERMINED = "und"
 WINDOW, CONTEXT = 1024, 48
 #: Positions whose labels are held at a time.
 POSITIONS = 2_000_000
-has_letter = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ BLOCK, CHUNK = 8192, 8192
 INDEX = StructType([StructField("vec_id", LongType()), StructField("dim", IntegerType()), StructField("block", IntegerType()), StructField("vector", BinaryType()), StructField("prefix", BinaryType())])
 #: A row per block and pivot, and one (pivot -1) with the ids and vectors of the block, to whose places the others refer.
 FILES = StructType([*(StructField(n, IntegerType()) for n in ("dim", "block", "pivot")), *(StructField(n, BinaryType()) for n in ("members", "places", "ids", "vectors"))])
-FOUND = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", DoubleType())])
+FOUND = StructType([StructField("ask", LongType()), StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", DoubleType())])
 
 
 @dataclass(frozen=True)
@@ -107,12 +107,12 @@ def _post(block: pa.Table) -> pa.Table:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, files: dict[int, tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, queries: np.ndarray, query_prefix: np.ndarray, k: int, rerank: float) -> list[tuple[int, int, float]]:
-    """The k nearest found in one block for each query: (query id, vector id, distance); a vector of the query's own id is no candidate."""
+    """The k nearest found in one block for each query: (place of the query, vector id, distance); a vector of the query's own id is no candidate."""
     n, keep = len(ids), query_prefix.shape[1]
     depth = min(n, max(8 * k, math.ceil(rerank * n)) + 1)
     none = (np.empty(0, dtype=np.int64),) * 2
     out = []
-    for own, q, pivots in zip(query_ids, queries, query_prefix, strict=True):
+    for place, (own, q, pivots) in enumerate(zip(query_ids, queries, query_prefix, strict=True)):
         spans = [files.get(int(p), none) for p in pivots]
         who = np.concatenate([members for members, _ in spans])
         # footrule = constant - 2 * sum over shared pivots of (prefix length - larger place)
@@ -122,7 +122,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, files: dict[int, tuple[np
         near = near[ids[near] != own]
         d = vectors[near] - q
         d = np.sqrt(np.einsum("ij,ij->i", d, d))
-        out += [(int(own), int(ids[near[i]]), float(d[i])) for i in np.lexsort((ids[near], d))[:k]]
+        out += [(place, int(ids[near[i]]), float(d[i])) for i in np.lexsort((ids[near], d))[:k]]
     return out
 
 
@@ -134,21 +134,25 @@ def search(index: PermutationIndex, queries: DataFrame, k: int = 10, rerank: flo
     ``rerank`` share by footrule distance, at least 8 k, is ranked by the true distance; recall is
     measured against brute force in the tests. Columns: query_id, rank (from 1), vec_id, score. Ties go
     to the smaller vec_id; fewer than k candidates are all returned. Rows that repeat an id are
-    candidates each, but never for that id.
+    candidates each, but never for that id; as queries, each has its own k rows, ranked from 1.
     """
     chunks = max(1, math.ceil(queries.count() / chunk))
     left = index.files.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = queries.select("vec_id", "dim", "vector", "prefix", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    # every query row has a number of its own, written once, by which its neighbours are ranked
+    numbered = materialize(queries.select("vec_id", "dim", "vector", "prefix").withColumn("ask", F.monotonically_increasing_id()), "asked")
+    asked = numbered.withColumn("chunk", F.pmod(F.xxhash64("ask"), F.lit(chunks)).cast("int"))
     blocks = index.files.filter("pivot = -1").select(F.col("dim").alias("of"), F.col("block").alias("own"))  # other names, as both sides come from one table
     right = asked.join(blocks, F.col("dim") == F.col("of")).withColumnRenamed("own", "block").drop("of")
 
     def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
         found = _meet(stored, asked, k, rerank) if stored.num_rows and asked.num_rows else []
-        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
+        ids, asks = (np.array(asked.column(c), dtype=np.int64) for c in ("vec_id", "ask"))
+        at = np.array([f[0] for f in found], dtype=np.int64)
+        return pa.table({"ask": pa.array(asks[at]), "query_id": pa.array(ids[at]), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
 
     keys = ("dim", "block", "chunk")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast(IntegerType()).alias("rank"), "vec_id", "score")
 
 

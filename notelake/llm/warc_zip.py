@@ -81,6 +81,14 @@ def _number(text: str | None) -> int | None:
     return int(text) if text is not None and text.lstrip("-").isdigit() else None
 
 
+def _content_length(head: bytes) -> int:
+    """Bytes of the block after a record's header."""
+    found = _number(_headers(head.split(b"\r\n")[1:]).get("content-length"))
+    if found is None or found < 0:
+        raise ValueError("a record without content-length")
+    return found
+
+
 def parse_record(record: bytes) -> dict:
     """Fields of one uncompressed WARC record, of any type and writer; fields it doesn't have are null."""
     head, _, rest = record.partition(b"\r\n\r\n")
@@ -88,6 +96,9 @@ def parse_record(record: bytes) -> dict:
     if not version.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     own = _headers(lines)
+    for needed in ("content-length", "warc-type"):
+        if needed not in own:
+            raise ValueError(f"a record without {needed}")
     block = rest[: int(own["content-length"])]
     http: dict[str, str] = {}
     if own.get("content-type", "").startswith("application/http"):
@@ -254,21 +265,21 @@ class ArchiveReader:
                 entries.append({"member": self._data_member(own.get("filename")), "offset": int(own["offset"]), "length": int(own["length"]), "url": own.get("url"), "page_id": page_id})
         if not indexes:
             entries = [e for n in sorted(self.members) if IS_DATA.search(n) for e in self._walk(n)]
-        return sorted(entries, key=lambda e: (e["member"], e["offset"]))
+        return sorted(entries, key=lambda e: (e["member"], e["offset"], e.get("inside", 0)))
 
     def _walk(self, name: str) -> Iterator[dict]:
-        """Places of all records of a data member, found by reading it once in ranges."""
+        """Places of all records of a data member, found by reading it once in ranges.
+
+        A gzip member may hold one record or many; of many, ``inside`` tells each one's place in it.
+        """
         size, at = self.members[name].size, 0
         while at < size:
             if name.endswith(".gz"):
-                unpack, pos = zlib.decompressobj(31), at
-                while not unpack.eof:
-                    if pos >= size:
-                        raise ValueError(f"{name} ends within a record")
-                    part = self.read(name, pos, min(READ_BYTES, size - pos))
-                    unpack.decompress(part)
-                    pos += len(part)
-                end = pos - len(unpack.unused_data)
+                inside = []
+                for begin, record, end in self._unpacked(name, at, keep=False):
+                    inside.append((begin, record))
+                own = {"member": name, "offset": at, "length": end - at, "url": None, "page_id": None}
+                yield from ([own] if len(inside) == 1 else [own | {"inside": begin} for begin, _ in inside])
             else:
                 head, pos = b"", at
                 while b"\r\n\r\n" not in head:
@@ -277,16 +288,66 @@ class ArchiveReader:
                     part = self.read(name, pos, min(65_536, size - pos))
                     head, pos = head + part, pos + len(part)
                 start = head.index(b"\r\n\r\n") + 4
-                end = min(size, at + start + int(_headers(head[:start].split(b"\r\n")[1:])["content-length"]) + 4)
-            yield {"member": name, "offset": at, "length": end - at, "url": None, "page_id": None}
+                end = min(size, at + start + _content_length(head[:start]) + 4)
+                yield {"member": name, "offset": at, "length": end - at, "url": None, "page_id": None}
             at = end
 
+    def _unpacked(self, name: str, at: int, keep: bool = True) -> Iterator[tuple[int, bytes, int]]:
+        """(place inside, record, end of the gzip member) of the records of the gzip member at ``at``, unpacked bit by bit.
+
+        Without ``keep`` the records are left empty, so memory is that of one range. The end is right with the last one.
+        """
+        size, pos, unpack = self.members[name].size, at, zlib.decompressobj(31)
+        held, begin, needed, inside = b"", 0, 0, False  # of the present record: what is held, its place, what is missing, whether its header is through
+        found: list[tuple[int, bytes]] = []
+        while not unpack.eof:
+            if pos >= size:
+                raise ValueError(f"{name} ends within a record")
+            part = self.read(name, pos, min(READ_BYTES if keep else 1_000_000, size - pos))
+            pos += len(part)
+            held += unpack.decompress(part)
+            while True:
+                if not inside:
+                    stop = held.find(b"\r\n\r\n")
+                    if stop < 0:
+                        break
+                    needed, inside = stop + 4 + _content_length(held[: stop + 4]) + 4, True
+                    total = needed
+                if keep and len(held) < needed:
+                    break
+                if not keep and len(held) < needed:  # only its length counts
+                    needed, held = needed - len(held), b""
+                    break
+                found.append((begin, held[:needed] if keep else b""))
+                held, begin, inside = held[needed:], begin + total, False
+            if not unpack.eof:
+                yield from ((*f, pos) for f in found[:-1])
+                found = found[-1:]
+        end = pos - len(unpack.unused_data)
+        if inside and needed <= 4:  # the last record may lack the lines after it
+            found.append((begin, b""))
+        elif inside and keep and len(held) >= needed - 4:
+            found.append((begin, held))
+        elif inside or held.strip():
+            raise ValueError(f"{name} ends within a record")
+        yield from ((*f, end) for f in found)
+
     def records(self, entries: list[dict] | None = None, most: int = READ_BYTES) -> Iterator[dict]:
         """The records of index entries (all, if not given); neighbours are read together, up to ``most`` bytes."""
         entries = self.index() if entries is None else entries
         at = 0
         while at < len(entries):
             first, end, upto = entries[at], entries[at]["offset"] + entries[at]["length"], at + 1
+            if "inside" in first:  # records of one gzip member, which is unpacked once for all of them that are asked for
+                while upto < len(entries) and (entries[upto]["member"], entries[upto]["offset"]) == (first["member"], first["offset"]):
+                    upto += 1
+                wanted = {e["inside"]: e for e in entries[at:upto]}
+                for begin, record, _ in self._unpacked(first["member"], first["offset"]):
+                    if begin in wanted:
+                        own = parse_record(record)
+                        yield own | {"url": own["url"] if wanted[begin]["url"] is None else wanted[begin]["url"]}
+                at = upto
+                continue
             while upto < len(entries) and (entries[upto]["member"], entries[upto]["offset"]) == (first["member"], end) and end + entries[upto]["length"] - first["offset"] <= most:
                 end += entries[upto]["length"]
                 upto += 1
