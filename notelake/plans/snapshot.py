@@ -16,7 +16,8 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -262,7 +263,9 @@ class SnapshotStore:
         found = self._base(expected)
         made = dict(found["tables"]) if others else {}
         with self._data() as folder:
-            for name, df in tables.items():
+
+            def written(name: str) -> dict:
+                df = tables[name]
                 key = next((c for c in ("source_path", "path") if c in df.columns), None)
                 before = found["tables"].get(name)
                 names = list(before["buckets"]) if before and before["key"] == key else ["0.0"]
@@ -272,7 +275,9 @@ class SnapshotStore:
                     raise ValueError(f"{name} repeats {keys}")
                 if key:
                     self._split(folder, own)
-                made[name] = own
+                return own
+
+            made |= _together(written, tables)
             return self._commit(found["generation"], made, fingerprint, markers)
 
     def upsert(self, changed: dict[str, DataFrame | tuple[DataFrame, DataFrame]], paths: DataFrame, fingerprint: str = "", expected: int | None = None, markers: dict | None = None) -> int:
@@ -284,13 +289,16 @@ class SnapshotStore:
         found = self._base(expected)
         made = dict(found["tables"])
         with self._data() as folder:
-            for name, given in changed.items():
-                fresh, touched = given if isinstance(given, tuple) else (given, paths)
-                if name not in made:
-                    key = next(c for c in ("source_path", "path") if c in fresh.columns)
-                    made[name] = {"schema": fresh.schema.jsonValue(), "key": key, "buckets": {"0.0": {"base": None, "bytes": 0, "deltas": []}}}
-                own = made[name] = json.loads(json.dumps(made[name]))
+
+            def written(name: str) -> dict:
+                fresh, touched = changed[name] if isinstance(changed[name], tuple) else (changed[name], paths)
+                key = next(c for c in ("source_path", "path") if c in fresh.columns)
+                empty = {"schema": fresh.schema.jsonValue(), "key": key, "buckets": {"0.0": {"base": None, "bytes": 0, "deltas": []}}}
+                own = json.loads(json.dumps(found["tables"].get(name, empty)))
                 self._add_delta(folder, own, fresh, touched, found["generation"] + 1)
+                return own
+
+            made |= _together(written, changed)
             return self._commit(found["generation"], made, fingerprint, markers)
 
     def _add_delta(self, folder: str, own: dict, fresh: DataFrame, paths: DataFrame, seq: int) -> None:
@@ -361,5 +369,11 @@ class SnapshotStore:
         return change_set(self.read("documents"), scanned, "content_hash", excluded, unreadable)
 
 
+def _together(work: Callable[[str], dict], names: Iterable[str]) -> dict[str, dict]:
+    """What ``work`` gives for each table; several tables are written at a time, as each alone seldom fills a cluster."""
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(names, pool.map(work, names), strict=True))
+
+
 def _delta_schema(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField(SEQ, LongType()), StructField(GONE, BooleanType())])

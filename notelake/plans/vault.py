@@ -93,6 +93,7 @@ class Vault:
         self.hooks: list[source.WriteHook] = []
         self._lock = threading.RLock()
         self.progress = Progress()
+        self.embed_batch = 64  # texts a call of the provider; a call that fails leaves them for the next run
         self.fingerprint = options.fingerprint()
 
     # --- index ------------------------------------------------------------------------------
@@ -237,7 +238,7 @@ class Vault:
             missing = keep(missing.drop("input_hash"))
             # equal texts are embedded once
             asked = missing.select("embedding_text").distinct()
-            made = keep(vector.embed(asked, self.embed).filter(vector.valid(F.col("embedding"), F.size("embedding"))))
+            made = keep(vector.embed(asked, self.embed, batch=self.embed_batch).filter(vector.valid(F.col("embedding"), F.size("embedding"))))
             dimensions = {r[0] for r in made.unionByName(stored.select("embedding_text", "embedding")).select(F.size("embedding")).distinct().limit(2).collect()}
             if len(dimensions) > 1:
                 raise vector.BadVector("the provider's vectors have another length than the stored ones, under one identity")
