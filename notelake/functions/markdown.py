@@ -288,11 +288,6 @@ class Link:
     end: int
 
 
-# Shapes of lines that bound a paragraph, read behind the marks of block quotes.
-_QUOTED = re.compile(r"(?: {0,3}>[ \t]?)+")
-_RULE = re.compile(r"[ \t]*$| {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$| {0,3}(?:=+|-+)[ \t]*$")
-_TITLE_LINE = re.compile(r" {0,3}#{1,6}(?:[ \t]|$)")
-_ITEM = re.compile(r" {0,3}(?:[-+*]|\d{1,9}[.)])[ \t]+\S")
 _DEFINITION = re.compile(r"^ {0,3}\[((?!\^)(?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?[ \t]*$", re.M)
 _WIKI = re.compile(r"(?<!\\)!?\[\[((?:[^\[\]\n|\\]|\\(?!\|))+)(?:\\?\|((?:(?!\]\]).)*))?\]\]")
 _SCHEME = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:|//)")
@@ -304,24 +299,51 @@ def _label(text: str) -> str:
     return text.strip().lower()
 
 
+def _line_kind(line: str) -> tuple[int, str]:
+    """How deep a line is quoted, and what the rest is: blank, rule (also an underline), title, item or text."""
+    at = depth = 0
+    while True:
+        indent = len(line) - at - len(line[at:].lstrip(" "))
+        if indent > 3 or line[at + indent : at + indent + 1] != ">":
+            break
+        at, depth = at + indent + 1, depth + 1
+        if line[at : at + 1] in (" ", "\t"):
+            at += 1
+    own = line[at:].strip(" \t")
+    if not own:
+        return depth, "blank"
+    if indent > 3 or line[at + indent] == "\t":  # indented too far to be anything but text
+        return depth, "text"
+    signs = set(own) - {" ", "\t"}
+    if len(signs) == 1 and (own.strip("=") == "" or own.strip("-") == "" or (signs <= set("*-_") and len(own) - own.count(" ") - own.count("\t") >= 3)):
+        return depth, "rule"
+    word = re.split("[ \t]", own, maxsplit=1)
+    if word[0] in _HASHES:
+        return depth, "title"
+    if len(word) == 2 and (word[0] in ("-", "+", "*") or (word[0][-1] in ".)" and word[0][:-1].isdecimal() and len(word[0]) <= 10)):
+        return depth, "item" if word[1].strip() else "text"
+    return depth, "text"
+
+
+_HASHES = tuple("#" * k for k in range(1, 7))
+
+
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """Ranges inside which a link may lie: blank lines and rules end one, a heading is one, list items and deeper quotes begin one."""
-    out: list[list[int]] = []
-    at, depth, going = 0, 0, False
+    found: list[tuple[int, int]] = []
+    begin = None  # of the paragraph that the line before was in
+    at = above = 0
     for line in text.split("\n"):
-        quote = _QUOTED.match(line)
-        inner, before = line[quote.end() :] if quote else line, depth
-        depth = quote[0].count(">") if quote else 0
-        title = bool(_TITLE_LINE.match(inner))
-        if _RULE.match(inner):
-            going = False
-        elif going and not title and depth <= before and not _ITEM.match(inner):
-            out[-1][1] = at + len(line)
-        else:
-            out.append([at, at + len(line)])
-            going = not title
-        at += len(line) + 1
-    return [(a, b) for a, b in out]
+        depth, kind = _line_kind(line)
+        if begin is not None and (kind != "text" or depth > above):
+            found.append((begin, at - 1))
+            begin = None
+        if kind == "title":
+            found.append((at, at + len(line)))
+        elif kind in ("text", "item") and begin is None:
+            begin = at
+        at, above = at + len(line) + 1, depth
+    return found if begin is None else [*found, (begin, len(text))]
 
 
 def _destination(raw: str) -> str | None:
@@ -346,33 +368,56 @@ def relative(target: str, source: str) -> str:
     return "/".join(parts)
 
 
-def _linked(text: str, follow: Callable[[int, int], tuple | None]) -> Iterator[tuple[int, int, tuple]]:
-    """Brackets (open, close) that make a link with what follows them, and what ``follow`` says of it.
+_MARK = re.compile(r"\\.|!?\[|\]", re.S)
+
+
+@dataclass
+class _Opening:
+    """A bracket that waits for its closing one."""
+
+    place: int
+    image: bool
+    holds_link: bool = False
+
+
+def _matches(part: str) -> dict[int, int]:
+    """Each opening bracket's closing one, escaped ones aside, whatever they mean."""
+    waiting, out = [], {}
+    for m in _MARK.finditer(part):
+        if m[0] == "]":
+            if waiting:
+                out[waiting.pop()] = m.start()
+        elif m[0][-1] == "[" and m[0][0] != "\\":
+            waiting.append(m.end() - 1)
+    return out
+
 
-    A closing bracket takes the nearest opening one. A link ends the hopes of all openings around it,
-    but not those of images, which may hold links and are none. ``follow`` gives a tuple whose last
-    value is the end of the link.
+def _innermost(part: str, target: Callable[[int, int], tuple | None]) -> list[tuple[int, int, tuple]]:
+    """(open, close, target) of the brackets that make links, by place.
+
+    ``target`` says what follows a pair of brackets, as a tuple that ends with where it stops, or None. A
+    link holds no other link, at any depth; an image may hold links, and its own target is read over.
     """
-    openings: list[tuple[int, bool]] = []
-    spent = 0  # openings below this height can't become links
-    at = 0
-    while (m := _BRACKET.search(text, at)) is not None:
-        at = m.end()
-        if m[0] in ("[", "!["):
-            openings.append((m.end() - 1, m[0] == "!["))
-        elif m[0] == "]" and openings:
-            start, image = openings.pop()
-            usable = image or len(openings) >= spent
-            spent = min(spent, len(openings))
-            found = follow(start, m.start()) if usable else None
-            if found is not None:
-                if not image:
-                    yield start, m.start(), found
-                    spent = len(openings)
-                at = found[-1]
-
-
-_BRACKET = re.compile(r"\\.|!?\[|\]", re.S)
+    waiting: list[_Opening] = []
+    found, skip = [], 0
+    for m in _MARK.finditer(part):
+        if m.start() < skip or m[0][0] == "\\":
+            continue
+        if m[0] != "]":
+            waiting.append(_Opening(m.end() - 1, m[0] == "!["))
+            continue
+        if not waiting:
+            continue
+        own = waiting.pop()
+        after = None if own.holds_link and not own.image else target(own.place, m.start())
+        if after is not None:
+            skip = after[-1]
+            if not own.image:
+                found.append((own.place, m.start(), after))
+                own.holds_link = True
+        if waiting:
+            waiting[-1].holds_link |= own.holds_link
+    return sorted(found)
 
 
 def _inline_end(text: str, at: int) -> tuple[str, int, int] | None:
@@ -406,16 +451,20 @@ def _inline_end(text: str, at: int) -> tuple[str, int, int] | None:
     return (spaced[1], start, spaced.end()) if spaced else None
 
 
-def _label_end(text: str, at: int) -> int | None:
-    """End of the bracketed label that opens at ``at``; brackets in it are balanced."""
-    if text[at : at + 1] != "[":
-        return None
-    depth = 0
-    for m in _BRACKET.finditer(text, at, at + LONGEST_LABEL + 2):
-        depth += {"[": 1, "![": 1, "]": -1}.get(m[0], 0)
-        if not depth:
-            return m.end()
-    return None
+def _defined_target(part: str, defined: dict[str, tuple[str, int]]) -> Callable[[int, int], tuple | None]:
+    """What brackets without an inline target refer to: the label in brackets right after them, or else what they hold."""
+    ends = _matches(part)
+
+    def target(start: int, close: int) -> tuple | None:
+        if _inline_end(part, close + 1) is not None:
+            return None
+        stop, label = close + 1, part[start + 1 : close]
+        if (end := ends.get(close + 1)) is not None and end - close <= LONGEST_LABEL + 2:
+            stop, label = end + 1, part[close + 2 : end].strip() or label
+        meant = defined.get(_label(label))
+        return None if meant is None else (*meant, stop)
+
+    return target
 
 
 def links(body: str, path: str, attachments: frozenset[str] = frozenset()) -> list[Link]:
@@ -450,27 +499,12 @@ def links(body: str, path: str, attachments: frozenset[str] = frozenset()) -> li
             full += ".md"
         found.append(Link(full.lstrip("/"), " ".join(label.split()), kind, fragment if mark else None, raw, start, start + len(raw)))
 
-    parts = paragraphs(open_text)
-    for base, end in parts:
-        part = open_text[base:end]
-
-        def inline(_: int, close: int, part: str = part) -> tuple | None:
-            return _inline_end(part, close + 1)
-
-        for start, close, (raw, at, _) in sorted(_linked(part, inline)):
+    parts = [(base, open_text[base:end]) for base, end in paragraphs(open_text)]
+    for base, part in parts:
+        for start, close, (raw, at, _) in _innermost(part, lambda _, close, part=part: _inline_end(part, close + 1)):
             add("markdown", text[base + start + 1 : base + close], raw, base + at)
-    for base, end in parts:
-        part = open_text[base:end]
-
-        def reference(start: int, close: int, part: str = part) -> tuple | None:
-            if _inline_end(part, close + 1):
-                return None
-            until = _label_end(part, close + 1)
-            name = part[close + 2 : until - 1] if until else ""
-            target = defined.get(_label(name if name.strip() else part[start + 1 : close]))
-            return (*target, until or close + 1) if target else None
-
-        for start, close, (raw, at, _) in sorted(_linked(part, reference)):
+    for base, part in parts:
+        for start, close, (raw, at, _) in _innermost(part, _defined_target(part, defined)):
             add("reference", text[base + start + 1 : base + close], raw, at)
     for m in wikis:
         if not m[0].startswith("!"):
