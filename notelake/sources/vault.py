@@ -10,6 +10,7 @@ import os
 import subprocess
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from pathlib import Path
 
 import pandas as pd
@@ -325,20 +326,76 @@ def register_functions(spark: SparkSession) -> None:
 # --- git ------------------------------------------------------------------------------------
 
 
+#: Commits that a task reads of a repository's log.
+LOG_PART = 2000
+_ENTRY = "--format=%x01%H%x02%an%x02%ct%x02%s"
+#: Names of a note that are followed, the present one among them.
+MOST_NAMES = 16
+
+
+def _entries(root: str, *asked: str) -> Iterator[tuple[tuple[str, str, float, str], list[tuple[str, ...]]]]:
+    """((sha, author, time, subject), [(status, names...), ...]) of a log, newest first, read as git writes it."""
+    command = ["git", "-C", root, "log", "-z", "-M", "--name-status", _ENTRY, *asked]
+    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as git:
+        held = b""
+        try:
+            while data := git.stdout.read(1 << 20):
+                *whole, held = (held + data).split(b"\x01")
+                yield from (_entry(x) for x in whole if x)
+            if held:
+                yield _entry(held)
+        finally:
+            git.stdout.close()
+        if git.wait() > 0:
+            raise RuntimeError(git.stderr.read().decode("utf-8", "replace").strip())
+
+
+def _entry(data: bytes) -> tuple[tuple[str, str, float, str], list[tuple[str, ...]]]:
+    head, *fields = data.decode("utf-8", "replace").split("\0")
+    sha, author, at, subject = head.split("\x02")
+    left, touched = [f.lstrip("\n") for f in fields if f.strip("\n")], []
+    while left:
+        n = 3 if left[0][0] in "RC" else 2  # a rename or copy has two names
+        touched.append(tuple(left[:n]))
+        left = left[n:]
+    return (sha, author, float(at), subject.strip()), touched
+
+
+def _followed(root: str, path: str, revision: str = "HEAD") -> Iterator[tuple[tuple[str, str, float, str], str]]:
+    """(commit, name in it) of the commits that touched a note, newest first, under all its names.
+
+    The commit that made the note is the last: what had its name before, moved away or deleted, is another note.
+    """
+    names = 1
+    for commit, touched in _entries(root, "--follow", revision, "--", path):
+        for status, *own in touched:
+            yield commit, own[-1]
+            if status == "A" or (status[0] in "RC" and names == MOST_NAMES):
+                return
+            names += status[0] in "RC"
+
+
 def git_log(spark: SparkSession, root: str, limit: int | None = None, path: str | None = None) -> DataFrame:
     """Commits of the repository at ``root``, newest first, with the paths each touched; all, or the newest ``limit``.
 
-    With ``path`` the commits of that note, followed through renames, under the name it had then.
+    Executors read the log, each task a range of commits. With ``path`` the commits of that note alone,
+    followed through renames, under the name it had then, from the one that made it.
     """
-    most = [] if limit is None else [f"-{limit}"]
-    only = [] if path is None else ["--follow", "--", path]
-    out = subprocess.run(["git", "-C", root, "log", *most, "-z", "--name-only", "--format=%x01%H%x02%an%x02%ct%x02%s", *only], capture_output=True, text=True, check=True).stdout
-    rows = []
-    for entry in out.split("\x01")[1:]:
-        head, *names = entry.replace("\0\n", "\0").split("\0")
-        sha, author, at, subject = head.split("\x02")
-        rows.append((sha, author, float(at), subject.strip(), [n.strip("\n") for n in names if n.strip("\n")]))
-    return spark.createDataFrame(rows, COMMITS)
+    if path is not None:
+        rows = [(*commit, [name]) for commit, name in islice(_followed(root, path), limit)]
+        return spark.createDataFrame(rows, COMMITS)
+    counted = subprocess.run(["git", "-C", root, "rev-list", "--count", "HEAD"], capture_output=True, text=True)
+    n = int(counted.stdout) if not counted.returncode else 0  # a repository without commits has no head
+    n = n if limit is None else min(n, limit)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in batch["id"]:
+                rows = [(*commit, [own[-1] for _, *own in touched]) for commit, touched in _entries(root, f"--skip={start}", f"-{min(LOG_PART, n - start)}", "HEAD")]
+                yield pd.DataFrame(rows, columns=COMMITS.fieldNames())
+
+    parts = -(-n // LOG_PART)
+    return spark.range(0, n, LOG_PART, max(1, parts)).mapInPandas(run, COMMITS)
 
 
 def git_diff(root: str, path: str, since: str, until: str = "HEAD", cap: int = 50_000) -> str:
@@ -358,17 +415,32 @@ def _capped(command: list[str], cap: int) -> str:
 
 def git_show(root: str, path: str, revision: str) -> bytes | None:
     """A note's bytes at a commit, under the name it had then; None if it wasn't there."""
-    for name in [path, *lineage(root, path)]:
-        out = subprocess.run(["git", "-C", root, "show", f"{revision}:{name}"], capture_output=True)
-        if not out.returncode:
-            return out.stdout
+    known = subprocess.run(["git", "-C", root, "rev-parse", "--verify", "-q", f"{revision}^{{commit}}"], capture_output=True)
+    if known.returncode:
+        return None
+    for (sha, *_), name in _followed(root, path):
+        # the newest commit of the note that the revision holds tells its name
+        if not subprocess.run(["git", "-C", root, "merge-base", "--is-ancestor", sha, revision], capture_output=True).returncode:
+            out = subprocess.run(["git", "-C", root, "show", f"{revision}:{name}"], capture_output=True)
+            return out.stdout if not out.returncode else None
     return None
 
 
-def lineage(root: str, path: str, most: int = 16) -> list[str]:
-    """Earlier names of a note, newest first, as git follows renames."""
-    out = subprocess.run(["git", "-C", root, "log", "--follow", "--name-only", "--format=", "--", path], capture_output=True, text=True)
-    return [n for n in dict.fromkeys(out.stdout.splitlines()) if n and n != path][:most]
+def committed_revision(root: str, path: str) -> str | None:
+    """The newest commit that touched a note; None if none has or the file isn't as committed."""
+    changed = subprocess.run(["git", "-C", root, "status", "--porcelain", "--", path], capture_output=True, text=True)
+    if changed.returncode or changed.stdout.strip():
+        return None
+    return next((commit[0] for commit, _ in _followed(root, path)), None)
+
+
+def lineage(root: str, path: str, most: int = MOST_NAMES) -> list[str]:
+    """Earlier names of a note, newest first, up to the commit that made it."""
+    try:
+        names = dict.fromkeys(name for _, name in _followed(root, path))
+    except RuntimeError:
+        return []
+    return [n for n in names if n != path][:most]
 
 
 def git_head(root: str) -> str | None:

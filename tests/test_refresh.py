@@ -236,3 +236,86 @@ def test_a_burst_is_one_refresh_and_failures_come_again(vault, spark, tmp_path,
     assert {r.path for r in vault.documents.collect()} == {"d0/new.md", "d1/n1.md"} | {p for p in texts(6) if p not in ("d2/n2.md",)}
     assert {r.path for r in spark.read.parquet(str(tmp_path / "watch/retries")).collect()} >= {"d0/n0.md/below.md", "d1/n1.md"}
     assert plan.RETRIES == 3
+
+
+# --- git lineage ----------------------------------------------------------------------------
+
+
+@pytest.fixture
+def repository(tmp_path):
+    import subprocess
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    at = [1_600_000_000]
+
+    def git(*a):
+        at[0] += 60
+        env = os.environ | {"GIT_AUTHOR_DATE": f"{at[0]} +0000", "GIT_COMMITTER_DATE": f"{at[0]} +0000", "GIT_CONFIG_GLOBAL": "/dev/null"}
+        return subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True, text=True, env=env).stdout.strip()
+
+    def commit(subject, files):
+        for name, text in files.items():
+            if text is None:
+                git("rm", "-q", name)
+            else:
+                write(root, {name: text})
+                git("add", name)
+        git("commit", "-q", "-m", subject)
+        return git("rev-parse", "HEAD")
+
+    git("init", "-q", "-b", "main")
+    return root, git, commit
+
+
+LONG = "".join(f"line {k} of a note\n" for k in range(20))
+
+
+def test_history_of_a_name_that_was_used_before(spark, repository):
+    root, git, commit = repository
+    commit("old1", {"a.md": LONG})
+    git("mv", "a.md", "b.md")
+    git("commit", "-q", "-m", "moved away")
+    new = commit("new1", {"a.md": "another note altogether\n" * 9})
+    commit("new2", {"a.md": "another note altogether\n" * 9 + "more\n"})
+    subjects = lambda p: [r.subject for r in source.git_log(spark, str(root), path=p).collect()]
+    assert subjects("a.md") == ["new2", "new1"] and subjects("b.md") == ["moved away", "old1"]
+    assert source.lineage(str(root), "a.md") == [] and source.lineage(str(root), "b.md") == ["a.md"]
+    first = git("rev-list", "--max-parents=0", "HEAD")
+    assert source.git_show(str(root), "a.md", first) is None  # another note had the name then
+    assert source.git_show(str(root), "b.md", first) == LONG.encode()
+    assert source.git_show(str(root), "a.md", new).startswith(b"another") and source.git_show(str(root), "a.md", "nothing") is None
+    assert source.committed_revision(str(root), "b.md") == git("rev-parse", "HEAD~2")
+    write(root, {"b.md": "edited"})
+    assert source.committed_revision(str(root), "b.md") is None and source.committed_revision(str(root), "none.md") is None
+
+
+def test_history_after_a_delete_and_a_chain_of_renames(spark, repository):
+    root, git, commit = repository
+    commit("first", {"n.md": LONG})
+    commit("removed", {"n.md": None})
+    commit("second", {"n.md": "quite other words\n" * 12})
+    subjects = lambda p: [r.subject for r in source.git_log(spark, str(root), path=p).collect()]
+    assert subjects("n.md") == ["second"]
+    for k in range(20):
+        git("mv", "n.md" if not k else f"m{k - 1}.md", f"m{k}.md")
+        git("commit", "-q", "-m", f"move {k}")
+    assert len(subjects("m19.md")) == source.MOST_NAMES and len(source.lineage(str(root), "m19.md")) == source.MOST_NAMES - 1
+    git("checkout", "-q", "-b", "side", "HEAD~3")
+    commit("aside", {"s.md": LONG})
+    git("checkout", "-q", "main")
+    git("merge", "-q", "--no-ff", "-m", "merged", "side")
+    assert subjects("s.md") == ["aside"]
+
+
+def test_the_log_is_read_in_parts(spark, repository, monkeypatch):
+    root, git, commit = repository
+    assert source.git_log(spark, str(root)).count() == 0
+    for k in range(7):
+        commit(f"c{k}", {f"n{k % 3}.md": f"text {k}\n", f"é {k}.md": "x"})
+    git("commit", "-q", "--allow-empty", "-m", "empty")
+    monkeypatch.setattr(source, "LOG_PART", 3)
+    rows = sorted(source.git_log(spark, str(root)).collect(), key=lambda r: -r.committed_at)
+    assert [r.subject for r in rows] == ["empty", *(f"c{k}" for k in range(6, -1, -1))]
+    assert rows[0].paths == [] and rows[1].paths == ["n0.md", "é 6.md"]
+    assert source.git_log(spark, str(root), limit=4).count() == 4
