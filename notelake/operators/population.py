@@ -193,11 +193,12 @@ def with_sections(selected: DataFrame, sections: DataFrame, per_note: int, score
     return selected.join(nested, "path", "left")
 
 
-def path_search(documents: DataFrame, query: str, fuzzy: bool = True, limit: int = 50, candidates: int | None = None) -> DataFrame:
+def path_search(documents: DataFrame, query: str, fuzzy: bool = True, limit: int = 50, candidates: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """Paths by tier: 0 exact, 1 prefix, 2 substring (both folded), 3 every query token within one edit of a path token.
 
-    One scan gives the best tier of each path. ``candidates`` caps the paths looked at for tier 3,
-    by path; without it all are.
+    One scan gives the best tier of each path. With an ``index`` (see ``name_index``) tier 3 is a join with
+    it instead, which compares only tokens that can be near. ``candidates`` caps the paths looked at for
+    tier 3, by path; without it all are.
     """
     folded = query.casefold()
     notes = live(documents).select("path", "path_folded")
@@ -208,14 +209,41 @@ def path_search(documents: DataFrame, query: str, fuzzy: bool = True, limit: int
     plain = notes.withColumn("tier", tier).filter("tier is not null")
     if not fuzzy:
         found = plain
-    elif candidates is None:
+    elif candidates is None and index is None:
         found = notes.withColumn("tier", tier.when(near, 3)).filter("tier is not null")
     else:
-        looked = notes.orderBy("path").limit(candidates).filter(near).withColumn("tier", F.lit(3))
-        found = plain.unionByName(looked).groupBy("path", "path_folded").agg(F.min("tier").alias("tier"))
+        if index is not None:
+            looked = notes.join(near_names(index, query), "path", "left_semi")
+        else:
+            looked = notes.orderBy("path").limit(candidates).filter(near)
+        found = plain.unionByName(looked.withColumn("tier", F.lit(3))).groupBy("path", "path_folded").agg(F.min("tier").alias("tier"))
     return found.orderBy("tier", "path_folded", "path").limit(limit).select("path", "tier")
 
 
+def _shortened(token):
+    """A token and what is left of it without each one of its characters; tokens one edit apart share one of these."""
+    without = F.transform(F.sequence(F.lit(1), F.length(token)), lambda k: F.concat(token.substr(F.lit(1), k - 1), token.substr(k + 1, F.length(token))))
+    return F.array_distinct(F.concat(F.array(token), without))
+
+
+def name_index(documents: DataFrame) -> DataFrame:
+    """Rows (path, token, variant): the tokens of live notes' paths under each of their shortened forms."""
+    each = live(documents).select("path", F.explode(F.array_distinct(path_tokens(F.col("path")))).alias("token"))
+    return each.select("path", "token", F.explode(_shortened(F.col("token"))).alias("variant"))
+
+
+def near_names(index: DataFrame, query: str) -> DataFrame:
+    """Rows (path) that have a token within one edit of every token of the query; none for a query without tokens.
+
+    An equi-join over shortened forms finds the tokens that can be near, and the distance confirms them.
+    """
+    asked = index.sparkSession.range(1).select(F.posexplode(F.array_distinct(path_tokens(F.lit(query)))).alias("at", "asked"))
+    wanted = asked.select("at", "asked", F.explode(_shortened(F.col("asked"))).alias("variant"))
+    met = index.join(F.broadcast(wanted), "variant").filter(F.levenshtein("asked", "token", 1) >= 0)  # a query's tokens: some dozens of rows
+    n = F.size(F.array_distinct(path_tokens(F.lit(query))))
+    return met.groupBy("path").agg(F.count_distinct("at").alias("n")).filter(F.col("n") == n).select("path")
+
+
 def path_tokens(path):
     """Lower-cased ASCII tokens of 3 to 64 characters between slashes, white space, ``_``, ``-`` and ``.``."""
     return F.filter(F.split(F.lower(path), r"[/\s_.\-]+"), lambda t: t.rlike(r"^[a-z0-9]{3,64}\z"))

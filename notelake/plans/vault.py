@@ -104,6 +104,7 @@ class Vault:
         out = source.tables(parsed)
         rows = out["sections"].join(out["documents"].select("path", "title", "folder"), "path")
         out["postings"], out["lengths"] = fulltext.build_postings(rows)
+        out["names"] = population.name_index(out["documents"])
         return out
 
     def _empty(self) -> bool:
@@ -144,7 +145,7 @@ class Vault:
 
     def _refresh(self, paths: list[str] | DataFrame | None, verify: bool) -> dict[str, int]:
         found, began = self.store.manifest(), time.time()
-        if not found or found["fingerprint"] != self.fingerprint or "resolved" not in found["tables"]:  # other settings derive other rows
+        if not found or found["fingerprint"] != self.fingerprint or not {"resolved", "names"} <= set(found["tables"]):  # other settings derive other rows
             self.build()
             return {"added": self.documents.count(), "modified": 0, "deleted": 0, "unchanged": 0}
         with self.store.job() as keep:
@@ -278,7 +279,8 @@ class Vault:
         return population.aggregate(population.group_keys(self._population(where), self.table("tags"), by, tag_key), limit)
 
     def search_paths(self, query: str, **kw) -> DataFrame:
-        return population.path_search(self.documents, query, **kw)
+        index = None if kw.get("candidates") else self.table("names")
+        return population.path_search(self.documents, query, index=index, **kw)
 
     # --- ranked search ----------------------------------------------------------------------
 

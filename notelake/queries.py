@@ -212,6 +212,17 @@ def path_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return population.path_search(notes(spark, sf), "src12", limit=300)
 
 
+@query("""p AS (SELECT p_name || '/' || p_partkey AS path FROM part),
+t AS (SELECT path, list_filter(regexp_split_to_array(lower(path), '[/\\s_.\\-]+'), lambda t: regexp_full_match(t, '[a-z0-9]{3,64}')) AS toks FROM p),
+s AS (SELECT path, CASE WHEN contains(lower(path), 'hod 121') THEN 2 WHEN len(list_filter(toks, lambda u: levenshtein(u, 'hod') <= 1)) > 0 AND len(list_filter(toks, lambda u: levenshtein(u, '121') <= 1)) > 0 THEN 3 END AS tier FROM t)
+SELECT path, tier FROM s WHERE tier IS NOT NULL""")
+def path_fuzzy_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path near a query of two words, found by a join with an index of shortened names."""
+    p = _t(spark, sf, "part").select(F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("path"))
+    p = p.withColumn("path_folded", F.lower("path"))
+    return population.path_search(p, "Hod 121", limit=2**31 - 1, index=population.name_index(p))
+
+
 # --- sections -------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.operators import graph, vector
+from notelake.operators import graph, population, vector
 from notelake.plans import vault as plan
 from notelake.plans.snapshot import Conflict
 from notelake.plans.vault import Vault
@@ -319,3 +319,25 @@ def test_the_log_is_read_in_parts(spark, repository, monkeypatch):
     assert [r.subject for r in rows] == ["empty", *(f"c{k}" for k in range(6, -1, -1))]
     assert rows[0].paths == [] and rows[1].paths == ["n0.md", "é 6.md"]
     assert source.git_log(spark, str(root), limit=4).count() == 4
+
+
+# --- names --------------------------------------------------------------------------------
+
+
+def test_near_names_by_index_equal_a_scan(vault, spark, tmp_path):
+    rng = random.Random(4)
+    words = ["alpha", "alpah", "alpa", "beta", "betta", "bet", "abc", "abd", "xabc", "ab", "n1", "a" * 64, "b" * 65]
+    own = [("/".join(rng.choice(words) + rng.choice(["", "-", " ", "_x"]) + rng.choice(words) for _ in range(rng.randint(1, 3))) + ".md",) for _ in range(120)]
+    documents = spark.createDataFrame(sorted(set(own)), "path string").withColumn("path_folded", F.lower("path")).cache()
+    index = population.name_index(documents).cache()
+    for query in ("alpha", "ALPHX beta", "abc abd", "ab", "", "beta beta bett", "xabc", "a" * 63, "none at all"):
+        scanned = population.path_search(documents, query, limit=1000).collect()
+        assert population.path_search(documents, query, limit=1000, index=index).collect() == scanned, query
+    plan = population.near_names(index, "alpha")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    write(tmp_path / "notes", {"d9/zebra.md": "# Z\n"})
+    (tmp_path / "notes/d0/n0.md").unlink()
+    vault.reindex()
+    assert [r.path for r in vault.search_paths("zebrx").collect()] == ["d9/zebra.md"]
+    kept = sorted(map(tuple, vault.table("names").collect()))
+    assert kept == sorted(map(tuple, population.name_index(vault.documents).collect()))
