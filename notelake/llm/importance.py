@@ -28,7 +28,7 @@ from .store import constant, materialize
 
 BUCKETS, LEAST_WORDS = 10_000, 20
 #: Characters of text that DuckDB gets at a time.
-CHARS = 1_000_000
+CHARS = 250_000
 #: A word: no control character, blank or other ASCII sign but letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD, _BREAK = re.compile(WORD), re.compile(WORD.replace("[^", "[").rstrip("+"))
