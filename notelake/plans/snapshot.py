@@ -2,7 +2,7 @@
 
 Rows are dealt into buckets by the low bits of a hash of their note's path. A table's directory, which
 buckets there are and how many bits each looks at, stands in the manifest, so readers need no settings;
-a bucket that grows beyond a size is split alone into the two that look at one bit more. An
+a bucket that grows beyond a size is split alone into those that look at more bits. An
 update adds to the touched buckets a delta: new rows, and a mark for each touched note that hides
 its older rows. Deltas are merged by size, first with each other, then into their bucket. The
 manifest of a generation is created exclusively, so of two writers that built on one generation the
@@ -13,6 +13,7 @@ names it. All files are reached through Spark's own file systems.
 from __future__ import annotations
 
 import json
+import math
 import os
 import time
 import uuid
@@ -194,13 +195,14 @@ class SnapshotStore:
             self._rebase(folder, own, large)
 
     def _rebase(self, folder: str, own: dict, names: list[str]) -> None:
-        """Write buckets anew without deltas, those over the size as two."""
+        """Write buckets anew without deltas, those over the size as so many that each is about under it: one pass, whatever the size."""
         after: list[str] = []
         for n in names:
             bits, value = map(int, n.split("."))
             b = own["buckets"][n]
-            large = own["key"] and b["bytes"] + sum(d["bytes"] for d in b["deltas"]) > self.bucket_bytes and bits < MOST_BITS
-            after += [f"{bits + 1}.{value}", f"{bits + 1}.{value + (1 << bits)}"] if large else [n]
+            times = (b["bytes"] + sum(d["bytes"] for d in b["deltas"])) / self.bucket_bytes
+            more = min(MOST_BITS - bits, math.ceil(math.log2(times))) if own["key"] and times > 1 else 0
+            after += [f"{bits + more}.{value + (k << bits)}" for k in range(1 << more)]
         rows = self._open(own, names)
         rest = {n: b for n, b in own["buckets"].items() if n not in names}
         # places count over the whole directory; the rows are those of these buckets only
