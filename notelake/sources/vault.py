@@ -451,35 +451,96 @@ def git_head(root: str) -> str | None:
 # --- vector imports -------------------------------------------------------------------------
 
 
-def import_numpy(spark: SparkSession, matrix: str, metadata: str) -> DataFrame:
-    """Vectors of an .npy matrix and a JSON list of {path, ordinal, folder}, in row order."""
+_VECTORS = "path string, ordinal int, folder string, embedding array<float>"
+#: Rows of a store that a task reads.
+STORE_PART = 50_000
+
+
+def _parts(spark: SparkSession, first: int, stop: int) -> DataFrame:
+    """Rows (id): where each part of rows ``first`` to ``stop`` begins, a task each."""
+    return spark.range(first, stop, STORE_PART, max(1, -(-(stop - first) // STORE_PART)))
+
+
+def import_numpy(spark: SparkSession, matrix: str | None, metadata: str, identity: dict | None = None) -> DataFrame:
+    """Vectors of an .npy matrix and their rows' {path, ordinal, folder}, in row order.
+
+    ``metadata`` is a JSON list, or a commit file: an object with ``rows`` and an ``index_metadata`` that names
+    the matrix beside it (``matrix`` is None then) and the vectors' identity. What ``identity`` gives must
+    equal what it says. Tasks map ranges of the matrix; the driver sees its header alone.
+    """
     import numpy as np
 
-    rows = json.loads(Path(metadata).read_text())
-    values = np.load(matrix, mmap_mode="r")
-    if len(rows) != len(values):
+    whole = spark.read.text(metadata, wholetext=True)
+    row = "array<struct<path:string,ordinal:int,folder:string>>"
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", row)).otherwise(F.from_json("value", f"struct<rows:{row}>")["rows"])
+    rows = whole.select(F.posexplode(listed).alias("row", "x")).select(F.col("row").cast("long").alias("row"), "x.path", F.coalesce("x.ordinal", F.lit(0)).alias("ordinal"), F.coalesce("x.folder", F.lit("")).alias("folder"))
+    said = json.loads(whole.select(F.get_json_object("value", "$.index_metadata")).first()[0] or "{}")
+    if wrong := sorted(k for k, v in (identity or {}).items() if said.get(k) != v):
+        raise ValueError(f"the store's vectors were made in another way: {wrong}")
+    if matrix is None:
+        if not said.get("matrix") or os.path.basename(said["matrix"]) != said["matrix"]:
+            raise ValueError("the commit file names no matrix beside it")
+        matrix = os.path.join(os.path.dirname(metadata), said["matrix"])
+    with open(matrix, "rb") as f:
+        version = np.lib.format.read_magic(f)
+        shape, by_column, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        offset = f.tell()
+    if len(shape) != 2 or by_column or kind.kind != "f":
+        raise ValueError("the matrix isn't rows of floating-point numbers")
+    if shape[0] != rows.count() or said.get("dimension") not in (None, shape[1]):
         raise ValueError("the matrix and its metadata differ in length")
-    return spark.createDataFrame([(r["path"], int(r.get("ordinal", 0)), r.get("folder", ""), v.tolist()) for r, v in zip(rows, values, strict=True)], "path string, ordinal int, folder string, embedding array<float>")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in batch["id"]:
+                stop = min(start + STORE_PART, shape[0])
+                values = np.memmap(matrix, kind, "r", offset + start * shape[1] * kind.itemsize, (stop - start, shape[1]))
+                for at in range(0, len(values), 1000):
+                    part = values[at : at + 1000]
+                    yield pd.DataFrame({"row": range(start + at, start + at + len(part)), "embedding": list(part.astype("f4"))})
+
+    vectors = _parts(spark, 0, shape[0]).mapInPandas(read, "row long, embedding array<float>")
+    return rows.join(vectors, "row").select("path", "ordinal", "folder", "embedding")
 
 
 def import_sqlite(spark: SparkSession, database: str, table: str = "chunks", dimension: int | None = None) -> DataFrame:
-    """Vectors stored as little-endian float32 blobs in columns path, ordinal, folder, vector."""
+    """Vectors stored as little-endian float32 blobs in columns path, ordinal, folder, vector; tasks read ranges of row ids.
+
+    With a ``dimension`` the first vector of another one fails the job.
+    """
     import sqlite3
+    from contextlib import closing
 
     import numpy as np
 
     if not table.isidentifier():
         raise ValueError("not a table name")
-    with sqlite3.connect(f"file:{database}?mode=ro", uri=True) as db:
-        rows = [(p, o, f, np.frombuffer(v, dtype="<f4").tolist()) for p, o, f, v in db.execute(f"SELECT path, ordinal, folder, vector FROM {table}")]  # noqa: S608
-    if dimension is not None and any(len(r[3]) != dimension for r in rows):
-        raise ValueError("a vector has another dimension")
-    return spark.createDataFrame(rows, "path string, ordinal int, folder string, embedding array<float>")
+    uri = f"file:{database}?mode=ro"
+    with closing(sqlite3.connect(uri, uri=True)) as db:
+        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()  # noqa: S608
+        if dimension is not None and db.execute(f"SELECT 1 FROM {table} WHERE length(vector) <> ? LIMIT 1", (4 * dimension,)).fetchone():  # noqa: S608
+            raise ValueError("a vector has another dimension")
+    if low is None:
+        return spark.createDataFrame([], _VECTORS)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in batch["id"].tolist():
+                with closing(sqlite3.connect(uri, uri=True)) as db:
+                    found = db.execute(f"SELECT path, ordinal, folder, vector FROM {table} WHERE rowid >= ? AND rowid < ?", (start, min(start + STORE_PART, high + 1)))  # noqa: S608
+                    while rows := found.fetchmany(1000):
+                        yield pd.DataFrame([(p, o, f, np.frombuffer(v, dtype="<f4")) for p, o, f, v in rows], columns=["path", "ordinal", "folder", "embedding"])
+
+    return _parts(spark, low, high + 1).mapInPandas(read, _VECTORS)
 
 
 def import_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """Vectors of a database with a JDBC driver on the class path; the vector as text ``[x,y,...]``."""
-    rows = spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    """Vectors of a database with a JDBC driver on the class path; the vector as text ``[x,y,...]``.
+
+    With Spark's own ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` tasks read ranges.
+    """
+    asked = {"dbtable": f"({query}) vectors"} if "partitionColumn" in options else {"query": query}
+    rows = spark.read.format("jdbc").options(url=url, **asked, **options).load()
     return rows.withColumn("embedding", F.from_json("embedding", "array<float>"))
 
 
