@@ -22,6 +22,8 @@ from ..sources import vault as source
 
 OBSERVED = "path string, mtime double, size long, seen_at timestamp"
 SETTLED = "path string, change string, mtime double, size long, observations long, first_at timestamp, last_at timestamp"
+#: What the processor gives; times are milliseconds, which no session's time zone shifts.
+_PASSED = "path string, change string, mtime double, size long, observations long, first_ms long, last_ms long"
 #: The state store that keyed state with timers needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -47,21 +49,21 @@ class Settle(StatefulProcessor):
         else:
             change = "added" if before is None else "same" if tuple(before) == (mtime, size) else "modified"
             self.passed.update((mtime, size))
-        return path, change, mtime, size, n, pd.Timestamp(first, unit="ms"), pd.Timestamp(last, unit="ms")
+        return path, change, mtime, size, n, first, last
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["path", "change", "mtime", "size", "observations", "first_at", "last_at"])
+        out = pd.DataFrame(rows, columns=["path", "change", "mtime", "size", "observations", "first_ms", "last_ms"])
         return out.astype({"size": "Int64", "mtime": "Float64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values("seen_at", kind="stable")
+        seen = pd.concat(list(rows)).sort_values(["seen_ms", "seen_at"], kind="stable")
         now = None if self.event_time else timerValues.getCurrentProcessingTimeInMs()
         burst = tuple(self.burst.get()) if self.burst.exists() else None
         timer = burst[5] if burst else None
         over = []
-        for mtime, size, at in zip(seen["mtime"], seen["size"], seen["seen_at"], strict=True):
-            ms = now if now is not None else at.value // 1_000_000
+        for mtime, size, at in zip(seen["mtime"], seen["size"], seen["seen_ms"].tolist(), strict=True):
+            ms = at if now is None else now
             state = (None if pd.isna(mtime) else float(mtime), None if pd.isna(size) else int(size))
             if burst and ms - burst[4] > self.quiet:
                 over.append(self._over(key[0], burst))
@@ -107,11 +109,12 @@ def settled(observations: DataFrame, quiet_ms: int = 2000, late: str | None = No
     modified, deleted, or same. With ``late`` bursts go by ``seen_at``, with a watermark that far
     behind; without, by the time of arrival. Start the stream with ``start``.
     """
-    own = observations.select("path", "mtime", "size", "seen_at")
+    own = observations.select("path", "mtime", "size", "seen_at", F.unix_millis("seen_at").alias("seen_ms"))
     if late is not None:
         own = own.withWatermark("seen_at", late)
     processor = Settle(quiet_ms, late is not None)
-    return own.groupBy("path").transformWithStateInPandas(processor, SETTLED, "Append", "EventTime" if late is not None else "ProcessingTime")
+    passed = own.groupBy("path").transformWithStateInPandas(processor, _PASSED, "Append", "EventTime" if late is not None else "ProcessingTime")
+    return passed.select("path", "change", "mtime", "size", "observations", *(F.timestamp_millis(f"{k}_ms").alias(f"{k}_at") for k in ("first", "last")))
 
 
 def start(stream: DataFrame, checkpoint: str, into: str | Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
