@@ -113,6 +113,47 @@ def neighbourhood(links: DataFrame, documents: DataFrame, start: str, depth: int
     return nodes, own.select("source_path", "target_path", "link_type")
 
 
+def graph_view(links: DataFrame, documents: DataFrame, start: str, depth: int = 1, max_nodes: int = 200, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes, edges, truncated): a neighbourhood as a picture needs it.
+
+    Nodes: path, folder, distance, group and n_backlinks. Only nodes within ``depth`` - 1 steps have been looked
+    at: they count their backlinks, are ``orphan`` without any backlink or link of their own, and give
+    edges, one a (source, target) pair; those at ``depth`` are ``note``. ``near`` (path, other, rank) adds an edge of
+    type semantic to each node's nearest notes, once a pair, and notes that only such an edge reaches,
+    with a null distance, nearest first. At most ``max_nodes`` nodes; ``truncated`` tells whether there were more.
+    """
+    notes = live(documents)
+    folder = F.col("folder") if "folder" in notes.columns else folder_of(F.col("path")).alias("folder")
+    reached = distances(links, documents, start, depth).select("path", "distance").orderBy("distance", "path").limit(max_nodes + 1).collect()  # a picture's nodes
+    truncated = len(reached) > max_nodes
+    spark, schema = documents.sparkSession, "path string, distance int"
+    nodes = spark.createDataFrame([(r.path, r.distance) for r in reached[:max_nodes]], schema)
+    inner = nodes.filter(F.col("distance") < depth).select("path")
+    into = links.join(inner.select(F.col("path").alias("target_path")), "target_path", "left_semi").join(notes.select(F.col("path").alias("source_path")), "source_path", "left_semi")
+    out = links.join(inner.select(F.col("path").alias("source_path")), "source_path", "left_semi").join(notes.select(F.col("path").alias("target_path")), "target_path", "left_semi")
+    both = into.select("source_path", "target_path", "link_type", "link_ordinal").unionByName(out.select("source_path", "target_path", "link_type", "link_ordinal"))
+    shown = nodes.select("path")
+    both = both.join(shown.withColumnRenamed("path", "source_path"), "source_path", "left_semi").join(shown.withColumnRenamed("path", "target_path"), "target_path", "left_semi")
+    found = both.groupBy("source_path", "target_path").agg(F.min_by("link_type", "link_ordinal").alias("link_type"))
+    counted = into.groupBy(F.col("target_path").alias("path")).agg(F.count(F.lit(1)).alias("n_in"))
+    leaving = links.select(F.col("source_path").alias("path")).join(inner, "path", "left_semi").distinct().withColumn("leaves", F.lit(True))
+    if near is not None:
+        own = near.join(shown, "path", "left_semi").filter("path <> other").join(notes.select(F.col("path").alias("other")), "other", "left_semi")
+        fresh = own.join(shown.withColumnRenamed("path", "other"), "other", "left_anti").groupBy("other").agg(F.min("rank").alias("rank")).orderBy("rank", "other")
+        room = max_nodes - len(reached[:max_nodes])
+        more = [r.other for r in fresh.limit(room + 1).collect()]
+        truncated |= len(more) > room
+        nodes = nodes.unionByName(spark.createDataFrame([(p, None) for p in more[:room]], schema))
+        pair = own.join(nodes.select(F.col("path").alias("other")), "other", "left_semi").withColumn("low", F.least("path", "other")).withColumn("high", F.greatest("path", "other"))
+        # a pair that each finds near is drawn once, from the nearer finding
+        once = pair.groupBy("low", "high").agg(F.min(F.struct("rank", "path", "other")).alias("x"))
+        found = found.unionByName(once.select(F.col("x.path").alias("source_path"), F.col("x.other").alias("target_path"), F.lit("semantic").alias("link_type")))
+    looked = F.coalesce(F.col("distance") < depth, F.lit(False))
+    group = F.when(looked & F.col("n_in").isNull() & F.col("leaves").isNull(), "orphan").otherwise("note")
+    placed = nodes.join(notes.select("path", folder), "path", "left").join(counted, "path", "left").join(leaving, "path", "left")
+    return placed.select("path", "folder", "distance", group.alias("group"), F.coalesce("n_in", F.lit(0)).alias("n_backlinks")), found, truncated
+
+
 def path_ends(notes: DataFrame) -> DataFrame:
     """Rows (path, _end): what follows each "/" of a path, which a link may name it by."""
     parts = F.split("path", "/")

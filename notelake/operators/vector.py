@@ -66,9 +66,10 @@ def semantic(vectors: DataFrame, query: list[float], k: int, folder: str | None
     return own.withColumn("score", dot(F.col("embedding"), q)).orderBy(F.desc("score"), "path", "ordinal").limit(k)
 
 
-def _best(own: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of ``own`` for each query, rows without a score last; sums run in the order of ``dot``, so that ties stay ties."""
+def _best(own: pd.DataFrame, asked: pd.DataFrame, k: int, others: bool = False) -> pd.DataFrame:
+    """The k best rows of ``own`` for each query (with ``others`` none of the note that the query is named after), rows without a score last; sums run in the order of ``dot``, so that ties stay ties."""
     own = own.sort_values(["path", "ordinal"], ignore_index=True)
+    names = own["path"].to_numpy()
     sizes = np.array([-1 if v is None else len(v) for v in own["embedding"]], "i8")
     columns: dict[int, np.ndarray] = {}
     ids, at, scores = [], [], []
@@ -82,8 +83,12 @@ def _best(own: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
         for column, x in zip(columns[n], q if n else (), strict=True):
             score += column * x
         order = np.where(np.isnan(score), np.inf, -score)
-        near = np.nonzero(order <= np.partition(order, k - 1)[k - 1])[0] if k < len(order) else np.arange(len(order))
-        near = near[np.argsort(order[near], kind="stable")][:k]
+        if others:
+            order[names == query_id] = np.nan  # sorts last, and is cut off
+        last = np.partition(order, k - 1)[k - 1] if k < len(order) else np.nan
+        near = np.arange(len(order)) if np.isnan(last) else np.nonzero(order <= last)[0]
+        near = near[np.argsort(order[near], kind="stable")]
+        near = near[~np.isnan(order[near])][:k]
         ids += [query_id] * len(near)
         at += near.tolist()
         scores += [None if x != x else x for x in score[near].tolist()]
@@ -92,9 +97,11 @@ def _best(own: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in found.items()})
 
 
-def batch_semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def batch_semantic(vectors: DataFrame, queries: DataFrame, k: int, others: bool = False) -> DataFrame:
     """Top k rows per row (query_id, query) of a stated query set: (query_id, rank, path, ordinal, score).
 
+    With ``others`` a query id is a note's path, whose own rows are no candidates.
+
     Each task keeps the k best of each of its blocks for a query, so few rows are shuffled. Up to MOST_SENT
     queries are sent to every task; a larger set meets the vectors block by block.
     """
@@ -107,7 +114,7 @@ def batch_semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield _best(batch, sent, k)
+                yield _best(batch, sent, k, others)
 
         found = own.mapInPandas(run, schema)
     else:
@@ -115,7 +122,7 @@ def batch_semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
         left = own.withColumn("_v", F.pmod(F.xxhash64("path", "ordinal"), F.lit(down)).cast("int")).withColumn("_q", every(across))
         right = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")).withColumn("_v", every(down))
-        found = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(lambda v, q: _best(v, q, k), schema)
+        found = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(lambda v, q: _best(v, q, k, others), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "ordinal"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -135,6 +142,15 @@ def similar(vectors: DataFrame, path: str, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "path", "ordinal").limit(k)
 
 
+def near_notes(vectors: DataFrame, asked: DataFrame, limit: int = 5, pool: int = 1000) -> DataFrame:
+    """Rows (path, other, rank): the ``limit`` notes nearest to each of the rows (path), by their best rows among the ``pool`` nearest."""
+    means = mean_vector(vectors.join(asked.select("path").distinct(), "path", "left_semi"))
+    rows = batch_semantic(vectors, means.select(F.col("path").alias("query_id"), F.col("mean").alias("query")), pool, others=True)
+    best = rows.groupBy("query_id", "path").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= limit).select(F.col("query_id").alias("path"), F.col("path").alias("other"), "rank")
+
+
 def attach_live(rows: DataFrame, documents: DataFrame) -> DataFrame:
     """Rows whose note is indexed, with its chunk_count."""
     return rows.join(live(documents).select("path", "chunk_count"), "path")

@@ -340,6 +340,14 @@ class Vault:
         found = vector.attach_live(vector.similar(self.table("vectors"), path, pool), self.documents)
         return ranking.collapse(found.select("path", "ordinal", "score"), limit, per_note)
 
+    def neighbourhood(self, path: str, depth: int = 1, semantic: bool = False, max_nodes: int = 200) -> tuple[DataFrame, DataFrame, bool]:
+        """Nodes and edges around a note, and whether there were more; ``semantic`` adds nearest notes where there are vectors."""
+        near = None
+        if semantic and "vectors" in (self.store.manifest() or {"tables": {}})["tables"]:
+            asked = graph.distances(self.links, self.documents, path, depth).orderBy("distance", "path").limit(max_nodes)
+            near = vector.near_notes(self.table("vectors"), asked, 5, ranking.candidate_pool(5, 1, True))
+        return graph.graph_view(self.links, self.documents, path, depth, max_nodes, near)
+
     def context(self, path: str, peers: int = 20, limit: int = 5) -> dict[str, DataFrame]:
         """What is known around a note: links in and out, peers, tags, and similar notes where there are vectors."""
         out = graph.context(path, self.links, self.documents, self.table("tags"), peers)

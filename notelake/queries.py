@@ -478,6 +478,12 @@ def neighbourhood_depth2(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbourhood(links(spark, sf), nodes(spark, sf), "region/2", 2, 40)[1].select("source_path", "target_path")
 
 
+@query(_BFS + """, c AS (SELECT target_path AS path, count(*) AS n_in FROM links GROUP BY ALL), k AS (SELECT n.path, distance FROM n ORDER BY distance, path LIMIT 150)
+SELECT k.path, split_part(k.path, '/', 1) AS folder, distance, 'note' AS "group", CASE WHEN distance < 2 THEN coalesce(n_in, 0) ELSE 0 END AS n_backlinks FROM k LEFT JOIN c USING (path)""")
+def neighbourhood_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.graph_view(links(spark, sf), nodes(spark, sf), "region/2", 2, 150)[0]
+
+
 @query("""w AS (SELECT path AS source_path, (doc_id + 1)::VARCHAR || '.md' AS name, folder AS own FROM notes),
 m AS (SELECT w.source_path, n.path, row_number() OVER (PARTITION BY w.source_path ORDER BY n.folder = own DESC, length(n.path), n.path) AS k FROM w JOIN notes n ON ends_with(n.path, '/' || name))
 SELECT w.source_path, coalesce(m.path, name) AS target_path FROM w LEFT JOIN m ON m.source_path = w.source_path AND k = 1""")
