@@ -279,8 +279,9 @@ def _crossed(rows: DataFrame) -> DataFrame:
 
 
 def _spanning(rows: DataFrame) -> DataFrame:
-    """The rows (grp, id, component, ...) of groups that hold more than one component."""
-    groups = rows.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("grp")
+    """The rows (grp, id, weight, component) of groups that hold more than one component, with the group's weight ``size`` and least id ``hub``."""
+    groups = rows.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("weight").alias("size"), F.min("id").alias("hub"))
+    groups = groups.filter("low < high").select("grp", "size", "hub")
     return rows.join(materialize(groups, "spanning"), "grp")  # a written table, so that a hot group is split or none is shuffled
 
 
@@ -316,16 +317,13 @@ def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame |
     shells go on as groups. At the end the blocks of what is left meet, which is exact.
     """
     rows = materialize(_spanning(_joined(rows.select("grp", "id", "weight"), forest)), "members")
-    sizes = rows.groupBy("grp").agg(F.sum("weight").alias("size"))
-    rows = materialize(rows.join(materialize(sizes, "sizes"), "grp"), "sized")
     forest = grown(forest, _verify(_listed(rows.filter(F.col("size") <= LISTED)), sets, percent))
     rows = rows.filter(F.col("size") > LISTED).select("grp", "id", "weight")
     for _ in range(STARS):
         rows = materialize(_spanning(_joined(rows, forest)), "members")
         if rows.isEmpty():
             return forest
-        hubs = rows.groupBy("grp").agg(F.min("id").alias("hub"))
-        spokes = materialize(rows.join(materialize(hubs, "hubs"), "grp").filter("id <> hub").select("grp", "hub", "id", "weight"), "spokes")
+        spokes = materialize(rows.filter("id <> hub").select("grp", "hub", "id", "weight"), "spokes")
         measured = materialize(_measure(spokes.select("hub", "id").distinct(), sets), "measured")
         forest = grown(forest, measured.filter(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("hub").alias("a"), F.col("id").alias("b")))
         # the hub itself has met all of its group
@@ -335,7 +333,7 @@ def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame |
         both = F.array("shell", F.col("shell") - 1) if metric and percent < 100 else F.array("shell")
         rows = rows.withColumn("shell", F.explode(both)).select(F.concat_ws("/", "grp", F.col("shell").cast("string")).alias("grp"), "id", "weight")
     rows = materialize(_spanning(_joined(rows, forest)), "members")
-    return forest if rows.isEmpty() else grown(forest, _verify(_crossed(rows), sets, percent))
+    return forest if rows.isEmpty() else grown(forest, _verify(_crossed(rows.drop("size", "hub")), sets, percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
