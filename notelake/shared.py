@@ -32,3 +32,16 @@ def local_path(folder: str) -> str:
     if scheme not in ("", "file"):
         raise ValueError(f"{folder} isn't a mounted folder")
     return rest.removeprefix("file:")
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system, as idle workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -14,14 +14,17 @@ from itertools import islice
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import markdown as M
 from ..functions import okf
 from ..functions.patterns import fnmatch_regex
 from ..model import ALIASES, CITATIONS, COMMITS, DOCUMENTS, HEADINGS, LINKS, SECTIONS, TAGS, schema
+from ..shared import give_back
 
 # Fixed value: suffixes of the files beside notes that count as attachments by default.
 ATTACHMENTS = frozenset(
@@ -241,13 +244,24 @@ PARSED = StructType([
 ])
 
 
-def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = ParseOptions(), now=None) -> dict:
-    """One nested row; a note that can't be read as one carries a skip category and no children."""
+#: What every parsed row says; the other columns only where they are asked for.
+ALWAYS = ("path", "skip_category")
+#: Bytes of notes that are parsed before their rows go on.
+SLICE_BYTES = 2_000_000
+
+
+def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = ParseOptions(), now=None, columns: frozenset[str] = frozenset(PARSED.fieldNames())) -> dict:
+    """One nested row; a note that can't be read as one carries a skip category and no children.
+
+    Of a note's body only what ``columns`` ask for is derived.
+    """
     from datetime import datetime
 
     now = now or datetime.now().astimezone()  # days end by the local calendar
     row: dict = {f.name: None for f in PARSED.fields}
-    row |= {"path": path, "path_folded": path.casefold(), "folder": path.rpartition("/")[0], "content_hash": hashlib.sha256(data).hexdigest(), "modified_at": mtime, "size": len(data)}
+    row |= {"path": path, "path_folded": path.casefold(), "folder": path.rpartition("/")[0], "modified_at": mtime, "size": len(data)}
+    if "content_hash" in columns:
+        row["content_hash"] = hashlib.sha256(data).hexdigest()
     try:
         text = data.decode("utf-8-sig")
     except UnicodeDecodeError as e:
@@ -261,54 +275,75 @@ def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = Par
     if absent := [k for k in options.required_fields if k not in meta]:
         return row | {"skip_category": "missing_frontmatter", "skip_detail": ", ".join(absent)}
     try:
-        chunker = options.chunker or M.HeadingChunker(options.short_lines, options.max_chunk_words, options.max_chunk_chars, options.overlap_words)
-        chunks = chunker.chunk(body, meta)
-        cited = M.citations(meta, body)
         a = okf.annotate(meta, now)
-        title = M.title_of(meta, body, path, options.title_field)
         summary = "\n".join(f"{k}: {', '.join(M.scalars(meta[k]))}" for k in options.searchable_fields if k in meta)
         names = [n for key in ("aliases", "alias") if key in meta for n in M.scalars(meta[key])]
-        return row | {
-            "title": title, "frontmatter_json": json.dumps(shown, ensure_ascii=False), "frontmatter": {str(k): M.scalars(v) for k, v in meta.items()},
-            "chunk_count": len(chunks), "content_chars": len(body),
-            "sections": [{"ordinal": k, "heading": c.heading, "heading_level": c.heading_level, "content": c.content, "start_line": c.start_line, "summary": summary if not k else ""} for k, c in enumerate(chunks)],
-            "headings": [{"position": k, "heading": h, "heading_level": lv} for k, (lv, h, _) in enumerate(M.headings(body))],
+        row |= {
+            "frontmatter_json": json.dumps(shown, ensure_ascii=False), "frontmatter": {str(k): M.scalars(v) for k, v in meta.items()}, "content_chars": len(body),
             "tags": [{"tag_key": k, "tag_value": v} for k in options.indexed_fields if k in meta for v in M.scalars(meta[k])],
             "aliases": list(dict.fromkeys(names)),
-            "citations": [{"label": lb, "status": s, "occurrences": n, "resource": r} for lb, s, n, r in cited],
-            "links": [{"link_ordinal": k, "target_path": x.target, "link_text": x.text, "link_type": x.kind, "fragment": x.fragment, "raw_target": x.raw} for k, x in enumerate(M.links(body, path, options.attachments))],
-            "okf": {k: a[k] for k in ("type", "status", "stale", "trust_tier", "freshness", "sources_count", "generation")} | {k: a[k]["state"] for k in ("review", "attribution")} | {"findings": okf.findings(path, meta, body, body != text, now, options.audit_chars)},
         }
+        if columns & {"sections", "chunk_count"}:
+            chunker = options.chunker or M.HeadingChunker(options.short_lines, options.max_chunk_words, options.max_chunk_chars, options.overlap_words)
+            chunks = chunker.chunk(body, meta)
+            row["chunk_count"] = len(chunks)
+            row["sections"] = [{"ordinal": k, "heading": c.heading, "heading_level": c.heading_level, "content": c.content, "start_line": c.start_line, "summary": summary if not k else ""} for k, c in enumerate(chunks)]
+        if "title" in columns:
+            row["title"] = M.title_of(meta, body, path, options.title_field)
+        if "headings" in columns:
+            row["headings"] = [{"position": k, "heading": h, "heading_level": lv} for k, (lv, h, _) in enumerate(M.headings(body))]
+        if "citations" in columns:
+            row["citations"] = [{"label": lb, "status": s, "occurrences": n, "resource": r} for lb, s, n, r in M.citations(meta, body)]
+        if "links" in columns:
+            row["links"] = [{"link_ordinal": k, "target_path": x.target, "link_text": x.text, "link_type": x.kind, "fragment": x.fragment, "raw_target": x.raw} for k, x in enumerate(M.links(body, path, options.attachments))]
+        if "okf" in columns:
+            row["okf"] = {k: a[k] for k in ("type", "status", "stale", "trust_tier", "freshness", "sources_count", "generation")} | {k: a[k]["state"] for k in ("review", "attribution")} | {"findings": okf.findings(path, meta, body, body != text, now, options.audit_chars)}
+        return row
     except (ValueError, TypeError, RecursionError) as e:
-        return row | {"skip_category": "internal_error", "skip_detail": f"{type(e).__name__}: {e}"}
+        kept = ("path", "path_folded", "folder", "content_hash", "modified_at", "size")
+        return dict.fromkeys(row) | {k: row[k] for k in kept} | {"skip_category": "internal_error", "skip_detail": f"{type(e).__name__}: {e}"}
 
 
-def parse(files: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Nested rows of scanned files; no shuffle."""
+def parse(files: DataFrame, options: ParseOptions = ParseOptions(), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Nested rows of scanned files; no shuffle. With ``columns`` only those, beside ``ALWAYS``, are derived.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A task holds a slice of bounded bytes and its rows at a time; only a single longer note exceeds it.
+    """
+    wanted = StructType([f for f in PARSED.fields if columns is None or f.name in (*ALWAYS, *columns)])
+    asked, arrow = frozenset(wanted.fieldNames()), to_arrow_schema(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse_note(r["path"], r["mtime"], bytes(r["content"]), options) for r in batch.to_dict("records")]
-            yield pd.DataFrame(rows, columns=PARSED.fieldNames())
+            rows, held = [], 0
+            for path, mtime, content in zip(*(batch.column(c) for c in ("path", "mtime", "content")), strict=True):
+                data = bytes(content.as_py())
+                if rows and held + len(data) > SLICE_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, held = [], 0
+                rows.append(parse_note(path.as_py(), mtime.as_py(), data, options, columns=asked))
+                held += len(data)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            del rows
+        give_back()
 
-    return files.mapInPandas(run, PARSED)
+    return files.select("path", "mtime", "content").mapInArrow(run, wanted)
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """The derived tables of nested rows."""
+    """The derived tables of nested rows; those whose columns were parsed."""
+    has = set(parsed.columns)
     each = lambda name: parsed.filter("skip_category is null").select("path", F.explode(name).alias("x"))
-    own = parsed.filter("skip_category is null").select("path", F.explode("links").alias("x")).select(F.col("path").alias("source_path"), "x.*")
-    return {
-        "documents": parsed.select(*DOCUMENTS.fieldNames()),
-        "sections": each("sections").select("path", "x.*"),
-        "headings": each("headings").select("path", "x.*"),
-        "tags": each("tags").select("path", "x.*"),
-        "aliases": each("aliases").select("path", F.col("x").alias("alias")).select(*ALIASES.fieldNames()),
-        "citations": each("citations").select("path", "x.*"),
-        "links": own.select(*LINKS.fieldNames()),
+    out = {name: each(name).select("path", "x.*") for name in ("sections", "headings", "tags", "citations") if name in has}
+    if has >= set(DOCUMENTS.fieldNames()):
+        out["documents"] = parsed.select(*DOCUMENTS.fieldNames())
+    if "aliases" in has:
+        out["aliases"] = each("aliases").select("path", F.col("x").alias("alias")).select(*ALIASES.fieldNames())
+    if "links" in has:
+        out["links"] = each("links").select(F.col("path").alias("source_path"), "x.*").select(*LINKS.fieldNames())
+    if "okf" in has:
         # notes whose block can't be parsed have findings too, but no derived values
-        "okf": parsed.filter("okf is not null").select("path", "okf.*"),
-    }
+        out["okf"] = parsed.filter("okf is not null").select("path", "okf.*")
+    return out
 
 
 def _titles(texts: pd.Series, paths: pd.Series) -> pd.Series:

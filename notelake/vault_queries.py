@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import markdown
 from .functions.fts_query import parse_lenient
 from .functions.text import find_normal
-from .model import DocumentFilter, parse_instant
+from .model import DOCUMENTS, DocumentFilter, parse_instant
 from .operators import fulltext, graph, history, population, ranking, vector
 from .queries import _CHUNKS, _HITS, _hits, _index, _plain, _query_vector, _r, _score_sql, _t, _term_sql, links, nodes, notes, query, sections, tags, vectors
 from .sources import vault as source
@@ -275,11 +275,12 @@ def context_dossier(spark: SparkSession, sf: str) -> DataFrame:
 # --- varied Markdown ------------------------------------------------------------------------
 
 
-def _written(spark: SparkSession, sf: str, body: Column, front: Column | None = None, **options) -> dict[str, DataFrame]:
-    """Notes with the given Markdown, parsed."""
+def _written(spark: SparkSession, sf: str, table: str, body: Column, front: Column | None = None, **options) -> DataFrame:
+    """A table of notes with the given Markdown, parsed for it alone."""
     text = body if front is None else F.concat(F.lit("---\n"), front, F.lit("\n---\n"), body)
     files = notes(spark, sf).select("path", F.col("modified_at").alias("mtime"), text.cast("binary").alias("content"))
-    return source.tables(source.parse(files, source.ParseOptions(**options)))
+    columns = tuple(DOCUMENTS.fieldNames()) if table == "documents" else (table,)
+    return source.tables(source.parse(files, source.ParseOptions(**options), columns))[table]
 
 
 def _case(n: int, *cases: str) -> Column:
@@ -323,7 +324,7 @@ UNION ALL SELECT path, folder, 2, folder || '/a(b)' || doc_id || '.md', 'markdow
 SELECT path AS source_path, o AS link_ordinal, t AS target_path, k AS link_type, x AS link_text, f AS fragment FROM e""")
 def parse_links_mixed(spark: SparkSession, sf: str) -> DataFrame:
     """Every kind of link, nesting, escapes, code and text that is none, by doc_id."""
-    return _written(spark, sf, _case(6, *_LINK_CASES))["links"].select("source_path", "link_ordinal", "target_path", "link_type", "link_text", "fragment")
+    return _written(spark, sf, "links", _case(6, *_LINK_CASES)).select("source_path", "link_ordinal", "target_path", "link_type", "link_text", "fragment")
 
 
 @query("""e AS (
@@ -342,14 +343,14 @@ def parse_citations_mixed(spark: SparkSession, sf: str) -> DataFrame:
         "sources: [{id: s, resource: R}]",
     )
     body = _case(4, "One[^s] two[^s], `[^s]` three[^zz].\n\n[^s]: note\n", "One[^d] two[^n].\n", "One[^s].\n", "None.\n")
-    return _written(spark, sf, body, front)["citations"].select("path", "label", "status", "occurrences", "resource")
+    return _written(spark, sf, "citations", body, front).select("path", "label", "status", "occurrences", "resource")
 
 
 @query(X + "SELECT path, doc_id % 4 = 0 AS cites FROM notes WHERE doc_id % 4 = 0 OR doc_id % 4 = 3")
 def find_citing(spark: SparkSession, sf: str) -> DataFrame:
     """Notes that declare one resource, and whether a label of theirs is matched to it."""
     front = _case(4, "sources: [{id: s, resource: R}]", "sources: [{id: s, resource: S}]", "title: T", "sources: [{id: t, resource: R}]")
-    c = _written(spark, sf, F.lit("One[^s].\n"), front)["citations"]
+    c = _written(spark, sf, "citations", F.lit("One[^s].\n"), front)
     declared = c.filter("status = 'declared' and resource = 'R'").select("path").distinct()
     return declared.join(c.filter("status = 'matched' and resource = 'R'").select("path", F.lit(True).alias("cites")).distinct(), "path", "left").select("path", F.coalesce("cites", F.lit(False)).alias("cites"))
 
@@ -367,20 +368,20 @@ def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Sections under a word budget: whole, cut at the next level, and cut at lines, as a note's length has it."""
     lines = F.repeat(F.lit("line word\n"), (F.col("doc_id") % 40).cast("int"))
     body = F.concat(F.lit("# H\nintro\n\n## Part\n"), lines, F.lit("### Deep\nend\n"))
-    own = _written(spark, sf, body, short_lines=0, max_chunk_words=30, overlap_words=0)["sections"]
+    own = _written(spark, sf, "sections", body, short_lines=0, max_chunk_words=30, overlap_words=0)
     words = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
     return own.select("path", "heading", "start_line", words.alias("words"))
 
 
 @query("""e AS (SELECT path, 1 AS k FROM notes UNION ALL SELECT path, 2 FROM notes) SELECT path, k - 1 AS ordinal, CASE k WHEN 1 THEN 'a1 a2 a3' || chr(10) ELSE 'a2 a3' || chr(10) || chr(10) || 'b1 b2 b3' || chr(10) END AS content FROM e""")
 def chunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    own = _written(spark, sf, F.lit("a1 a2 a3\n\n\nb1 b2 b3\n"), max_chunk_words=4, overlap_words=2)["sections"]
+    own = _written(spark, sf, "sections", F.lit("a1 a2 a3\n\n\nb1 b2 b3\n"), max_chunk_words=4, overlap_words=2)
     return own.select("path", "ordinal", "content")
 
 
 @query(X + "SELECT path, 0 AS ordinal, length(text)::INT AS chars FROM notes")
 def chunk_whole_documents(spark: SparkSession, sf: str) -> DataFrame:
-    own = _written(spark, sf, F.col("text"), F.concat(F.lit("n: "), F.col("doc_id").cast("string")), chunker=markdown.WholeDocumentChunker())["sections"]
+    own = _written(spark, sf, "sections", F.col("text"), F.concat(F.lit("n: "), F.col("doc_id").cast("string")), chunker=markdown.WholeDocumentChunker())
     return own.select("path", "ordinal", F.length("content").alias("chars"))
 
 
@@ -389,7 +390,7 @@ def title_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """From the configured field, the title, the first H1 or the file's name."""
     front = _case(4, "title: Front {i}", "tags: [a]", "tags: [a]", "name: Field {i}\ntitle: no")
     body = _case(4, "# Head {i}\n", "```\n# code\n```\n## Sub\n# Head {i}\n", "## Sub\n", "# Head {i}\n")
-    return _written(spark, sf, body, front, title_field="name")["documents"].select("path", "title")
+    return _written(spark, sf, "documents", body, front, title_field="name").select("path", "title")
 
 
 @query("""e AS (SELECT path, doc_id % 5 AS c FROM notes) SELECT path, CASE c WHEN 0 THEN 'parse_error' WHEN 1 THEN 'decode_error' WHEN 2 THEN 'missing_frontmatter' END AS skip_category FROM e""")
@@ -405,7 +406,7 @@ def parse_skips(spark: SparkSession, sf: str) -> DataFrame:
 @query(X + "SELECT path, 'Alias ' || doc_id AS alias FROM notes WHERE doc_id % 2 = 0 UNION ALL SELECT path, 'Other' FROM notes WHERE doc_id % 2 = 0 UNION ALL SELECT path, 'Single ' || doc_id FROM notes WHERE doc_id % 2 = 1")
 def parse_aliases(spark: SparkSession, sf: str) -> DataFrame:
     front = _case(2, "aliases: [Alias {i}, Other, Alias {i}]", "alias: Single {i}")
-    return _written(spark, sf, F.lit("x\n"), front)["aliases"].select("path", "alias")
+    return _written(spark, sf, "aliases", F.lit("x\n"), front).select("path", "alias")
 
 
 @query("""e AS (SELECT path, doc_id FROM notes) SELECT path, 0 AS position, 'Top ' || doc_id AS heading, 1 AS heading_level FROM e
@@ -413,7 +414,7 @@ UNION ALL SELECT path, 1, 'Second', 2 FROM e UNION ALL SELECT path, 2, 'Skipped'
 def parse_headings_mixed(spark: SparkSession, sf: str) -> DataFrame:
     """Skipped levels, fences of both kinds, lines that only look like headings."""
     body = _case(2, "# Top {i}\n## Second\n~~~\n# no\n~~~\n#### Skipped\n#no\n### Last #\n", "# Top {i}\n````\n# no\n```\n# no\n````\n## Second\n####### no\n #### no\n#### Skipped\n")
-    return _written(spark, sf, body)["headings"].select("path", "position", "heading", "heading_level")
+    return _written(spark, sf, "headings", body).select("path", "position", "heading", "heading_level")
 
 
 # --- history and packing --------------------------------------------------------------------
@@ -517,7 +518,7 @@ def metadata_derived(spark: SparkSession, sf: str) -> DataFrame:
         "verified: {by: 'tool/v1', at: '2024-01-01T00:00:00Z'}",
         "verified: [{by: nobody}]",
     )
-    return _written(spark, sf, F.lit("x\n"), front)["okf"].select("path", "freshness", "stale", "trust_tier", "review")
+    return _written(spark, sf, "okf", F.lit("x\n"), front).select("path", "freshness", "stale", "trust_tier", "review")
 
 
 @query("""e AS (SELECT path, doc_id % 3 AS c FROM notes), r AS (SELECT path, unnest(CASE c WHEN 0 THEN ['missing_recommended', 'missing_freshness', 'unknown_status'] WHEN 1 THEN ['missing_type', 'missing_recommended', 'wikilink_files', 'malformed_sources', 'missing_freshness'] ELSE ['malformed_freshness', 'malformed_review'] END) AS rule FROM e)
@@ -526,7 +527,7 @@ def audit_mixed(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of notes whose front matter breaks different rules."""
     front = _case(3, "type: note\nstatus: odd", "sources: [{id: a}]", "type: note\ntitle: T\ndescription: D\nstale_after: soon\nverified: [{by: nobody}]")
     body = _case(3, "x\n", "[[W]]\n", "x\n")
-    return _written(spark, sf, body, front)["okf"].select(F.explode("findings").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return _written(spark, sf, "okf", body, front).select(F.explode("findings").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(X + "SELECT path, 'T' || doc_id || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'H' || chr(10) ELSE '' END || chr(10) || text AS input FROM notes")
@@ -578,4 +579,4 @@ def snippet_window(spark: SparkSession, sf: str) -> DataFrame:
 def frontmatter_values(spark: SparkSession, sf: str) -> DataFrame:
     """Any front-matter key, read back from the stored JSON."""
     front = _case(3, "my key: a {i}", "my key: [x, {i}]", "other: 1")
-    return population.frontmatter_values(_written(spark, sf, F.lit("x\n"), front)["documents"], "my key")
+    return population.frontmatter_values(_written(spark, sf, "documents", F.lit("x\n"), front), "my key")

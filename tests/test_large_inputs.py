@@ -1,9 +1,11 @@
 """Long notes, and bounds of what a task holds."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from notelake.sources import vault as source
 from tests.conftest import SF, same_rows
 
 
@@ -27,3 +29,34 @@ def expected(name: str, root: str):
 @pytest.mark.parametrize("name", ["okf_audit"])
 def test_long_notes_as_in_sql(spark, long_notes, name):
     assert same_rows(entry.queries()[name](spark, long_notes).toPandas(), expected(name, long_notes))
+
+
+class NoChunker:
+    def chunk(self, content, metadata):
+        raise ValueError("nobody asked for sections")
+
+
+def test_only_asked_columns_are_parsed(spark):
+    """A table's query pays for that table alone; its rows are those of the whole parse."""
+    text = "---\ntags: [a, b]\nsources: [{id: s, resource: R}]\n---\n# H\nSee [n](n.md)[^s]\n"
+    files = spark.createDataFrame([(f"d/{k}.md", 1.0, text.encode()) for k in range(3)] + [("bad.md", 1.0, b"\xff")], "path string, mtime double, content binary")
+    whole = source.tables(source.parse(files))
+    for name in ("headings", "tags", "citations", "links", "okf"):
+        alone = source.tables(source.parse(files, source.ParseOptions(chunker=NoChunker()), (name,)))
+        assert list(alone) == [name] and sorted(map(str, alone[name].collect())) == sorted(map(str, whole[name].collect())) != []
+    assert source.parse(files, columns=("okf",)).columns == ["path", "skip_category", "okf"]
+
+
+def test_parsed_batches_are_bounded(spark):
+    """Notes of 10 MB in one batch go on in slices of SLICE_BYTES, not at once."""
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pylist([{"path": f"n{k}.md", "mtime": 1.0, "content": b"word " * 20_000} for k in range(100)])
+    found = [b.num_rows for b in source.parse(Files(), source.ParseOptions(max_chunk_words=None), ("sections",))(iter([batch]))]
+    assert sum(found) == 100 and max(found) <= source.SLICE_BYTES // 100_000
