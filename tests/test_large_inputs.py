@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from notelake.functions import markdown as M
 from notelake.sources import vault as source
 from tests.conftest import SF, same_rows
 
@@ -60,3 +61,13 @@ def test_parsed_batches_are_bounded(spark):
     batch = pa.RecordBatch.from_pylist([{"path": f"n{k}.md", "mtime": 1.0, "content": b"word " * 20_000} for k in range(100)])
     found = [b.num_rows for b in source.parse(Files(), source.ParseOptions(max_chunk_words=None), ("sections",))(iter([batch]))]
     assert sum(found) == 100 and max(found) <= source.SLICE_BYTES // 100_000
+
+
+def test_links_are_only_sought_where_brackets_are(monkeypatch):
+    """Paragraphs without a bracket are read over; fences are only sought where there are any."""
+    seen = []
+    before = M._innermost
+    monkeypatch.setattr(M, "_innermost", lambda part, target: (seen.append(part), before(part, target))[1])
+    text = "plain\n\n" * 50 + "See [a](b.md)\n\n" + "plain\n\n" * 50
+    assert [x.target for x in M.links(text, "n.md")] == ["b.md"]
+    assert len(seen) == 2 and set(seen) == {"See [a](b.md)"}
