@@ -122,8 +122,8 @@ def notes_and_attachments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str, text: str, scope: tuple[str, ...], **more) -> DataFrame:
-    postings, lengths = _index(spark, sf)
     node = parse_lenient(text, ("content", "title"), scope)
+    postings, lengths = _index(spark, sf, fulltext.Asked.by(node, _plain))
     return fulltext.bm25(postings, lengths, node, tokenize=_plain, **more).select("path", "ordinal", _r("score"))
 
 

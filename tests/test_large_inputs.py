@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from notelake.functions import markdown as M
+from notelake.functions.fts_query import parse
+from notelake.operators import fulltext
 from notelake.sources import vault as source
 from tests.conftest import SF, same_rows
 
@@ -71,3 +73,23 @@ def test_links_are_only_sought_where_brackets_are(monkeypatch):
     text = "plain\n\n" * 50 + "See [a](b.md)\n\n" + "plain\n\n" * 50
     assert [x.target for x in M.links(text, "n.md")] == ["b.md"]
     assert len(seen) == 2 and set(seen) == {"See [a](b.md)"}
+
+
+def test_keyword_query_reads_the_text_once(spark):
+    """All words of a query come of one pass, also those after NOT, and only their postings are made."""
+    d = entry.queries()["bm25_not"](spark, SF)
+    d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1
+    rows = spark.createDataFrame([("a.md", 0, "One two three two"), ("b.md", 0, None), ("c.md", 1, "twofold TWO")], "path string, ordinal int, content string")
+    whole = fulltext.build_postings(rows, ("content",), stemmed=False)[0]
+    asked = fulltext.Asked.by(parse('two NOT (thr* OR "one two")', ("content",)), lambda text: text.split())
+    assert asked == fulltext.Asked(frozenset({"two", "one"}), frozenset({"thr"}))
+    own = fulltext.build_postings(rows, ("content",), stemmed=False, asked=asked)[0]
+    assert sorted(map(str, own.collect())) == sorted(map(str, whole.filter("term in ('one', 'two', 'three')").collect())) != []
+
+
+def test_text_is_cut_into_tokens_by_slices():
+    batch = pa.RecordBatch.from_pydict({"content": ["x" * 400_000] * 10 + ["y" * 3_000_000, None, ""]})
+    found = [b.num_rows for b in fulltext._slices(iter([batch]), ("content",))]
+    assert sum(found) == 13 and max(found[:5]) == 2 and len(found) == 7
