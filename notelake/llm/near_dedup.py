@@ -30,12 +30,12 @@ BANDS, ROWS = 40, 6
 RUNS = (2, 8)
 #: A document weighs one, and one more for so many shingles, so that groups are bounded in bytes too.
 WEIGHED = 2000
-#: Weight of a bucket up to which its list is compared with other buckets' to verify each group once.
-LISTED = 64
-#: Weight of the blocks that a larger group is cut into, and members that are measured against one hub in one task.
+#: Weight of the blocks that a large group is cut into, and members that are measured against one hub in one task.
 BLOCK = 256
+#: Weight of a bucket up to which one task holds it, as it holds two blocks; its list is compared with other buckets' to verify each group once.
+LISTED = 2 * BLOCK
 #: Times that a large group is measured against one of its members before its blocks meet.
-STARS = 2
+STARS = 1
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -310,19 +310,24 @@ def _near_others(rows: DataFrame) -> DataFrame:
 def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame | None, metric: bool) -> DataFrame:
     """Components after all links within groups (grp, id, weight) are confirmed.
 
-    Small groups are verified pair by pair in one task. A large one is first measured against its
+    Groups that one task holds are verified pair by pair. A larger one is first measured against its
     smallest id, which links most members of a group of copies at a linear price. Jaccard distance
     is a metric, so members whose distances to that hub differ by more than the threshold can't be
     linked: what still spans components is cut into overlapping shells of that width, and the
-    shells go on as groups. At the end the blocks of what is left meet, which is exact.
+    shells go on as groups, the small ones to be verified at once. At the end the blocks of what is
+    left meet, which is exact.
     """
-    rows = materialize(_spanning(_joined(rows.select("grp", "id", "weight"), forest)), "members")
-    forest = grown(forest, _verify(_listed(rows.filter(F.col("size") <= LISTED)), sets, percent))
-    rows = rows.filter(F.col("size") > LISTED).select("grp", "id", "weight")
-    for _ in range(STARS):
+    rows = rows.select("grp", "id", "weight")
+    for left in range(STARS, -1, -1):
         rows = materialize(_spanning(_joined(rows, forest)), "members")
+        if forest is not None and rows.isEmpty():
+            return forest
+        forest = grown(forest, _verify(_listed(rows.filter(F.col("size") <= LISTED)), sets, percent))
+        rows = rows.filter(F.col("size") > LISTED)
         if rows.isEmpty():
             return forest
+        if not left:
+            break
         spokes = materialize(rows.filter("id <> hub").select("grp", "hub", "id", "weight"), "spokes")
         measured = materialize(_measure(spokes.select("hub", "id").distinct(), sets), "measured")
         forest = grown(forest, measured.filter(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("hub").alias("a"), F.col("id").alias("b")))
@@ -332,8 +337,8 @@ def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame |
         rows = _near_others(materialize(_joined(rows, forest), "shells"))
         both = F.array("shell", F.col("shell") - 1) if metric and percent < 100 else F.array("shell")
         rows = rows.withColumn("shell", F.explode(both)).select(F.concat_ws("/", "grp", F.col("shell").cast("string")).alias("grp"), "id", "weight")
-    rows = materialize(_spanning(_joined(rows, forest)), "members")
-    return forest if rows.isEmpty() else grown(forest, _verify(_crossed(rows.drop("size", "hub")), sets, percent))
+    crossed = materialize(_joined(rows.select("grp", "id", "weight"), forest), "members")
+    return grown(forest, _verify(_crossed(crossed), sets, percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -293,6 +293,15 @@ def test_large_buckets_are_split_without_loss(spark, monkeypatch, stars):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, k=3, percent=85, bands=26).collect()} == wanted
 
 
+def test_a_group_that_a_task_holds_is_verified_at_once(spark, monkeypatch):
+    """A hundred near copies meet in one task: no hub, no shells that double their rows."""
+    monkeypatch.setattr(near_dedup, "_measure", lambda *a: pytest.fail("measured against a hub"))
+    base = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join([*base[:i], f"x{i}", *base[i:]]) for i in range(100)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, k=3, percent=85, bands=26).collect()} == brute_components(word_sets(texts, 3), 85)
+
+
 def test_repeated_ids_are_one_node(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LISTED", 2)
     words = [f"w{i}" for i in range(60)]
