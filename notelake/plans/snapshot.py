@@ -85,6 +85,8 @@ class _Files:
 
 #: Bits a bucket looks at, at most; beyond 65,536 buckets a bucket has several files.
 MOST_BITS = 16
+#: Bytes of text in a piece that is dealt to a task, at most, and the least worth a task of its own.
+PIECE, LEAST_PIECE = 16 << 20, 1 << 20
 #: Deltas of a bucket before they are merged into one.
 MOST_DELTAS = 8
 #: How a delta tells the order of updates, and marks a touched note.
@@ -178,15 +180,25 @@ class SnapshotStore:
 
     # --- writing ----------------------------------------------------------------------------
 
-    def _write(self, path: str, df: DataFrame, key: str | None, names: list[str]) -> dict[str, str]:
-        """Write rows by bucket; the folders by the buckets' names."""
-        bucketed = df.withColumn("_bucket", self._bucket(key, names)).hint("rebalance", "_bucket")
+    def _write(self, path: str, df: DataFrame, key: str | None, names: list[str], dealt: bool = False) -> dict[str, str]:
+        """Write rows by bucket; the folders by the buckets' names. Rows that are ``dealt`` already stay in their tasks."""
+        bucketed = df.withColumn("_bucket", self._bucket(key, names))
+        bucketed = bucketed if dealt else bucketed.hint("rebalance", "_bucket")
         order = ["_bucket", *(c for c in ("term",) if c in df.columns)]
         bucketed.sortWithinPartitions(*order).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
         return {names[int(n.partition("=")[2])]: f"{path}/{n}" for n in self.files.names(path) if n.startswith("_bucket=")}
 
-    def _based(self, folder: str, df: DataFrame, key: str | None, names: list[str]) -> dict[str, dict]:
-        made = self._write(f"{folder}/{uuid.uuid4().hex}", df, key, names)
+    def deal(self, rows: DataFrame, key: str, size: int) -> DataFrame:
+        """Rows, of a table whose texts have ``size`` bytes, dealt into pieces each of which lies in one bucket.
+
+        What is made of them row by row is dealt too, so ``publish`` needs not shuffle it.
+        """
+        pieces = max(math.ceil(size / PIECE), min(2 * self.spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_PIECE)), 1)
+        n = 1 << max(_bits(size, self.bucket_bytes), min(MOST_BITS, math.ceil(math.log2(pieces))))
+        return rows.repartition(n, F.xxhash64(key).bitwiseAND(n - 1))
+
+    def _based(self, folder: str, df: DataFrame, key: str | None, names: list[str], dealt: bool = False) -> dict[str, dict]:
+        made = self._write(f"{folder}/{uuid.uuid4().hex}", df, key, names, dealt)
         return {n: {"base": made.get(n), "bytes": self.files.bytes(made[n]) if n in made else 0, "deltas": []} for n in names}
 
     def _split(self, folder: str, own: dict) -> None:
@@ -257,10 +269,12 @@ class SnapshotStore:
             self.files.drop(folder)
             raise
 
-    def publish(self, tables: dict[str, DataFrame], fingerprint: str = "", expected: int | None = None, markers: dict | None = None, unique: dict[str, list[str]] | None = None, others: bool = False) -> int:
+    def publish(self, tables: dict[str, DataFrame], fingerprint: str = "", expected: int | None = None, markers: dict | None = None, unique: dict[str, list[str]] | None = None, others: bool = False, dealt: dict[str, int] | None = None) -> int:
         """Write tables as a generation and make it current; with ``others`` the tables not given stay as they are.
 
         ``unique`` names keys that no two rows of a table may share. A table that exists keeps its directory.
+        ``dealt`` names tables made of rows that ``deal`` gave, with about their bytes: they are written where they lie, at once
+        in as many buckets as that takes.
         """
         found = self._base(expected)
         made = dict(found["tables"]) if others else {}
@@ -270,8 +284,9 @@ class SnapshotStore:
                 df = tables[name]
                 key = next((c for c in ("source_path", "path") if c in df.columns), None)
                 before = found["tables"].get(name)
-                names = list(before["buckets"]) if before and before["key"] == key else ["0.0"]
-                own = {"schema": df.schema.jsonValue(), "key": key, "buckets": self._based(folder, df, key, names)}
+                bits = _bits((dealt or {}).get(name, 0), self.bucket_bytes) if key else 0
+                names = list(before["buckets"]) if before and before["key"] == key else [f"{bits}.{v}" for v in range(1 << bits)]
+                own = {"schema": df.schema.jsonValue(), "key": key, "buckets": self._based(folder, df, key, names, name in (dealt or {}))}
                 keys = (unique or {}).get(name)
                 if keys and not self._open(own).groupBy(*keys).count().filter("count > 1").isEmpty():
                     raise ValueError(f"{name} repeats {keys}")
@@ -377,5 +392,10 @@ def _together(work: Callable[[str], dict], names: Iterable[str]) -> dict[str, di
         return dict(zip(names, pool.map(work, names), strict=True))
 
 
+def _bits(size: int, bucket_bytes: int) -> int:
+    """Bits of a directory whose buckets hold about ``bucket_bytes`` of ``size`` bytes at most."""
+    return min(MOST_BITS, max(0, math.ceil(math.log2(size / bucket_bytes)))) if size > 0 else 0
+
+
 def _delta_schema(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField(SEQ, LongType()), StructField(GONE, BooleanType())])

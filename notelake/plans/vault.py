@@ -102,7 +102,7 @@ class Vault:
         """Tables of listed files; what is read is parsed in the same task, and only parsed rows are written out."""
         parsed = keep(source.parse(source.scan(files, self.root), self.options))
         out = source.tables(parsed)
-        rows = out["sections"].join(out["documents"].select("path", "title", "folder"), "path")
+        rows = parsed.filter("skip_category is null").select("path", "title", "folder", F.explode("sections").alias("x")).select("path", "title", "folder", "x.*")
         out["postings"], out["lengths"] = fulltext.build_postings(rows)
         out["names"] = population.name_index(out["documents"])
         return out
@@ -117,10 +117,11 @@ class Vault:
             files = keep(source.listing(self.spark, self.root, ".md", self.options.excludes, keep))
             if files.isEmpty() and self.store.generation and not self.documents.isEmpty():
                 raise RuntimeError("the folder is empty; the index stays")
-            tables = self._derive(files, keep)
+            size = files.agg(F.sum("size")).first()[0] or 0
+            tables = self._derive(self.store.deal(files, "path", size), keep)
             tables["resolved"] = graph.resolve(tables["links"], tables["documents"], tables["aliases"])
             markers = {"built_at": datetime.now(timezone.utc).isoformat(), "walk_complete": True, "scanned_at": began}
-            found = self.store.publish(tables, self.fingerprint, markers=markers, unique=UNIQUE)
+            found = self.store.publish(tables, self.fingerprint, markers=markers, unique=UNIQUE, dealt=dict.fromkeys(("sections", "postings"), size))
             self.dirty.clear()
             return found
 

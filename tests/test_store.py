@@ -111,3 +111,36 @@ def test_tables_bring_their_own_paths(spark, tmp_path):
     store.upsert({"t": rows(spark, [("a", 9, "")]), "links": (links.withColumn("target_path", F.upper("target_path")), both)}, both.filter("path = 'a'"))
     assert held(store) == [("a", 9), ("b", 2)]
     assert sorted(r.target_path for r in store.read("links").collect()) == ["X", "Y"]
+
+
+def test_a_build_writes_its_large_tables_once_and_shuffles_neither(spark, tmp_path, monkeypatch):
+    from notelake.plans.vault import Vault
+
+    rng = random.Random(3)
+    (tmp_path / "notes").mkdir()
+    for n in range(60):
+        (tmp_path / "notes" / f"{n}.md").write_text(f"# Note {n}\n\n" + " ".join(f"w{rng.randrange(60)}" for _ in range(700)) + f"\n\n[[{n + 1}]]\n")
+    written, again = {}, []
+    write, rebase = SnapshotStore._write, SnapshotStore._rebase
+
+    def seen(self, path, df, key, names, *dealt):
+        found = write(self, path, df, key, names, *dealt)
+        for kind in {"term", "content"} & set(df.columns):
+            rows = df.withColumn("_bucket", self._bucket(key, names))
+            written[kind] = (rows if any(dealt) else rows.hint("rebalance", "_bucket"))._jdf.queryExecution().executedPlan().toString()
+        return found
+
+    monkeypatch.setattr(SnapshotStore, "_write", seen)
+    monkeypatch.setattr(SnapshotStore, "_rebase", lambda self, folder, own, names: (again.append({f["name"] for f in own["schema"]["fields"]}), rebase(self, folder, own, names)))
+    vaults = [Vault(spark, str(tmp_path / "notes"), str(tmp_path / s)) for s in ("one", "many")]
+    vaults[1].store.bucket_bytes = 80_000
+    for vault in vaults:
+        vault.build()
+        assert not [x for x in again if x & {"term", "content"}]
+        assert len(written) == 2 and not any("Exchange" in p or "Join" in p for p in written.values())
+    one, many = (v.store.manifest()["tables"] for v in vaults)
+    for name in ("sections", "postings"):
+        assert len(one[name]["buckets"]) == 1 and len(many[name]["buckets"]) > 2
+        a, b = (v.table(name) for v in vaults)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and not a.isEmpty()
+    assert vaults[1].reindex() == {"added": 0, "modified": 0, "deleted": 0, "unchanged": 60}
