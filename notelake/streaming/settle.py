@@ -12,8 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -39,53 +38,59 @@ class Settle(StatefulProcessor):
         self.burst = handle.getValueState("burst", "mtime double, size long, observations long, first_ms long, last_ms long, timer_ms long")
         self.passed = handle.getValueState("passed", "mtime double, size long")
 
-    def _over(self, path: str, burst: tuple) -> tuple:
-        """The row of a burst that is over; remembers its state as passed on."""
+    @staticmethod
+    def _over(path: str, burst: tuple, before: tuple | None) -> Row:
+        """The row of a burst that is over, after the state ``before`` that was passed on last."""
         mtime, size, n, first, last, _ = burst
-        before = self.passed.get() if self.passed.exists() else None
-        if size is None:
-            change = "deleted"
+        change = "deleted" if size is None else "added" if before is None else "same" if before == (mtime, size) else "modified"
+        return Row(path=path, change=change, mtime=mtime, size=size, observations=n, first_ms=first, last_ms=last)
+
+    def _last(self) -> tuple | None:
+        before = self.passed.get()
+        return tuple(before) if before else None
+
+    def _pass(self, burst: tuple) -> None:
+        """Remember the state of a burst as passed on."""
+        if burst[1] is None:
             self.passed.clear()
         else:
-            change = "added" if before is None else "same" if tuple(before) == (mtime, size) else "modified"
-            self.passed.update((mtime, size))
-        return path, change, mtime, size, n, first, last
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["path", "change", "mtime", "size", "observations", "first_ms", "last_ms"])
-        return out.astype({"size": "Int64", "mtime": "Float64"})
+            self.passed.update(burst[:2])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["seen_ms", "seen_at"], kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """Asks for a key's state once and writes it once, as each call goes to the JVM and back; between, bursts are local."""
+        seen = sorted(rows, key=lambda r: (r.seen_ms, r.seen_at))
         now = None if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        burst = tuple(self.burst.get()) if self.burst.exists() else None
+        burst = tuple(found) if (found := self.burst.get()) else None
         timer = burst[5] if burst else None
-        over = []
-        for mtime, size, at in zip(seen["mtime"], seen["size"], seen["seen_ms"].tolist(), strict=True):
-            ms = at if now is None else now
-            state = (None if pd.isna(mtime) else float(mtime), None if pd.isna(size) else int(size))
+        ended = None
+        for row in seen:
+            ms = row.seen_ms if now is None else now
+            state = (None if row.mtime is None or row.mtime != row.mtime else row.mtime, row.size)
             if burst and ms - burst[4] > self.quiet:
-                over.append(self._over(key[0], burst))
-                burst = None
+                before = (None if ended[1] is None else ended[:2]) if ended else self._last()
+                yield self._over(key[0], burst, before)
+                ended, burst = burst, None
             if burst is None:
                 burst = (*state, 1, ms, ms, 0)
             else:  # an observation that comes late tells nothing of the present state
                 newest = state if ms >= burst[4] else burst[:2]
                 burst = (*newest, burst[2] + 1, min(burst[3], ms), max(burst[4], ms), 0)
-        if timer is not None:
-            self.handle.deleteTimer(timer)
+        if ended:
+            self._pass(ended)
         due = burst[4] + self.quiet
-        self.handle.registerTimer(due)
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
         self.burst.update((*burst[:5], due))
-        if over:
-            yield self._frame(over)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.burst.exists():
-            burst = tuple(self.burst.get())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        found = self.burst.get()
+        if found:
+            burst = tuple(found)
             self.burst.clear()
-            yield self._frame([self._over(key[0], burst)])
+            yield self._over(key[0], burst, self._last())
+            self._pass(burst)
 
     def close(self) -> None:
         pass
@@ -113,7 +118,7 @@ def settled(observations: DataFrame, quiet_ms: int = 2000, late: str | None = No
     if late is not None:
         own = own.withWatermark("seen_at", late)
     processor = Settle(quiet_ms, late is not None)
-    passed = own.groupBy("path").transformWithStateInPandas(processor, _PASSED, "Append", "EventTime" if late is not None else "ProcessingTime")
+    passed = own.groupBy("path").transformWithState(processor, _PASSED, "Append", "EventTime" if late is not None else "ProcessingTime")
     return passed.select("path", "change", "mtime", "size", "observations", *(F.timestamp_millis(f"{k}_ms").alias(f"{k}_at") for k in ("first", "last")))
 
 

@@ -341,3 +341,51 @@ def test_near_names_by_index_equal_a_scan(vault, spark, tmp_path):
     assert [r.path for r in vault.search_paths("zebrx").collect()] == ["d9/zebra.md"]
     kept = sorted(map(tuple, vault.table("names").collect()))
     assert kept == sorted(map(tuple, population.name_index(vault.documents).collect()))
+
+
+def test_settling_asks_for_a_keys_state_once_whatever_its_bursts():
+    from pyspark.sql import Row
+
+    from notelake.streaming import settle
+
+    calls = []
+
+    class State:
+        value = None
+
+        def __init__(self, name):
+            self.name = name
+
+        def exists(self):
+            calls.append((self.name, "exists"))
+            return self.value is not None
+
+        def get(self):
+            calls.append((self.name, "get"))
+            return self.value
+
+        def update(self, value):
+            calls.append((self.name, "update"))
+            self.value = value
+
+        def clear(self):
+            calls.append((self.name, "clear"))
+            self.value = None
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return State(name)
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(("timer", "set"))
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append(("timer", "delete"))
+
+    processor = settle.Settle(10, True)
+    processor.init(Handle())
+    sizes = [1, 1, 2, None, None, 3] * 20
+    rows = [Row(mtime=None if n is None else 1.0, size=n, seen_at=k, seen_ms=100 * k) for k, n in enumerate(sizes)]
+    found = [r.change for r in processor.handleInputRows(("a",), iter(rows[::-1]), None)] + [r.change for r in processor.handleExpiredTimer(("a",), None, None)]
+    assert found == ["added", "same", "modified", "deleted", "deleted", "added"] + ["modified", "same", "modified", "deleted", "deleted", "added"] * 19
+    assert len(calls) <= 9  # before: some 400
