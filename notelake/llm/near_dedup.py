@@ -367,8 +367,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band"), "buckets")
     candidates = materialize(banded.join(shared, "band").select("at", F.col("band").cast("string").alias("grp"), "id", "weight"), "candidates")
     wanted = candidates.select("id").distinct()
-    # merged at every size: the table of wanted ids grows with the input
-    sets = materialize(_sets(docs.join(wanted.hint("merge"), "id"), k), "elements")
+    # merged at every size: the table of wanted ids grows with the input; its tasks hold buckets of ids already
+    sets = materialize(_sets(docs.join(wanted.hint("merge"), "id"), k), "elements", "id")
 
     repeated = own.filter("bands is not null").groupBy("id").count().filter("count > 1").select("id")
     once = repeated.isEmpty()

@@ -41,10 +41,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/notelake/{uuid.uuid4().hex}/{label}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the written table."""
+def materialize(df: DataFrame, label: str, key: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the written table.
+
+    With ``key`` it lies in buckets of that column, so joins on it needn't shuffle it; until ``release`` it then has a
+    name in the session's catalogue.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if key is not None:
+        name = f"notelake_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+        out = spark.table(name)
+        out._nl_stored_at, out._nl_name = path, name
+        return out
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._nl_stored_at = path
@@ -54,6 +64,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once nothing that is still to run reads them."""
     for df in tables:
+        if name := df.__dict__.get("_nl_name"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._nl_stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
