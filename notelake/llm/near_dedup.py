@@ -32,7 +32,7 @@ RUNS = (2, 8)
 WEIGHED = 2000
 #: Weight of the blocks that a large group is cut into, and members that are measured against one hub in one task.
 BLOCK = 256
-#: Weight of a bucket up to which one task holds it, as it holds two blocks; its list is compared with other buckets' to verify each group once.
+#: Weight of a bucket up to which one task holds it, as it holds two blocks.
 LISTED = 2 * BLOCK
 #: Times that a large group is measured against one of its members before its blocks meet.
 STARS = 1
@@ -96,8 +96,10 @@ def band_keys(elements: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 SIGNED = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("set_key", BinaryType()), StructField("bands", ArrayType(LongType()))])
 SETS = StructType([StructField("id", LongType()), StructField("elements", BinaryType())])
-LINKS = StructType([StructField("a", LongType()), StructField("b", LongType())])
-MEASURED = StructType([StructField("hub", LongType()), StructField("id", LongType()), StructField("shared", LongType()), StructField("joint", LongType())])
+#: A link (a, b), or with the sizes of intersection and union a pair of hub and member that was measured.
+FOUND = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("shared", LongType()), StructField("joint", LongType())])
+#: Sides of a group's rows: 0 and 1 are blocks whose pairs are verified; a hub is measured against each member.
+HUB, MEMBER = 2, 3
 
 
 def _sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -194,17 +196,23 @@ def _together(rows: DataFrame, sets: DataFrame, keys: list[str], schema: StructT
 
 
 def _verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of the groups (grp, side, id), each of which one task holds."""
+    """What is found in the groups (grp, side, id), each of which one task works on: rows of ``FOUND``, some repeated.
+
+    Of blocks the task holds all sets, and confirmed links are found. With a hub it holds the hub's set
+    and one member's at a time, and every pair is measured; an id with several sets has the largest of
+    their similarities.
+    """
 
     def start() -> tuple[Callable, Callable]:
         held: list[tuple] = []
+        hubs: list[np.ndarray] = []
         group = None
 
         def end() -> list[tuple]:
             if len(held) < 2:
                 return []
             ids, sides = np.array([r[1] for r in held], dtype=np.int64), np.array([r[0] for r in held], dtype=bool)
-            return links_within(ids, sides, [r[2] for r in held], percent)
+            return [(*link, None, None) for link in links_within(ids, sides, [r[2] for r in held], percent)]
 
         def take(key: tuple, side: int, member: int, elements: np.ndarray) -> list[tuple]:
             nonlocal group
@@ -212,76 +220,67 @@ def _verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if key != group:
                 out, group = end(), key
                 held.clear()
-            held.append((side, member, elements))
+                hubs.clear()
+            if side == HUB:
+                hubs.append((member, elements.copy()))
+            elif side == MEMBER:
+                found = [(both := np.intersect1d(own, elements, assume_unique=True).size, len(own) + len(elements) - both) for _, own in hubs]
+                out.append((hubs[0][0], member, *max(found, key=lambda x: x[0] / x[1])))
+            else:
+                held.append((side, member, elements))
             return out
 
         return take, end
 
-    return _together(groups, sets, ["grp"], LINKS, start).distinct()
-
-
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Similarity of each pair (hub, id): rows (hub, id, shared, joint), the sizes of intersection and union.
-
-    A hub's members are dealt over as many tasks as they need; a task holds the hub's set and one
-    member's at a time. An id with several sets has the largest of their similarities.
-    """
-    spokes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = pairs.join(materialize(spokes, "parts"), "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
-    hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.lit(0).alias("side"), F.col("hub").alias("id"))
+    return _together(groups, sets, ["grp"], FOUND, start)
 
-    def start() -> tuple[Callable, Callable]:
-        own: list[np.ndarray] = []
-        group = None
 
-        def take(key: tuple, side: int, member: int, elements: np.ndarray) -> list[tuple]:
-            nonlocal group
-            if key != group:
-                own.clear()
-                group = key
-            if not side:
-                own.append(elements.copy())
-                return []
-            found = [(both := np.intersect1d(hub, elements, assume_unique=True).size, len(hub) + len(elements) - both) for hub in own]
-            shared, joint = max(found, key=lambda x: x[0] / x[1])
-            return [(key[0], member, shared, joint)]
+def _links(found: DataFrame, percent: int) -> DataFrame:
+    return found.filter(F.col("shared").isNull() | (F.col("shared") * 100 >= F.col("joint") * percent)).select("a", "b")
 
-        return take, lambda: []
 
-    return _together(dealt.unionByName(hubs), sets, ["hub", "part"], MEASURED, start)
+def _measure(rows: DataFrame) -> DataFrame:
+    """Groups (grp, side, id) that measure large groups (grp, id, hub, size) against their hubs.
 
-
-def _listed(rows: DataFrame) -> DataFrame:
-    """Groups (grp, side, id) of small buckets (grp, id): equal lists of members are one group."""
-    lists = rows.groupBy("grp").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    return lists.select(F.xxhash64("ids").cast("string").alias("grp"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+    Groups of equal hubs are one, and its members are dealt over as many tasks as they need, with the hub in each.
+    """
+    pairs = rows.groupBy("hub", "id").agg(F.ceil(F.max("size") / BLOCK).cast("int").alias("parts"))  # the hub is in all of its groups
+    hub = F.col("id") == F.col("hub")
+    part = F.when(hub, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    dealt = pairs.select("hub", "id", F.when(hub, HUB).otherwise(MEMBER).alias("side"), F.explode(part).alias("part"))
+    return dealt.select(F.concat_ws(":", F.lit("h"), F.col("hub").cast("string"), F.col("part").cast("string")).alias("grp"), "side", "id")
 
 
 def _crossed(rows: DataFrame) -> DataFrame:
     """Groups (grp, side, id) that hold every pair of members of different components in groups (grp, id, weight, component).
 
     The largest component of a group needs no pairs of its own: its blocks meet the blocks of the
-    rest, and those meet each other, two by two. So no task holds a whole group.
+    rest, and those meet each other, two by two. So no task holds a whole group of more than two blocks.
     """
     parts = rows.groupBy("grp", "component").agg(F.sum("weight").alias("n"))
     tops = parts.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).filter("size > top.n")
-    tops = tops.select("grp", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"))
+    tops = tops.select("grp", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"), "size")
     rows = materialize(rows.join(materialize(tops, "tops"), "grp").withColumn("in_top", F.col("component") == F.col("top")), "sided")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("in_top"), F.col("top_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
-    rows = rows.withColumn("own", own)
+    whole = rows.filter(F.col("size") <= LISTED).select(F.concat_ws(":", F.lit("w"), "grp").alias("grp"), F.lit(0).alias("side"), "id")
+    rows = rows.filter(F.col("size") > LISTED).withColumn("own", own)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     named = lambda kind, *at: F.concat_ws(":", F.lit(kind), "grp", *(F.col(c).cast("string") for c in at)).alias("grp")
     top = rows.filter("in_top").withColumn("other", each("rest_blocks")).select(named("x", "own", "other"), F.lit(0).alias("side"), "id")
     rest = rows.filter("not in_top").withColumn("other", each("top_blocks")).select(named("x", "other", "own"), F.lit(1).alias("side"), "id")
     among = rows.filter("not in_top").withColumn("other", each("rest_blocks")).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     among = among.select(named("o", "low", "high"), (F.col("own") > F.col("low")).cast("int").alias("side"), "id")
-    return top.unionByName(rest).unionByName(among)
+    return whole.unionByName(top).unionByName(rest).unionByName(among)
 
 
 def _spanning(rows: DataFrame) -> DataFrame:
-    """The rows (grp, id, weight, component) of groups that hold more than one component, with the group's weight ``size`` and least id ``hub``."""
-    groups = rows.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("weight").alias("size"), F.min("id").alias("hub"))
-    groups = groups.filter("low < high").select("grp", "size", "hub")
+    """The rows (grp, id, weight, component) of groups that hold more than one component, with the group's weight ``size`` and least id ``hub``.
+
+    Groups of equal members are one: of equal weight, least id and sums of both halves of their ids' hashes.
+    """
+    h = F.xxhash64("id")
+    groups = rows.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("weight").alias("size"), F.min("id").alias("hub"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("lower"), F.sum(F.shiftright(h, 32)).alias("upper"))
+    groups = groups.filter("low < high").groupBy("size", "hub", "lower", "upper").agg(F.min("grp").alias("grp")).select("grp", "size", "hub")
     return rows.join(materialize(groups, "spanning"), "grp")  # a written table, so that a hot group is split or none is shuffled
 
 
@@ -292,53 +291,34 @@ def _joined(rows: DataFrame, forest: DataFrame | None) -> DataFrame:
     return rows.join(forest.withColumnRenamed("node", "member"), F.col("id") == F.col("member"), "left").select(*rows.columns, F.coalesce("component", "id").alias("component"))
 
 
-def _near_others(rows: DataFrame) -> DataFrame:
-    """Of rows (grp, id, weight, shell, component) those that may still link components of their group.
-
-    A group's largest component needs no links of its own, so its members stay only in shells beside
-    one that holds a member of another component.
-    """
-    parts = rows.groupBy("grp", "component").agg(F.sum("weight").alias("n"))
-    tops = parts.groupBy("grp").agg(F.max(F.struct("n", "component"))["component"].alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    tops = materialize(tops.select(F.col("grp").alias("of"), "top"), "tops")
-    others = rows.join(tops, (F.col("grp") == F.col("of")) & (F.col("component") != F.col("top")))
-    beside = F.array_distinct(F.flatten(F.collect_set(F.array(F.col("shell") - 1, "shell", F.col("shell") + 1))))  # of few shells
-    near = materialize(others.groupBy("of").agg(F.max("top").alias("top"), beside.alias("near")), "near")
-    return rows.join(near, (F.col("grp") == F.col("of")) & ((F.col("component") != F.col("top")) | F.array_contains("near", F.col("shell")))).select("grp", "id", "weight", "shell")
-
-
 def _resolve(rows: DataFrame, sets: DataFrame, percent: int, forest: DataFrame | None, metric: bool) -> DataFrame:
     """Components after all links within groups (grp, id, weight) are confirmed.
 
-    Groups that one task holds are verified pair by pair. A larger one is first measured against its
-    smallest id, which links most members of a group of copies at a linear price. Jaccard distance
+    Groups that one task holds are verified pair by pair. Beside them, a larger one is measured against
+    its smallest id, which links most members of a group of copies at a linear price. Jaccard distance
     is a metric, so members whose distances to that hub differ by more than the threshold can't be
     linked: what still spans components is cut into overlapping shells of that width, and the
-    shells go on as groups, the small ones to be verified at once. At the end the blocks of what is
-    left meet, which is exact.
+    shells go on as groups. At the end the blocks of what is left meet, which is exact.
+
+    A step that shuffles costs every one of its tasks, however few rows there are, so what can go
+    through the same join with the sets and the same growth of the forest does.
     """
     rows = rows.select("grp", "id", "weight")
-    for left in range(STARS, -1, -1):
+    for _ in range(STARS):
         rows = materialize(_spanning(_joined(rows, forest)), "members")
-        if forest is not None and rows.isEmpty():
-            return forest
-        forest = grown(forest, _verify(_listed(rows.filter(F.col("size") <= LISTED)), sets, percent))
-        rows = rows.filter(F.col("size") > LISTED)
-        if rows.isEmpty():
-            return forest
-        if not left:
-            break
-        spokes = materialize(rows.filter("id <> hub").select("grp", "hub", "id", "weight"), "spokes")
-        measured = materialize(_measure(spokes.select("hub", "id").distinct(), sets), "measured")
-        forest = grown(forest, measured.filter(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        groups, large = rows.filter(F.col("size") <= LISTED).select("grp", F.lit(0).alias("side"), "id"), rows.filter(F.col("size") > LISTED)
+        if large.isEmpty():
+            return forest if forest is not None and rows.isEmpty() else grown(forest, _links(_verify(groups, sets, percent), percent))
+        found = materialize(_verify(groups.unionByName(_measure(large)), sets, percent), "found")
+        forest = grown(forest, _links(found, percent))
+        measured = found.filter("shared is not null").select(F.col("a").alias("hub"), F.col("b").alias("id"), "shared", "joint")
         # the hub itself has met all of its group
         shell = F.floor((1 - F.col("shared") / F.col("joint")) / (1.000001 - percent / 100)) if metric and percent < 100 else F.lit(0)
-        rows = spokes.join(measured, ["hub", "id"]).select("grp", "id", "weight", shell.alias("shell"))
-        rows = _near_others(materialize(_joined(rows, forest), "shells"))
+        rows = large.filter("id <> hub").join(measured, ["hub", "id"]).select("grp", "id", "weight", shell.alias("shell"))
         both = F.array("shell", F.col("shell") - 1) if metric and percent < 100 else F.array("shell")
         rows = rows.withColumn("shell", F.explode(both)).select(F.concat_ws("/", "grp", F.col("shell").cast("string")).alias("grp"), "id", "weight")
-    crossed = materialize(_joined(rows.select("grp", "id", "weight"), forest), "members")
-    return grown(forest, _verify(_crossed(crossed), sets, percent))
+    crossed = materialize(_joined(rows, forest), "members")
+    return grown(forest, _links(_verify(_crossed(crossed), sets, percent), percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
