@@ -33,8 +33,9 @@ def _plain_tokens(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), "[^a-z0-9]+")
 
 
-def _stemmed_tokens(texts: pa.Array) -> pa.ListArray:
-    return pa.array([T.terms(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+def _stemmed_tokens() -> Callable[[pa.Array], pa.ListArray]:
+    known = T.Stems()
+    return lambda texts: pa.array([T.terms(t or "", known) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
 def _flat(tokens: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -101,7 +102,7 @@ def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed:
     schema = to_arrow_schema(POSTINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of = _stemmed_tokens if stemmed else _plain_tokens
+        tokens_of = _stemmed_tokens() if stemmed else _plain_tokens
         for batch in _slices(batches, columns):
             if asked is not None and not stemmed:  # a text without their letters has no such token
                 batch = batch.filter(pa.array(reduce(np.logical_or, (asked.within(pc.utf8_lower(pc.fill_null(batch.column(c), ""))) for c in columns))))
@@ -128,7 +129,7 @@ def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, columns):
-            size = [sum(len(T.words(t or "")) for t in texts) for texts in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+            size = [sum(T.count_words(t or "") for t in texts) for texts in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("ordinal").cast(lengths.field("ordinal").type), pa.array(size, pa.int64())], schema=lengths)
         give_back()
 

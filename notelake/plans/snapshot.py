@@ -297,11 +297,12 @@ class SnapshotStore:
             made |= _together(written, tables)
             return self._commit(found["generation"], made, fingerprint, markers)
 
-    def upsert(self, changed: dict[str, DataFrame | tuple[DataFrame, DataFrame]], paths: DataFrame, fingerprint: str = "", expected: int | None = None, markers: dict | None = None) -> int:
+    def upsert(self, changed: dict[str, DataFrame | tuple[DataFrame, DataFrame]], paths: DataFrame, fingerprint: str = "", expected: int | None = None, markers: dict | None = None, dealt: Iterable[str] = ()) -> int:
         """A generation whose ``changed`` tables lack the rows of ``paths`` and have the new ones; a deletion has none to add.
 
         A table may bring its own paths, as (rows, paths). What is written are deltas of the touched
         buckets, and those buckets whose deltas have grown too many or too large. Other tables stay.
+        ``dealt`` names tables made of rows that ``deal`` gave: they are written where they lie.
         """
         found = self._base(expected)
         made = dict(found["tables"])
@@ -312,17 +313,19 @@ class SnapshotStore:
                 key = next(c for c in ("source_path", "path") if c in fresh.columns)
                 empty = {"schema": fresh.schema.jsonValue(), "key": key, "buckets": {"0.0": {"base": None, "bytes": 0, "deltas": []}}}
                 own = json.loads(json.dumps(found["tables"].get(name, empty)))
-                self._add_delta(folder, own, fresh, touched, found["generation"] + 1)
+                self._add_delta(folder, own, fresh, touched, found["generation"] + 1, name in dealt)
                 return own
 
             made |= _together(written, changed)
             return self._commit(found["generation"], made, fingerprint, markers)
 
-    def _add_delta(self, folder: str, own: dict, fresh: DataFrame, paths: DataFrame, seq: int) -> None:
+    def _add_delta(self, folder: str, own: dict, fresh: DataFrame, paths: DataFrame, seq: int, dealt: bool = False) -> None:
         schema, key = StructType.fromJson(own["schema"]), own["key"]
         row = fresh.select(*schema.fieldNames(), F.lit(seq).cast("long").alias(SEQ), F.lit(False).alias(GONE))
         mark = paths.select(F.col("path").alias(key)).distinct().select(*(F.col(key) if f.name == key else F.lit(None).cast(f.dataType).alias(f.name) for f in schema), F.lit(seq).cast("long").alias(SEQ), F.lit(True).alias(GONE))
-        made = self._write(f"{folder}/{uuid.uuid4().hex}", row.unionByName(mark), key, list(own["buckets"]))
+        names = list(own["buckets"])
+        mark = mark.repartition(len(names), self._bucket(key, names)) if dealt else mark
+        made = self._write(f"{folder}/{uuid.uuid4().hex}", row.unionByName(mark), key, names, dealt)
         full, many = [], []
         for n, path in made.items():
             bucket = own["buckets"][n]

@@ -98,9 +98,12 @@ class Vault:
 
     # --- index ------------------------------------------------------------------------------
 
-    def _derive(self, files: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
-        """Tables of listed files; what is read is parsed in the same task, and only parsed rows are written out."""
-        parsed = keep(source.parse(source.scan(files, self.root), self.options))
+    def _parsed(self, files: DataFrame, keep: Callable[[DataFrame], DataFrame], known: bool = False) -> DataFrame:
+        """Rows of listed files; what is read is parsed in the same task, and only parsed rows are written out."""
+        return keep(source.parse(source.scan(files, self.root), self.options, known=known))
+
+    @staticmethod
+    def _derive(parsed: DataFrame) -> dict[str, DataFrame]:
         out = source.tables(parsed)
         rows = parsed.filter("skip_category is null").select("path", "title", "folder", F.explode("sections").alias("x")).select("path", "title", "folder", "x.*")
         out["postings"], out["lengths"] = fulltext.build_postings(rows)
@@ -118,7 +121,7 @@ class Vault:
             if files.isEmpty() and self.store.generation and not self.documents.isEmpty():
                 raise RuntimeError("the folder is empty; the index stays")
             size = files.agg(F.sum("size")).first()[0] or 0
-            tables = self._derive(self.store.deal(files, "path", size), keep)
+            tables = self._derive(self._parsed(self.store.deal(files, "path", size), keep))
             tables["resolved"] = graph.resolve(tables["links"], tables["documents"], tables["aliases"])
             markers = {"built_at": datetime.now(timezone.utc).isoformat(), "walk_complete": True, "scanned_at": began}
             found = self.store.publish(tables, self.fingerprint, markers=markers, unique=UNIQUE, dealt=dict.fromkeys(("sections", "postings"), size))
@@ -161,8 +164,10 @@ class Vault:
             unsure = F.lit(verify) | (F.col("mtime") >= found["markers"].get("scanned_at", 0) - UNSURE) | (F.col("mtime") != F.col("modified_at")) | ~F.col("size").eqNullSafe(F.col("_size"))
             state = F.when(F.col("mtime").isNull(), "gone").when(F.col("content_hash").isNull() | unsure, "read").otherwise("unchanged")
             seen = keep(files.join(before, "path", "full_outer").withColumn("state", state))
-            derived = self._derive(seen.filter("state = 'read'").select("path", "mtime", "size"), keep)
-            fresh = derived["documents"].select("path", F.col("content_hash").alias("_hash"), F.col("modified_at").alias("_time"), F.col("size").alias("_now"))
+            read = seen.filter("state = 'read'").select("path", "mtime", "size", *(F.col(c).alias(k) for c, k in zip(("content_hash", "modified_at", "_size"), source.KNOWN, strict=True)))
+            size = read.agg(F.sum("size")).first()[0] or 0
+            parsed = self._parsed(self.store.deal(read, "path", size), keep, known=True)
+            fresh = parsed.select("path", F.col("content_hash").alias("_hash"), F.col("modified_at").alias("_time"), F.col("size").alias("_now"))
             same = F.col("_hash") == F.col("content_hash")
             moved = ~(F.col("_time").eqNullSafe(F.col("modified_at")) & F.col("_now").eqNullSafe(F.col("_size")))
             # a file that went between listing and reading has no fresh row: the next refresh decides
@@ -175,10 +180,12 @@ class Vault:
             edited = keep(changes.filter("change <> 'unchanged'").join(held, "path", "left_anti").select("path"))
             restamped = edited.unionByName(changes.filter("touched").select("path"))
             if not restamped.isEmpty():
-                own = {name: df.join(edited, df["source_path" if name == "links" else "path"] == edited["path"], "left_semi") for name, df in derived.items()}
-                documents = derived["documents"].join(restamped, "path", "left_semi")
+                # rows whose hash isn't the known one are those of edited notes; the others were written again with the same text
+                own = self._derive(parsed.filter(~F.col("content_hash").eqNullSafe(F.col("known"))))
+                documents = source.tables(parsed)["documents"]
                 changed = own | {"documents": (documents, restamped), "resolved": self._resolved_anew(found, own, edited, keep)}
-                self.store.upsert(changed, edited, self.fingerprint, found["generation"], found["markers"] | ({"scanned_at": began} if paths is None else {}))
+                markers = found["markers"] | ({"scanned_at": began} if paths is None else {})
+                self.store.upsert(changed, edited, self.fingerprint, found["generation"], markers, dealt={"sections", "postings"})
             return counts
 
     def _resolved_anew(self, found: dict, own: dict[str, DataFrame], edited: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

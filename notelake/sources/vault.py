@@ -153,19 +153,39 @@ def stat_paths(paths: DataFrame, root: str, excludes: tuple[str, ...] = ()) -> D
     return paths.select("path").mapInPandas(run, LISTED)
 
 
+#: What a list of files may say of each: the hash, time and size it had when it was last derived.
+KNOWN = ("known", "known_time", "known_size")
+
+
 def scan(files: DataFrame, root: str) -> DataFrame:
-    """Rows (path, mtime, content) of listed files; executors read. What went meanwhile is left out: a later scan decides."""
+    """Rows (path, mtime, content) of listed files; executors read. What went meanwhile is left out: a later scan decides.
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Where the list has the columns ``KNOWN``, a file that is still as they say is left out too, and ``known`` goes along.
+    """
+    told = set(files.columns) >= set(KNOWN)
+    made = pa.schema([("path", pa.string()), ("mtime", pa.float64()), ("content", pa.binary()), *([("known", pa.string())] if told else [])])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, mtime in zip(batch["path"], batch["mtime"], strict=True):
+            rows, held = [], 0
+            for path, mtime, *before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     data = Path(root, path).read_bytes()
                 except OSError:
                     continue
-                yield pd.DataFrame({"path": [path], "mtime": [mtime], "content": [data]})
+                if told and before == [hashlib.sha256(data).hexdigest(), mtime, len(data)]:
+                    continue
+                if rows and held + len(data) > SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+                    rows, held = [], 0
+                rows.append((path, mtime, data, *before[:1]))
+                held += len(data)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+        give_back()
 
-    return files.select("path", "mtime").mapInPandas(read, "path string, mtime double, content binary")
+    own = files.select("path", "mtime", *(KNOWN if told else ()))
+    return own.mapInArrow(read, "path string, mtime double, content binary" + ", known string" * told)
 
 
 def probe(root: str, path: str) -> tuple[str, str | None]:
@@ -304,29 +324,32 @@ def parse_note(path: str, mtime: float, data: bytes, options: ParseOptions = Par
         return dict.fromkeys(row) | {k: row[k] for k in kept} | {"skip_category": "internal_error", "skip_detail": f"{type(e).__name__}: {e}"}
 
 
-def parse(files: DataFrame, options: ParseOptions = ParseOptions(), columns: tuple[str, ...] | None = None) -> DataFrame:
+def parse(files: DataFrame, options: ParseOptions = ParseOptions(), columns: tuple[str, ...] | None = None, known: bool = False) -> DataFrame:
     """Nested rows of scanned files; no shuffle. With ``columns`` only those, beside ``ALWAYS``, are derived.
 
-    A task holds a slice of bounded bytes and its rows at a time; only a single longer note exceeds it.
+    A task holds a slice of bounded bytes and its rows at a time; only a single longer note exceeds it. With
+    ``known`` the hash that ``scan`` sends along is a column too.
     """
-    wanted = StructType([f for f in PARSED.fields if columns is None or f.name in (*ALWAYS, *columns)])
+    wanted = StructType([*(f for f in PARSED.fields if columns is None or f.name in (*ALWAYS, *columns)), *([StructField("known", StringType())] if known else [])])
     asked, arrow = frozenset(wanted.fieldNames()), to_arrow_schema(wanted)
+    taken = ("path", "mtime", "content", *(["known"] if known else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for path, mtime, content in zip(*(batch.column(c) for c in ("path", "mtime", "content")), strict=True):
+            for path, mtime, content, *before in zip(*(batch.column(c) for c in taken), strict=True):
                 data = bytes(content.as_py())
                 if rows and held + len(data) > SLICE_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                     rows, held = [], 0
-                rows.append(parse_note(path.as_py(), mtime.as_py(), data, options, columns=asked))
+                row = parse_note(path.as_py(), mtime.as_py(), data, options, columns=asked)
+                rows.append(row | {"known": before[0].as_py()} if known else row)
                 held += len(data)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
             del rows
         give_back()
 
-    return files.select("path", "mtime", "content").mapInArrow(run, wanted)
+    return files.select(*taken).mapInArrow(run, wanted)
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:

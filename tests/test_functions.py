@@ -110,6 +110,28 @@ def test_snippet_prefers_the_left_of_equals():
     assert T.snippet("a b c", set(), 0) == "a b c"
 
 
+def test_a_token_is_stemmed_once(monkeypatch):
+    own, asked = T.stem, []
+    monkeypatch.setattr(T, "stem", lambda w: (asked.append(w), own(w))[1])
+    known = T.Stems()
+    assert T.terms("Running runs, running\u00e9 " * 50, known) == ["run", "run", "running"] * 50 == T.terms("Running runs running\u00e9 " * 50, known)
+    assert len(asked) == 3
+    monkeypatch.setattr(T, "MOST_KNOWN", 2)
+    text = "cats dogs mice running cats"
+    assert T.terms(text) == ["cat", "dog", "mice", "run", "cat"] and T.count_words(text) == 5
+
+
+def test_pieces_are_counted_once(monkeypatch):
+    """Neighbours join while they fit, as before, but a section isn't counted anew for each."""
+    counted = []
+    own = M.HeadingChunker._size
+    monkeypatch.setattr(M.HeadingChunker, "_size", lambda self, text: (counted.append(len(text)), own(self, text))[1])
+    body = "\n".join("one two three" for _ in range(400)) + "\n"
+    found = [c.content for c in M.HeadingChunker(max_words=300).chunk(body)]
+    assert [len(c.split()) for c in found] == [300, 300, 300, 300] and "".join(found) == body
+    assert sum(counted) < 4 * len(body)
+
+
 def test_stems_match_sqlite():
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='porter unicode61')")
