@@ -110,6 +110,7 @@ def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed:
                 continue
             found = {c: _flat(tokens_of(batch.column(c))) for c in columns}
             size = pa.array(sum(np.bincount(at, minlength=batch.num_rows) for at, _, _ in found.values()), pa.int64())
+            made = []
             for c, (at, terms, places) in found.items():
                 if asked is not None:
                     keep = asked.among(terms)
@@ -119,7 +120,10 @@ def build_postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, stemmed:
                 grouped = pa.table({"row": at, "term": terms, "p": pa.array(places, pa.int32())}).group_by(["row", "term"], use_threads=False).aggregate([("p", "list")]).combine_chunks()
                 row, positions = grouped["row"].combine_chunks(), grouped["p_list"].combine_chunks()
                 values = [grouped["term"].combine_chunks(), batch.column("path").take(row), batch.column("ordinal").take(row), pa.repeat(pa.scalar(c), len(row)), pc.list_value_length(positions), positions, size.take(row)]
-                yield pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+                made.append(pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, schema, strict=True)], schema=schema))
+            if made:  # a slice's rows go on by term, as a store sorts them: runs in order are only merged
+                own_rows = pa.Table.from_batches(made).combine_chunks()
+                yield from own_rows.take(pc.sort_indices(own_rows["term"])).to_batches()
         give_back()
 
     if not stemmed:

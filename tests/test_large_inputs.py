@@ -93,3 +93,20 @@ def test_text_is_cut_into_tokens_by_slices():
     batch = pa.RecordBatch.from_pydict({"content": ["x" * 400_000] * 10 + ["y" * 3_000_000, None, ""]})
     found = [b.num_rows for b in fulltext._slices(iter([batch]), ("content",))]
     assert sum(found) == 13 and max(found[:5]) == 2 and len(found) == 7
+
+
+def test_postings_of_a_slice_go_on_by_term():
+    """A store sorts postings by term; runs that are in order already are only merged."""
+
+    class Rows:
+        columns = ["path", "ordinal", "content", "title"]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pylist([{"path": f"n{k}.md", "ordinal": k, "content": "pear fig apple fig", "title": "zoo and ant"} for k in range(3)])
+    found = [b.column("term").to_pylist() for b in fulltext.build_postings(Rows(), ("content", "title"))[0](iter([batch]))]
+    assert [len(terms) for terms in found] == [18] and found[0] == sorted(found[0])
